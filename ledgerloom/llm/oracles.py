@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.quality_divergence import CLASS_JUDGED_WORDS, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_JUDGED_WORDS
+
 #: CRC-32 of a text's UTF-8 bytes: the byte table, then a fold over each text.
 CRC32 = r"""
 crc_bits(b, c, k) AS (
@@ -35,4 +37,42 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
 FROM rows JOIN dealt USING (virtual_slot)
 """
 
-ORACLES = {"op3_slot_sharding": OP3}
+_LISTS = ", ".join(f"('{lang}', {words!r})" for lang, words in COMMON_WORDS.items())
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
+f AS (
+  SELECT k, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+grams AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM f)),
+twice AS (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS c FROM grams),
+covered AS (
+  SELECT k, sum(least(8, coalesce(later - i, 8)))::BIGINT AS n FROM (
+    SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS later FROM twice WHERE c > 1) GROUP BY k),
+c AS (
+  SELECT f.*, len(w) AS n_words, coalesce(n, 0) AS n_repeat_words, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    length(regexp_replace(t, '[^\p{{Ll}}]+', '', 'g')) AS c0, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS c1,
+    length(regexp_replace(t, '[^\p{{Nd}}]+', '', 'g')) AS c2, length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')) AS c3,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS c4 FROM f LEFT JOIN covered USING (k)),
+lists AS (SELECT * FROM (VALUES {_LISTS}) v(ref, words)),
+bins AS (
+  SELECT k, lang, ref, 'class' AS kind, unnest(range(6)) AS bin, unnest([c0, c1, c2, c3, c4, length(t) - c0 - c1 - c2 - c3 - c4]) AS n FROM c, lists
+  UNION ALL
+  SELECT k, lang, ref, 'word', unnest(range(len(words))), unnest(list_transform(words, lambda x: len(list_filter(w, lambda y: y = x)))) FROM c, lists),
+full_bins AS (
+  SELECT * FROM bins UNION ALL
+  SELECT k, any_value(bins.lang), ref, 'word', 1000, any_value(c.n_words) - sum(n) FROM bins JOIN c USING (k) WHERE kind = 'word' GROUP BY k, ref),
+refs AS (SELECT ref, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY ref, kind) AS q FROM full_bins WHERE lang = ref GROUP BY ref, kind, bin),
+p AS (SELECT k, ref, kind, bin, n / nullif(sum(n) OVER (PARTITION BY k, ref, kind), 0) AS p FROM full_bins),
+distances AS (
+  SELECT k, ref, kind, sqrt(greatest(0, sum(
+    CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
+  FROM p JOIN refs USING (ref, kind, bin) GROUP BY k, ref, kind),
+closest AS (SELECT k, min(d) FILTER (kind = 'class') AS class_distance, min(d) FILTER (kind = 'word') AS word_distance FROM distances GROUP BY k),
+verdict AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c LEFT JOIN closest USING (k))
+SELECT doc_id, n_words, length(t) - c3 AS word_chars, c4 AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR (n_words >= {CLASS_JUDGED_WORDS} AND coalesce(class_distance > {MAX_CLASS_DISTANCE}, false))
+    OR (n_words >= {WORD_JUDGED_WORDS} AND coalesce(word_distance > {MAX_WORD_DISTANCE}, false))) AS kept
+FROM verdict
+"""
+
+ORACLES = {"op3_slot_sharding": OP3, "op7_quality_divergence": OP7}
