@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ledgerloom.llm.oracles import ORACLES
+from ledgerloom.llm.postings_index import op1_benchmark_postings
 from ledgerloom.llm.quality_divergence import op7_quality_divergence
 from ledgerloom.llm.slot_sharding import op3_slot_sharding
 
-QUERIES = {f.__name__: f for f in (op3_slot_sharding, op7_quality_divergence)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_postings, op3_slot_sharding, op7_quality_divergence)}
 
 
 def queries():

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,13 +24,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def text_batches(df: DataFrame, rows: int = TEXT_BATCH) -> DataFrame:
-    """Keep the Arrow batches of this session small enough for whole texts."""
-    conf = df.sparkSession.conf
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> Iterator[None]:
+    """Jobs run inside exchange at most ``rows`` rows at a time with Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) > rows:
-        conf.set(key, str(rows))
-    return df
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def utf8_size(c: Column) -> Column:
