@@ -55,6 +55,15 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM docs LEFT JOIN hit_words USING (k) LEFT JOIN named USING (k)
 """
 
+OP2 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+kept AS (SELECT payload_digest, max(page_id) AS refers_to FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id < refers_to THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < refers_to THEN refers_to END AS refers_to
+FROM p LEFT JOIN kept USING (payload_digest)
+"""
+
 _LISTS = ", ".join(f"('{lang}', {words!r})" for lang, words in COMMON_WORDS.items())
 OP7 = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -93,4 +102,4 @@ SELECT doc_id, n_words, length(t) - c3 AS word_chars, c4 AS n_symbols, n_dup_lin
 FROM verdict
 """
 
-ORACLES = {"op1_benchmark_postings": OP1, "op3_slot_sharding": OP3, "op7_quality_divergence": OP7}
+ORACLES = {"op1_benchmark_postings": OP1, "op2_warc_archives": OP2, "op3_slot_sharding": OP3, "op7_quality_divergence": OP7}
