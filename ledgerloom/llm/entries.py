@@ -7,12 +7,13 @@ from ledgerloom.llm.language_mixture import op6_language_mixture
 from ledgerloom.llm.oracles import ORACLES
 from ledgerloom.llm.postings_index import op1_benchmark_postings
 from ledgerloom.llm.quality_divergence import op7_quality_divergence
+from ledgerloom.llm.secret_novelty import op9_secret_novelty
 from ledgerloom.llm.slot_sharding import op3_slot_sharding
 from ledgerloom.llm.token_files import op10_token_files
 from ledgerloom.llm.vantage_simhash import op5_vantage_simhash
 from ledgerloom.llm.warc_writer import op2_warc_archives
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_postings, op2_warc_archives, op3_slot_sharding, op5_vantage_simhash, op6_language_mixture, op7_quality_divergence, op8_grouped_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_postings, op2_warc_archives, op3_slot_sharding, op5_vantage_simhash, op6_language_mixture, op7_quality_divergence, op8_grouped_packing, op9_secret_novelty, op10_token_files)}
 
 
 def queries():
