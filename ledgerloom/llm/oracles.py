@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.license_rules import BASE, GRANT, RULES, SCORES, spaced
 from ledgerloom.llm.quality_divergence import CLASS_JUDGED_WORDS, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_JUDGED_WORDS
 
 #: CRC-32 of a text's UTF-8 bytes: the byte table, then a fold over each text.
@@ -102,4 +103,36 @@ SELECT doc_id, n_words, length(t) - c3 AS word_chars, c4 AS n_symbols, n_dup_lin
 FROM verdict
 """
 
-ORACLES = {"op1_benchmark_postings": OP1, "op2_warc_archives": OP2, "op3_slot_sharding": OP3, "op7_quality_divergence": OP7}
+_RULES = ", ".join(f"({k}, ' {r.keyword} ', '{r.pattern}', '{r.label}', {r.priority})" for k, r in enumerate(RULES))
+_PHRASES = ", ".join(f"('{spaced(phrase)}', '{label}')" for phrase, label in BASE.items())
+OP4 = rf"""
+WITH rules AS (SELECT * FROM (VALUES {_RULES}) v(r, keyword, pattern, label, priority)),
+phrases AS (SELECT * FROM (VALUES {_PHRASES}) v(phrase, label)),
+w AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+d AS (SELECT k, doc_id, len(words) AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS spaced FROM w),
+found AS (SELECT k, r, label, priority, regexp_extract_all(spaced, pattern) AS ms, regexp_split_to_array(spaced, pattern) AS gaps FROM d JOIN rules ON contains(spaced, keyword)),
+each AS (SELECT k, r, label, priority, length(m) AS size, length(gap) AS gap, i FROM (
+  SELECT k, r, label, priority, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM found)),
+hits AS (SELECT k, label, priority, e - size AS s, e FROM (SELECT *, sum(size + gap) OVER (PARTITION BY k, r ORDER BY i) AS e FROM each)),
+surviving AS (
+  SELECT DISTINCT k, label, priority FROM hits h WHERE NOT EXISTS (
+    SELECT 1 FROM hits o WHERE o.k = h.k AND o.e >= h.e AND o.priority <= h.priority
+      AND (o.s < h.s OR o.s = h.s AND (o.e > h.e OR o.priority < h.priority OR o.priority = h.priority AND o.label < h.label)))),
+base AS (
+  SELECT k, phrase, label, spaced, (length(spaced) - length(replace(spaced, phrase, ''))) // length(phrase) AS n,
+    instr(spaced, phrase) AS first_at, length(spaced) - instr(reverse(spaced), reverse(phrase)) - length(phrase) + 2 AS last_at
+  FROM d JOIN phrases ON contains(spaced, phrase)),
+places AS (
+  SELECT k, sum(n)::BIGINT AS n_base, min(first_at) AS first_at, max(last_at) AS last_at, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, any_value(spaced) AS spaced
+  FROM base GROUP BY k),
+named AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM base UNION SELECT k, label FROM surviving) GROUP BY k),
+scored AS (SELECT k, min(priority) AS p FROM (SELECT k, priority FROM surviving UNION ALL SELECT k, {GRANT} FROM base) GROUP BY k)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0) AS n_base,
+  (length(regexp_replace(substr(p.spaced, 1, first_at - 1), '[^ ]+', '', 'g')) // 2)::BIGINT AS first_word,
+  (length(regexp_replace(substr(p.spaced, 1, last_at - 1), '[^ ]+', '', 'g')) // 2)::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce({list(SCORES)}[scored.p + 1], 0)::DOUBLE AS score
+FROM d LEFT JOIN places p USING (k) LEFT JOIN named USING (k) LEFT JOIN scored USING (k)
+"""
+
+ORACLES = {"op4_license_rules": OP4, "op1_benchmark_postings": OP1, "op2_warc_archives": OP2, "op3_slot_sharding": OP3, "op7_quality_divergence": OP7}
