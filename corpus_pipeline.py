@@ -1,12 +1,68 @@
-"""The training-corpus pipeline: each stage applies one operator to what the stage before kept."""
+"""The training-corpus pipeline: each stage applies one operator to what the stage before kept.
+
+1. languages: documents whose language cannot be told go.
+2. near_duplicates: one document of each group of near-duplicates stays.
+3. decontamination: documents with a passage of a benchmark item go.
+4. secrets: secrets found in the texts are masked.
+5. packing: the texts become token sequences.
+
+All but the last stage return the columns of documents.  Decisions are made
+per row, by id and text, so documents that share an id are judged one by one;
+of rows that repeat both, near_duplicates keeps one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import grouped_packing, language_mixture, postings_index, secret_novelty, vantage_simhash
+from ledgerloom.llm.vantage_simhash import row_key
 from ledgerloom.storage import stored
 
-STAGES = []
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter; models learn from what is not held out."""
+    model = language_mixture.learned(docs.where(~language_mixture.held_out(F.col("doc_id"))))
+    found = language_mixture.identified(docs, model, docs.columns)
+    return found.where(F.col("lang_pred") != language_mixture.UNDETERMINED).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group."""
+    found = stored(vantage_simhash.near_duplicates(docs).groupBy("key", "keeper").count(), "groups")
+    others = found.where("key <> keeper").select(F.col("key").alias("_key"))
+    repeated = found.where("key = keeper and count > 1").select(F.col("key").alias("_key"))
+    keyed = docs.withColumn("_key", row_key())
+    once = keyed.join(others.unionByName(repeated), "_key", "left_anti")
+    again = keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(again).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold ten consecutive words of a benchmark item, or all of a shorter one."""
+    keyed = docs.withColumn("_key", row_key())
+    index = postings_index.build_index(keyed, "_key")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = postings_index.find_phrases(index, postings_index.windows_of(benchmark))
+    hit = found.where("size(items) > 0").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask the secrets in every text."""
+    clean = secret_novelty.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the tokens of every document into sequences."""
+    return grouped_packing.pack(spark, docs.select("doc_id", "text"))
+
+
+STAGES = [("languages", languages), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
+
+#: SQL has neither the models nor the tokenizer.
 ORACLE_SQL = None
 
 

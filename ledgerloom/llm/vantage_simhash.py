@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,7 +55,7 @@ SAMPLE = 65_536
 LEAF = 48
 RADIUS = 1
 
-PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
 
 
 def fingerprint(text: str | None) -> int:
@@ -74,19 +74,27 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) of documents (doc_id, text), stored; fp holds the 64 bits as a signed long."""
+    """(doc_id, key, fp) of documents (doc_id, text), stored; fp holds the 64 bits as a signed long.
+
+    ``key`` tells rows of one id apart by their text; see row_key.
+    """
     schema = to_arrow_schema(PRINTS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(fps)], schema=schema)
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
     with arrow_batches(documents.sparkSession):
         return stored(docs.mapInArrow(read, PRINTS), "fingerprints")
 
 
+def row_key() -> Column:
+    """A row's identity by doc_id and text; equal only for rows that repeat both."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 class VantageTree:
     """Cuts of the 32-bit Hamming space, made from a sample; leaves are shards."""
 
@@ -271,19 +279,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp, root_fp, component_id) of documents (doc_id, text).
+    """(doc_id, key, fp, component_id, keeper) of documents (doc_id, text).
 
-    ``root_fp`` names the component; ``component_id`` is the smallest doc_id in it.
+    ``component_id`` is the smallest doc_id of the component and ``keeper`` the
+    key of a row that has it.
     """
     prints = fingerprints(documents)
-    # One row per fingerprint, however many copies it has.
-    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    # One row per fingerprint, however many copies it has; rows without an id come last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    points = stored(prints.groupBy("fp").agg(first), "points")
     roots = components(links(points))
-    rooted = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root_fp"))
-    rooted = stored(rooted, "rooted")
-    ids = rooted.groupBy("root_fp").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.select("fp", "root_fp").join(stored(ids, "component-ids"), "root_fp"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "root_fp", "component_id")
+    rooted = stored(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root_fp")), "rooted")
+    firsts = stored(rooted.groupBy("root_fp").agg(F.min("first").alias("first")), "firsts")
+    named = rooted.select("fp", "root_fp").join(firsts, "root_fp").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("keeper"))
+    return prints.join(stored(named, "named"), "fp").select("doc_id", "key", "fp", "component_id", "keeper")
 
 
 def op5_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
