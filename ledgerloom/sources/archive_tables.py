@@ -60,10 +60,32 @@ def denominators(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("opys").alias("inventory", "v")).select("inventory", "v.total")
 
 
+def underscored_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, value) of files whose names begin with an underscore, which Spark's readers pass over."""
+    fs, where = hadoop_fs(spark, pattern)
+    paths = [(str(status.getPath().toString()),) for status in fs.globStatus(where) or []]
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs as arrow_fs
+
+        for batch in batches:
+            texts = []
+            for path in batch["path"].to_pylist():
+                store, name = arrow_fs.FileSystem.from_uri(path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path)
+                with store.open_input_stream(name) as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(texts, pa.string())], names=["path", "value"])
+
+    tasks = max(1, min(len(paths), 200))
+    return spark.createDataFrame(paths, "path string").repartition(tasks).mapInArrow(read, schema)
+
+
 def runs(spark: SparkSession, pattern: str) -> DataFrame:
     """One row per run metadata file; files that are no JSON are left out."""
-    df = spark.read.schema(RUN_META).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern).withColumn("_path", F.col("_metadata.file_path"))
-    return df.where("pages is not null").withColumn("run", F.element_at(F.split("_path", "/"), -2)).drop("_path")
+    df = underscored_files(spark, pattern).select("path", F.from_json("value", RUN_META).alias("m")).where("m.pages is not null")
+    return df.select(F.element_at(F.split("path", "/"), -2).alias("run"), "m.*")
 
 
 def run_pages(found: DataFrame) -> DataFrame:
