@@ -55,22 +55,26 @@ def candidates(lines: DataFrame, normal=F.lower) -> DataFrame:
     return exploded.select("run", "page", "line_no", "ord", F.col("_c.surface").alias("surface"), normal(F.col("_c.raw")).alias("norm"))
 
 
-def score_to(stem: str, norm: Column) -> Column:
-    """Similarity of a candidate to a stem; windows count only where the candidate is no shorter."""
+def score_to(stem: str, norm: Column, least: float = 0) -> Column:
+    """Similarity of a candidate to a stem; windows count only where the candidate is no shorter.
+
+    With a threshold, windows that cannot reach it are not compared.
+    """
     guard = F.length(norm) >= max(4, int(0.6 * len(stem)))
     whole = ratio_to(stem, norm)
-    return F.when(guard, F.when(F.length(norm) >= len(stem), F.greatest(whole, partial_ratio_to(stem, norm))).otherwise(whole))
+    windows = (F.length(norm) >= len(stem)) & (could_reach(stem, norm, least, len(stem)) if least else F.lit(True))
+    return F.when(guard, F.when(windows, F.greatest(whole, partial_ratio_to(stem, norm))).otherwise(whole))
 
 
-def could_reach(stem: str, norm: Column, least: float) -> Column:
-    """Whether a candidate may reach a similarity to a stem at all.
+def could_reach(stem: str, norm: Column, least: float, longest: float | None = None) -> Column:
+    """Whether a candidate, or a window of it of up to ``longest`` letters, may reach a similarity to a stem at all.
 
     A similarity fixes how many letters may be inserted or deleted, d at most.
     Of d + 1 pieces of the stem one then comes through unchanged, so a
     candidate without any of them need not be compared.
     """
     m = len(stem)
-    longest = m * (200 - least) / least
+    longest = m * (200 - least) / least if longest is None else longest
     d = int((1 - least / 100) * (m + longest))
     cuts = [m * k // (d + 1) for k in range(d + 2)]
     pieces = [stem[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -85,7 +89,8 @@ def search(found: DataFrame, stems: list[str], least: float = 80) -> DataFrame:
     if not usable:
         raise ValueError("the query is too short")
     found = found.where(reduce(lambda a, b: a | b, [could_reach(s, F.col("norm"), least) for s in usable]))
-    best = reduce(F.greatest, [F.coalesce(score_to(s, F.col("norm")), F.lit(0.0)) for s in usable]) if len(usable) > 1 else F.coalesce(score_to(usable[0], F.col("norm")), F.lit(0.0))
+    scores = [F.coalesce(score_to(s, F.col("norm"), least), F.lit(0.0)) for s in usable]
+    best = reduce(F.greatest, scores) if len(scores) > 1 else scores[0]
     scored = found.withColumn("_s", best).where(F.col("_s") >= least)
     top = scored.groupBy("run", "page", "line_no").agg(F.max(F.struct("_s", (-F.col("ord")).alias("o"), "surface", "norm")).alias("b"))
     return top.select("run", "page", "line_no", (F.col("line_no") - 1).alias("line_index"), F.bround("b._s", 0).cast("int").alias("score"), F.col("b.surface").alias("surface"), F.col("b.norm").alias("norm"))

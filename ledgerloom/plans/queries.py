@@ -236,7 +236,8 @@ def decode_search(t) -> DataFrame:
     found = decode.candidates(_lines(t)).where("length(norm) >= 4").where(decode.could_reach(_STEM, F.col("norm"), 88))
     whole = decode.ratio_to(_STEM, F.col("norm"))
     windows = decode.partial_ratio_to(_STEM, F.col("norm"))
-    best = F.when((F.length("norm") > len(_STEM)) & (F.length("norm") <= 40), F.greatest(whole, windows)).otherwise(whole)
+    reachable = decode.could_reach(_STEM, F.col("norm"), 88, len(_STEM))
+    best = F.when((F.length("norm") > len(_STEM)) & (F.length("norm") <= 40) & reachable, F.greatest(whole, windows)).otherwise(whole)
     hits = found.withColumn("_s", best).where("_s >= 88").groupBy("run", "page", "line_no").agg(F.max("_s").alias("_s"))
     return hits.select("run", "page", "line_no", F.bround("_s", 0).cast("int").alias("score"))
 
