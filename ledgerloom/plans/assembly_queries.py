@@ -20,12 +20,12 @@ def name_candidates(t) -> DataFrame:
     return t("pages").select("page_id", F.explode(assembly.number_candidates(F.col("url"))).alias("candidate")).groupBy("page_id", "candidate").agg(F.count(F.lit(1)).alias("times"))
 
 
-_HOSTS = "h AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS target FROM pages WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[a-z]+)', 1) FROM pages WHERE page_id % 2 = 0)"
+_HOSTS = "h AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS target FROM pages WHERE starts_with(url, 'https') UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[a-z]+)', 1) FROM pages WHERE contains(url, 'example.com'))"
 
 
 def _targets(t) -> DataFrame:
     host, folder = F.regexp_extract("url", "^(https?://[^/]+)", 1), F.regexp_extract("url", "^(https?://[^/]+/[a-z]+)", 1)
-    return t("pages").where("page_id % 3 = 0").select(host.alias("target")).union(t("pages").where("page_id % 2 = 0").select(folder.alias("target"))).distinct()
+    return t("pages").where("startswith(url, 'https')").select(host.alias("target")).union(t("pages").where("contains(url, 'example.com')").select(folder.alias("target"))).distinct()
 
 
 @query(f"""WITH {_HOSTS} SELECT url AS path, arg_max(target, length(target)) AS target FROM (SELECT DISTINCT url FROM pages) LEFT JOIN h ON url = target OR starts_with(url, target || '/') GROUP BY 1""")
@@ -47,12 +47,12 @@ def resolved_by_channels(t) -> DataFrame:
     return assembly.resolved(runs, [one, two])
 
 
-@query("""WITH a AS (SELECT p_partkey AS k, nullif(CASE WHEN p_size < 20 THEN '' ELSE p_brand END, '') AS brand, CASE WHEN p_size > 40 THEN NULL ELSE p_size END AS size FROM part WHERE p_partkey % 2 = 0),
+@query("""WITH a AS (SELECT p_partkey AS k, nullif(CASE WHEN p_size < 20 THEN '' ELSE p_brand END, '') AS brand, CASE WHEN p_size > 40 THEN NULL ELSE p_size END AS size FROM part WHERE p_size > 10),
 b AS (SELECT l_partkey AS k, 'line' AS brand, max(l_linenumber) AS size FROM lineitem GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.brand, b.brand) AS brand, coalesce(a.size, b.size) AS size, CASE WHEN a.k IS NULL THEN 1 ELSE 0 END AS layer FROM a FULL JOIN b ON a.k = b.k""")
 def layered_registry(t) -> DataFrame:
     """Parts over order lines: earlier layers win, empty fields are filled."""
-    first = t("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") < 20, "").otherwise(F.col("p_brand")).alias("brand"), F.when(F.col("p_size") <= 40, F.col("p_size")).alias("size"))
+    first = t("part").where("p_size > 10").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") < 20, "").otherwise(F.col("p_brand")).alias("brand"), F.when(F.col("p_size") <= 40, F.col("p_size")).alias("size"))
     second = t("lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.lit("line").alias("brand"), F.max("l_linenumber").alias("size"))
     return assembly.first_layer_wins([first, second], "k")
 
@@ -78,12 +78,12 @@ def name_ranges(t) -> DataFrame:
     return assembly.name_ranges(t("customer").select(F.col("c_nationkey").alias("g"), "c_name"), "g", "c_name")
 
 
-@query("""SELECT doc_id AS path, CASE WHEN n_chars % 7 = 0 THEN 'changed' WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'ok' END AS state FROM documents WHERE NOT (n_chars % 7 = 0 AND doc_id % 5 = 0)
-UNION ALL SELECT doc_id, 'missing' FROM documents WHERE n_chars % 7 = 0 AND doc_id % 5 = 0""")
+@query("""SELECT doc_id AS path, CASE WHEN n_chars % 7 = 0 THEN 'changed' WHEN lang = 'es' THEN 'missing' ELSE 'ok' END AS state FROM documents WHERE NOT (n_chars % 7 = 0 AND lang = 'es')
+UNION ALL SELECT doc_id, 'missing' FROM documents WHERE n_chars % 7 = 0 AND lang = 'es'""")
 def integrity_check(t) -> DataFrame:
     content = F.col("text").cast("binary")
     expected = t("documents").select(F.col("doc_id").alias("path"), (F.length(content) + F.when(F.col("n_chars") % 7 == 0, 1).otherwise(0)).alias("size"), F.sha2(content, 256).alias("sha256"))
-    files = t("documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), content.alias("content"))
+    files = t("documents").where("lang <> 'es'").select(F.col("doc_id").alias("path"), content.alias("content"))
     return entities.integrity(files, expected)
 
 

@@ -44,10 +44,10 @@ def _sql_matching(c: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {_sql_matching('left(text, 200)')} AS form, translate({_sql_matching('left(text, 200)')}, '{normal.HISTORIC[0]}', '{normal.HISTORIC[1]}') AS archival, trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[’''ʼ`]', '', 'g'), '[^\\w\\p{{L}}]+', ' ', 'g')) AS searched FROM documents")
+@query(f"SELECT doc_id, {_sql_matching('text')} AS form, translate({_sql_matching('text')}, '{normal.HISTORIC[0]}', '{normal.HISTORIC[1]}') AS archival, trim(regexp_replace(regexp_replace(lower(text), '[’''ʼ`]', '', 'g'), '[^\\w\\p{{L}}]+', ' ', 'g')) AS searched FROM documents")
 def norm_names(t) -> DataFrame:
-    head = F.left("text", F.lit(200))
-    return t("documents").select("doc_id", normal.matching_form(head).alias("form"), normal.archival_form(head).alias("archival"), normal.search_form(head).alias("searched"))
+    text = F.col("text")
+    return t("documents").select("doc_id", normal.matching_form(text).alias("form"), normal.archival_form(text).alias("archival"), normal.search_form(text).alias("searched"))
 
 
 def _places(t) -> DataFrame:
@@ -69,11 +69,11 @@ def place_search_tiers(t) -> DataFrame:
     return gazetteer.find_places(_places(t), "small rin").select("card", "section", "n_cases", "score")
 
 
-@query(f"""WITH {_PLACES} SELECT DISTINCT a.card, b.card AS sibling FROM p a JOIN p b ON (a.norm_uk = b.norm_uk OR a.norm_ru = b.norm_ru) AND a.card <> b.card AND a.section <> b.section WHERE a.card % 20 = 0""")
+@query(f"""WITH {_PLACES} SELECT DISTINCT a.card, b.card AS sibling FROM p a JOIN p b ON (a.norm_uk = b.norm_uk OR a.norm_ru = b.norm_ru) AND a.card <> b.card AND a.section <> b.section WHERE a.card % 100 = 0""")
 def siblings_theta(t) -> DataFrame:
     """Like-named parts of another type, for a stated set of parts against all."""
     places = _places(t)
-    mine = places.where("card % 20 = 0")
+    mine = places.where("card % 100 = 0")
     by = lambda name: mine.select("card", F.col("section").alias("_s"), F.col(name).alias("_n")).join(places.select(F.col("card").alias("sibling"), F.col("section").alias("_o"), F.col(name).alias("_n")), "_n").where("card <> sibling and _s <> _o").select("card", "sibling")
     return by("norm_uk").union(by("norm_ru")).distinct()
 
@@ -150,14 +150,14 @@ def _fund(t) -> DataFrame:
         F.when(o("o_orderstatus") == "P", "interp").otherwise("seen").alias("num_src"), F.lit("hi").alias("page_quality"), F.when(o("o_orderkey") % 7 == 0, "a").otherwise("").alias("spr_letter"),
         F.when(o("o_orderstatus") != "O", o("o_orderkey") % 2 == 0).alias("on_disk"),
     )
-    live = t("orders").where("o_orderkey % 3 = 0").select((o("o_custkey") % 10).cast("string").alias("inventory"), o("o_orderkey").alias("case"), o("o_orderpriority").alias("path"))
+    live = t("orders").where("o_totalprice > 150000").select((o("o_custkey") % 10).cast("string").alias("inventory"), o("o_orderkey").alias("case"), o("o_orderpriority").alias("path"))
     conflicts = t("lineitem").where("l_discount > 0.08").join(t("orders"), o("l_orderkey") == o("o_orderkey")).select((o("o_custkey") % 10).cast("string").alias("inventory"), o("o_orderkey").alias("case"))
     return registry.fund_status(rows, live, conflicts)
 
 
-@query("""SELECT o_orderkey AS "case", CASE WHEN o_orderkey % 3 = 0 THEN 'disk' WHEN o_totalprice > 300000 THEN 'todo' WHEN o_totalprice < 100000 THEN 'mirror_only' ELSE 'order' END AS state,
+@query("""SELECT o_orderkey AS "case", CASE WHEN o_totalprice > 150000 THEN 'disk' WHEN o_totalprice > 300000 THEN 'todo' WHEN o_totalprice < 100000 THEN 'mirror_only' ELSE 'order' END AS state,
   array_to_string(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'interp' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'no_title' END, CASE WHEN o_orderkey % 7 = 0 THEN 'letter' END], lambda x: x IS NOT NULL), ',') AS flags,
-  coalesce(CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey % 2 = 0) <> (o_orderkey % 3 = 0) END, false) AS mismatch, coalesce(n, 0) AS n_conflicts
+  coalesce(CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey % 2 = 0) <> (o_totalprice > 150000) END, false) AS mismatch, coalesce(n, 0) AS n_conflicts
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_discount > 0.08 GROUP BY 1) ON l_orderkey = o_orderkey""")
 def fund_status_case(t) -> DataFrame:
     return _fund(t).select("case", "state", F.array_join("flags", ",").alias("flags"), "mismatch", "n_conflicts")
@@ -294,10 +294,10 @@ def gaps_islands(t) -> DataFrame:
     return sequences.islands(t("lineitem"), ["l_suppkey"], "l_orderkey")
 
 
-@query("""WITH s AS (SELECT c_nationkey AS k, c_custkey AS start_, c_custkey + 40 AS end_ FROM customer WHERE c_custkey % 50 = 0), p AS (SELECT c_nationkey AS k, c_custkey AS n FROM customer)
+@query("""WITH s AS (SELECT c_nationkey AS k, c_custkey AS start_, c_custkey + 40 AS end_ FROM customer), p AS (SELECT c_nationkey AS k, c_custkey AS n FROM customer)
 SELECT k, n, start_ AS "start" FROM p JOIN s USING (k) WHERE n BETWEEN start_ AND end_""")
 def range_join_spans(t) -> DataFrame:
-    spans = t("customer").where("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 40).alias("end"))
+    spans = t("customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 40).alias("end"))
     points = t("customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("n"))
     return sequences.in_spans(points, spans, "k", "n").select("k", "n", "start")
 
@@ -310,13 +310,13 @@ def html_rows(t) -> DataFrame:
     return t("pages").select("page_id", F.explode(found).alias("a")).groupBy("page_id", F.col("a.href").alias("href")).agg(F.count(F.lit(1)).alias("n"), F.min(F.length("a.label")).alias("shortest"))
 
 
-@query("""WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'full' ELSE 'partial' END AS st FROM labels), n AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'partial' ELSE 'full' END AS st FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'full' ELSE 'partial' END AS st FROM labels), n AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'partial' ELSE 'full' END AS st FROM documents WHERE lang <> 'fr')
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.st IS NULL OR (n.st = 'partial' AND o.st = 'full') THEN o.st ELSE n.st END AS status, n.st IS NOT NULL AND o.st IS NOT NULL AS merged FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def page_notes_merge(t) -> DataFrame:
     none = lambda kind: F.array().cast(f"array<{kind}>")
     blank = {"page_type": F.lit(""), "surnames": none("string"), "places": none("string"), "years": none("int"), "sheet": F.lit(""), "agent": F.lit("")}
     old = t("labels").select(F.lit("c").alias("case_key"), F.col("doc_id").alias("scan"), F.when(F.col("quality") == 1, "full").otherwise("partial").alias("status"), F.lit("old").alias("comment")).withColumns(blank)
-    new = t("documents").where("doc_id % 2 = 0").select(F.lit("c").alias("case_key"), F.col("doc_id").alias("scan"), F.when(F.col("lang") == "en", "partial").otherwise("full").alias("status"), F.lit("new").alias("comment")).withColumns(blank)
+    new = t("documents").where("lang <> 'fr'").select(F.lit("c").alias("case_key"), F.col("doc_id").alias("scan"), F.when(F.col("lang") == "en", "partial").otherwise("full").alias("status"), F.lit("new").alias("comment")).withColumns(blank)
     merged = notes.merged_notes(old, new)
     return merged.select(F.col("scan").alias("doc_id"), "status", (F.col("comment") == "old ⟂ new").alias("merged"))
 
