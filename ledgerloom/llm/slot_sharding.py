@@ -94,7 +94,7 @@ def edited_map(current: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
     share = F.ceil(F.sum("bytes").over(W.Window.partitionBy()) / F.lit(shards))
     filled = F.sum("bytes").over(W.Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot"))
     placed = stats.join(current.select("virtual_slot", "version", "shard"), "virtual_slot").withColumn("share", share)
-    placed = stored(placed.withColumn("stays", (filled <= F.col("share")) & (F.col("shard") < shards)), "slots-placed")
+    placed = stored(placed.withColumn("stays", ((filled <= F.col("share")) | (F.col("bytes") == 0)) & (F.col("shard") < shards)), "slots-placed")
     # The bytes that stay on shards 0, 1, ... in that order.
     loads = F.array(*(F.coalesce(F.sum(F.when(F.col("stays") & (F.col("shard") == i), F.col("bytes"))), F.lit(0)).cast("long") for i in range(shards)))
     moving = F.filter(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "virtual_slot", "stays")), lambda x: ~x["stays"])
