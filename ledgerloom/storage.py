@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -40,7 +41,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote for a table that nothing will read any more."""
+    remove(table.sparkSession, table.stored_at)
+
+
+#: Rows of a few numbers that may be sent to every executor: some tens of MB.
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow stored table, marked for broadcast if it has been counted and is small; else as it is, to be shuffled."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def hadoop_fs(spark: SparkSession, path: str):
