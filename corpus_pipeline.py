@@ -17,40 +17,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import grouped_packing, language_mixture, postings_index, secret_novelty, vantage_simhash
+from ledgerloom.llm.text import TEXT_BATCH
 from ledgerloom.llm.vantage_simhash import row_key
-from ledgerloom.storage import stored
+from ledgerloom.storage import broadcast_if_small, stored
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents as (row, key, doc_id, text, lang), whatever else their columns are called."""
+    return docs.select(F.struct("*").alias("row"), row_key().alias("key"), "doc_id", "text", "lang")
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents whose key is not in a stored table; texts stay where they are while that is small."""
+    return keyed(docs).join(broadcast_if_small(keys), "key", "left_anti").select("row.*")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter; models learn from what is not held out."""
-    model = language_mixture.learned(docs.where(~language_mixture.held_out(F.col("doc_id"))))
-    found = language_mixture.identified(docs, model, docs.columns)
-    return found.where(F.col("lang_pred") != language_mixture.UNDETERMINED).select(*docs.columns)
+    rows = keyed(docs).select("key", "doc_id", "text", "lang")
+    model = language_mixture.learned(rows.where(~language_mixture.held_out(F.col("doc_id"))))
+    found = language_mixture.identified(rows, model, ["key"])
+    return without(docs, stored(found.where(F.col("lang_pred") == language_mixture.UNDETERMINED).select("key").distinct(), "no-language"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group."""
-    found = stored(vantage_simhash.near_duplicates(docs).groupBy("key", "keeper").count(), "groups")
-    others = found.where("key <> keeper").select(F.col("key").alias("_key"))
-    repeated = found.where("key = keeper and count > 1").select(F.col("key").alias("_key"))
-    keyed = docs.withColumn("_key", row_key())
-    once = keyed.join(others.unionByName(repeated), "_key", "left_anti")
-    again = keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-    return once.unionByName(again).select(*docs.columns)
+    found = stored(vantage_simhash.near_duplicates(docs.select("doc_id", "text")).groupBy("key", "keeper").count(), "groups")
+    repeated = stored(found.where("key = keeper and count > 1").select("key"), "repeated")
+    gone = stored(found.where("key <> keeper").select("key").unionByName(repeated), "near-copies")
+    kept = without(docs, gone)
+    if repeated.isEmpty():
+        return kept
+    # Rows that repeat id and text: one of them.
+    again = keyed(docs).join(broadcast_if_small(repeated), "key", "left_semi").select("key", "row").dropDuplicates(["key"])
+    return kept.unionByName(again.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten consecutive words of a benchmark item, or all of a shorter one."""
-    keyed = docs.withColumn("_key", row_key())
-    index = postings_index.build_index(keyed, "_key")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = postings_index.find_phrases(index, postings_index.windows_of(benchmark))
-    hit = found.where("size(items) > 0").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+    found = postings_index.decontaminated(keyed(docs).select("key", "text"), benchmark, id_col="key")
+    return without(docs, stored(found.where("size(items) > 0").select(F.col("doc_id").alias("key")).distinct(), "contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask the secrets in every text."""
+    """Mask the secrets in every text.
+
+    The masked texts are computed as they are written, so the batches that
+    Python gets are made small for the rest of the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
     clean = secret_novelty.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 

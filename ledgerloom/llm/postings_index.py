@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.llm.text import ASCII_LOWER, ITEM_WORD, arrow_batches, ascii_lower
-from ledgerloom.storage import stored
+from ledgerloom.storage import discard, stored
 
 WINDOW = 10
 #: Phrases that one pass over the index looks up; about 100 bytes each in the driver and in tasks.
@@ -282,9 +282,12 @@ def find_near(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
         return stored(index.mapInPandas(probe, "doc_id long, item string, word long"), "near")
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: words, hit words, items with an occurring window, and spans."""
-    return find_phrases(build_index(documents), windows_of(benchmark, window=window))
+def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
+    """Per document: words, items with an occurring window, and spans of hit words; the index goes when done."""
+    index = build_index(documents, id_col)
+    found = find_phrases(index, windows_of(benchmark, window=window))
+    discard(index)
+    return found
 
 
 def op1_benchmark_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

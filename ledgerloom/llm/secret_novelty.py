@@ -146,7 +146,7 @@ def masked(text: str | None, spans: list[Span], mask: str = "[SECRET]") -> str |
 
 
 def redacted(documents: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """Documents with the secrets in their texts masked, all other columns as they are; stored."""
+    """Documents with the secrets in their texts masked, all other columns as they are; computed when read."""
     arrow = to_arrow_schema(documents.schema)
     at = documents.columns.index(text_col)
 
@@ -155,8 +155,7 @@ def redacted(documents: DataFrame, text_col: str = "text", mask: str = "[SECRET]
             texts = [masked(t, spans_of(t), mask) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, arrow.field(at).type) if k == at else c for k, c in enumerate(batch.columns)], schema=arrow)
 
-    with arrow_batches(documents.sparkSession):
-        return stored(documents.mapInArrow(clean, documents.schema), "redacted")
+    return documents.mapInArrow(clean, documents.schema)
 
 
 def op9_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
