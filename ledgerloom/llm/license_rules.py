@@ -16,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,11 @@ class Rule:
     keyword: str
     words: str
 
+    @property
+    def gate(self) -> str:
+        """The word that a text must hold before anything else is looked at: the rarest that the rule cannot do without."""
+        return "license" if "license" in self.words.split() else self.keyword
+
     @property
     def pattern(self) -> str:
         parts = []
@@ -135,7 +141,10 @@ def _rules() -> list[Rule]:
     # The short permissive texts, by sentences nobody writes otherwise.
     add("mit", TAG, "spdx", "spdx license identifier mit")
     add("mit", GRANT, "permission", "permission is hereby granted free of charge to any person obtaining a copy")
-    add("mit", NAME, "mit", "the? mit license", "mit licensed", "licensed|released|distributed under the? mit")
+    add("mit", NAME, "mit", "the? mit license")
+    add("mit", NAME, "licensed", "mit licensed")
+    for how in ("licensed", "released", "distributed"):
+        add("mit", NAME, how, f"{how} under the? mit")
     add("isc", GRANT, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee")
     add("zlib", GRANT, "misrepresented", "the origin of this software must not be misrepresented")
     for n, clause in ((2, "simplified|freebsd"), (3, "new|modified|revised"), (4, "original|old")):
@@ -152,8 +161,8 @@ RULES = _rules()
 
 
 KEYWORDS = sorted({r.keyword for r in RULES})
-#: Finds a keyword that stands alone, or beside a letter beyond ASCII.
-GATE = rf"(?<![a-z0-9])(?:{'|'.join(KEYWORDS)})(?![a-z0-9])"
+#: Finds a gate word that stands alone, or beside a letter beyond ASCII.
+GATE = rf"(?<![a-z0-9])(?:{'|'.join(sorted({r.gate for r in RULES}))})(?![a-z0-9])"
 #: ITEM_WORD for texts that are not lower-cased yet.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_LABELS = "array<struct<label:string,priority:int>>"
@@ -213,9 +222,13 @@ def licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(ITEM_WORD), 0)
     # Most texts hold no keyword and go no further.
     df = df.withColumn("spaced", F.when(F.lower("_text").rlike(GATE), F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))).otherwise("")).drop("_text")
-    rules = F.array(*(F.struct(F.lit(f" {r.keyword} ").alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")) for r in RULES))
-    active = F.filter(rules, lambda r: F.contains(F.col("spaced"), r["keyword"]))
-    df = df.withColumn("_hits", F.when(F.col("spaced") != "", F.sort_array(F.flatten(F.transform(active, _places)))))
+    df = df.withColumn("_present", F.when(F.col("spaced") != "", F.filter(F.array(*(F.lit(f" {k} ") for k in KEYWORDS)), lambda k: F.contains(F.col("spaced"), k))))
+    # As one literal: hundreds of nested expressions would keep the planner busy for seconds.
+    listed_rules = json.dumps([{"keyword": f" {r.keyword} ", "pattern": r.pattern, "label": r.label, "priority": r.priority} for r in RULES])
+    rules = F.from_json(F.lit(listed_rules), "array<struct<keyword:string,pattern:string,label:string,priority:int>>")
+    active = F.filter(rules, lambda r: F.array_contains("_present", r["keyword"]))
+    df = df.withColumn("_active", F.when(F.size("_present") > 0, active))
+    df = df.withColumn("_hits", F.when(F.size("_active") > 0, F.sort_array(F.flatten(F.transform("_active", _places)))))
     df = df.withColumn("found", F.coalesce(_surviving(F.col("_hits")), F.array().cast(NO_LABELS)))
 
     counts, firsts, lasts, labels = [], [], [], []
