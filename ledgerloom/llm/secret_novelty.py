@@ -2,7 +2,8 @@
 
 Three base patterns find assignments, access keys and long hex strings.  Other
 secrets have no pattern but are strings that nothing predicts.  A candidate is
-a long token shortly after a sensitive word.  Its novelty is what it adds to
+a long token shortly after a sensitive word; of a token NAME=value only the
+value is one, and the name belongs to what comes before it.  Its novelty is what it adds to
 the compressed size of its surroundings, by a zstandard compressor primed with
 common identifiers: ordinary names, paths and repeats of nearby code add
 little, random strings about as many bytes as they have characters.
@@ -41,7 +42,8 @@ LEAST_ASSIGNED, LEAST_ACCESS = 6, 20
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_NOVEL = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_NOVEL},}}")
 SENSITIVE = re.compile(r"(?:secret|token|key|passw|pwd|auth|bearer|credential|private|signature)", re.IGNORECASE | re.ASCII)
 #: Characters before a candidate in which a sensitive word makes it one, and of surroundings on either side.
 REACH, AROUND = 48, 256
@@ -96,6 +98,34 @@ def base_spans(text: str) -> list[Span]:
     return found + [Span("hex", *m.span(), *m.span()) for m in HEX.finditer(text)]
 
 
+def _novel(text: str, start: int, end: int, taken: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
+    """What is novel in a candidate: of NAME=value the value, and the name if it is novel too; else the whole.
+
+    ``taken`` from ``at`` on are the spans that may overlap the candidate.
+    """
+
+    def secret(s: int, e: int, reach: int) -> bool:
+        if e - s < LEAST_NOVEL or not SENSITIVE.search(text, max(0, reach), s):
+            return False
+        k = at
+        while k < len(taken) and taken[k][0] < e:
+            if s < taken[k][1]:
+                return False
+            k += 1
+        return novelty(text[s:e], text[max(0, s - AROUND) : s], text[e : e + AROUND]) > NOVEL_SHARE
+
+    inner = text[start:end].rstrip("=")
+    # A=B=value: after the first sign, or else after the last.
+    for sign in dict.fromkeys((inner.find("="), inner.rfind("="))):
+        name, value = start + sign, start + sign + 1
+        while sign >= 0 and text[value] == "=":
+            value += 1
+        # The whole name comes before its value, however long it is.
+        if sign >= 0 and secret(value, end, min(start, value - REACH)):
+            return [*([(start, name)] if secret(start, name, start - REACH) else []), (value, end)]
+    return [(start, end)] if secret(start, end, start - REACH) else []
+
+
 def spans_of(text: str | None) -> list[Span]:
     """All spans of a text by start, then kind as listed."""
     if not text:
@@ -104,13 +134,9 @@ def spans_of(text: str | None) -> list[Span]:
     taken = sorted((s.start, s.end) for s in found)
     at = 0
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        while at < len(taken) and taken[at][1] <= s:
+        while at < len(taken) and taken[at][1] <= m.start():
             at += 1
-        if any(a < e and s < b for a, b in taken[at : at + len(KINDS)]) or not SENSITIVE.search(text, max(0, s - REACH), s):
-            continue
-        if novelty(m[0], text[max(0, s - AROUND) : s], text[e : e + AROUND]) > NOVEL_SHARE:
-            found.append(Span("novel", s, e, s, e))
+        found += [Span("novel", s, e, s, e) for s, e in _novel(text, *m.span(), taken, at)]
     return sorted(found, key=lambda x: (x.start, KINDS.index(x.kind)))
 
 

@@ -212,3 +212,13 @@ def test_held_out_language_accuracy(spark):
     assert right >= 0.99 * n > 200
 
 
+def test_secrets_assigned_without_blanks():
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8tWvN3Lk"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "private_key={}==", "export SECRET_KEY='{}'", 'auth="{}"', "https://h/p?auth={}&x=1", "pwd={}", "signature={}", '{{"private_key": "{}"}}', "--env=SECRET_KEY={}", "SECRET_" + "LONG_" * 12 + "NAME={}", "key in: CONFIGURATION={}"]
+    for form in forms:
+        text = form.format(value)
+        assert secret_novelty.masked(text, secret_novelty.spans_of(text)) == form.replace("==", "").format("[SECRET]"), form
+    for text in (f"name={value}", "auth=configuration_environment_name", "key=short=value"):
+        assert secret_novelty.spans_of(text) == [], text
+    for text in ("password x9Kq2LmZr7=TbW4nVc8Yd0PfG", "password x9Kq2LmZr7TbW4nVc8Yd0PfG=wJalrXUtnFEMIK7MDENGbPxRf"):
+        assert not {"x9Kq2LmZr7", "TbW4nVc8Yd0PfG"} & set(re.split(r"\W", secret_novelty.masked(text, secret_novelty.spans_of(text)))), text
