@@ -1,7 +1,7 @@
 """The training-corpus pipeline: each stage applies one operator to what the stage before kept.
 
 1. languages: documents whose language cannot be told go.
-2. near_duplicates: one document of each group of near-duplicates stays.
+2. near_duplicates: one document of each group stays, linked by five-word shingles of similarity 0.8.
 3. decontamination: documents with a passage of a benchmark item go.
 4. secrets: secrets found in the texts are masked.
 5. packing: the texts become token sequences.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import grouped_packing, language_mixture, postings_index, secret_novelty, vantage_simhash
+from ledgerloom.llm import grouped_packing, language_mixture, postings_index, secret_novelty, shingle_similarity
 from ledgerloom.llm.text import TEXT_BATCH
 from ledgerloom.llm.vantage_simhash import row_key
 from ledgerloom.storage import broadcast_if_small, stored
@@ -42,7 +42,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group."""
-    found = stored(vantage_simhash.near_duplicates(docs.select("doc_id", "text")).groupBy("key", "keeper").count(), "groups")
+    found = stored(shingle_similarity.near_duplicates(docs.select("doc_id", "text")).groupBy("key", "keeper").count(), "groups")
     repeated = stored(found.where("key = keeper and count > 1").select("key"), "repeated")
     gone = stored(found.where("key <> keeper").select("key").unionByName(repeated), "near-copies")
     kept = without(docs, gone)

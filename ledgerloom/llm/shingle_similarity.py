@@ -1,0 +1,165 @@
+"""Near copies by the share of word shingles that two texts have in common.
+
+Two texts are linked if the Jaccard similarity of their sets of five-word
+shingles is at least 0.8; linked texts form components.  Candidates are pairs
+that agree on all minima of a band of min-hashes; every candidate pair that
+could still join two components is checked on the sets themselves, so nothing
+is linked wrongly.  A pair of similarity s shares a band with probability
+1 - (1 - s^5)^25: 0.99995 at 0.8, more above.  SimHash with a wide radius was
+not taken: at 0.8 five-word fingerprints of short texts differ in 14 bits and
+more, and trees of such a radius compare nearly all pairs.
+
+Texts with equal sets are one point.  In each band's bucket every point is
+first checked against the smallest.  Then, in buckets that still hold several
+components, all other pairs across them are checked.  So a group of n copies
+costs about n checks; n texts that are alike but below the bound cost up to n².
+
+Edge cases: a text of fewer than five words has its whole word sequence as one
+shingle; null and wordless texts have no shingle and are one point; repeated
+rows and ids each get a row; an empty table yields no rows; columns other than
+id and text are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ledgerloom.llm.text import ASCII_LOWER, SPACED_WORD, arrow_batches
+from ledgerloom.llm.vantage_simhash import components, grouped, row_key
+from ledgerloom.storage import broadcast_if_small, stored
+
+SHINGLE = 5
+#: Least similarity, as hundredths so that it is compared exactly.
+ALIKE_PERCENT = 80
+BANDS, ROWS = 25, 5
+SEED = 42
+#: Shingles min-hashed at a time.
+BLOCK = 512
+#: Pairs of sets in an Arrow batch; a set may take a megabyte.
+PAIR_BATCH = 256
+
+_RNG = np.random.default_rng(SEED)
+XORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+ODDS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+POINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("hubs", T.ArrayType(T.LongType())), T.StructField("is_hub", T.BooleanType()), T.StructField("shingles", T.BinaryType())])
+EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    words = re.findall(SPACED_WORD, text.translate(ASCII_LOWER)) if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - size + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n))
+
+
+def point(hashes: np.ndarray) -> int:
+    """A set's identity, as a signed number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)).astype(np.int64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A number for each band; equal ones share a bucket.  A set without elements has none."""
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for lo in range(0, len(hashes), BLOCK):
+        np.minimum(low, ((hashes[lo : lo + BLOCK, None] ^ XORS) * ODDS).min(axis=0), out=low)
+    found = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        found = (found ^ column) * MIX
+        found ^= found >> np.uint64(29)
+    return found.view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int = ALIKE_PERCENT) -> bool:
+    """Whether two sets have at least that similarity."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def points_of(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, key, fp, bands) of documents (doc_id, text), stored; fp is the point of the text."""
+    schema = to_arrow_schema(POINTS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch["text"].to_pylist()]
+            fps, banded = pa.array([point(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], schema.field("bands").type)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], fps, banded], schema=schema)
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
+    with arrow_batches(documents.sparkSession):
+        return stored(docs.mapInArrow(read, POINTS), "shingle-points")
+
+
+def checked(documents: DataFrame, pairs: DataFrame, firsts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are alike; stored.
+
+    ``firsts`` has the key of one text of each point (fp, key).  Only texts of
+    pairs are read again, and each pair carries one set to where the other is.
+    """
+    sides = pairs.select(F.col("b").alias("fp"), F.col("a").alias("hub")).unionByName(pairs.select(F.col("a").alias("fp"), F.lit(None).cast("long").alias("hub")))
+    asked = sides.groupBy("fp").agg(F.collect_set("hub").alias("hubs"), F.max(F.col("hub").isNull()).alias("is_hub"))
+    asked = stored(firsts.join(asked, "fp").select("key", "fp", "hubs", "is_hub"), "shingle-asked")
+    rows = documents.select(row_key().alias("key"), "text").join(broadcast_if_small(asked), "key").select("fp", "hubs", "is_hub", "text")
+    schema, edges = to_arrow_schema(SETS), to_arrow_schema(EDGES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(t, size).astype("<u8").tobytes() for t in batch["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["fp"], batch["hubs"], batch["is_hub"], sets], schema=schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [alike(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent) for x, y in zip(batch["ours"], batch["theirs"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], schema=edges).filter(pa.array(near, pa.bool_()))
+
+    with arrow_batches(documents.sparkSession):
+        sets = stored(rows.mapInArrow(read, SETS), "shingle-sets")
+    # Rows that repeat id and text have equal sets; one is enough.
+    hubs = sets.where("is_hub").groupBy("fp").agg(F.first("shingles").alias("theirs")).withColumnRenamed("fp", "a")
+    members = sets.select(F.explode("hubs").alias("a"), F.col("fp").alias("b"), F.col("shingles").alias("ours"))
+    with arrow_batches(documents.sparkSession, PAIR_BATCH):
+        return stored(members.join(hubs, "a").select("a", "b", "ours", "theirs").mapInArrow(compare, EDGES), "shingle-edges")
+
+
+def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = ALIKE_PERCENT) -> DataFrame:
+    """(doc_id, key, fp, component_id, keeper) of documents (doc_id, text), as op5's near_duplicates has them."""
+    found = points_of(documents, size)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    points = stored(found.groupBy("fp").agg(first), "points")
+    firsts = points.select("fp", F.col("first.key").alias("key"))
+    # Copies of a point have its bands; the aggregate below needs no distinct ones.
+    banded = found.join(points.select("fp", F.col("first.key").alias("key")), ["fp", "key"], "left_semi").select("fp", F.explode("bands").alias("band"))
+    shared = stored(banded.groupBy("band").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub <> last").select("band", "hub"), "shingle-bands")
+    members = stored(banded.join(broadcast_if_small(shared), "band").distinct(), "shingle-members")
+    star = stored(members.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "shingle-star")
+    edges = checked(documents, star, firsts, size, percent)
+
+    # Buckets that hold several components still: what is neither with the hub nor joined.
+    roots = components(edges)
+    rooted = members.where("fp <> hub").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    rooted = stored(rooted.join(mixed, "band", "left_semi"), "shingle-mixed")
+    if rooted.isEmpty():
+        return grouped(found.drop("bands"), points, edges)
+    other = rooted.select("band", F.col("fp").alias("b"), F.col("root").alias("other"))
+    across = rooted.withColumnRenamed("fp", "a").join(other, "band").where("a < b and root <> other").select("a", "b").distinct()
+    across = stored(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "shingle-across")
+    return grouped(found.drop("bands"), points, edges.unionByName(checked(documents, across, firsts, size, percent)))

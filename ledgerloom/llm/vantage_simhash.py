@@ -278,6 +278,19 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "node long, root long")
 
 
+def grouped(prints: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, key, fp, component_id, keeper) of ``prints`` (doc_id, key, fp).
+
+    ``points`` (fp, first) has the first row of each fp, rows without an id
+    coming last, and ``edges`` (a, b) link values of fp.
+    """
+    roots = components(edges)
+    rooted = stored(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root_fp")), "rooted")
+    firsts = stored(rooted.groupBy("root_fp").agg(F.min("first").alias("first")), "firsts")
+    named = rooted.select("fp", "root_fp").join(firsts, "root_fp").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("keeper"))
+    return prints.join(stored(named, "named"), "fp").select("doc_id", "key", "fp", "component_id", "keeper")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, key, fp, component_id, keeper) of documents (doc_id, text).
 
@@ -288,11 +301,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # One row per fingerprint, however many copies it has; rows without an id come last.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
     points = stored(prints.groupBy("fp").agg(first), "points")
-    roots = components(links(points))
-    rooted = stored(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root_fp")), "rooted")
-    firsts = stored(rooted.groupBy("root_fp").agg(F.min("first").alias("first")), "firsts")
-    named = rooted.select("fp", "root_fp").join(firsts, "root_fp").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("keeper"))
-    return prints.join(stored(named, "named"), "fp").select("doc_id", "key", "fp", "component_id", "keeper")
+    return grouped(prints, points, links(points))
 
 
 def op5_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

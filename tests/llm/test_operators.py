@@ -222,3 +222,51 @@ def test_secrets_assigned_without_blanks():
         assert secret_novelty.spans_of(text) == [], text
     for text in ("password x9Kq2LmZr7=TbW4nVc8Yd0PfG", "password x9Kq2LmZr7TbW4nVc8Yd0PfG=wJalrXUtnFEMIK7MDENGbPxRf"):
         assert not {"x9Kq2LmZr7", "TbW4nVc8Yd0PfG"} & set(re.split(r"\W", secret_novelty.masked(text, secret_novelty.spans_of(text)))), text
+
+
+def planted_near_copies():
+    """Texts of 30 to 400 words and copies with a few words changed, dropped or added."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((30, 60, 120, 400)))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(rng.randrange(1, 2 + len(words) // 50)):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice(([], ["new"], [copy[at], "added"]))
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), " ".join(words[: len(words) * 4 // 5] + [f"x{rng.randrange(3000)}" for _ in range(10)])))
+    return rows
+
+
+def test_near_copies_against_all_pairs(spark):
+    from ledgerloom.llm import shingle_similarity
+
+    rows = planted_near_copies()
+    sets = []
+    for _, text in rows:
+        words = text.split(" ")
+        sets.append({" ".join(words[i : i + 5]) for i in range(len(words) - 4)})
+    forest, pairs = vantage_simhash.Forest(len(rows)), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                forest.join(i, j)
+                pairs += 1
+    assert pairs > 100
+    found = shingle_similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert got == {i: forest.root(i) for i in range(len(rows))}
+    # Every pair is a candidate by itself, not only by way of others.
+    banded = [set(shingle_similarity.bands(shingle_similarity.shingles(t))) for _, t in rows]
+    assert all(banded[i] & banded[j] for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rows = [(k, t, "en", "src", len(t)) for k, t in planted_near_copies()[:5]]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert 0 in {r["doc_id"] for r in kept.collect()} and kept.count() < 5
