@@ -80,7 +80,9 @@ def _rules() -> list[Rule]:
         for v, words in _numbered("{name} v|version? {v}", versions, name=name):
             add(f"{label}-{v}", GRANT, name.split()[0] if family != "gpl" else "general", f"under the terms of the gnu? {words}", f"licensed under the gnu? {words}")
             add(f"{label}-{v}", NAME, name.split()[0] if family != "gpl" else "general", f"gnu? {words}", f"gnu? {name} as published by the free software foundation either? version {v.replace('.', ' ')}")
-            add(f"{label}-{v}", MENTION, short, f"{short} v|version? {v.replace('.', ' ')}", f"{short}v{v.split('.')[0]} {' '.join(v.split('.')[1:])}".strip())
+            add(f"{label}-{v}", MENTION, short, f"{short} v|version? {v.replace('.', ' ')}")
+            joined = f"{short}v{v.replace('.', ' ')}"
+            add(f"{label}-{v}", MENTION, joined.split()[0], joined)
             for tail in ("", " only", " or later"):
                 add(f"{label}-{v}", TAG, "spdx", f"spdx license identifier {short} {v.replace('.', ' ')} 0?{tail}")
         add(label, MENTION, name.split()[0] if family != "gpl" else "general", f"gnu {name}")
@@ -151,7 +153,8 @@ def _rules() -> list[Rule]:
         add(f"bsd-{n}-clause", TAG, "spdx", f"spdx license identifier bsd {n} clause")
         add(f"bsd-{n}-clause", NAME, "bsd", f"bsd {n} clause license?", f"{n} clause bsd license?", f"{clause} bsd license")
     add("bsd", GRANT, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted")
-    add("bsd", MENTION, "bsd", "bsd license", "bsd style license", "berkeley software distribution license")
+    add("bsd", MENTION, "bsd", "bsd license", "bsd style license")
+    add("bsd", MENTION, "berkeley", "berkeley software distribution license")
     add("proprietary", GRANT, "reserved", "all rights reserved")
     add("proprietary", GRANT, "proprietary", "proprietary and confidential", "this software is proprietary")
     return list(dict.fromkeys(rules))

@@ -224,6 +224,22 @@ def test_secrets_assigned_without_blanks():
         assert not {"x9Kq2LmZr7", "TbW4nVc8Yd0PfG"} & set(re.split(r"\W", secret_novelty.masked(text, secret_novelty.spans_of(text)))), text
 
 
+def test_every_license_rule_fires_on_its_own_words(spark):
+    from ledgerloom.llm.license_rules import RULES, licenses
+
+    texts = [(k, " ".join(w.rstrip("?").split("|")[0] for w in r.words.split() if not (short and w.endswith("?")))) for short in (False, True) for k, r in enumerate(RULES)]
+    texts += [(len(RULES), "Licensed under GPLv3, see LICENSE"), (len(RULES) + 1, "berkeley software distribution license")]
+    found = {(r["k"], r["text"]): r["labels"].split(",") for r in licenses(spark.createDataFrame(texts, "k long, text string").selectExpr("struct(k, text) as doc_id", "text")).select("doc_id.*", "labels").collect()}
+    for k, text in texts:
+        # All rules, without the prefilter.
+        spaced = "".join(f" {w} " for w in re.findall(ITEM, text.translate(LOWER)))
+        hits = sorted((m.start(), -m.end(), r.priority, r.label) for r in RULES for m in re.finditer(r.pattern, spaced))
+        kept = {h[3] for j, h in enumerate(hits) if not any(-e[1] >= -h[1] and e[2] <= h[2] for e in hits[:j])}
+        assert set(found[k, text]) >= kept and kept, text
+        if k < len(RULES):
+            assert RULES[k].label in {h[3] for h in hits}, text
+
+
 def planted_near_copies():
     """Texts of 30 to 400 words and copies with a few words changed, dropped or added."""
     rng = random.Random(11)
