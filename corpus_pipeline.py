@@ -22,6 +22,10 @@ from ledgerloom.llm.vantage_simhash import row_key
 from ledgerloom.storage import broadcast_if_small, stored
 
 
+#: What makes a word for language_mixture.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Documents as (row, key, doc_id, text, lang), whatever else their columns are called."""
     return docs.select(F.struct("*").alias("row"), row_key().alias("key"), "doc_id", "text", "lang")
@@ -36,6 +40,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter; models learn from what is not held out."""
     rows = keyed(docs).select("key", "doc_id", "text", "lang")
     model = language_mixture.learned(rows.where(~language_mixture.held_out(F.col("doc_id"))))
+    if not model.languages:
+        # Nothing is labelled, so all that can be told is whether there is a word.
+        return docs.where(F.coalesce("text", F.lit("")).rlike(LETTER))
     found = language_mixture.identified(rows, model, ["key"])
     return without(docs, stored(found.where(F.col("lang_pred") == language_mixture.UNDETERMINED).select("key").distinct(), "no-language"))
 

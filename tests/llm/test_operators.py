@@ -286,3 +286,11 @@ def test_pipeline_drops_edited_copies(spark):
     rows = [(k, t, "en", "src", len(t)) for k, t in planted_near_copies()[:5]]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert 0 in {r["doc_id"] for r in kept.collect()} and kept.count() < 5
+
+
+def test_unlabelled_corpus_passes_the_language_stage(spark):
+    import corpus_pipeline
+
+    rows = [(k, t, None, "src", 1) for k, t in enumerate(["a clean text", "ein sauberer Text", "x²", "²", "日本語", "123 456", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.languages(spark, docs, "").collect()) == [0, 1, 2, 3, 4]
