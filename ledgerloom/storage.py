@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
+    for paths in _SCOPES:
+        paths.add(path)
     return table
 
 
@@ -51,8 +55,25 @@ def discard(table: DataFrame) -> None:
     remove(table.sparkSession, table.stored_at)
 
 
-#: Rows of a few numbers that may be sent to every executor: some tens of MB.
-BROADCAST_ROWS = 2_000_000
+#: Paths of tables stored in the scopes that are open, outermost first.
+_SCOPES: list[set[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """What is stored inside is deleted at the end, but for paths taken out of the set given."""
+    paths: set[str] = set()
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()
+        for path in paths:
+            remove(spark, path)
+
+
+#: Rows of a key or a few numbers that may be sent to every executor: some tens of MB.
+BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
