@@ -25,7 +25,6 @@ rows; columns other than ids and texts are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerloom.llm.text import ASCII_LOWER, ITEM_WORD, arrow_batches, ascii_lower
+from ledgerloom.llm.text import ITEM_WORD, arrow_batches, ascii_lower, item_words
 from ledgerloom.storage import discard, stored
 
 WINDOW = 10
@@ -48,24 +47,20 @@ SEGMENT_CHARS = 4_000_000
 
 SEGMENT = T.StructType([
     T.StructField("segment", T.StringType()),
-    T.StructField("doc_ids", T.ArrayType(T.LongType())),
+    T.StructField("doc_ids", T.ArrayType(T.StringType())),
     T.StructField("n_words", T.ArrayType(T.IntegerType())),
     T.StructField("terms", T.StringType()),
     T.StructField("sizes", T.BinaryType()),
     T.StructField("postings", T.BinaryType()),
 ])
-HITS = "segment string, place int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+HITS = "segment string, place int, doc_id string, n_words long, starts array<int>, ends array<int>, items array<string>"
 #: Segments are megabytes each, so few of them travel together.
 SEGMENTS_PER_BATCH = 8
 
 
-def words_of(text: str | None) -> list[str]:
-    return re.findall(ITEM_WORD, text.translate(ASCII_LOWER)) if text else []
-
-
-def _segment(ids: list, texts: list[list[str]]) -> dict:
+def _segment(ids: list, texts: list[list[bytes]]) -> dict:
     """One segment of the index over the words of some documents."""
-    code: dict[str, int] = {}
+    code: dict[bytes, int] = {}
     codes = np.fromiter((code.setdefault(w, len(code)) for words in texts for w in words), np.int32)
     lengths = np.array([len(words) for words in texts], np.int32)
     # Each document is followed by one empty position, so no phrase runs on into the next.
@@ -74,19 +69,19 @@ def _segment(ids: list, texts: list[list[str]]) -> dict:
     sizes = np.bincount(codes, minlength=len(code)).astype(np.int32)
     # Steps from one position to the next are small, and so compress well.
     steps = np.diff(positions[order], prepend=np.int32(0))
-    name = hashlib.md5(b"".join((steps.tobytes(), "\n".join(code).encode(), repr(ids).encode()))).hexdigest()
-    return {"segment": name, "doc_ids": ids, "n_words": lengths, "terms": "\n".join(code), "sizes": sizes.tobytes(), "postings": steps.tobytes()}
+    name = hashlib.md5(b"".join((steps.tobytes(), b"\n".join(code), repr(ids).encode()))).hexdigest()
+    return {"segment": name, "doc_ids": ids, "n_words": lengths, "terms": b"\n".join(code).decode(), "sizes": sizes.tobytes(), "postings": steps.tobytes()}
 
 
 def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(SEGMENT)
     ids: list = []
-    texts: list[list[str]] = []
+    texts: list[list[bytes]] = []
     held = 0
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             ids.append(doc_id)
-            texts.append(words_of(text))
+            texts.append(item_words(text))
             held += len(text or "")
             if held >= SEGMENT_CHARS:
                 yield pa.RecordBatch.from_pylist([_segment(ids, texts)], schema)
@@ -96,8 +91,11 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Index the words of ``documents`` and store the segments in the shared folder."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """Index the words of ``documents`` and store the segments in the shared folder.
+
+    Ids of any type are kept as strings.
+    """
+    docs = documents.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     with arrow_batches(documents.sparkSession):
         return stored(docs.mapInArrow(_index_batches, SEGMENT), "postings")
 
@@ -209,10 +207,8 @@ def _hits(segment: Segment, found: dict) -> pd.DataFrame:
             else:
                 starts.append(s)
                 ends.append(e)
-        rows.append((segment.name, doc, None if pd.isna(doc_id) else int(doc_id), n, starts, ends, sorted(named)))
-    out = pd.DataFrame(rows, columns=["segment", "place", "doc_id", "n_words", "starts", "ends", "items"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+        rows.append((segment.name, doc, doc_id, n, starts, ends, sorted(named)))
+    return pd.DataFrame(rows, columns=["segment", "place", "doc_id", "n_words", "starts", "ends", "items"])
 
 
 def find_phrases(index: DataFrame, windows: DataFrame) -> DataFrame:
@@ -276,10 +272,10 @@ def find_near(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
                     for at in segment.near(terms, span).tolist():
                         doc = int(np.searchsorted(segment.base, at, "right")) - 1
                         rows.append((segment.doc_ids[doc], item, at - int(segment.base[doc])))
-                yield pd.DataFrame(rows, columns=["doc_id", "item", "word"]).astype({"doc_id": "Int64", "word": "int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "item", "word"]).astype({"word": "int64"})
 
     with arrow_batches(index.sparkSession, SEGMENTS_PER_BATCH):
-        return stored(index.mapInPandas(probe, "doc_id long, item string, word long"), "near")
+        return stored(index.mapInPandas(probe, "doc_id string, item string, word long"), "near")
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
@@ -287,7 +283,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     index = build_index(documents, id_col)
     found = find_phrases(index, windows_of(benchmark, window=window))
     discard(index)
-    return found
+    return found.withColumn("doc_id", F.col("doc_id").cast(documents.schema[id_col].dataType))
 
 
 def op1_benchmark_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

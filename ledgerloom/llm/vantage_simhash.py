@@ -1,38 +1,45 @@
-"""SimHash near-duplicates, found exactly with vantage-point trees.
-
-Fingerprints that differ in at most three of 64 bits are linked.  Two such
-fingerprints differ in at most one bit of one of their 32-bit halves, so each
-half is searched with radius 1, which keeps the overlap of shards small; pairs
-found are checked on all 64 bits.
-
-For each half, a vantage-point tree over a bounded sample cuts the space into
-shards: an inner node holds a vantage point and the median distance from it,
-and points at up to that distance go one way, the others the other way.  By
-the triangle inequality a query must look on both sides only where its own
-distance is within the radius of the cut.  So every fingerprint goes to its
-home shard, and also, as a query, to those shards beyond its boundary.  Each
-shard then builds its own tree and answers its queries by the same rule.
+"""SimHash near-duplicates, found with vantage-point trees.
+
+A fingerprint is one or more words of 64 bits, and parts of it are searched
+with radius 1.  For each part, a vantage-point tree over a bounded sample cuts
+the space into shards: an inner node holds a vantage point and the median
+distance from it, and points at up to that distance go one way, the others the
+other way.  By the triangle inequality a query must look on both sides only
+where its own distance is within the radius of the cut.  So every point goes to
+its home shard, and also, as a query, to those shards beyond its boundary.
+Each shard then builds its own tree and answers its queries by the same rule.
+Points that come that close in a part are compared on the whole fingerprint.
+
+``near_duplicates`` (op5) links fingerprints of 64 bits that differ in at most
+three.  Two such differ in at most one bit of one of their 32-bit halves, so
+the halves as parts lose nothing.
+
+``near_copies`` links texts whose sets of five-word shingles have a Jaccard
+similarity of at least 0.8.  Such texts differ in about a seventh of all bits,
+too many for a tree of one word, so fingerprints have twelve words, two parts
+of each are searched, and the pairs found are checked on the sets themselves:
+nothing is linked wrongly, and a pair of exactly 0.8 is missed about once in a
+hundred times, more alike ones hardly ever.
 
 Every row takes part and no bucket is capped: the sample only places the cuts.
 A shard reports a spanning forest of the links it finds, so a group of n
 copies costs about n rows, never n squared, and exact copies are one
-fingerprint to begin with.  Components are contracted in rounds of joins whose
+point to begin with.  Components are contracted in rounds of joins whose
 tables are written out between rounds.
 
-Edge cases: a text of fewer than three words has its whole word sequence as
+Edge cases: a text of fewer words than a shingle has its whole word sequence as
 one shingle; null or wordless texts have fingerprint zero and link like any
-other; repeated rows and ids each get a row; a component's id ignores null ids
-unless it has no other; an empty table yields no rows; other columns are
-ignored.
+other (for near_copies they are one point without links); repeated rows and ids
+each get a row; a component's id ignores null ids unless it has no other; an
+empty table yields no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,63 +47,114 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerloom.llm.text import ASCII_LOWER, SPACED_WORD, arrow_batches
-from ledgerloom.storage import stored
+from ledgerloom.llm.text import arrow_batches, spaced_words
+from ledgerloom.storage import broadcast_if_small, stored
 
-SHINGLE = 3
-MAX_BITS = 3
 SEED = 42
-#: Shingles hashed at a time, so that a text of any length needs little memory.
-SHINGLES_PER_BLOCK = 50_000
-#: Fingerprints in a shard, and the largest sample that places the cuts.
-SHARD_POINTS = 50_000
-SAMPLE = 65_536
+#: Shingles whose bits are counted at a time; a byte holds the count.
+SHINGLES_PER_BLOCK = 255
+#: Points in a shard, and the sample that places the cuts (more where there are more shards).
+SHARD_POINTS, SAMPLE, SAMPLE_PER_SHARD = 50_000, 65_536, 8
 #: Points below which a shard's tree compares directly.
 LEAF = 48
 RADIUS = 1
+#: Pairs of sets in an Arrow batch; a set may take a megabyte.
+PAIR_BATCH = 256
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """What a fingerprint is made of, and what links two of them."""
+
+    shingle: int
+    #: 64-bit words of a fingerprint.
+    words: int
+    #: (word, lowest bit, width) of the parts that are searched.
+    parts: tuple[tuple[int, int, int], ...]
+    #: Most bits in which linked fingerprints differ, and most in the word of the part by which they were found.
+    max_bits: int
+    max_word_bits: int
+    #: Whether a shingle counts as often as it occurs.
+    repeats: bool
+
+    def part(self, fps: np.ndarray, k: int) -> np.ndarray:
+        word, low, width = self.parts[k]
+        return ((fps[:, word] >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
+NARROW = Scheme(3, 1, ((0, 0, 32), (0, 32, 32)), 3, 3, True)
+#: At a similarity of 0.8 fingerprints differ in 116 bits of 768 with a deviation of 10, in a word in 10 of 64.
+WIDE = Scheme(5, 12, tuple((w, low, 21) for w in range(12) for low in (0, 32)), 136, 13, False)
+#: Least similarity of near copies, as hundredths so that it is compared exactly.
+ALIKE_PERCENT = 80
 
-PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Hashes of a text's word shingles, in order."""
+    words = spaced_words(text)
+    n = max(1, len(words) - size + 1) if words else 0
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist() if words else []
+    lasts = ends[min(size, len(words)) - 1 :].tolist() if words else []
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, lasts, strict=True)), np.uint64, n)
+
+
+def spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` numbers for each hash: itself, then mixtures that share no bits with it or each other."""
+    x = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x[:, 1:] = (x[:, 1:] ^ (x[:, 1:] >> np.uint64(shift))) * np.uint64(factor)
+    return x
+
+
+def simhash(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Bits set in over half the hashes, as ``words`` numbers; zero without hashes."""
+    ones = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(hashes), SHINGLES_PER_BLOCK):
+        bits = np.unpackbits(spread(hashes[lo : lo + SHINGLES_PER_BLOCK], words).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of a text's word shingles, as an unsigned number."""
-    words = re.findall(SPACED_WORD, text.translate(ASCII_LOWER)) if text else []
-    if not words:
-        return 0
-    n = max(1, len(words) - SHINGLE + 1)
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, n, SHINGLES_PER_BLOCK):
-        hi = min(n, lo + SHINGLES_PER_BLOCK)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + SHINGLE]), SEED) for i in range(lo, hi)), np.uint64, hi - lo)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, fp) of documents (doc_id, text), stored; fp holds the 64 bits as a signed long.
-
-    ``key`` tells rows of one id apart by their text; see row_key.
+    """op5's 64-bit fingerprint, as an unsigned number."""
+    return int(simhash(shingles(text, NARROW.shingle))[0])
+
+
+def row_key() -> Column:
+    """A row's identity by doc_id and text, 128 bits; equal only for rows that repeat both."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), "-").otherwise("+"), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
+def fingerprints(documents: DataFrame, scheme: Scheme = NARROW) -> DataFrame:
+    """(doc_id, key, point, bits) of documents (doc_id, text), stored.
+
+    ``bits`` holds the fingerprint's words.  ``point`` is what copies share:
+    the fingerprint itself, or a 128-bit digest of the set of shingles where
+    that is what counts.  ``key`` tells rows of one id apart by their text.
     """
-    schema = to_arrow_schema(PRINTS)
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("point", T.BinaryType()), T.StructField("bits", T.BinaryType())])
+    schema = to_arrow_schema(kinds)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(fps)], schema=schema)
+            points, bits = [], []
+            for text in batch["text"].to_pylist():
+                hashes = shingles(text, scheme.shingle)
+                if not scheme.repeats:
+                    hashes = np.unique(hashes)
+                bits.append(simhash(hashes, scheme.words).astype("<u8").tobytes())
+                points.append(bits[-1] if scheme.repeats else xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(points, pa.binary()), pa.array(bits, pa.binary())], schema=schema)
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
     with arrow_batches(documents.sparkSession):
-        return stored(docs.mapInArrow(read, PRINTS), "fingerprints")
-
-
-def row_key() -> Column:
-    """A row's identity by doc_id and text; equal only for rows that repeat both."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+        return stored(docs.mapInArrow(read, kinds), "fingerprints")
 
 
 class VantageTree:
-    """Cuts of the 32-bit Hamming space, made from a sample; leaves are shards."""
+    """Cuts of the Hamming space of a part, made from a sample; leaves are shards."""
 
     def __init__(self, points: np.ndarray, leaves: int, seed: int = 0) -> None:
         self.vantage: list[int] = []
@@ -170,23 +228,22 @@ class Forest:
         return True
 
 
-def shard_links(fps: np.ndarray, halves: np.ndarray, home: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links between a shard's own points and all points that visit it.
+def close_pairs(part: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (query, own point) positions of a shard that differ in up to RADIUS bits of the part.
 
     A vantage-point tree over the own points is walked with all queries at
     once: the same triangle bound says which of them go on to which side.
     """
-    own = np.flatnonzero(home)
-    forest, links, rng = Forest(len(fps)), [], np.random.default_rng(0)
-    stack = [(own, np.arange(len(fps)))]
+    rng = np.random.default_rng(0)
+    stack = [(np.flatnonzero(home), np.arange(len(part)))]
     while stack:
         points, queries = stack.pop()
         if not len(points) or not len(queries):
             continue
         if len(points) > LEAF:
-            vantage, cut, inside = best_cut(halves[points], rng)
+            vantage, cut, inside = best_cut(part[points], rng)
             if 0 < inside.sum() < len(points):
-                d = np.bitwise_count(halves[queries] ^ np.uint32(vantage)).astype(np.int16)
+                d = np.bitwise_count(part[queries] ^ np.uint32(vantage)).astype(np.int16)
                 stack.append((points[inside], queries[d <= cut + RADIUS]))
                 stack.append((points[~inside], queries[d > cut - RADIUS]))
                 continue
@@ -194,59 +251,105 @@ def shard_links(fps: np.ndarray, halves: np.ndarray, home: np.ndarray, max_bits:
         for lo in range(0, len(queries), 4096):
             block = queries[lo : lo + 4096]
             for plo in range(0, len(points), 1024):
-                part = points[plo : plo + 1024]
-                q, p = np.nonzero(np.bitwise_count(fps[block][:, None] ^ fps[part][None, :]) <= max_bits)
-                for a, b in zip(block[q].tolist(), part[p].tolist(), strict=True):
-                    if a != b and forest.join(a, b):
-                        links.append((a, b))
-    return links
-
-
-def routed(points: DataFrame, tree: VantageTree, high: bool) -> DataFrame:
-    """(shard, home, fp) rows: each fingerprint at home and wherever it visits."""
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = batch["fp"].to_numpy(np.int64)
-            at, leaf, home = tree.homes_and_visits(half_of(fps.view(np.uint64), high))
-            yield pd.DataFrame({"shard": leaf.astype(np.int32), "home": home.astype(bool), "fp": fps[at]})
-
-    return points.select("fp").mapInPandas(route, "shard int, home boolean, fp long")
-
-
-def half_of(fps: np.ndarray, high: bool) -> np.ndarray:
-    return ((fps >> np.uint64(32)) if high else (fps & np.uint64(0xFFFFFFFF))).astype(np.uint32)
-
-
-def links(points: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints that connect all that are linked: a spanning forest per shard.
-
-    ``points`` has distinct fingerprints in fp.
+                some = points[plo : plo + 1024]
+                q, p = np.nonzero(np.bitwise_count(part[block][:, None] ^ part[some][None, :]) <= RADIUS)
+                q, p = block[q], some[p]
+                yield q[q != p], p[q != p]
+
+
+@dataclass(frozen=True)
+class Shard:
+    """The points of a shard of one part: fingerprints, who is at home, and in which group each is (-1: in none)."""
+
+    fps: np.ndarray
+    home: np.ndarray
+    group: np.ndarray
+    scheme: Scheme
+    k: int
+
+    def found(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked pairs, each perhaps both ways round."""
+        for q, p in close_pairs(self.scheme.part(self.fps, self.k), self.home):
+            ok = np.bitwise_count(self.fps[q] ^ self.fps[p]).sum(axis=1, dtype=np.int64) <= self.scheme.max_bits
+            yield q[ok], p[ok]
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that connect all that is linked."""
+        forest, links = Forest(len(self.fps)), []
+        for q, p in self.found():
+            links += [(a, b) for a, b in zip(q.tolist(), p.tolist(), strict=True) if forest.join(a, b)]
+        return tuple(np.array(links, np.int64).reshape(-1, 2).T)
+
+    def across(self) -> tuple[np.ndarray, np.ndarray]:
+        """All linked pairs of different groups that no earlier part finds."""
+        out = []
+        for q, p in self.found():
+            new = self.group[q] != self.group[p]
+            q, p = q[new], p[new]
+            for k in range(self.k):
+                late = np.bitwise_count(self.scheme.part(self.fps[q], k) ^ self.scheme.part(self.fps[p], k)) > RADIUS
+                q, p = q[late], p[late]
+            out.append((q, p))
+        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+    def partnered(self) -> np.ndarray:
+        """Points with another close to them in the part's word, all there is of their fingerprints here."""
+        has = np.zeros(len(self.fps), bool)
+        for q, p in close_pairs(self.scheme.part(self.fps, self.k), self.home):
+            ok = np.bitwise_count(self.fps[q, self.scheme.parts[self.k][0]] ^ self.fps[p, self.scheme.parts[self.k][0]]) <= self.scheme.max_word_bits
+            has[q[ok]] = has[p[ok]] = True
+        return np.flatnonzero(has)
+
+
+def numbers(column: pa.Array, words: int) -> np.ndarray:
+    """Binary values of ``words`` 64-bit numbers each as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words)
+
+
+def searched(points: DataFrame, scheme: Scheme, task: str, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """What every shard of every part finds among ``points`` (point, bits, group), each point once.
+
+    ``task`` is a method of Shard: pairs of points come back as (a, b), single
+    points as (a, a).
     """
-    total = points.count()
-    shards = max(1, -(-total // shard_points))
+    shards = max(1, -(-points.count() // shard_points))
     # A bounded sample by hash places the cuts; every point is searched whatever they are.
-    sample = points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    found = None
-    for high in (False, True):
-        tree = VantageTree(half_of(sample, high), shards)
-
-        def search(batches: Iterator[pd.DataFrame], high: bool = high) -> Iterator[pd.DataFrame]:
-            held: dict[int, list[pd.DataFrame]] = {}
-            for batch in batches:
-                for shard, rows in batch.groupby("shard"):
-                    held.setdefault(shard, []).append(rows)
-            for rows in held.values():
-                all_ = pd.concat(rows)
-                fps = all_["fp"].to_numpy(np.int64)
-                u = fps.view(np.uint64)
-                pairs = np.array(shard_links(u, half_of(u, high), all_["home"].to_numpy(bool)), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"a": fps[pairs[:, 0]], "b": fps[pairs[:, 1]]})
-
-        dealt = routed(points, tree, high).repartitionById(tree.leaves, F.col("shard"))
-        rows = dealt.mapInPandas(search, "a long, b long")
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    sample = points.select("point", "bits").orderBy(F.xxhash64("point")).limit(max(SAMPLE, SAMPLE_PER_SHARD * shards)).select("bits").toArrow()["bits"]
+    known = numbers(sample.combine_chunks(), scheme.words) if len(sample) else np.zeros((0, scheme.words), np.uint64)
+    trees = [VantageTree(scheme.part(known, k), shards, seed=k) for k in range(len(scheme.parts))]
+    first = np.cumsum([0, *(t.leaves for t in trees)])
+    narrow = task == "partnered"
+    dealt = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("point", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("group", T.LongType())])
+    pair = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    dealt_schema, pair_schema = to_arrow_schema(dealt), to_arrow_schema(pair)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = numbers(batch["bits"], scheme.words)
+            for k, tree in enumerate(trees):
+                at, leaf, home = tree.homes_and_visits(scheme.part(fps, k))
+                rows = pa.array(at)
+                bits = pa.array([x.tobytes() for x in fps[:, scheme.parts[k][0]]], pa.binary()) if narrow else batch["bits"]
+                yield pa.RecordBatch.from_arrays([pa.array((leaf + first[k]).astype(np.int32)), pa.array(home.astype(bool)), batch["point"].take(rows), bits.take(rows), batch["group"].take(rows)], schema=dealt_schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema=dealt_schema).combine_chunks()
+        ids = table["shard"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1) if len(order) else []:
+            ours = table.take(pa.array(rows)).combine_chunks()
+            k = int(np.searchsorted(first, ids[rows[0]], "right")) - 1
+            fps = numbers(ours["bits"].combine_chunks(), 1 if narrow else scheme.words)
+            if narrow:  # one word stands for all
+                fps = np.broadcast_to(fps, (len(fps), scheme.words))
+            found = getattr(Shard(fps, ours["home"].to_numpy(), ours["group"].to_numpy(), scheme, k), task)()
+            a, b = (found, found) if narrow else found
+            point = ours["point"].combine_chunks()
+            for lo in range(0, len(a), 10_000):
+                yield pa.RecordBatch.from_arrays([point.take(pa.array(a[lo : lo + 10_000])), point.take(pa.array(b[lo : lo + 10_000]))], schema=pair_schema)
+
+    routed = points.select("point", "bits", "group").mapInArrow(route, dealt)
+    return routed.repartitionById(int(first[-1]), F.col("shard")).mapInArrow(search, pair)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,9 +360,8 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes meet as pre-aggregated minima; hot nodes only appear in joins that
     Spark can split.
     """
-    spark = edges.sparkSession
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    found = None
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     k = 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -268,42 +370,111 @@ def components(edges: DataFrame) -> DataFrame:
         step = stored(step.join(ahead, "to").select("node", F.col("further").alias("to")), f"cc-jump-{k}")
         one, two = step.select(F.col("node").alias("a"), F.col("to").alias("ra")), step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         edges = stored(edges.join(one, "a").join(two, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"cc-edges-{k}")
-        if found is None:
+        if k == 0:
             found = step.select("node", F.col("to").alias("root"))
         else:
             onward = step.select(F.col("node").alias("root"), "to")
             found = found.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         found = stored(found, f"cc-roots-{k}")
         k += 1
-    return found if found is not None else spark.createDataFrame([], "node long, root long")
+    return found
+
+
+def points_of(prints: DataFrame) -> DataFrame:
+    """(point, bits, first): one row per point, however many copies it has, with its first row; those without an id come last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    return stored(prints.groupBy("point").agg(F.min("bits").alias("bits"), first), "points")
 
 
 def grouped(prints: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, key, fp, component_id, keeper) of ``prints`` (doc_id, key, fp).
+    """(doc_id, key, bits, component_id, keeper) of ``prints``, whose ``points`` are linked by ``edges`` (a, b).
 
-    ``points`` (fp, first) has the first row of each fp, rows without an id
-    coming last, and ``edges`` (a, b) link values of fp.
+    ``component_id`` is the smallest doc_id of the component and ``keeper`` the
+    key of a row that has it.
     """
     roots = components(edges)
-    rooted = stored(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root_fp")), "rooted")
-    firsts = stored(rooted.groupBy("root_fp").agg(F.min("first").alias("first")), "firsts")
-    named = rooted.select("fp", "root_fp").join(firsts, "root_fp").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("keeper"))
-    return prints.join(stored(named, "named"), "fp").select("doc_id", "key", "fp", "component_id", "keeper")
+    rooted = stored(points.join(roots.withColumnRenamed("node", "point"), "point", "left").select("point", "first", F.coalesce("root", "point").alias("root")), "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.select("point", "root").join(firsts, "root").select("point", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("keeper"))
+    return prints.join(stored(named, "named"), "point").select("doc_id", "key", "bits", "component_id", "keeper")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, fp, component_id, keeper) of documents (doc_id, text).
+    """Groups of documents (doc_id, text) whose 64-bit fingerprints link, as ``grouped`` gives them."""
+    prints = fingerprints(documents)
+    points = points_of(prints)
+    return grouped(prints, points, searched(points.withColumn("group", F.lit(-1).cast("long")), NARROW, "forest"))
 
-    ``component_id`` is the smallest doc_id of the component and ``keeper`` the
-    key of a row that has it.
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int = ALIKE_PERCENT) -> bool:
+    """Whether two sets have at least that similarity."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def checked(documents: DataFrame, pairs: DataFrame, points: DataFrame, percent: int = ALIKE_PERCENT) -> DataFrame:
+    """Those of ``pairs`` (a, b) of points whose sets of shingles are alike; stored.
+
+    Only one text of each point of a pair is read again, and each pair carries
+    one set to where the other is.
     """
-    prints = fingerprints(documents)
-    # One row per fingerprint, however many copies it has; rows without an id come last.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
-    points = stored(prints.groupBy("fp").agg(first), "points")
-    return grouped(prints, points, links(points))
+    sides = pairs.select(F.col("b").alias("point"), F.col("a").alias("hub")).unionByName(pairs.select(F.col("a").alias("point"), F.lit(None).cast("binary").alias("hub")))
+    asked = sides.groupBy("point").agg(F.collect_list("hub").alias("hubs"), F.max(F.col("hub").isNull()).alias("is_hub"))
+    asked = stored(points.select("point", F.col("first.key").alias("key")).join(asked, "point"), "asked")
+    rows = documents.select(row_key().alias("key"), "text").join(broadcast_if_small(asked.select("key")), "key", "left_semi")
+    sets_kind = T.StructType([T.StructField("key", T.StringType()), T.StructField("shingles", T.BinaryType())])
+    edge_kind = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    sets_schema, edge_schema = to_arrow_schema(sets_kind), to_arrow_schema(edge_kind)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t, WIDE.shingle)).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(sets, pa.binary())], schema=sets_schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [alike(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent) for x, y in zip(batch["ours"], batch["theirs"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], schema=edge_schema).filter(pa.array(near, pa.bool_()))
+
+    with arrow_batches(documents.sparkSession):
+        # Rows that repeat id and text have equal sets; one is enough.
+        sets = stored(rows.mapInArrow(read, sets_kind), "sets").dropDuplicates(["key"]).join(asked, "key")
+    hubs = sets.where("is_hub").select(F.col("point").alias("a"), F.col("shingles").alias("theirs"))
+    members = sets.select(F.explode("hubs").alias("a"), F.col("point").alias("b"), F.col("shingles").alias("ours"))
+    with arrow_batches(documents.sparkSession, PAIR_BATCH):
+        return stored(members.join(hubs, "a").select("a", "b", "ours", "theirs").mapInArrow(compare, edge_kind), "alike")
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """Groups of documents (doc_id, text) whose sets of five-word shingles are alike, as ``grouped`` gives them.
+
+    First one word of each fingerprint tells which points may have a partner
+    at all; only those are searched with all words.  The forest of what is
+    found is checked.  Where checking leaves several groups, all further pairs
+    found between them are checked too, so no link depends on which pairs the
+    forest happened to take.
+    """
+    prints = fingerprints(documents, WIDE)
+    points = points_of(prints)
+    # A text without words is like no other.
+    worded = points.where(F.col("bits") != F.lit(bytes(8 * WIDE.words))).withColumn("group", F.lit(-1).cast("long"))
+    partnered = stored(searched(worded, WIDE, "partnered").select(F.col("a").alias("point")).distinct(), "partnered")
+    some = stored(worded.join(broadcast_if_small(partnered), "point", "left_semi"), "some-points")
+    either = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    forest = stored(either(searched(some, WIDE, "forest")), "forest")
+    edges = checked(documents, forest, points)
+
+    linked = forest.select(F.col("a").alias("point")).union(forest.select("b")).distinct()
+    group = F.xxhash64(F.coalesce("root", "point"))
+    rest = some.drop("group").join(linked, "point", "left_semi").join(components(edges).withColumnRenamed("node", "point"), "point", "left")
+    rest = stored(rest.select("point", "bits", group.alias("group")), "linked-points")
+    across = stored(either(searched(rest, WIDE, "across")).join(forest, ["a", "b"], "left_anti"), "across")
+    return grouped(prints, points, edges.unionByName(checked(documents, across, points)))
 
 
 def op5_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Bytes are stored lowest first.
+    return found.select("doc_id", F.lower(F.regexp_replace(F.hex("bits"), "(..)" * 8, "$8$7$6$5$4$3$2$1")).alias("fingerprint"), "component_id")
