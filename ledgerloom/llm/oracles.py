@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.llm.license_rules import BASE, GRANT, RULES, SCORES, spaced
-from ledgerloom.llm.quality_divergence import CLASS_JUDGED_WORDS, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_JUDGED_WORDS
+from ledgerloom.llm.quality_divergence import CLASS_JUDGED_WORDS, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, REFERENCE_WORDS, WORD_JUDGED_WORDS
 
 #: CRC-32 of a text's UTF-8 bytes: the byte table, then a fold over each text.
 CRC32 = r"""
@@ -65,7 +65,6 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM p LEFT JOIN kept USING (payload_digest)
 """
 
-_LISTS = ", ".join(f"('{lang}', {words!r})" for lang, words in COMMON_WORDS.items())
 OP7 = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
 f AS (
@@ -81,20 +80,22 @@ c AS (
     length(regexp_replace(t, '[^\p{{Ll}}]+', '', 'g')) AS c0, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS c1,
     length(regexp_replace(t, '[^\p{{Nd}}]+', '', 'g')) AS c2, length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')) AS c3,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS c4 FROM f LEFT JOIN covered USING (k)),
-lists AS (SELECT * FROM (VALUES {_LISTS}) v(ref, words)),
+counted AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM f WHERE lang IS NOT NULL) WHERE regexp_matches(word, '\p{{L}}') GROUP BY 1, 2),
+lists AS (
+  SELECT lang, list(word ORDER BY nth) AS words, list(n ORDER BY nth) AS counts FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS nth FROM counted) WHERE nth <= {COMMON_WORDS} GROUP BY lang),
+classes AS (SELECT *, [c0, c1, c2, c3, c4, length(t) - c0 - c1 - c2 - c3 - c4] AS ns FROM c),
+totals AS (SELECT lang, [sum(ns[1]), sum(ns[2]), sum(ns[3]), sum(ns[4]), sum(ns[5]), sum(ns[6])] AS ns, sum(n_words) AS n FROM classes GROUP BY lang HAVING sum(n_words) >= {REFERENCE_WORDS}),
+refs AS (SELECT lang, words, ns AS ref_classes, list_append(counts, (n - list_sum(counts))::BIGINT) AS ref_words FROM totals JOIN lists USING (lang)),
+listed AS (SELECT k, ns, ref_classes, ref_words, n_words, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) AS own FROM classes JOIN refs USING (lang)),
 bins AS (
-  SELECT k, lang, ref, 'class' AS kind, unnest(range(6)) AS bin, unnest([c0, c1, c2, c3, c4, length(t) - c0 - c1 - c2 - c3 - c4]) AS n FROM c, lists
-  UNION ALL
-  SELECT k, lang, ref, 'word', unnest(range(len(words))), unnest(list_transform(words, lambda x: len(list_filter(w, lambda y: y = x)))) FROM c, lists),
-full_bins AS (
-  SELECT * FROM bins UNION ALL
-  SELECT k, any_value(bins.lang), ref, 'word', 1000, any_value(c.n_words) - sum(n) FROM bins JOIN c USING (k) WHERE kind = 'word' GROUP BY k, ref),
-refs AS (SELECT ref, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY ref, kind) AS q FROM full_bins WHERE lang = ref GROUP BY ref, kind, bin),
-p AS (SELECT k, ref, kind, bin, n / nullif(sum(n) OVER (PARTITION BY k, ref, kind), 0) AS p FROM full_bins),
+  SELECT k, 'class' AS kind, unnest(ns) AS n, unnest(ref_classes) AS r FROM listed
+  UNION ALL SELECT k, 'word', unnest(list_append(own, (n_words - list_sum(own))::BIGINT)), unnest(ref_words) FROM listed),
+shares AS (SELECT k, kind, n / nullif(sum(n) OVER (PARTITION BY k, kind), 0) AS p, r / sum(r) OVER (PARTITION BY k, kind) AS q FROM bins),
 distances AS (
-  SELECT k, ref, kind, sqrt(greatest(0, sum(
+  SELECT k, kind, sqrt(greatest(0, sum(
     CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
-  FROM p JOIN refs USING (ref, kind, bin) GROUP BY k, ref, kind),
+  FROM shares GROUP BY k, kind),
 closest AS (SELECT k, min(d) FILTER (kind = 'class') AS class_distance, min(d) FILTER (kind = 'word') AS word_distance FROM distances GROUP BY k),
 verdict AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c LEFT JOIN closest USING (k))
 SELECT doc_id, n_words, length(t) - c3 AS word_chars, c4 AS n_symbols, n_dup_lines, n_repeat_words, base_failed,

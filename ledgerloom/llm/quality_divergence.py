@@ -1,16 +1,17 @@
 """Quality rules by distribution divergence (DataFrame functions only).
 
 Each document is described by two histograms: its characters by class, and
-its words by which of a language's most common words they are, if any.  The
-same histograms summed over all documents of a language are that language's
-reference.  A document whose Jensen-Shannon distance to every reference is
-large does not read like prose of any of them.  Histograms of short documents
-are noisy, so below a minimum length the distances decide nothing.
-
-Edge cases: a null text has no words and fails the base rules; a language
-that is null or has no word list below only means that the document shapes no
-reference; repeated rows are judged alike; where no document is in a reference
-language, nothing is judged by distance; an empty table yields no rows.
+its words by which of its language's most common words they are, if any.  The
+lists of common words are counted over all documents of every language there
+is, and so are the references: the same histograms over all documents of a
+language.  A document whose Jensen-Shannon distance to the reference of its
+language is large does not read like prose of it.  Histograms of short
+documents are noisy, so below a minimum length the distances decide nothing,
+nor do references of languages with few words in all.
+
+Edge cases: a null text has no words and fails the base rules; a document
+without a language, or in one with too few words, is judged by the base rules
+alone; repeated rows are judged alike; an empty table yields no rows.
 Columns other than id, text and language are ignored.
 """
 
@@ -18,18 +19,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ledgerloom.llm.text import SPACED_WORD
-from ledgerloom.storage import stored
-
-#: Common function words of the reference languages.
-COMMON_WORDS = {
-    "en": "the of and to in a is that it for on was with as be this".split(),
-    "fr": "le la de et les des un une en que qui dans est pour du au".split(),
-    "de": "der die das und von zu ist den mit des auf für im dem nicht ein".split(),
-    "es": "el la de que y en los se del las un por con no una su".split(),
-}
-LONGEST_COMMON = max(len(w) for words in COMMON_WORDS.values() for w in words)
+from ledgerloom.storage import broadcast_if_small, stored
+
+#: Words in a language's list, and fewest words of a language that make a reference.
+COMMON_WORDS = 24
+REFERENCE_WORDS = 2000
 CLASSES = ("lower", "upper", "digits", "spaces", "symbols", "other")
 WINDOW = 8
 MIN_WORDS = 20
@@ -37,7 +34,7 @@ MAX_REPEATED_PERCENT = 30
 #: Fewest words for which the distances count.
 CLASS_JUDGED_WORDS = 50
 WORD_JUDGED_WORDS = 100
-#: Largest distances (0 to 1) from the closest language that still pass.
+#: Largest distances (0 to 1) from the language that still pass.
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.30
 
@@ -67,80 +64,84 @@ def with_repeats(docs: DataFrame, words: str, window: int = WINDOW) -> DataFrame
     return df.withColumn("n_repeat_words", total.cast("long")).drop("_hashes", "_ordered", "_at")
 
 
-def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The base counts and the histograms of each document; the only read of the texts."""
+def rows_with_words(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     df = documents.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    df = df.withColumn("_words", F.regexp_extract_all("_text", F.lit(SPACED_WORD), 0))
-    df = df.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(SPACED_WORD)))
+    return df.withColumn("_words", F.regexp_extract_all("_text", F.lit(SPACED_WORD), 0))
+
+
+def common_words(rows: DataFrame, k: int = COMMON_WORDS) -> DataFrame:
+    """(lang, common, counts): the k most frequent words of every language over all rows, stored.
+
+    The count combines before the shuffle, and of each task's words only the k
+    most frequent of a language go to where they are ranked.
+    """
+    n = rows.where("lang is not null").select("lang", F.explode("_words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # A language is told by its words, not by the marks of tables.
+    n = n.where(F.col("word").rlike(r"\p{L}"))
+    best = n.withColumn("_nth", F.row_number().over(W.Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("_nth") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("_nth", "word", "n")))
+    return stored(best.groupBy("lang").agg(listed.alias("l")).select("lang", F.col("l.word").alias("common"), F.col("l.n").alias("counts")), "common-words")
+
+
+def features(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """The base counts and the histograms of each document of rows_with_words."""
+    df = rows.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(SPACED_WORD)))
     # Most characters are lower-case letters, so the other classes are counted in what is left without them.
     df = with_repeats(df, "_words").withColumn("_rest", F.regexp_replace("_text", r"\p{Ll}+", ""))
+    df = df.join(broadcast_if_small(common.select("lang", "common")), "lang", "left")
+    longest = F.array_max(F.transform("common", F.length))
     df = df.select(
-        "doc_id", "lang", F.size("_words").cast("long").alias("n_words"), F.length("_text").cast("long").alias("_length"), F.length("_rest").cast("long").alias("_unlike"),
+        "doc_id", "lang", "common", F.size("_words").cast("long").alias("n_words"), F.length("_text").cast("long").alias("_length"), F.length("_rest").cast("long").alias("_unlike"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         _matched("_rest", r"[#*$%&|<>]+").alias("n_symbols"), _matched("_rest", r"[\x20\x09-\x0D]+").alias("_spaces"),
         _matched("_rest", r"\p{Lu}+").alias("_upper"), _matched("_rest", r"\p{Nd}+").alias("_digits"),
-        F.filter("_words", lambda w: F.length(w) <= LONGEST_COMMON).alias("_short"),
+        F.filter("_words", lambda w: F.length(w) <= longest).alias("_short"),
     )
     df = df.withColumn("word_chars", F.col("_length") - F.col("_spaces"))
     other = F.col("_unlike") - F.col("_upper") - F.col("_digits") - F.col("_spaces") - F.col("n_symbols")
-    counts = [F.array(F.col("_length") - F.col("_unlike"), "_upper", "_digits", "_spaces", "n_symbols", other).alias("classes")]
-    for lang, words in COMMON_WORDS.items():
-        # One small lambda: an expression per word would outgrow what the JVM compiles.
-        counts.append(F.transform(F.array(*map(F.lit, words)), lambda w: (F.size("_short") - F.size(F.array_remove("_short", w))).cast("long")).alias(lang))
-    return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *counts)
+    classes = F.array(F.col("_length") - F.col("_unlike"), "_upper", "_digits", "_spaces", "n_symbols", other).alias("classes")
+    listed = F.transform("common", lambda w: (F.size("_short") - F.size(F.array_remove("_short", w))).cast("long")).alias("listed")
+    return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes, listed)
 
 
-def _with_rest(listed: str | Column, n_words: Column) -> Column:
+def _with_rest(listed: Column, n_words: Column) -> Column:
     """A common-word histogram with the words outside the list as its last bin."""
     return F.concat(listed, F.array(n_words - F.aggregate(listed, F.lit(0).cast("long"), lambda a, b: a + b)))
 
 
-def references(found: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Class and word counts over all documents of each reference language.
+def references(found: DataFrame, common: DataFrame, least: int = REFERENCE_WORDS) -> DataFrame:
+    """(lang, ref_classes, ref_words) over all documents of each language that has enough words, stored."""
+    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
+    n = found.where("lang is not null").groupBy("lang").agg(*sums, F.sum("n_words").alias("n")).where(F.col("n") >= least)
+    ref = n.join(common, "lang").select("lang", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("ref_classes"), _with_rest(F.col("counts"), F.col("n")).alias("ref_words"))
+    return stored(ref, "quality-references")
 
-    One row with a fixed number of sums, whatever the corpus holds.
-    """
-    sums = []
-    for lang, words in COMMON_WORDS.items():
-        ours = F.col("lang") == lang
-        sums += [F.sum(F.when(ours, F.col("classes")[i])).alias(f"{lang}_c{i}") for i in range(len(CLASSES))]
-        sums += [F.sum(F.when(ours, F.col(lang)[i])).alias(f"{lang}_w{i}") for i in range(len(words))]
-        sums.append(F.sum(F.when(ours, F.col("n_words"))).alias(f"{lang}_n"))
-    row = found.groupBy().agg(*sums).first()
-    out = {}
-    for lang, words in COMMON_WORDS.items():
-        if row[f"{lang}_n"]:
-            listed = [row[f"{lang}_w{i}"] for i in range(len(words))]
-            out[lang] = [row[f"{lang}_c{i}"] for i in range(len(CLASSES))], [*listed, row[f"{lang}_n"] - sum(listed)]
-    return out
-
-
-def js_distance(counts: Column, reference: list[int]) -> Column:
+
+def js_distance(counts: Column, reference: Column) -> Column:
     """Square root of the Jensen-Shannon divergence in bits: 0 for equal, 1 for disjoint histograms."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
-    q = F.array(*(F.lit(x / sum(reference)) for x in reference))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+    share = lambda c: F.transform(c, lambda x: x / total(c))
     part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
-    terms = F.zip_with(F.transform(counts, lambda c: c / total), q, lambda x, y: part(x, y) + part(y, x))
+    terms = F.zip_with(share(counts), share(reference), lambda x, y: part(x, y) + part(y, x))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
-def judged(found: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) -> DataFrame:
-    """Add base_failed, the distances from the closest language, and the verdict."""
+def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """Add base_failed, the distances from the document's language, and the verdict."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    df = found.withColumn("base_failed", failed)
-    nothing = F.lit(None).cast("double")
-    closest = lambda all_: F.least(*all_, nothing, nothing)
-    df = df.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_JUDGED_WORDS, closest([js_distance(F.col("classes"), c) for c, _ in refs.values()])))
-    words = [js_distance(_with_rest(lang, F.col("n_words")), w) for lang, (_, w) in refs.items()]
-    df = df.withColumn("word_distance", F.when(F.col("n_words") >= WORD_JUDGED_WORDS, closest(words)))
+    df = found.withColumn("base_failed", failed).join(broadcast_if_small(refs), "lang", "left")
+    df = df.withColumn("class_distance", F.when(F.col("n_words") >= CLASS_JUDGED_WORDS, js_distance(F.col("classes"), F.col("ref_classes"))))
+    df = df.withColumn("word_distance", F.when(F.col("n_words") >= WORD_JUDGED_WORDS, js_distance(_with_rest(F.col("listed"), F.col("n_words")), F.col("ref_words"))))
     diverges = F.coalesce((F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE), F.lit(False))
-    return df.withColumn("kept", ~(failed | diverges))
+    return df.withColumn("kept", ~(failed | diverges)).drop("ref_classes", "ref_words")
 
 
 def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts, distances and verdict of every document."""
-    found = stored(features(documents, id_col, text_col, lang_col), "quality-features")
-    return judged(found, references(found)).drop("lang", "classes", *COMMON_WORDS)
+    rows = rows_with_words(documents, id_col, text_col, lang_col)
+    common = common_words(rows)
+    found = stored(features(rows, common), "quality-features")
+    return judged(found, references(found, common)).drop("lang", "classes", "listed")
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
