@@ -68,16 +68,12 @@ def genitive(c: Column) -> Column:
     return F.regexp_replace(c, "ий$", "ого")
 
 
-def district_nominative(c: Column) -> Column:
-    """A district's adjective in the nominative, from any case in Russian or Ukrainian."""
-    bare = F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^[.,;·]+|[.,;·]+$", ""))
-    # Case endings.
-    ended = F.regexp_replace(bare, r"(?iu)ського$|ского$|ському$|ським$|ская$|ский$|ском$", "ський")
-    ended = F.regexp_replace(ended, r"(?iu)цького$", "цький")
-    return F.when(ended == F.upper(ended), F.initcap(ended)).otherwise(F.concat(F.upper(F.left(ended, F.lit(1))), F.substring(ended, 2, 1 << 30)))
-
-
-def province_nominative(c: Column) -> Column:
-    bare = F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^[.,;·]+|[.,;·]+$", ""))
-    ended = F.regexp_replace(bare, r"(?iu)ської$|ской$|ская$|ськой$", "ська")
-    return F.concat(F.upper(F.left(ended, F.lit(1))), F.substring(ended, 2, 1 << 30))
+def adjective(c: Column, ending: str) -> Column:
+    """An adjective in -sk-, in whatever case and in Russian or Ukrainian, as its stem with one ending.
+
+    All forms share what comes up to the suffix; a word without the suffix
+    stays as it is.  Capitals throughout become an initial one.
+    """
+    stem = F.regexp_replace(F.regexp_extract(c, r"(?iu)^(.*(?:[сц]ьк|ск))\p{L}{0,3}$", 1), "(?iu)ск$", "ськ")
+    word = F.when(stem == "", c).otherwise(F.concat(F.when(stem == F.upper(stem), F.lower(stem)).otherwise(stem), F.lit(ending)))
+    return F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, 2, 1 << 30))

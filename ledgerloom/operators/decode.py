@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ledgerloom.functions.similarity import partial_ratio_to, ratio_to
+from ledgerloom.functions.similarity import could_reach, partial_ratios_to, ratios_to
 
 # What separates words, and how much a line must say to count.
 TOKEN = "[^\\s.,;:()\\[\\]{}/\\\\|«»\"'’—–-]+"
@@ -55,44 +58,48 @@ def candidates(lines: DataFrame, normal=F.lower) -> DataFrame:
     return exploded.select("run", "page", "line_no", "ord", F.col("_c.surface").alias("surface"), normal(F.col("_c.raw")).alias("norm"))
 
 
-def score_to(stem: str, norm: Column, least: float = 0) -> Column:
-    """Similarity of a candidate to a stem; windows count only where the candidate is no shorter.
+def best_scores(stems: list[str], norms: list[str]) -> np.ndarray:
+    """The best similarity of each candidate to any stem.
 
-    With a threshold, windows that cannot reach it are not compared.
+    A candidate too short for a stem scores nothing by it; one no shorter than
+    the stem may match it with any stretch of its length.
     """
-    guard = F.length(norm) >= max(4, int(0.6 * len(stem)))
-    whole = ratio_to(stem, norm)
-    windows = (F.length(norm) >= len(stem)) & (could_reach(stem, norm, least, len(stem)) if least else F.lit(True))
-    return F.when(guard, F.when(windows, F.greatest(whole, partial_ratio_to(stem, norm))).otherwise(whole))
+    best = np.zeros(len(norms))
+    for stem in stems:
+        fit = [k for k, n in enumerate(norms) if len(n) >= max(4, int(0.6 * len(stem)))]
+        best[fit] = np.maximum(best[fit], ratios_to(stem, [norms[k] for k in fit]))
+        longer = [k for k in fit if len(norms[k]) >= len(stem)]
+        best[longer] = np.maximum(best[longer], partial_ratios_to(stem, [norms[k] for k in longer]))
+    return best
 
 
-def could_reach(stem: str, norm: Column, least: float, longest: float | None = None) -> Column:
-    """Whether a candidate, or a window of it of up to ``longest`` letters, may reach a similarity to a stem at all.
+def score_to(stems: list[str], norm: Column) -> Column:
+    """best_scores of a column, a batch at a time; repeated candidates are scored once."""
 
-    A similarity fixes how many letters may be inserted or deleted, d at most.
-    Of d + 1 pieces of the stem one then comes through unchanged, so a
-    candidate without any of them need not be compared.
-    """
-    m = len(stem)
-    longest = m * (200 - least) / least if longest is None else longest
-    d = int((1 - least / 100) * (m + longest))
-    cuts = [m * k // (d + 1) for k in range(d + 2)]
-    pieces = [stem[a:b] for a, b in zip(cuts, cuts[1:])]
-    if not all(pieces):
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, [norm.contains(p) for p in pieces])
+    @F.pandas_udf(T.DoubleType())
+    def scored(norms: pd.Series) -> pd.Series:
+        place, distinct = pd.factorize(norms.fillna(""))
+        return pd.Series(best_scores(stems, list(distinct))[place])
 
+    return scored(norm)
 
-def search(found: DataFrame, stems: list[str], least: float = 80) -> DataFrame:
-    """The best candidate of each line that reaches the threshold."""
+
+def scored_hits(found: DataFrame, stems: list[str], least: float, norm: str = "norm") -> DataFrame:
+    """Rows whose ``norm`` reaches ``least`` for some stem, with its similarity in ``_s``.
+
+    Rows that share no piece with a stem, and so cannot reach it, are dropped
+    before anything is compared.
+    """
     usable = [s for s in stems if len(s) >= 3]
     if not usable:
         raise ValueError("the query is too short")
-    found = found.where(reduce(lambda a, b: a | b, [could_reach(s, F.col("norm"), least) for s in usable]))
-    scores = [F.coalesce(score_to(s, F.col("norm"), least), F.lit(0.0)) for s in usable]
-    best = reduce(F.greatest, scores) if len(scores) > 1 else scores[0]
-    scored = found.withColumn("_s", best).where(F.col("_s") >= least)
-    top = scored.groupBy("run", "page", "line_no").agg(F.max(F.struct("_s", (-F.col("ord")).alias("o"), "surface", "norm")).alias("b"))
+    near = found.where(reduce(lambda a, b: a | b, [could_reach(s, least, F.col(norm)) for s in usable]))
+    return near.withColumn("_s", score_to(usable, F.col(norm))).where(F.col("_s") >= least)
+
+
+def search(found: DataFrame, stems: list[str], least: float = 80) -> DataFrame:
+    """The best candidate of each line that reaches the threshold."""
+    top = scored_hits(found, stems, least).groupBy("run", "page", "line_no").agg(F.max(F.struct("_s", (-F.col("ord")).alias("o"), "surface", "norm")).alias("b"))
     return top.select("run", "page", "line_no", (F.col("line_no") - 1).alias("line_index"), F.bround("b._s", 0).cast("int").alias("score"), F.col("b.surface").alias("surface"), F.col("b.norm").alias("norm"))
 
 
@@ -135,12 +142,16 @@ def second_voice(hits: DataFrame, lines: DataFrame, runs: DataFrame) -> DataFram
     return hits.join(best, "run", "left").join(said, ["other", "page", "line_no"], "left")
 
 
-def phantom_pages(pages: DataFrame, group: str = "run") -> DataFrame:
+#: A page's lines, its share of the median characters to a line, and its contrast, by which it is suspect.
+PHANTOM_LINES, PHANTOM_SHARE, FAINT = 25, 0.30, 40
+
+
+def phantom_pages(pages: DataFrame, group: str = "run", least_lines: int = PHANTOM_LINES, share: float = PHANTOM_SHARE) -> DataFrame:
     """Pages with many lines but far fewer characters to a line than their run's median, if also faint or enhanced."""
     full = pages.where("lines > 0").withColumn("cpl", F.col("chars") / F.col("lines"))
     medians = full.groupBy(group).agg(F.median("cpl").alias("median_cpl"), F.count(F.lit(1)).alias("n_pages"))
-    faint = F.coalesce(F.col("contrast") < 40, F.lit(False))
-    odd = (F.col("lines") >= 25) & (F.col("cpl") < 0.30 * F.col("median_cpl")) & (faint | F.coalesce("enhanced", F.lit(False)))
+    faint = F.coalesce(F.col("contrast") < FAINT, F.lit(False))
+    odd = (F.col("lines") >= least_lines) & (F.col("cpl") < share * F.col("median_cpl")) & (faint | F.coalesce("enhanced", F.lit(False)))
     return full.join(medians, group).where(odd).withColumn("reason", F.when(faint, "faint").otherwise("enhanced"))
 
 

@@ -2,75 +2,140 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.functions.normal import matching_form
-from ledgerloom.functions.similarity import ratio, ratio_to
+from ledgerloom.functions.similarity import could_reach, ratio_to, ratios_to
+from ledgerloom.storage import stored
 
 FUZZY_LEAST, LATIN_LEAST, CONFUSER_LEAST = 82, 84, 78
 
 
-def tier_score(q: str, name: Column, other: Column, translit: Column | None = None) -> Column:
-    """100 for an equal name, 92 for a prefix, 84 for an infix, else 0.8 of the similarity or 0.7 of the Latin one."""
+def exact_score(q: str, name: Column, other: Column) -> Column:
+    """100 for an equal name, 92 for a prefix, 84 for an infix."""
     either = lambda f: f(name) | f(other)
-    similar = F.greatest(ratio_to(q, name), ratio_to(q, other))
+    return F.when(either(lambda c: c == q), 100).when(either(lambda c: c.startswith(q)), 92).when(either(lambda c: c.contains(q)), 84)
+
+
+def fuzzy_score(q: str, name: Column, other: Column, translit: Column | None = None) -> Column:
+    """0.8 of the similarity or 0.7 of the Latin one, compared only where a piece of the query occurs."""
+    near = lambda c: F.when(could_reach(q, FUZZY_LEAST, c), ratio_to(q, c))
+    similar = F.greatest(near(name), near(other))
     fuzzy = F.when(similar >= FUZZY_LEAST, F.floor(similar * 0.8).cast("int"))
     if translit is not None and any("a" <= c.lower() <= "z" for c in q):
         forms = F.filter(F.split(translit, " "), lambda x: x != "")
-        latin = F.array_max(F.transform(forms, lambda x: ratio_to(q, x)))
+        latin = F.when(could_reach(q, LATIN_LEAST, translit), F.array_max(F.transform(forms, lambda x: ratio_to(q, x))))
         fuzzy = F.coalesce(fuzzy, F.when(latin >= LATIN_LEAST, F.floor(latin * 0.7).cast("int")))
-    return F.when(either(lambda c: c == q), 100).when(either(lambda c: c.startswith(q)), 92).when(either(lambda c: c.contains(q)), 84).otherwise(fuzzy)
+    return fuzzy
 
 
 def find_places(places: DataFrame, q: str, limit: int | None = None) -> DataFrame:
     """Places (card, norm_uk, norm_ru, n_cases, ...) by tier, best first.
 
-    Exact tiers and the fuzzy one are a single scan; the looser tiers only add
-    rows when the stricter give fewer than ``limit``.
+    The looser tier adds rows only where the stricter ones give fewer than
+    ``limit``: it scores below them all, so otherwise nothing is compared.
     """
+    names = F.col("norm_uk"), F.col("norm_ru")
     if not q:
         scored = places.withColumn("score", F.lit(0))
     else:
-        translit = F.col("translit") if "translit" in places.columns else None
-        scored = places.withColumn("score", tier_score(q, F.col("norm_uk"), F.col("norm_ru"), translit)).where("score is not null")
+        exact = places.withColumn("score", exact_score(q, *names))
+        scored = exact.where("score is not null")
+        if limit is None or scored.select("card").distinct().limit(limit).count() < limit:
+            translit = F.col("translit") if "translit" in places.columns else None
+            scored = exact.withColumn("score", F.coalesce("score", fuzzy_score(q, *names, translit))).where("score is not null")
     best = F.row_number().over(W.Window.partitionBy("card").orderBy(F.desc("score")))
     scored = scored.withColumn("_nth", best).where("_nth = 1").drop("_nth")
     ordered = scored.orderBy(F.desc("score"), F.desc("n_cases"), "card")
     return ordered.limit(limit) if limit else ordered
 
 
-def siblings(places: DataFrame, card: str = "card", section: str = "section") -> DataFrame:
-    """Pairs of cards with an equal name in either column and different sections.
+def siblings(places: DataFrame, mine: DataFrame | None = None) -> DataFrame:
+    """Pairs of cards with an equal name in either column and different sections; of the cards ``mine``, all by default.
 
     An OR of two equalities would compare all pairs; each equality is a hash
     join of its own and equal pairs are united.
     """
+    mine = places if mine is None else mine
+
     def by(name: str) -> DataFrame:
-        a = places.select(F.col(card).alias("card"), F.col(section).alias("_section"), F.col(name).alias("_name"))
-        b = places.select(F.col(card).alias("sibling"), F.col(section).alias("_other"), F.col(name).alias("_name"))
+        a = mine.select("card", F.col("section").alias("_section"), F.col(name).alias("_name"))
+        b = places.select(F.col("card").alias("sibling"), F.col("section").alias("_other"), F.col(name).alias("_name"))
         return a.join(b, "_name").where("card <> sibling and _section <> _other").select("card", "sibling")
 
     return by("norm_uk").union(by("norm_ru")).distinct()
 
 
+#: Query cards that one pass over the places compares.
+CONFUSER_BLOCK = 2000
+
+
+def _confused(queries: list, least: float, limit: int, schema: T.StructType):
+    """A comparison of places with some query cards: from each batch the best of each card."""
+
+    arrow = to_arrow_schema(schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Names are compared once, however many places have them.
+            place: dict[str, int] = {}
+            uk, ru = (np.fromiter((place.setdefault(n or "", len(place)) for n in batch[c].to_pylist()), np.int64, len(batch)) for c in ("norm_uk", "norm_ru"))
+            names, cards = list(place), np.array(batch["confuser"].to_pylist(), object)
+            lengths = np.fromiter(map(len, names), np.int64, len(names))
+            # Places by card, to break ties.
+            turn = np.empty(len(cards), np.int64)
+            turn[np.argsort(cards, kind="stable")] = np.arange(len(cards))
+
+            def scores(word: str) -> np.ndarray:
+                out = np.zeros(len(names))
+                # 200 * min / (a + b) bounds the similarity from above.
+                near = np.flatnonzero(200.0 * np.minimum(lengths, len(word)) >= least * (lengths + len(word)))
+                out[near] = ratios_to(word, [names[k] for k in near.tolist()])
+                return out
+
+            for card, own_uk, own_ru in queries:
+                first = scores(own_uk)
+                second = first if own_ru == own_uk else scores(own_ru)
+                s = np.maximum(np.maximum(first[uk], first[ru]), second[uk])
+                hit = np.flatnonzero((s >= least) & (cards != card))
+                rounded = np.rint(s[hit]).astype(np.int32)
+                top = np.lexsort((turn[hit], -rounded))[:limit]
+                columns = ([card] * len(top), cards[hit][top].tolist(), rounded[top])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return compare
+
+
 def confusers(places: DataFrame, queries: DataFrame, least: float = CONFUSER_LEAST, limit: int = 8) -> DataFrame:
     """For each card of a stated set of queries, the most similar names of other cards.
 
-    The queries go to every place in a broadcast, so their number must be
-    bounded; similarity needs lengths to be close, which is checked first.
+    The queries go to the places in blocks of CONFUSER_BLOCK, a pass each; a
+    batch of places sends on the best few of each query alone, which no larger
+    batch could make fewer.
     """
-    a = queries.select(F.col("card").alias("card"), F.col("norm_uk").alias("_uk"), F.col("norm_ru").alias("_ru"))
-    b = places.select(F.col("card").alias("confuser"), F.col("norm_uk").alias("_uk2"), F.col("norm_ru").alias("_ru2"))
-    # 200 * min / (a + b) bounds the ratio from above.
-    near = lambda x, y: 200.0 * F.least(F.length(x), F.length(y)) >= least * (F.length(x) + F.length(y))
-    pairs = ((F.col("_uk"), F.col("_uk2")), (F.col("_uk"), F.col("_ru2")), (F.col("_ru"), F.col("_ru2")))
-    joined = b.join(F.broadcast(a), (F.col("card") != F.col("confuser")) & (near(*pairs[0]) | near(*pairs[1]) | near(*pairs[2])))
-    s = F.greatest(*(ratio(x, y) for x, y in pairs))
-    scored = joined.withColumn("_s", s).where(F.col("_s") >= least).select("card", "confuser", F.bround("_s", 0).cast("int").alias("score"))
+    spark = places.sparkSession
+    # Comparing costs far more than moving the names, so they are dealt out however few files they come from.
+    rows = places.select(F.col("card").alias("confuser"), "norm_uk", "norm_ru").repartition(spark.sparkContext.defaultParallelism)
+    kind = places.schema["card"].dataType
+    schema = T.StructType([T.StructField("card", kind), T.StructField("confuser", kind), T.StructField("score", T.IntegerType())])
+    asked = queries.select("card", F.coalesce("norm_uk", F.lit("")), F.coalesce("norm_ru", F.lit(""))).toLocalIterator()
+    found = None
+    while block := [tuple(r) for r in islice(asked, CONFUSER_BLOCK)]:
+        one = stored(rows.mapInArrow(_confused(block, least, limit, schema), schema), "confusers")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], schema)
     nth = F.row_number().over(W.Window.partitionBy("card").orderBy(F.desc("score"), "confuser"))
-    return scored.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_nth")
+    return found.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_nth")
 
 
 def place_cards(places: DataFrame, cases: DataFrame, on_disk: DataFrame) -> DataFrame:

@@ -34,21 +34,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return roots
 
 
-def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(source, target) pairs joined by a path: each round doubles the length of paths known.
+def reachable(edges: DataFrame) -> DataFrame:
+    """(source, target) pairs joined by a path, of any length: each round doubles the length of paths known.
 
-    A node on a cycle reaches itself.  Meant for family graphs, whose closures
-    are a few times their size.
+    Only pairs that the round before found are extended.  A node on a cycle
+    reaches itself.  Meant for family graphs, whose closures are a few times
+    their size.
     """
-    known = stored(edges.select("source", "target").distinct(), "paths")
-    length, before = 1, known.count()
-    while length < most:
-        longer = known.join(known.select(F.col("source").alias("target"), F.col("target").alias("_far")), "target").select("source", F.col("_far").alias("target"))
-        known = stored(known.union(longer).distinct(), "paths")
-        now = known.count()
-        if now == before:
-            break
-        before, length = now, length * 2
+    known = new = stored(edges.select("source", "target").distinct(), "paths")
+    while not new.isEmpty():
+        ahead = known.select(F.col("source").alias("target"), F.col("target").alias("_far"))
+        longer = new.join(ahead, "target").select("source", F.col("_far").alias("target")).distinct()
+        new = stored(longer.join(known, ["source", "target"], "left_anti"), "new-paths")
+        known = stored(known.unionByName(new), "paths")
     return known
 
 
@@ -60,22 +58,23 @@ def relation_counts(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     return nodes.select("node").join(down, "node", "left").join(up, "node", "left").fillna(0)
 
 
-def generations(nodes: DataFrame, parents: DataFrame, most: int = 64) -> DataFrame:
+def generations(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """(node, generation): 0 without parents, else one more than the largest of theirs; null behind a cycle.
 
-    Each round settles the nodes all of whose parents are settled.
+    Each round settles the nodes whose last parents the round before settled,
+    and drops the edges below those, so that the edges shrink and chains of any
+    length come to their end.
     """
-    parents = stored(parents.select("source", "target").distinct(), "parents")
-    open_ = nodes.select("node").join(parents.select(F.col("target").alias("node")).distinct(), "node", "left_anti").withColumn("generation", F.lit(0))
-    settled = stored(open_, "generation-0")
-    for k in range(1, most):
-        # Nodes whose parents are all settled, the latest of them in the round before.
-        state = parents.join(settled.withColumnRenamed("node", "source"), "source", "left").groupBy(F.col("target").alias("node"))
-        ready = state.agg(F.max("generation").alias("g"), F.count_if(F.col("generation").isNull()).alias("waiting")).where(f"waiting = 0 and g = {k - 1}")
-        new = stored(ready.select("node", F.lit(k).alias("generation")), f"generation-{k}")
-        if new.isEmpty():
-            break
-        settled = settled.unionByName(new)
+    edges = stored(parents.select("source", "target").distinct(), "parents")
+    front = stored(nodes.select("node").join(edges.select(F.col("target").alias("node")), "node", "left_anti"), "generation-0")
+    settled, k = front.withColumn("generation", F.lit(0)), 0
+    while not front.isEmpty():
+        k += 1
+        above = front.select(F.col("node").alias("source"))
+        below = edges.join(above, "source", "left_semi").select(F.col("target").alias("node")).distinct()
+        left = stored(edges.join(above, "source", "left_anti"), f"parents-{k}")
+        front = stored(below.join(left.select(F.col("target").alias("node")), "node", "left_anti"), f"generation-{k}")
+        settled, edges = settled.unionByName(front.withColumn("generation", F.lit(k))), left
     return nodes.select("node").join(settled, "node", "left")
 
 

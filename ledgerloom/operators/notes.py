@@ -30,7 +30,9 @@ def merged_notes(old: DataFrame, new: DataFrame) -> DataFrame:
     is_new = F.col("status").isNotNull()
     keep = lambda c: F.when(is_new & (F.coalesce(F.col(c), F.lit("")) != ""), F.col(c)).otherwise(F.coalesce(f"_{c}", c))
     a, b = F.coalesce("_comment", F.lit("")), F.coalesce("comment", F.lit(""))
-    comment = F.when(b == "", a).when((a == "") | b.contains(a), b).when(a.contains(b), a).otherwise(F.left(F.concat(a, F.lit(" ⟂ "), b), F.lit(COMMENT_CHARS)))
+    # A new comment goes first and an old one that it neither repeats nor is part of stays behind it, as far as there is room.
+    both = F.left(F.concat(b, F.lit(" ⟂ "), a), F.lit(COMMENT_CHARS))
+    comment = F.when(~is_new | (b == ""), a).when((a == "") | b.contains(a) | a.contains(b), b).otherwise(both)
     status = F.when(~is_new | (F.col("_status").isNotNull() & (_rank(F.col("status")) < _rank(F.col("_status")))), F.col("_status")).otherwise(F.col("status"))
     years = F.array_distinct(F.concat(F.coalesce("_years", F.array().cast("array<int>")), F.coalesce("years", F.array().cast("array<int>"))))
     return df.select(

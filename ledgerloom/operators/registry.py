@@ -96,12 +96,33 @@ def orphans(runs: DataFrame, cases: DataFrame, key: str) -> DataFrame:
     return runs.join(cases.select(key), key, "left_anti")
 
 
-def scan_numbers(citations: DataFrame) -> DataFrame:
-    """Distinct scans per source, from page ranges of up to 300 and from numbers after the word scan."""
-    ends = F.split(F.regexp_extract("page", r"^\s*(\d+(?:\s*-\s*\d+)?)\s*$", 1), r"\s*-\s*")
-    low, high = F.get(ends, F.lit(0)).try_cast("int"), F.element_at(ends, -1).try_cast("int")
-    span = F.when(low.isNull(), F.array().cast("array<int>")).when((high >= low) & (high - low < 300), F.sequence(low, F.greatest(low, high))).otherwise(F.array(low))
-    said = F.transform(F.regexp_extract_all(F.concat_ws(" ", "page", "quote", "note"), F.lit(r"(?iu)(?:скан\w*|scan\w*)\D{0,3}(\d{3,5})"), 1), lambda x: x.cast("int"))
-    said = F.filter(said, lambda n: ~n.between(1700, 2100))
-    exploded = citations.select("source", F.explode_outer(F.array_union(span, said)).alias("scan"))
-    return exploded.groupBy("source").agg(F.count_distinct("scan").alias("n_scans"))
+def having(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows that some other row belongs to, each once."""
+    return rows.join(others.select(key), key, "left_semi")
+
+
+#: Most pages that a range of a citation may span beyond its first.
+MOST_RANGE = 300
+
+
+def cited_scans(page: Column, *texts: Column) -> Column:
+    """Numbers of the scans that a citation names: its page or range, and lists after the word scan in any text.
+
+    A range that is empty, backwards or too wide counts as its first page.
+    Years are no scans.
+    """
+    ends = F.transform(F.regexp_extract_all(F.regexp_extract(page, r"^\s*(\d{1,5}(?:\s*[-–]\s*\d{1,5})?)\s*$", 1), F.lit(r"\d+"), 0), lambda x: x.cast("int"))
+    low, high = F.get(ends, F.lit(0)), F.element_at(ends, -1)
+    span = F.when(F.size(ends) == 0, F.array().cast("array<int>")).when((high > low) & (high - low <= MOST_RANGE), F.sequence(low, F.greatest(low, high))).otherwise(F.array(low))
+    lists = F.regexp_extract_all(F.concat_ws(" ", page, *texts), F.lit(r"(?iu)скан[иі]?\s*([0-9,\s/і-]{3,40})"), 1)
+    numbers = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"[0-9]{3,5}"), 0)))
+    said = F.filter(numbers, lambda x: ~((F.length(x) == 4) & x.cast("int").between(1700, 2100)))
+    return F.array_union(span, F.transform(said, lambda x: x.cast("int")))
+
+
+def canon_counts(citations: DataFrame) -> DataFrame:
+    """Citations, persons and distinct scans of each source, of (source, person, page, quote, note)."""
+    named = citations.where("source <> ''")
+    people = named.groupBy("source").agg(F.count(F.lit(1)).alias("n_facts"), F.count_distinct(F.nullif("person", F.lit(""))).alias("n_persons"))
+    scans = named.select("source", F.explode(cited_scans(F.col("page"), F.col("quote"), F.col("note"))).alias("scan")).groupBy("source").agg(F.count_distinct("scan").alias("n_scans"))
+    return people.join(scans, "source", "left").fillna(0, ["n_scans"])

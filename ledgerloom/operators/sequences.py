@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ledgerloom.storage import stored
 
 
 def carried_forward(rows: DataFrame, group: list[str], order: list[str], *columns: str) -> DataFrame:
@@ -13,17 +21,64 @@ def carried_forward(rows: DataFrame, group: list[str], order: list[str], *column
     return rows.withColumns({c: F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(w) for c in columns})
 
 
+def next_larger(starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order, the next larger start below in the same group, and the largest above; 0 where there is none.
+
+    Rows wait on a stack, largest start first, until a larger one comes.
+    """
+    later, above = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    waiting: list[int] = []
+    high = 0
+    for k, s in enumerate(starts.tolist()):
+        if k and group[k] != group[k - 1]:
+            waiting, high = [], 0
+        above[k] = high
+        if s >= 0:
+            while waiting and starts[waiting[-1]] < s:
+                later[waiting.pop()] = s
+            waiting.append(k)
+            high = max(high, s)
+    return later, above
+
+
 def closed_ranges(rows: DataFrame, group: list[str], order: list[str], start: str, end: str, last: str) -> DataFrame:
     """Open ends become one less than the next larger start further down, or the last number of the group.
 
-    The next larger start is the smallest that is larger among later rows: in
-    order of starts, a running minimum over the rows that follow.
+    Rows without a start (-1 for next_larger) stay as they are.  Rows are cut
+    into ranges of group and order, so a group of any size is spread over
+    tasks.  Within a range a stack finds the next larger start.  Where there is
+    none, the first later range of the group whose largest start is larger
+    holds it: its first start beyond all before it in that range.
     """
-    later = W.Window.partitionBy(*group).orderBy(*order).rowsBetween(1, W.Window.unboundedFollowing)
-    larger = F.filter(F.collect_list(F.nullif(F.col(start), F.lit(0))).over(later), lambda x: x > F.col(start))
-    df = rows.withColumn("_next", F.get(larger, F.lit(0)))
-    closed = F.coalesce(F.col("_next") - 1, F.col(last))
-    return df.withColumns({end: F.coalesce(F.col(end), closed), "inferred": F.col(end).isNull()}).drop("_next")
+    df = rows.withColumn("_g", F.struct(*group)).withColumn("_s", F.coalesce(F.col(start), F.lit(-1)).cast("long"))
+    df = df.repartitionByRange("_g", *order).sortWithinPartitions("_g", *order).withColumn("_block", F.spark_partition_id())
+    schema = T.StructType([*df.schema.fields, T.StructField("_later", T.LongType()), T.StructField("_above", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema=pa.schema(list(arrow)[:-2]))
+        if not table.num_rows:
+            return
+        # A group's rows stand together: a number that changes where the group does.
+        flat = table["_g"].combine_chunks().flatten()
+        changed = np.zeros(table.num_rows, bool)
+        for column in flat:
+            code = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            changed[1:] |= code[1:] != code[:-1]
+        later, above = next_larger(table["_s"].to_numpy(), np.cumsum(changed))
+        yield from table.append_column(arrow.field("_later"), pa.array(later)).append_column(arrow.field("_above"), pa.array(above)).to_batches()
+
+    found = stored(df.mapInArrow(find, schema).withColumn("_row", F.monotonically_increasing_id()), "ranges")
+    waiting = found.where("_s >= 0 and _later = 0").select("_g", "_block", "_row", "_s")
+    highest = found.groupBy("_g", F.col("_block").alias("_next")).agg(F.max("_s").alias("_most"))
+    where = waiting.join(highest, "_g").where("_next > _block and _most > _s").groupBy("_g", "_row", "_s").agg(F.min("_next").alias("_next"))
+    rising = found.where("_s > _above").select("_g", F.col("_block").alias("_next"), F.col("_s").alias("_found"), "_above")
+    beyond = where.join(rising, ["_g", "_next"]).where("_above <= _s and _found > _s").select("_row", "_found")
+    df = found.join(beyond, "_row", "left")
+    following = F.coalesce("_found", F.nullif("_later", F.lit(0)))
+    is_open = F.col(end).isNull() & F.col(start).isNotNull()
+    kind = rows.schema[end].dataType
+    return df.withColumns({end: F.when(is_open, F.coalesce(following - 1, F.col(last)).cast(kind)).otherwise(F.col(end)), "inferred": is_open}).select(*rows.columns, "inferred")
 
 
 def islands(rows: DataFrame, group: list[str], number: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerloom.functions import keys, normal
 from ledgerloom.functions.similarity import ratio, ratio_sql
 from ledgerloom.operators import decode, gazetteer, graph, linkage, notes, registry, sequences
 from ledgerloom.plans.answer import coverage_of
+from ledgerloom.sources import archive_tables
 from ledgerloom.storage import stored
 from ledgerloom.streaming import jobs
 
@@ -73,9 +74,7 @@ def place_search_tiers(t) -> DataFrame:
 def siblings_theta(t) -> DataFrame:
     """Like-named parts of another type, for a stated set of parts against all."""
     places = _places(t)
-    mine = places.where("card % 100 = 0")
-    by = lambda name: mine.select("card", F.col("section").alias("_s"), F.col(name).alias("_n")).join(places.select(F.col("card").alias("sibling"), F.col("section").alias("_o"), F.col(name).alias("_n")), "_n").where("card <> sibling and _s <> _o").select("card", "sibling")
-    return by("norm_uk").union(by("norm_ru")).distinct()
+    return gazetteer.siblings(places, places.where("card % 100 = 0"))
 
 
 @query(f"""WITH q AS (SELECT c_custkey AS card, c_name AS a FROM customer WHERE c_custkey % 100 = 0), b AS (SELECT c_custkey AS confuser, c_name AS b FROM customer),
@@ -168,14 +167,15 @@ def fund_flags_subset(t) -> DataFrame:
     return registry.fund_filter(_fund(t), state="scan", flags=("interp", "letter")).select("case", "inventory")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def orphans_anti(t) -> DataFrame:
-    return registry.orphans(t("customer").select("c_custkey", "c_name"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers that no large order names."""
+    return registry.orphans(t("customer").select("c_custkey", "c_name"), t("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 def semi_fund(t) -> DataFrame:
-    return t("part").select("p_partkey", "p_name").join(t("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
+    return registry.having(t("part").select("p_partkey", "p_name"), t("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query("""WITH m AS (SELECT l_orderkey, max(l_quantity) AS top FROM lineitem GROUP BY 1)
@@ -185,13 +185,22 @@ def resolve_unique_or_null(t) -> DataFrame:
     return gazetteer.unique_or_strongest(rows, "l_orderkey")
 
 
-@query("""WITH e AS (SELECT user_id AS source, json_extract(props, '$.k')::INT AS k, value FROM events),
-x AS (SELECT source, unnest(CASE WHEN value < 20 THEN range(k, k + 6) ELSE [k] END) AS scan FROM e) SELECT source, count(DISTINCT scan) AS n_scans FROM x GROUP BY 1""")
+@query("""WITH e AS (SELECT 's' || (user_id % 40) AS source, user_id AS person, event_id, json_extract(props, '$.k')::INT AS k, value, event_type FROM events),
+x AS (SELECT *, CASE WHEN value < 20 THEN range(k, k + 6) WHEN event_id % 50 = 1 THEN range(k, k + 301) ELSE [k] END AS pages,
+  CASE WHEN event_type = 'error' THEN [1000 + k, 20000 + k, 3000] ELSE [] END AS said FROM e),
+n AS (SELECT source, count(*) AS n_facts, count(DISTINCT person) AS n_persons FROM x GROUP BY 1),
+s AS (SELECT source, count(DISTINCT scan) AS n_scans FROM (SELECT source, unnest(list_concat(pages, said)) AS scan FROM x) GROUP BY 1) SELECT * FROM n JOIN s USING (source)""")
 def canon_counts(t) -> DataFrame:
-    """Events as citations of a page or of a range of six."""
-    k = F.get_json_object("props", "$.k")
-    page = F.when(F.col("value") < 20, F.concat(k, F.lit("-"), (k.cast("int") + 5).cast("string"))).otherwise(k)
-    return registry.scan_numbers(t("events").select(F.col("user_id").alias("source"), page.alias("page"), F.lit("").alias("quote"), F.lit("").alias("note")))
+    """Events as citations: of a page, of ranges of 6, 301, 302 and one page, and of lists of scans with years among them."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    to = lambda n: F.concat(k.cast("string"), F.lit("-"), (k + n).cast("string"))
+    turn = F.col("event_id") % 50
+    page = F.when(F.col("value") < 20, to(5)).when(turn == 1, to(300)).when(turn == 2, to(301)).when(turn == 3, to(0)).otherwise(k.cast("string"))
+    listed = F.concat(F.lit("скани "), (k + 1000).cast("string"), F.lit(", "), (k + 20000).cast("string"), F.lit("/1850 і 3000"))
+    note = F.when(F.col("event_type") == "error", listed).otherwise("")
+    source = F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string"))
+    rows = t("events").select(source.alias("source"), F.col("user_id").cast("string").alias("person"), page.alias("page"), F.lit("scan 1850").alias("quote"), note.alias("note"))
+    return registry.canon_counts(rows)
 
 
 def _lines(t) -> DataFrame:
@@ -217,29 +226,24 @@ def decode_candidates(t) -> DataFrame:
     return found.groupBy("run", "page", "line_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("norm")).alias("chars"), F.min("surface").alias("first_surface"), F.max("norm").alias("last_norm"))
 
 
-def _window_best(word: str, c: str) -> str:
-    """partial_ratio_to in SQL, for columns no shorter than the word."""
-    m = len(word)
-    cut = f"substr({c}, greatest(1, k - {m - 1})::BIGINT, (least(length({c}), k) - greatest(1, k - {m - 1}) + 1)::BIGINT)"
-    return f"list_max(list_transform(range(1, length({c}) + {m}), lambda k: {ratio_sql(f"'{word}'", cut)}))"
+def _window_best(word: str, text: str, size: str) -> str:
+    """The best ratio of a word to any window of a text, cut-off ends included, in SQL."""
+    cut = f"substr({text}, greatest(1, k - {size} + 1)::BIGINT, (least(length({text}), k) - greatest(1, k - {size} + 1) + 1)::BIGINT)"
+    return f"list_max(list_transform(range(1, length({text}) + {size}), lambda k: {ratio_sql(word, cut)}))"
 
 
 _STEM = "licenses"
+_PIECES = [_STEM[k : k + 2] for k in range(0, len(_STEM), 2)]
+_IN_TEXT, _IN_STEM = _window_best(f"'{_STEM}'", "norm", str(len(_STEM))), _window_best("norm", f"'{_STEM}'", "length(norm)")
 
 
-@query(f"""WITH {_LINES}, n AS (SELECT *, lower(raw) AS norm FROM c), near AS (SELECT *, {ratio_sql(f"'{_STEM}'", 'norm')} AS whole FROM n WHERE length(norm) >= 4),
-s AS (SELECT *, CASE WHEN length(norm) > {len(_STEM)} AND length(norm) <= 40 THEN greatest(whole, {_window_best(_STEM, 'norm')}) ELSE whole END AS s FROM near),
-b AS (SELECT run, page, line_no, s, surface FROM s WHERE s >= 88 QUALIFY row_number() OVER (PARTITION BY run, page, line_no ORDER BY s DESC, kind, i) = 1)
+@query(f"""WITH {_LINES}, n AS (SELECT *, lower(raw) AS norm FROM c), near AS (SELECT *, {ratio_sql(f"'{_STEM}'", 'norm')} AS whole FROM n WHERE length(norm) >= 4 AND ({' OR '.join(f"contains(norm, '{p}')" for p in _PIECES)})),
+s AS (SELECT *, CASE WHEN length(norm) > {len(_STEM)} THEN greatest(whole, {_IN_TEXT}) WHEN length(norm) = {len(_STEM)} THEN greatest(whole, {_IN_TEXT}, {_IN_STEM}) ELSE whole END AS s FROM near),
+b AS (SELECT run, page, line_no, s FROM s WHERE s >= 88 QUALIFY row_number() OVER (PARTITION BY run, page, line_no ORDER BY s DESC, kind, i) = 1)
 SELECT run, page, line_no, round_even(s, 0)::INT AS score FROM b""")
 def decode_search(t) -> DataFrame:
-    """Lines with a word like a given one, over whole pages; a candidate beyond 40 letters is compared as a whole."""
-    found = decode.candidates(_lines(t)).where("length(norm) >= 4").where(decode.could_reach(_STEM, F.col("norm"), 88))
-    whole = decode.ratio_to(_STEM, F.col("norm"))
-    windows = decode.partial_ratio_to(_STEM, F.col("norm"))
-    reachable = decode.could_reach(_STEM, F.col("norm"), 88, len(_STEM))
-    best = F.when((F.length("norm") > len(_STEM)) & (F.length("norm") <= 40) & reachable, F.greatest(whole, windows)).otherwise(whole)
-    hits = found.withColumn("_s", best).where("_s >= 88").groupBy("run", "page", "line_no").agg(F.max("_s").alias("_s"))
-    return hits.select("run", "page", "line_no", F.bround("_s", 0).cast("int").alias("score"))
+    """Lines with a word like a given one, over whole pages and candidates of any length."""
+    return decode.search(decode.candidates(_lines(t)), [_STEM], 88).select("run", "page", "line_no", "score")
 
 
 _MEANING = f"length(trim(regexp_replace(line, '{_TOKEN_SQL}', '', 'g'))) + coalesce(list_sum(list_transform(regexp_extract_all(line, '{_TOKEN_SQL}'), lambda x: CASE WHEN length(x) >= 3 THEN length(x) ELSE 0 END)), 0)"
@@ -256,15 +260,16 @@ def decode_context(t) -> DataFrame:
     return decode.context(lines, hits).select("run", "page", "line_no", F.array_join("after", "|").alias("after"))
 
 
-@query("""WITH p AS (SELECT lang AS run, doc_id AS page, length(text) AS chars, len(string_split(text, chr(10))) AS lines FROM documents), f AS (SELECT *, chars / lines AS cpl FROM p WHERE lines > 0),
-m AS (SELECT run, median(cpl) AS med, count(*) AS n_pages FROM f GROUP BY 1) SELECT run, page, lines, n_pages, round(med, 1) AS median_cpl FROM f JOIN m USING (run) WHERE lines >= 2 AND cpl < 0.6 * med""")
+@query("""WITH p AS (SELECT lang AS run, doc_id AS page, length(text) AS chars, len(string_split(text, chr(10))) AS lines, (doc_id % 3) * 20 AS contrast, doc_id % 5 < 3 AS enhanced FROM documents), f AS (SELECT *, chars / lines AS cpl FROM p WHERE lines > 0),
+m AS (SELECT run, median(cpl) AS med, count(*) AS n_pages FROM f GROUP BY 1)
+SELECT run, page, lines, n_pages, round(med, 1) AS median_cpl, CASE WHEN contrast < 40 THEN 'faint' ELSE 'enhanced' END AS reason FROM f JOIN m USING (run) WHERE lines >= 25 AND cpl < 0.3 * med AND (contrast < 40 OR enhanced)""")
 def phantom_pages(t) -> DataFrame:
-    """Documents whose lines are far shorter than the median of their language."""
-    pages = t("documents").select(F.col("lang").alias("run"), F.col("doc_id").alias("page"), F.length("text").alias("chars"), F.size(F.split("text", "\n", -1)).alias("lines"))
-    full = pages.where("lines > 0").withColumn("cpl", F.col("chars") / F.col("lines"))
-    medians = full.groupBy("run").agg(F.median("cpl").alias("med"), F.count(F.lit(1)).alias("n_pages"))
-    odd = full.join(medians, "run").where("lines >= 2 and cpl < 0.6 * med")
-    return odd.select("run", "page", "lines", "n_pages", F.round("med", 1).alias("median_cpl"))
+    """Documents as pages of their language, with invented contrasts."""
+    pages = t("documents").select(
+        F.col("lang").alias("run"), F.col("doc_id").alias("page"), F.length("text").alias("chars"), F.size(F.split("text", "\n", -1)).alias("lines"),
+        ((F.col("doc_id") % 3) * 20).alias("contrast"), (F.col("doc_id") % 5 < 3).alias("enhanced"),
+    )
+    return decode.phantom_pages(pages).select("run", "page", "lines", "n_pages", F.round("median_cpl", 1).alias("median_cpl"), "reason")
 
 
 @query("""WITH s AS (SELECT conv_id, turn, role, max((contains(lower(text), 'tion') AND role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, text FROM conversations)
@@ -274,18 +279,18 @@ def rescue_neighbours(t) -> DataFrame:
     return decode.with_neighbours(t("conversations"), seed, ["conv_id"], "turn").where("trim(text) <> ''").select("conv_id", "turn", "role")
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag ELSE '' END AS flag, l_suppkey AS s, l_partkey FROM lineitem),
-o AS (SELECT *, last_value(nullif(flag, '') IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s, l_shipdate ROWS UNBOUNDED PRECEDING) AS carried, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s, l_shipdate) AS rn FROM x)
-SELECT a.l_orderkey, a.rn, a.carried, coalesce((SELECT b.s FROM o b WHERE b.l_orderkey = a.l_orderkey AND b.rn > a.rn AND b.s <> 0 AND b.s > a.s ORDER BY b.rn LIMIT 1) - 1, 100000) AS end_ FROM o a""")
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag ELSE '' END AS flag, CASE WHEN l_linenumber % 5 <> 4 THEN l_suppkey END AS s, l_partkey FROM lineitem),
+o AS (SELECT *, last_value(nullif(flag, '') IGNORE NULLS) OVER w AS carried, row_number() OVER w AS rn FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s NULLS FIRST, l_shipdate ROWS UNBOUNDED PRECEDING))
+SELECT a.l_orderkey, a.rn, a.carried, a.s, CASE WHEN a.s IS NOT NULL THEN coalesce((SELECT b.s FROM o b WHERE b.l_orderkey = a.l_orderkey AND b.rn > a.rn AND b.s <> 0 AND b.s > a.s ORDER BY b.rn LIMIT 1) - 1, 100000) END AS end_, a.s IS NOT NULL AS inferred FROM o a""")
 def locf_open_range(t) -> DataFrame:
-    """Lines of an order as sheets of a film: flags carried forward, ranges closed by the next larger start."""
+    """Lines of an order as sheets of a film: flags carried forward, ranges closed by the next larger start, some without one."""
     order = ["l_linenumber", "l_partkey", "s", "l_shipdate"]
     flag = F.when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag")).otherwise("")
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.col("l_suppkey").alias("s"), flag.alias("carried"), F.lit(None).cast("long").alias("end_"), F.lit(100000).cast("long").alias("last"))
-    rows = sequences.carried_forward(rows, ["l_orderkey"], order, "carried")
-    rows = sequences.closed_ranges(rows, ["l_orderkey"], order, "s", "end_", "last")
+    start = F.when(F.col("l_linenumber") % 5 != 4, F.col("l_suppkey"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", start.alias("s"), flag.alias("carried"), F.lit(None).cast("long").alias("end_"), F.lit(100000).cast("long").alias("last"))
     rn = F.row_number().over(W.Window.partitionBy("l_orderkey").orderBy(*order)).cast("long")
-    return rows.select("l_orderkey", rn.alias("rn"), "carried", "end_")
+    rows = sequences.carried_forward(rows, ["l_orderkey"], order, "carried").withColumn("rn", rn)
+    return sequences.closed_ranges(rows, ["l_orderkey"], ["rn"], "s", "end_", "last").select("l_orderkey", "rn", "carried", "s", "end_", "inferred")
 
 
 @query("""WITH d AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), i AS (SELECT *, l_orderkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS g FROM d)
@@ -302,23 +307,28 @@ def range_join_spans(t) -> DataFrame:
     return sequences.in_spans(points, spans, "k", "n").select("k", "n", "start")
 
 
-@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS label FROM pages)
-SELECT page_id, href, count(*) AS n, min(length(label)) AS shortest FROM a GROUP BY 1, 2""")
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS label FROM pages),
+c AS (SELECT page_id, href, trim(regexp_replace(regexp_replace(label, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS label FROM a)
+SELECT page_id, href, count(*) AS n, min(length(replace(replace(replace(replace(replace(replace(label, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'))) AS shortest FROM c GROUP BY 1, 2""")
 def html_rows(t) -> DataFrame:
-    anchor = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), 1).alias("href"), F.regexp_extract_all("html", F.lit(anchor), 2).alias("label"))
-    return t("pages").select("page_id", F.explode(found).alias("a")).groupBy("page_id", F.col("a.href").alias("href")).agg(F.count(F.lit(1)).alias("n"), F.min(F.length("a.label")).alias("shortest"))
+    return archive_tables.links(t("pages")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("label")).alias("shortest"))
 
 
-@query("""WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'full' ELSE 'partial' END AS st FROM labels), n AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'partial' ELSE 'full' END AS st FROM documents WHERE lang <> 'fr')
-SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.st IS NULL OR (n.st = 'partial' AND o.st = 'full') THEN o.st ELSE n.st END AS status, n.st IS NOT NULL AND o.st IS NOT NULL AS merged FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
+@query("""WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'full' ELSE 'partial' END AS st, CASE WHEN doc_id % 5 = 4 THEN '' ELSE 'seen ' || repeat('a', 400) END AS c FROM labels),
+n AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'partial' ELSE 'full' END AS st, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'seen' WHEN 2 THEN 'new ' || repeat('b', 300) WHEN 3 THEN 'seen ' || repeat('a', 400) || ' again' ELSE 'only' END AS c FROM documents WHERE lang <> 'fr')
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.st IS NULL OR (n.st = 'partial' AND o.st = 'full') THEN o.st ELSE n.st END AS status,
+  CASE WHEN n.st IS NULL OR n.c = '' THEN coalesce(o.c, '') WHEN o.st IS NULL OR o.c = '' OR contains(n.c, o.c) OR contains(o.c, n.c) THEN n.c ELSE left(n.c || ' ⟂ ' || o.c, 600) END AS comment
+FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def page_notes_merge(t) -> DataFrame:
+    """Labels as old notes, documents as new ones, with comments that are empty, repeat each other, or are too long together."""
     none = lambda kind: F.array().cast(f"array<{kind}>")
     blank = {"page_type": F.lit(""), "surnames": none("string"), "places": none("string"), "years": none("int"), "sheet": F.lit(""), "agent": F.lit("")}
-    old = t("labels").select(F.lit("c").alias("case_key"), F.col("doc_id").alias("scan"), F.when(F.col("quality") == 1, "full").otherwise("partial").alias("status"), F.lit("old").alias("comment")).withColumns(blank)
-    new = t("documents").where("lang <> 'fr'").select(F.lit("c").alias("case_key"), F.col("doc_id").alias("scan"), F.when(F.col("lang") == "en", "partial").otherwise("full").alias("status"), F.lit("new").alias("comment")).withColumns(blank)
-    merged = notes.merged_notes(old, new)
-    return merged.select(F.col("scan").alias("doc_id"), "status", (F.col("comment") == "old ⟂ new").alias("merged"))
+    seen, turn = F.lit("seen " + "a" * 400), F.col("doc_id") % 5
+    new_comment = F.when(turn == 0, "").when(turn == 1, "seen").when(turn == 2, "new " + "b" * 300).when(turn == 3, F.concat(seen, F.lit(" again"))).otherwise("only")
+    note = lambda df, status, comment: df.select(F.lit("c").alias("case_key"), F.col("doc_id").alias("scan"), status.alias("status"), comment.alias("comment")).withColumns(blank)
+    old = note(t("labels"), F.when(F.col("quality") == 1, "full").otherwise("partial"), F.when(turn == 4, "").otherwise(seen))
+    new = note(t("documents").where("lang <> 'fr'"), F.when(F.col("lang") == "en", "partial").otherwise("full"), new_comment)
+    return notes.merged_notes(old, new).select(F.col("scan").alias("doc_id"), "status", "comment")
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -326,23 +336,35 @@ def upsert_last_wins(t) -> DataFrame:
     return notes.last_wins(t("events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
-@query("SELECT conv_id AS case_key, turn AS nth_turn, role, length(text) AS chars FROM conversations")
+@query("""SELECT conv_id::VARCHAR AS case_key, 'r' || (turn // 2)::VARCHAR AS rid, 's' || conv_id::VARCHAR AS scans, (row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn, role, text) - 1)::INT AS nth, role,
+  CASE WHEN turn % 3 = 0 THEN 'Named' ELSE regexp_extract(trim(left(text, 20)), '(\\S*)$', 1) END AS surname FROM conversations""")
 def export_flat(t) -> DataFrame:
-    nested = t("conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
-    return nested.select(F.col("conv_id").alias("case_key"), F.explode("turns").alias("x")).select("case_key", F.col("x.turn").alias("nth_turn"), F.col("x.role").alias("role"), F.length("x.text").cast("long").alias("chars"))
+    """Conversations as cases, pairs of turns as records, turns as persons with or without a surname."""
+    turn = F.struct("turn", "role", "text", F.when(F.col("turn") % 3 == 0, "Named").otherwise("").alias("surname"), F.left("text", F.lit(20)).alias("name"))
+    records = t("conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).cast("long").alias("r")).agg(F.array_sort(F.collect_list(turn)).alias("persons"))
+    record = F.struct(F.concat(F.lit("r"), F.col("r").cast("string")).alias("rid"), F.lit("talk").alias("rtype"), F.array(F.concat(F.lit("s"), F.col("conv_id").cast("string"))).alias("scans"), "persons")
+    cases = records.groupBy(F.col("conv_id").cast("string").alias("case_key")).agg(F.collect_list(record).alias("records"))
+    return notes.flat_records(cases).select("case_key", "rid", "scans", "nth", "role", "surname")
 
 
 @query(f"""WITH p AS (SELECT s_suppkey AS person_id, s_name, s_nationkey AS nation, s_acctbal FROM supplier), s AS (
-  SELECT c_custkey AS record_id, person_id, 0.40::DOUBLE * ({ratio_sql('lower(c_name)', 'lower(s_name)')} / 100) + 0.1::DOUBLE * 4 / 7 * ({ratio_sql('lower(c_name)', 'lower(s_name)')} / 100)
-    + 0.15::DOUBLE * exp(-pow((c_acctbal - s_acctbal) / 100, 2) / 18) AS score FROM customer JOIN p ON nation = c_nationkey)
+  SELECT c_custkey AS record_id, person_id, (0.40::DOUBLE + 0.1::DOUBLE * 4 / 7) * ({ratio_sql('lower(c_name)', 'lower(s_name)')} / 100)
+    + 0.15::DOUBLE * exp(-pow((c_acctbal - s_acctbal) / 100, 2) / 18) AS score FROM customer JOIN p ON nation = c_nationkey
+  WHERE abs(floor(c_acctbal / 900) - floor(s_acctbal / 900)) <= 1)
 SELECT record_id, round(max(score), 6) AS score FROM s GROUP BY 1""")
 def linkage_scores(t) -> DataFrame:
-    """Customers as records, suppliers of their nation as persons."""
-    records = t("customer").select(F.col("c_custkey").alias("record_id"), F.lower("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("year"))
-    persons = t("supplier").select(F.col("s_suppkey").alias("person_id"), F.lower("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("year"))
-    pairs = records.join(persons.withColumnsRenamed({"name": "p_name", "year": "p_year"}), "nation")
-    parts = {"surname": linkage.string_score(F.col("name"), F.col("p_name")), "given": F.lit(0.0), "patronymic": F.lit(0.0), "year": linkage.year_score(F.col("year") / 100, F.col("p_year") / 100), "place": F.lit(0.0)}
-    scored = pairs.withColumn("score", linkage.total_score(parts, F.lit(False)))
+    """Customers as records, suppliers of their nation as persons, balances of a hundred as years.
+
+    Beyond three deviations, nine years, a year adds next to nothing: persons
+    lie in one bucket of nine years and records look into three.
+    """
+    records = t("customer").select(F.col("c_custkey").alias("record_id"), F.lower("c_name").alias("name"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") / 100).alias("year"))
+    persons = t("supplier").select(F.col("s_suppkey").alias("person_id"), F.lower("s_name").alias("name"), F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") / 100).alias("year"))
+    bucket = F.floor(F.col("year") / 9).cast("long")
+    looked = records.withColumn("block", F.explode(F.array(*(F.struct("nation", (bucket + d).alias("bucket")) for d in (-1, 0, 1)))))
+    pairs = linkage.candidate_pairs(looked, persons.withColumn("block", F.struct("nation", bucket.alias("bucket"))), F.col("block"))
+    parts = {"surname": linkage.string_score(F.col("name"), F.col("p_name")), "given": F.lit(0.0), "patronymic": F.lit(0.0), "year": linkage.year_score(F.col("year"), F.col("p_year")), "place": F.lit(0.0)}
+    scored = pairs.withColumnRenamed("p_person_id", "person_id").withColumn("score", linkage.total_score(parts, F.lit(False)))
     return linkage.best_person(scored).select("record_id", F.round("score", 6).alias("score"))
 
 

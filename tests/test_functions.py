@@ -59,8 +59,9 @@ def test_spellings_in_three_scripts_meet(spark):
 def test_names(spark):
     assert one(spark, normal.name_form(F.lit("М'ястківка, м-ко."))) == "мястківка"
     assert one(spark, normal.name_form(F.lit('М"ястківка'))) == "мястківка"
-    assert one(spark, normal.district_nominative(F.lit("Ольгопільського"))) == "Ольгопільський"
-    assert one(spark, normal.province_nominative(F.lit("Подільської"))) == "Подільська"
+    for form in ("Ольгопільського", "Ольгопільскому", "ольгопільський", "ОЛЬГОПІЛЬСЬКИЙ"):
+        assert one(spark, normal.adjective(F.lit(form), "ий")) == "Ольгопільський"
+    assert one(spark, normal.adjective(F.lit("Подільської"), "а")) == "Подільська" and one(spark, normal.adjective(F.lit("кут"), "а")) == "Кут"
     assert one(spark, normal.slug(F.lit("Кам'янець — Подільський"))) == "kam-anec-podilskii"
     assert one(spark, normal.initials(F.lit("Іван Петренко"))) == "ІП"
 

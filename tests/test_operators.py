@@ -53,10 +53,26 @@ def test_search_finds_broken_words(spark):
 
 
 def test_prefilter_loses_nothing(spark):
-    words = spark.createDataFrame([(w,) for w in "ковальчук ковальчк кавальчук ковлчук коваленко чук овальчук ковальчуковський".split()], "norm string")
-    s = decode.score_to("ковальчук", F.col("norm"))
-    every = words.where(s >= 80).count()
-    assert every == words.where(s >= 80).where(decode.could_reach("ковальчук", F.col("norm"), 80)).count() > 3
+    long = "x" * 70
+    words = spark.createDataFrame([(w,) for w in f"ковальчук ковальчк кавальчук ковлчук коваленко чук овальчук ковальчуковський {long}ковальчук{long} licensed".split()], "norm string")
+    for stem in ("ковальчук", "licenses"):
+        scored = words.withColumn("s", decode.score_to([stem], F.col("norm"))).where("s >= 80")
+        assert scored.count() == scored.where(decode.could_reach(stem, 80, F.col("norm"))).count() == decode.scored_hits(words, [stem], 80).count()
+        assert scored.count() > (0 if stem == "licenses" else 4)
+
+
+def test_similarity_of_long_names(spark):
+    """Names over 62 letters that differ only beyond."""
+    a, b = "a" * 80 + "bcdefghij", "a" * 80 + "klmnopqrs"
+    df = spark.createDataFrame([(a, b), (a, a), ("", ""), ("", a), (None, a)], "a string, b string")
+    from ledgerloom.functions.similarity import ratio, ratio_to
+
+    got = [r["s"] for r in df.select(ratio("a", "b").alias("s")).collect()]
+    assert got[1:] == [100.0, 100.0, 0.0, None] and abs(got[0] - 200 * 80 / 178) < 1e-9
+    assert abs(df.select(ratio_to(a, F.col("b")).alias("s")).first()["s"] - got[0]) < 1e-9
+    places = spark.createDataFrame([(1, a, a), (2, b, b), (3, a[:-1], a)], "card long, norm_uk string, norm_ru string")
+    found = {(r["confuser"], r["score"]) for r in gazetteer.confusers(places, places.where("card = 1")).collect()}
+    assert found == {(2, 90), (3, 100)}
 
 
 def test_phantom_pages(spark):
@@ -70,6 +86,15 @@ def test_ranges_and_islands(spark):
     df = spark.createDataFrame(rows, "film string, pos int, s int, e int, delo string").withColumn("last", F.lit(99))
     out = sequences.closed_ranges(sequences.carried_forward(df, ["film"], ["pos"], "delo"), ["film"], ["pos"], "s", "e", "last")
     assert [(r["s"], r["e"], r["inferred"], r["delo"]) for r in out.orderBy("pos").collect()] == [(10, 19, True, "a"), (5, 19, True, "a"), (20, 25, False, "b"), (30, 99, True, "b")]
+    # A row without a start stays open, and a group may lie in several ranges of rows.
+    late = spark.createDataFrame([("f", k, None if k % 7 == 3 else (k * 37) % 101) for k in range(400)], "film string, pos int, s int").withColumns({"e": F.lit(None).cast("int"), "last": F.lit(999)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r["pos"]: (r["e"], r["inferred"]) for r in sequences.closed_ranges(late, ["film"], ["pos"], "s", "e", "last").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = {r["pos"]: r["s"] for r in late.collect()}
+    for k, s in rows.items():
+        later = next((rows[j] for j in range(k + 1, 400) if rows[j] and s is not None and rows[j] > s), None)
+        assert got[k] == ((None, False) if s is None else (999 if later is None else later - 1, True)), k
     n = spark.createDataFrame([("x", k) for k in (1, 2, 3, 7, 9, 10, 10)], "g string, n int")
     assert sorted((r["first"], r["last"], r["n"]) for r in sequences.islands(n, ["g"], "n").collect()) == [(1, 3, 3), (7, 7, 1), (9, 10, 2)]
 
@@ -79,14 +104,22 @@ def test_notes_merge(spark):
     old = spark.createDataFrame([("k", "1", "birth", ["Коваль"], [], [1800], "5", "full", "a", "old")], schema)
     new = spark.createDataFrame([("k", "1", "death", ["коваль", "Бондар"], ["Устя"], [1801], "", "partial", "b", "new"), ("k", "2", "birth", [], [], [], "", "skipped", "b", "")], schema)
     first, second = notes.merged_notes(old, new).orderBy("scan").collect()
-    assert first["surnames"] == ["Коваль", "Бондар"] and first["status"] == "full" and first["sheet"] == "5" and first["comment"] == "old ⟂ new" and first["page_type"] == "death"
+    assert first["surnames"] == ["Коваль", "Бондар"] and first["status"] == "full" and first["sheet"] == "5" and first["comment"] == "new ⟂ old" and first["page_type"] == "death"
     assert second["status"] == "skipped"
 
 
-def test_scan_numbers_and_orphans(spark):
-    rows = [("s", "1-4", "", ""), ("s", "4", "", "скан 00123 of 1850"), ("t", "x", "scan 1850", "")]
-    found = {r["source"]: r["n_scans"] for r in registry.scan_numbers(spark.createDataFrame(rows, "source string, page string, quote string, note string")).collect()}
-    assert found == {"s": 5, "t": 0}
+def test_canon_counts(spark):
+    rows = [("s", "p", "1-4", "", ""), ("s", "p", "4", "", "скан 00123 of 1850"), ("s", "q", "10-310", "", ""), ("s", "", "400-701", "", ""), ("s", "q", "900-800", "", ""), ("t", "p", "x", "scan 1850", ""), ("u", "p", "", "скани 1001, 1002/1003 і 1850", ""), ("", "p", "5", "", "")]
+    found = {r["source"]: (r["n_facts"], r["n_persons"], r["n_scans"]) for r in registry.canon_counts(spark.createDataFrame(rows, "source string, person string, page string, quote string, note string")).collect()}
+    assert found == {"s": (5, 2, 4 + 1 + 301 - 1 + 1 + 1), "t": (1, 1, 0), "u": (1, 1, 3)}
+
+
+def test_long_chains(spark):
+    """Families deeper than any fixed number of rounds."""
+    nodes = spark.range(70).select(F.col("id").alias("node"))
+    edges = spark.range(69).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    assert {r["node"]: r["generation"] for r in graph.generations(nodes, edges).collect()} == {k: k for k in range(70)}
+    assert graph.reachable(edges).count() == 70 * 69 // 2
 
 
 def test_graph_with_a_cycle(spark):
