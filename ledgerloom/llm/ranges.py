@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Histogram cells on one level, beyond 16 for each range that is wanted.
-LEAST_CELLS, MOST_CELLS = 1024, 1 << 20
+#: Fewest histogram cells on the first level, beyond 16 for each range that is wanted.
+LEAST_CELLS = 1024
+#: Ranges beyond which they grow with the input instead: each is a task and at least one file.
+MOST_RANGES = 50_000
 
 
 @dataclass(frozen=True)
@@ -34,38 +36,62 @@ class Ranges:
         return of(F.coalesce(key.cast("long"), F.lit(int(starts[0]))), tie.cast("long"))
 
 
-def _cells(rows: DataFrame, lo: int, hi: int, wanted: int) -> DataFrame:
-    """Weights and bounds of equal-width cells of the key from lo to hi."""
-    scale = wanted / (hi - lo + 1)
-    cell = F.floor((F.col("key").cast("double") - F.lit(float(lo))) * F.lit(scale))
-    return rows.groupBy(cell.alias("cell")).agg(F.sum("weight").alias("weight"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+@dataclass(frozen=True)
+class _Cells:
+    """Equal-width cells of some ranges of the key that do not overlap, numbered through."""
+
+    lows: np.ndarray
+    highs: np.ndarray
+    wanted: np.ndarray
+
+    def of(self, key: Column) -> Column:
+        """The cell of a key, null outside all ranges."""
+        lows, highs, wanted, first = self.lows, self.highs, self.wanted, np.cumsum(self.wanted) - self.wanted
+
+        @F.pandas_udf("long")
+        def numbered(keys: pd.Series) -> pd.Series:
+            k = keys.to_numpy(np.int64)
+            at = np.maximum(np.searchsorted(lows, k, "right") - 1, 0)
+            width = highs[at].astype(np.float64) - lows[at].astype(np.float64) + 1
+            cell = np.minimum((k.astype(np.float64) - lows[at].astype(np.float64)) / width * wanted[at], wanted[at] - 1)
+            inside = (k >= lows[at]) & (k <= highs[at])
+            return pd.Series(first[at] + np.maximum(cell, 0).astype(np.int64)).where(inside)
+
+        return numbered(key)
+
+    def weighed(self, rows: DataFrame) -> list:
+        """(lo, hi, weight) of every cell that has keys, by one pass over the rows."""
+        found = rows.withColumn("cell", self.of(F.col("key"))).where("cell is not null").groupBy("cell")
+        return found.agg(F.sum("weight").alias("weight"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
 
 
-def balanced_ranges(rows: DataFrame, target: int) -> Ranges:
-    """Cut the keys of ``rows`` (key long, weight long) into ranges of about ``target`` weight.
+def balanced_ranges(rows: DataFrame, target: int, most: int = MOST_RANGES) -> Ranges:
+    """Cut the keys of ``rows`` (key long, weight long) into ranges of about ``target`` weight, or more if ``most`` would not do.
 
     Counts weights in equal-width cells over all rows and looks closer only
-    into cells that outweigh a range, so clustered keys cost another narrow
-    pass, not a lopsided cut.  What the driver sees is cells, a small multiple
-    of the number of ranges.  Nothing is sampled, so the cut is reproducible.
+    into cells that outweigh a range, all of them in one narrow pass for each
+    level, so clustered keys cost another pass, not a lopsided cut.  What the
+    driver sees is cells, a small multiple of the number of ranges.  Nothing is
+    sampled, so the cut is reproducible.
     """
     rows = rows.where(F.col("key").isNotNull())
     lo, hi, total = rows.agg(F.min("key"), F.max("key"), F.sum("weight")).first()
     if total is None:
         return Ranges(np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64), 1)
-    wanted = min(max(LEAST_CELLS, 16 * int(total // target + 1)), MOST_CELLS)
+    target = max(target, -(-total // most))
     done: list[tuple[int, int]] = []
-    open_cells = [(lo, hi)]
-    while open_cells:
-        heavier = []
-        for a, b in open_cells:
-            share = wanted if len(open_cells) == 1 else LEAST_CELLS
-            for r in _cells(rows.where(F.col("key").between(a, b)), a, b, share).collect():
-                if r["weight"] > target and r["hi"] > r["lo"] and (r["lo"], r["hi"]) != (a, b):
-                    heavier.append((r["lo"], r["hi"]))
-                else:
-                    done.append((r["lo"], r["weight"]))
-        open_cells = heavier
+    heavy = [(lo, hi, total)]
+    while heavy:
+        heavy.sort()
+        lows, highs = (np.array([h[k] for h in heavy], np.int64) for k in (0, 1))
+        wanted = np.array([max(LEAST_CELLS if len(heavy) == 1 else 16, 16 * (w // target + 1)) for *_, w in heavy], np.int64)
+        before = {h[:2] for h in heavy}
+        heavy = []
+        for r in _Cells(lows, highs, wanted).weighed(rows):
+            if r["weight"] > target and r["hi"] > r["lo"] and (r["lo"], r["hi"]) not in before:
+                heavy.append((r["lo"], r["hi"], r["weight"]))
+            else:
+                done.append((r["lo"], r["weight"]))
     starts, first, parts, filled, shards = [], [], [], target, 0
     for key, weight in sorted(done):
         if weight >= 2 * target:

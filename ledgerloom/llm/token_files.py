@@ -178,7 +178,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, spaced: bool
     with arrow_batches(documents.sparkSession):
         # A row per file: about the corpus over SHARD_BYTES of them.
         written = [r.asDict() for r in rows.mapInArrow(_writer(folder, tokenizer, spaced, end_id), WRITTEN).collect()]
-    files.commit(folder, written)
+    files.commit(documents.sparkSession, folder, written)
     return files.manifest(folder)
 
 

@@ -39,7 +39,7 @@ from ledgerloom.llm.text import arrow_batches, utf8_size
 from ledgerloom.storage import new_path, stored
 
 REVISIT_BYTES = 1000
-#: Payload bytes of a task, and compressed bytes after which it starts a new file.
+#: Payload bytes of a task, more in inputs of over 50 000 such tasks, and compressed bytes after which it starts a new file.
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 #: Record header and gzip framing, counted as the weight of an empty page.
@@ -74,14 +74,15 @@ def _record(kind: str, headers: list[tuple[str, object]], block: bytes) -> bytes
     return head.encode() + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """The response or revisit record of a page."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, nth: int = 0) -> bytes:
+    """The response or revisit record of a page, the ``nth`` of those with its id and payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "revisit" if revisit else "response"
     headers = [
-        ("WARC-Record-ID", _record_id(kind, page_id, url, digest)), ("WARC-Date", DATE),
+        ("WARC-Record-ID", _record_id(kind, page_id, digest, nth)), ("WARC-Date", DATE),
         ("WARC-Target-URI", None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)),
         ("WARC-Payload-Digest", f"sha1:{_base32(digest)}"), ("WARC-Profile", PROFILE if revisit else None),
+        ("WARC-Refers-To", _record_id("response", refers_to, digest, 0) if revisit else None),
         ("WARC-Page-ID", page_id), ("WARC-Refers-To-Page-ID", refers_to if revisit else None), ("Content-Type", "application/http; msgtype=response"),
     ]
     return _record(kind, headers, http if revisit else http + payload)
@@ -115,7 +116,7 @@ def _writer(folder: str, roll_bytes: int):
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = files.opened(folder)
-        shard, rolled, file, verdict = None, 0, None, None
+        shard, rolled, file, verdict, last, nth = None, 0, None, None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["is_verdict"]:
@@ -128,8 +129,10 @@ def _writer(folder: str, roll_bytes: int):
                     shard = row["shard"]
                     file = _File(store, root, f"pages-{shard:06d}-{rolled:05d}.warc.gz")
                 payload = (row["html"] or "").encode()
+                # Pages that repeat id and payload stand together, whatever their URLs.
+                last, nth = (row["page_id"], row["digest"]), nth + 1 if last == (row["page_id"], row["digest"]) else 0
                 revisit = verdict is not None and (verdict["page_id"], verdict["digest"]) == (row["page_id"], row["digest"])
-                file.add(page_record(row["page_id"], row["url"], payload, row["digest"], verdict["refers_to"] if revisit else None, revisit))
+                file.add(page_record(row["page_id"], row["url"], payload, row["digest"], verdict["refers_to"] if revisit else None, revisit, nth))
         if file:
             yield pa.RecordBatch.from_pylist([file.closed()], schema)
 
@@ -164,7 +167,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     with arrow_batches(spark, PAGES_PER_BATCH):
         # A row per file: about the corpus over ROLL_BYTES of them.
         written = [r.asDict() for r in rows.mapInArrow(_writer(folder, roll_bytes), WRITTEN).collect()]
-    files.commit(folder, written)
+    files.commit(spark, folder, written)
     return files.manifest(folder)
 
 
