@@ -50,10 +50,18 @@ places AS (SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
   FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))),
 hits AS (SELECT k, i, n, item_id FROM places JOIN windows USING (n, gram)),
 hit_words AS (SELECT k, count(DISTINCT i + j) AS n_hit FROM (SELECT k, i, unnest(range(n)) AS j FROM hits) GROUP BY k),
+stretches AS (SELECT DISTINCT item_id, list_distinct(w[i:i + 9]) AS terms FROM (SELECT item_id, w, unnest(range(1, len(w) + 1, 10)) AS i FROM items WHERE len(w) > 0)),
+seen AS (SELECT k, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+asked AS (SELECT row_number() OVER () AS s, item_id, unnest(terms) AS word, len(terms) AS n FROM stretches),
+-- A stretch is near if the last places of its words up to some place lie within twenty of it.
+rare AS (SELECT k, s, any_value(n) AS n FROM seen JOIN asked USING (word) GROUP BY k, s HAVING count(DISTINCT word) = any_value(n)),
+steps AS (SELECT r.k, r.s, r.n, seen.i, seen.word FROM rare r JOIN asked a ON a.s = r.s JOIN seen ON seen.k = r.k AND seen.word = a.word),
+near AS (SELECT DISTINCT k, s FROM (SELECT k, s, n, i, count(DISTINCT word) OVER (PARTITION BY k, s ORDER BY i RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) AS c FROM steps) WHERE c = n),
+close AS (SELECT k, count(DISTINCT item_id) AS n_near FROM near JOIN asked USING (s) GROUP BY k),
 named AS (SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS id FROM hits) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hit_words USING (k) LEFT JOIN named USING (k)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM docs LEFT JOIN hit_words USING (k) LEFT JOIN named USING (k) LEFT JOIN close USING (k)
 """
 
 OP2 = """

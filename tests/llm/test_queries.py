@@ -33,12 +33,13 @@ def test_empty_tables(spark, tables, name):
 def test_op1(spark, tables, docs):
     items = benchmark_items(docs)
     want = []
-    windows = defaultdict(set)
+    windows, stretches = defaultdict(set), []
     for item, text in items:
         words = re.findall(ITEM, (text or "").translate(LOWER))
         if item is not None and words:
             for i in range(max(1, len(words) - 9)):
                 windows[tuple(words[i : i + 10])].add(str(item))
+            stretches += [(item, set(words[i : i + 10])) for i in range(0, len(words), 10)]
     for doc_id, text, *_ in docs:
         words = re.findall(ITEM, (text or "").translate(LOWER))
         hit, named = set(), set()
@@ -47,9 +48,11 @@ def test_op1(spark, tables, docs):
                 if tuple(words[i : i + len(w)]) == w:
                     hit.update(range(i, i + len(w)))
                     named |= ids
-        want.append((doc_id, len(words), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)))
+        near = {i for i, terms in stretches if any(terms <= set(words[k : k + 20]) for k in range(len(words)))}
+        want.append((doc_id, len(words), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit), len(near)))
     got = rows_of(spark, tables, "op1_benchmark_postings")
-    same([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got], want)
+    same([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"], r["n_near"]) for r in got], want)
+    assert any(r["n_near"] > r["n_items"] for r in got)
     assert any(r["contaminated"] for r in got)
 
 
