@@ -159,3 +159,34 @@ def with_neighbours(rows: DataFrame, seed: Column, group: list[str], order: str)
     """Seed rows and the rows next to them, blank ones left out."""
     w = W.Window.partitionBy(*group).orderBy(order).rowsBetween(-1, 1)
     return rows.withColumn("_near", F.max(F.coalesce(seed, F.lit(False)).cast("int")).over(w)).where("_near = 1").drop("_near")
+
+
+#: Similarity from which a word is an anchor, the band in which a surname may hide, and the letters that each needs.
+ANCHOR_LEAST, ANCHOR_LETTERS, SURNAME_LETTERS = 82, 5, 7
+GREY, CLEAR = 60, 78
+
+
+def rescue_pick(lines: DataFrame, surnames: list[str], confusers: list[str], anchors: list[str], normal=F.lower, grey: float = GREY, clear: float = CLEAR) -> DataFrame:
+    """Lines (run, page, line_no, line) worth reading again, with the lines next to them.
+
+    A line is picked if a word of it resembles an anchor, a first name or a
+    patronymic of the family, or if a longer word lies in the grey band of the
+    surnames and no confuser explains it better.  Surnames may match a stretch
+    of a word, confusers only the whole.
+    """
+    words = lines.select("run", "page", "line_no", F.explode(F.regexp_extract_all("line", F.lit("(?U)" + TOKEN), 0)).alias("word")).withColumn("norm", normal(F.col("word")))
+
+    @F.pandas_udf(T.BooleanType())
+    def picked(norms: pd.Series) -> pd.Series:
+        place, distinct = pd.factorize(norms.fillna(""))
+        names = list(distinct)
+        best = lambda stems, score: np.max([score(s, names) for s in stems], axis=0) if stems else np.zeros(len(names))
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        anchored = (sizes >= ANCHOR_LETTERS) & (best(anchors, ratios_to) >= ANCHOR_LEAST)
+        full, confused = best_scores(surnames, names), best(confusers, ratios_to)
+        hidden = (sizes >= SURNAME_LETTERS) & (confused < full) & (full >= grey) & (full < clear)
+        return pd.Series((anchored | hidden)[place])
+
+    seeds = words.where(picked(F.col("norm"))).select("run", "page", "line_no").distinct()
+    near = seeds.select("run", "page", F.explode(F.array(*(F.col("line_no") + d for d in (-1, 0, 1)))).alias("line_no")).distinct()
+    return lines.where(F.trim("line") != "").join(near, ["run", "page", "line_no"], "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.facts import first_of_type, weakest
 from ledgerloom.storage import stored
 
 
@@ -17,6 +18,45 @@ def family_edges(families: DataFrame) -> DataFrame:
     return down.unionByName(wed).distinct()
 
 
+def typed_links(families: DataFrame, persons: DataFrame) -> DataFrame:
+    """(source, target, kind, family_id, hypothetical, status, confidence) of families whose members are known persons.
+
+    A family has family_id, husband, wife, hypothetical_husband,
+    hypothetical_wife, children, hypothetical_children and facts (type, status,
+    confidences).  A disputed marriage makes its links disputed, a speculative
+    one the couple a hypothesis, and a hypothetical member every link of its
+    own.  A couple is linked once, by its first family.
+    """
+    marriage = first_of_type(F.col("facts"), "marriage")
+    df = families.withColumn("_m", marriage).withColumns({"_weakest": weakest(F.col("_m.confidences")), "_disputed": F.coalesce(F.col("_m.status") == "disputed", F.lit(False))})
+    none = F.array().cast("array<string>")
+    one = lambda sure, maybe: F.filter(F.array(F.struct(F.col(sure).alias("id"), F.lit(False).alias("maybe")), F.struct(F.when(~F.col(maybe).eqNullSafe(F.col(sure)), F.col(maybe)).alias("id"), F.lit(True).alias("maybe"))), lambda p: p["id"].isNotNull())
+    kids = F.coalesce("children", none)
+    each = lambda ids, maybe: F.transform(ids, lambda c: F.struct(c.alias("id"), F.lit(maybe).alias("maybe")))
+    df = df.withColumns({
+        "_husbands": one("husband", "hypothetical_husband"), "_wives": one("wife", "hypothetical_wife"),
+        "_children": F.concat(each(kids, False), each(F.array_except(F.coalesce("hypothetical_children", none), kids), True)),
+    })
+    keep = ["family_id", "_weakest", "_disputed"]
+    parents = df.select(*keep, F.explode(F.concat("_husbands", "_wives")).alias("a"), "_children").select(*keep, "a", F.explode("_children").alias("b"))
+    couples = df.select(*keep, F.explode("_husbands").alias("a"), "_wives").select(*keep, "a", F.explode("_wives").alias("b"))
+
+    def known(pairs: DataFrame, kind: str, otherwise: Column) -> DataFrame:
+        hypothetical = F.col("a.maybe") | F.col("b.maybe")
+        status = F.when(hypothetical, "hypothesis").when(F.col("_disputed"), "disputed").otherwise(otherwise)
+        links = pairs.select(F.col("a.id").alias("source"), F.col("b.id").alias("target"), F.lit(kind).alias("kind"), "family_id", hypothetical.alias("hypothetical"), status.alias("status"), F.col("_weakest").alias("confidence"))
+        for end in ("source", "target"):
+            links = links.join(persons.select(F.col("node").alias(end)), end, "left_semi")
+        return links
+
+    speculative = F.when(F.col("_weakest") == "speculative", "hypothesis").otherwise("confirmed")
+    wed = known(couples, "spouse", speculative).withColumns({"_low": F.least("source", "target"), "_high": F.greatest("source", "target")})
+    rest = ["kind", "family_id", "hypothetical", "status", "confidence"]
+    once = wed.groupBy("_low", "_high").agg(F.min_by(F.struct(*rest), F.struct("family_id", "hypothetical")).alias("l"))
+    once = once.select(F.col("_low").alias("source"), F.col("_high").alias("target"), *(F.col(f"l.{c}").alias(c) for c in rest))
+    return known(parents, "parent", F.lit("confirmed")).select("source", "target", *rest).unionByName(once)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached.
 

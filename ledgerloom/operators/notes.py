@@ -87,3 +87,17 @@ def newest_first_pages(rows: DataFrame, group: str, order: str, n: int) -> DataF
     """The ``n`` latest rows of each group; Spark prunes each task to n before the shuffle."""
     nth = F.row_number().over(W.Window.partitionBy(group).orderBy(F.desc(order), *[c for c in rows.columns if c not in (group, order)]))
     return rows.withColumn("nth", nth).where(F.col("nth") <= n)
+
+
+def noted_pages(notes: DataFrame, *key: str) -> DataFrame:
+    """Pages noted of each case, and how many of them in full."""
+    return notes.groupBy(*key).agg(F.count(F.lit(1)).alias("n_noted"), F.count_if(F.col("status") == "full").alias("n_full"))
+
+
+def quarantined(dead: DataFrame, failures: DataFrame, key: list[str]) -> DataFrame:
+    """Pages set aside with the reason and time of their last failure, and how often they failed.
+
+    ``dead`` and ``failures`` have the key, reason and at; ``dead`` also n.
+    """
+    rows = dead.select(*key, "reason", "at", "n").unionByName(failures.select(*key, "reason", "at").withColumn("n", F.lit(1).cast("long")))
+    return rows.groupBy(*key).agg(F.max_by("reason", "at").alias("reason"), F.max("at").alias("at"), F.sum("n").alias("n"))

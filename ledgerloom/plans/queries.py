@@ -260,14 +260,14 @@ def decode_context(t) -> DataFrame:
     return decode.context(lines, hits).select("run", "page", "line_no", F.array_join("after", "|").alias("after"))
 
 
-@query("""WITH p AS (SELECT lang AS run, doc_id AS page, length(text) AS chars, len(string_split(text, chr(10))) AS lines, (doc_id % 3) * 20 AS contrast, doc_id % 5 < 3 AS enhanced FROM documents), f AS (SELECT *, chars / lines AS cpl FROM p WHERE lines > 0),
+@query("""WITH p AS (SELECT lang AS run, doc_id AS page, length(text) AS chars, len(string_split(text, chr(10))) AS lines, (doc_id % 4) * 15 AS contrast, doc_id % 5 < 4 AS enhanced FROM documents), f AS (SELECT *, chars / lines AS cpl FROM p WHERE lines > 0),
 m AS (SELECT run, median(cpl) AS med, count(*) AS n_pages FROM f GROUP BY 1)
 SELECT run, page, lines, n_pages, round(med, 1) AS median_cpl, CASE WHEN contrast < 40 THEN 'faint' ELSE 'enhanced' END AS reason FROM f JOIN m USING (run) WHERE lines >= 25 AND cpl < 0.3 * med AND (contrast < 40 OR enhanced)""")
 def phantom_pages(t) -> DataFrame:
     """Documents as pages of their language, with invented contrasts."""
     pages = t("documents").select(
         F.col("lang").alias("run"), F.col("doc_id").alias("page"), F.length("text").alias("chars"), F.size(F.split("text", "\n", -1)).alias("lines"),
-        ((F.col("doc_id") % 3) * 20).alias("contrast"), (F.col("doc_id") % 5 < 3).alias("enhanced"),
+        ((F.col("doc_id") % 4) * 15).alias("contrast"), (F.col("doc_id") % 5 < 4).alias("enhanced"),
     )
     return decode.phantom_pages(pages).select("run", "page", "lines", "n_pages", F.round("median_cpl", 1).alias("median_cpl"), "reason")
 

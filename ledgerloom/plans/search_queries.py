@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from ledgerloom.functions import normal
+from ledgerloom.functions import facts, normal
 from ledgerloom.functions.similarity import ratio_sql
-from ledgerloom.operators import decode, noted, resolution
+from ledgerloom.operators import decode, graph, noted, notes, resolution
 from ledgerloom.plans.queries import _sql_matching, _window_best, query
 
-_Q = "theringed"
+_Q = "thanedble"
 _N = len(_Q)
 
 
@@ -36,16 +37,16 @@ def grep_surnames(t) -> DataFrame:
 
 
 @query(f"""WITH named AS (SELECT lang AS case_key, doc_id AS rid, unnest(list_concat(
-  [CASE WHEN doc_id % 3 = 0 THEN w[2] ELSE w[3] END], [w[4]])) AS matched, unnest([1, 2]) AS nth FROM (SELECT *, regexp_extract_all(text, '\\p{{L}}+') AS w FROM documents) WHERE len(w) >= 4 AND doc_id % 2 = 0),
+  [w[5]], [w[3]])) AS matched, unnest([1, 2]) AS nth FROM (SELECT *, regexp_extract_all(text, '\\p{{L}}+') AS w FROM documents) WHERE len(w) >= 5 AND doc_id % 2 = 0),
 {_sql_scores('named', 'case_key, rid, nth')}""")
 def grep_records(t) -> DataFrame:
     """Even documents as baptisms of a child, by surname or the last word of a name, and a godparent; odd ones are no baptisms."""
     w = F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
     at = lambda k: F.get(w, F.lit(k))
-    child = F.struct(F.lit("1").alias("role"), F.concat_ws(" ", at(1), at(2)).alias("name"), F.when(F.col("doc_id") % 3 == 0, at(1)).otherwise("").alias("surname"))
-    other = F.struct(F.lit("2").alias("role"), at(3).alias("name"), F.lit(None).cast("string").alias("surname"))
+    child = F.struct(F.lit("1").alias("role"), F.concat_ws(" ", at(3), F.when(F.col("doc_id") % 3 > 0, at(4))).alias("name"), F.when(F.col("doc_id") % 3 == 0, at(4)).otherwise("").alias("surname"))
+    other = F.struct(F.lit("2").alias("role"), at(2).alias("name"), F.lit(None).cast("string").alias("surname"))
     rtype = F.when(F.col("doc_id") % 2 == 0, "birth").otherwise("death")
-    records = t("documents").where(F.size(w) >= 4).select(F.col("lang").alias("case_key"), F.col("doc_id").alias("rid"), rtype.alias("rtype"), F.lit("1850").alias("date"), F.array(F.lit("1")).alias("scans"), F.array(child, other).alias("persons"))
+    records = t("documents").where(F.size(w) >= 5).select(F.col("lang").alias("case_key"), F.col("doc_id").alias("rid"), rtype.alias("rtype"), F.lit("1850").alias("date"), F.array(F.lit("1")).alias("scans"), F.array(child, other).alias("persons"))
     return noted.search_records(records, _Q, rtype="birth", limit=None).select("case_key", "rid", F.col("role").cast("int").alias("nth"), "matched", "score")
 
 
@@ -80,7 +81,7 @@ def resolve_runs(t) -> DataFrame:
     paths = o.select(F.concat(F.lit("archive/x/"), "case").alias("path"), key.alias("case_key"))
     way = lambda k, c: F.when(F.col("way") == k, c)
     other = F.concat(F.lit("text"), F.translate("case", "0123456789", "abcdefghij"))
-    name = F.coalesce(way(3, F.concat_ws("-", F.lit("dahmo"), "fund", "inventory", "case")), way(4, F.concat(F.lit("spov1846-"), F.col("case"))), way(5, F.concat(other, F.lit("-pysar_cyr_v17-review"))), other)
+    name = F.coalesce(way(3, F.concat_ws("-", F.lit("dahmo"), "fund", "inventory", "case")), way(4, F.concat(F.lit("spov1846-"), F.col("case"))), way(5, F.concat(other, F.lit("-skryba_f792_v6-review"))), other)
     folder = F.coalesce(way(2, F.concat(F.lit("archive\\x\\"), F.col("case"), F.lit("\\"))), way(6, F.concat(F.lit("data/raw/dahmo_"), "fund", F.lit("/spr-"), "case")), F.lit(""))
     runs = o.select(F.concat(F.lit("r"), "case").alias("id"), name.alias("run"), F.coalesce(way(1, key), F.lit("")).alias("meta_key"), folder.alias("case_dir"))
     overrides = o.where("way = 0").select(other.alias("run"), F.lit("@bundle").alias("case_key")).unionByName(o.where("way = 5").select(other.alias("run"), key.alias("case_key")))
@@ -104,3 +105,109 @@ def resolve_cases(t) -> DataFrame:
     asked = t("part").select("p_partkey", value.alias("value"))
     found = resolution.resolve_cases(asked.select("value").distinct(), held.unionByName(other))
     return asked.join(found, "value").select("p_partkey", "case_key", "on_disk", "problem")
+
+
+@query("SELECT source AS case_key, count(*) AS n_noted, count(*) FILTER (quality = 1) AS n_full FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def noted_page_counts(t) -> DataFrame:
+    noted = t("documents").join(t("labels"), "doc_id").select(F.col("source").alias("case_key"), F.when(F.col("quality") == 1, "full").otherwise("partial").alias("status"))
+    return notes.noted_pages(noted, "case_key")
+
+
+_FULL, _CONFUSER, _ANCHOR = "smallrods", "smallring", "anvil"
+
+
+@query(f"""WITH l AS (SELECT p_brand AS run, p_type AS page, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS line_no, CASE WHEN p_partkey % 9 = 0 THEN ' ' WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '') ELSE p_name END AS line FROM part),
+w AS (SELECT run, page, line_no, unnest(string_split(line, ' ')) AS w FROM l), s AS (SELECT *, {ratio_sql(f"'{_ANCHOR}'", 'w')} AS a, {ratio_sql(f"'{_CONFUSER}'", 'w')} AS c, CASE WHEN length(w) >= 5 THEN {ratio_sql(f"'{_FULL}'", 'w')} ELSE 0 END AS f,
+  CASE WHEN length(w) >= {len(_FULL)} THEN greatest({_window_best(f"'{_FULL}'", 'w', str(len(_FULL)))}, CASE WHEN length(w) = {len(_FULL)} THEN {_window_best('w', f"'{_FULL}'", 'length(w)')} ELSE 0 END) ELSE 0 END AS p FROM w WHERE w <> ''),
+seed AS (SELECT DISTINCT run, page, line_no FROM s WHERE length(w) >= 5 AND a >= 82 OR length(w) >= 7 AND c < greatest(f, p) AND greatest(f, p) >= 60 AND greatest(f, p) < 78)
+SELECT run, page, line_no, line FROM l WHERE trim(line) <> '' AND EXISTS (SELECT 1 FROM seed x WHERE x.run = l.run AND x.page = l.page AND abs(x.line_no - l.line_no) <= 1)""")
+def rescue_pick(t) -> DataFrame:
+    """Names of parts as lines, some blank: an anchor, a surname's grey band, and a confuser that vetoes."""
+    nth = F.row_number().over(W.Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")).cast("long")
+    line = F.when(F.col("p_partkey") % 9 == 0, " ").when(F.col("p_partkey") % 2 == 0, F.replace(F.col("p_name"), F.lit(" "), F.lit(""))).otherwise(F.col("p_name"))
+    lines = t("part").select(F.col("p_brand").alias("run"), F.col("p_type").alias("page"), nth.alias("line_no"), line.alias("line"))
+    return decode.rescue_pick(lines, [_FULL], [_CONFUSER], [_ANCHOR])
+
+
+_CONF = "['direct', 'indirect', 'circumstantial', 'speculative', 'negative', 'rumour']"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, event_type, year(ts) AS y, event_id % 4 = 0 AS undated, event_id % 3 = 0 AS ranged, {_CONF}[(event_id % 6 + 1)::INT] AS conf FROM events),
+first AS (SELECT user_id, arg_min(y, event_id) AS birth, arg_min(CASE WHEN event_id % 2 = 0 THEN 'about' ELSE 'exact' END, event_id) AS how FROM e WHERE event_type = 'click' AND NOT undated GROUP BY 1),
+life AS (SELECT user_id, min(y) AS low, max(y + CASE WHEN ranged THEN 3 ELSE 0 END) AS high FROM e WHERE event_type IN ('view', 'scroll', 'purchase') AND NOT undated GROUP BY 1),
+proof AS (SELECT user_id, arg_min(conf, struct_pack(r := CASE conf WHEN 'direct' THEN 4 WHEN 'indirect' THEN 3 WHEN 'circumstantial' THEN 2 WHEN 'speculative' THEN 1 WHEN 'negative' THEN 0 ELSE 99 END, i := event_id)) AS weakest FROM e GROUP BY 1)
+SELECT p.user_id, birth::INT AS birth, how, low::INT AS low, high::INT AS high, weakest FROM proof p LEFT JOIN first USING (user_id) LEFT JOIN life USING (user_id)""")
+def fact_summaries(t) -> DataFrame:
+    """Users as persons, their events as facts: first dated birth with its qualifier, range of dated life facts, weakest proof."""
+    e = F.col("event_id")
+    year = F.year("ts")
+    text = lambda y: F.concat(y.cast("string"), F.lit("-01"))
+    conf = F.element_at(F.array(*map(F.lit, ("direct", "indirect", "circumstantial", "speculative", "negative", "rumour"))), (e % 6 + 1).cast("int"))
+    fact = F.struct(
+        e.alias("at"), F.col("event_type").alias("type"), F.when(e % 4 == 0, "unknown").otherwise(text(year)).alias("date"), F.when((e % 3 == 0) & (e % 4 != 0), text(year + 3)).alias("range_end"),
+        F.when(e % 2 == 0, "about").otherwise("").alias("qualifier"), conf.alias("confidence"),
+    )
+    persons = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    born, life = facts.year_of(F.col("facts"), "click"), facts.year_range(F.col("facts"), ("view", "scroll", "purchase"))
+    return persons.select("user_id", born["year"].alias("birth"), born["qualifier"].alias("how"), life["low"].alias("low"), life["high"].alias("high"), facts.weakest(F.transform("facts", lambda f: f["confidence"])).alias("weakest"))
+
+
+@query("""WITH f AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS id, 'p' || (c_custkey * 10)::VARCHAR AS h, 'p' || (c_custkey * 10 + 1)::VARCHAR AS w, CASE WHEN c_custkey % 3 = 0 THEN 'p' || (c_custkey * 10 + 2)::VARCHAR END AS hw FROM customer),
+sure AS (SELECT k, id, h, w, CASE k % 5 WHEN 1 THEN 'disputed' WHEN 2 THEN 'hypothesis' ELSE 'confirmed' END AS pair, CASE k % 5 WHEN 1 THEN 'disputed' ELSE 'confirmed' END AS parent, CASE k % 5 WHEN 0 THEN NULL WHEN 2 THEN 'speculative' ELSE 'indirect' END AS conf, hw FROM f),
+child AS (SELECT *, 'p' || (k * 10 + 5)::VARCHAR AS c, false AS maybe FROM sure UNION ALL SELECT *, 'p' || (k * 10 + 6)::VARCHAR, true FROM sure WHERE k % 4 = 0)
+SELECT h AS source, c AS target, 'parent' AS kind, id AS family_id, maybe AS hypothetical, CASE WHEN maybe THEN 'hypothesis' ELSE parent END AS status, conf AS confidence FROM child
+UNION ALL SELECT w, c, 'parent', id, maybe, CASE WHEN maybe THEN 'hypothesis' ELSE parent END, conf FROM child UNION ALL SELECT hw, c, 'parent', id, true, 'hypothesis', conf FROM child WHERE hw IS NOT NULL
+UNION ALL SELECT h, w, 'spouse', id, false, pair, conf FROM sure UNION ALL SELECT h, hw, 'spouse', id, true, 'hypothesis', conf FROM sure WHERE hw IS NOT NULL""")
+def family_links(t) -> DataFrame:
+    """Customers as families: a couple, at times a second wife who is a guess, a child, at times another that is a guess, one nobody knows."""
+    k = F.col("c_custkey")
+    p = lambda n: F.concat(F.lit("p"), (k * 10 + n).cast("string"))
+    conf = F.when(k % 5 == 2, F.array(F.lit("direct"), F.lit("speculative"))).otherwise(F.array(F.lit("indirect"), F.lit("direct")))
+    marriage = F.struct(F.lit("marriage").alias("type"), F.when(k % 5 == 1, "disputed").otherwise("known").alias("status"), conf.alias("confidences"))
+    other = F.struct(F.lit("move").alias("type"), F.lit("disputed").alias("status"), F.array(F.lit("negative")).alias("confidences"))
+    nobody = F.lit(None).cast("string")
+    families = t("customer").select(
+        k.cast("string").alias("family_id"), p(0).alias("husband"), p(1).alias("wife"), nobody.alias("hypothetical_husband"), F.when(k % 3 == 0, p(2)).otherwise(p(1)).alias("hypothetical_wife"),
+        F.array(p(5), p(9)).alias("children"), F.when(k % 4 == 0, F.array(p(5), p(6))).alias("hypothetical_children"), F.when(k % 5 == 0, F.array(other)).otherwise(F.array(other, marriage)).alias("facts"),
+    )
+    persons = t("customer").select(F.explode(F.array(*(p(n) for n in (0, 1, 2, 5, 6)))).alias("node"))
+    return graph.typed_links(families, persons)
+
+
+@query("""WITH m AS (SELECT p_partkey, p_partkey % 6 AS k FROM part), v AS (SELECT p_partkey, k, unnest(CASE k WHEN 0 THEN ['pysar'] WHEN 1 THEN ['pysar', 'diak'] WHEN 2 THEN ['diak'] WHEN 4 THEN ['skryba'] ELSE []::VARCHAR[] END) AS voice FROM m),
+n AS (SELECT p_partkey, string_agg(voice, '+' ORDER BY voice DESC) AS voices FROM v GROUP BY 1)
+SELECT p_partkey, CASE k WHEN 0 THEN 'parseq' WHEN 1 THEN 'parseq' WHEN 2 THEN 'kraken' WHEN 3 THEN 'churro' WHEN 4 THEN 'own' ELSE '' END AS engine, coalesce(voices, '') AS voices,
+  CASE k WHEN 0 THEN 'cyrillic' WHEN 1 THEN 'cyrillic' WHEN 2 THEN 'latin' WHEN 4 THEN 'latin' ELSE 'unknown' END AS script, CASE WHEN p_partkey % 4 = 0 THEN 'latin' WHEN p_partkey % 4 = 1 THEN 'latin' ELSE 'cyrillic' END AS case_script FROM m LEFT JOIN n USING (p_partkey)""")
+def run_voices(t) -> DataFrame:
+    """Parts as runs: engine, voices and script by the names of models, and a case's script by its folder or a person's word."""
+    k = F.col("p_partkey") % 6
+    models = ("pysar_cyr_v17.pt", "pysar_v3+diak_v4.pt", "x/other.mlmodel", "org/churro-3b", "skryba_f792", "mystery")
+    model = F.element_at(F.array(*map(F.lit, models)), (k + 1).cast("int"))
+    engine = facts.engine_of(F.when(k == 4, "own").otherwise(""), F.col("model"))
+    runs = t("part").select("p_partkey", model.alias("model"), k.alias("k")).withColumn("engine", engine)
+    said = F.array_join(F.sort_array(F.transform(facts.voices(F.col("model"), F.col("engine")), lambda v: v["voice"]), asc=False), "+")
+    turn = F.col("p_partkey") % 4
+    case = facts.script_of_case(F.when(turn == 1, "raw/kostel_12").otherwise("raw/latin/spr-1"), F.when(turn == 0, "latin").otherwise("both"))
+    return runs.select("p_partkey", "engine", said.alias("voices"), facts.script_of(F.col("model"), F.col("engine")).alias("script"), case.alias("case_script"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, text, conv_id % 2 = 0 AS numbered FROM conversations), g AS (SELECT conv_id, string_agg(role || ':' || left(text, 10), '|' ORDER BY turn, role, text) AS sig, count(*) AS n FROM r GROUP BY 1)
+SELECT conv_id, 'page' || conv_id::VARCHAR || '-b' || CASE WHEN conv_id % 2 = 0 THEN (conv_id + 5)::VARCHAR || 'a' ELSE 'x' || left(sha256(sig), 8) END AS rid, n::INT AS total FROM g""")
+def record_ids(t) -> DataFrame:
+    """Conversations as records: ids by their number, or by who takes part where it is unreadable; counts without what is no number."""
+    person = F.struct("turn", "role", "text", F.left("text", F.lit(10)).alias("name"))
+    g = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(person)).alias("persons"))
+    row = F.when(F.col("conv_id") % 2 == 0, F.concat((F.col("conv_id") + 5).cast("string"), F.lit(" A"))).otherwise("[unreadable]")
+    scans = F.array(F.concat(F.lit("page"), F.col("conv_id").cast("string"), F.lit(".jpg")))
+    counts = facts.clean_counts(F.create_map(F.lit("all"), F.concat(F.lit(" "), F.size("persons").cast("string"), F.lit(" ")), F.lit("m"), F.lit("illegible")))
+    return g.select("conv_id", facts.record_id(scans, F.lit("birth"), row, F.col("persons")).alias("rid"), F.when(F.size(counts) == 1, counts["all"]).alias("total"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type AS page, arg_max(props, event_id) AS reason, max(event_id) AS at, count(*) AS n FROM events WHERE value < 30 GROUP BY 1, 2) SELECT * FROM f""")
+def quarantine(t) -> DataFrame:
+    """Events of little value as failures of pages: the earlier ones set aside already, the later ones on top."""
+    failed = t("events").where("value < 30").select("user_id", F.col("event_type").alias("page"), F.col("props").alias("reason"), F.col("event_id").alias("at"))
+    key = ["user_id", "page"]
+    none = failed.limit(0).withColumn("n", F.lit(0).cast("long"))
+    before = notes.quarantined(none, failed.where("at % 3 = 0"), key)
+    return notes.quarantined(before, failed.where("at % 3 <> 0"), key)

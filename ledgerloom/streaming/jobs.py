@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.notes import last_wins
+from ledgerloom.storage import hadoop_fs
+
 PROTOCOL_VERSION = 1
 PREFIX = "@progress "
 EVENT = "v int, phase string, i int, n int, item string, done int, skipped int, failed int, message string"
@@ -64,21 +67,49 @@ def recovered(states: DataFrame) -> DataFrame:
     return states.withColumn("state", F.when(F.col("state").isin(*FINAL), F.col("state")).otherwise("error"))
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """A query that keeps the last row of each key at ``path``; a batch that is repeated changes nothing."""
-    from ledgerloom.operators.notes import last_wins
-    from ledgerloom.storage import hadoop_fs
-
-    def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fs, now = hadoop_fs(spark, path)
-        old = spark.read.parquet(path) if fs.exists(now) else None
-        rows = last_wins(batch if old is None else old.unionByName(batch), key, order)
-        rows.write.mode("overwrite").parquet(f"{path}.{epoch}")
-        if old is not None:
-            fs.delete(now, True)
-        fs.rename(hadoop_fs(spark, f"{path}.{epoch}")[1], now)
+#: Parts of an upserted table, by hash of the key; a batch rewrites those it touches.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """The newest complete version of an upserted table, and which version each of its parts was last written by."""
+    fs, where = hadoop_fs(spark, f"{path}/_versions/*/_SUCCESS")
+    versions = sorted(int(status.getPath().getParent().getName()) for status in fs.globStatus(where) or [])
+    if not versions:
+        return -1, {}
+    rows = spark.read.schema("bucket int, version long").json(f"{path}/_versions/{versions[-1]:020d}").where("bucket is not null").collect()
+    return versions[-1], {r["bucket"]: r["version"] for r in rows}
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of an upserted table, None before its first batch."""
+    _, parts = _manifest(spark, path)
+    return spark.read.parquet(*(f"{path}/{version:020d}/bucket={bucket}" for bucket, version in sorted(parts.items()))) if parts else None
 
+
+def upserted(batch: DataFrame, epoch: int, path: str, key: str, order: str) -> None:
+    """Put the last row of each key of a batch into the table at ``path``.
+
+    Parts that the batch touches are written anew beside the old ones; the
+    list of parts, written last, makes them count.  Whatever a crash leaves is
+    never read, and a batch that is repeated changes nothing.
+    """
+    spark = batch.sparkSession
+    version, parts = _manifest(spark, path)
+    if epoch <= version:
+        return
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    touched = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+    old = [f"{path}/{parts[b]:020d}/bucket={b}" for b in touched if b in parts]
+    rows = last_wins(batch.unionByName(spark.read.parquet(*old)) if old else batch, key, order)
+    rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{epoch:020d}")
+    listed = spark.createDataFrame(sorted((parts | dict.fromkeys(touched, epoch)).items()), "bucket int, version long")
+    listed.coalesce(1).write.mode("overwrite").json(f"{path}/_versions/{epoch:020d}")
+
+
+def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
+    """A query that keeps the last row of each key in the upserted table at ``path``."""
+    put = lambda batch, epoch: upserted(batch, epoch, path, key, order)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

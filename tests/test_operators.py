@@ -150,7 +150,13 @@ def test_upserting_stream_keeps_the_last_row(spark, tmp_path):
     spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, n int, v string").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("k int, n int, v string").parquet(f"{tmp_path}/in")
     jobs.upsert_batches(stream, f"{tmp_path}/out", "k", "n", f"{tmp_path}/c").awaitTermination(120)
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, "b"), (2, "c")}
+    assert {(r["k"], r["v"]) for r in jobs.current(spark, f"{tmp_path}/out").collect()} == {(1, "b"), (2, "c")}
+    more = spark.createDataFrame([(2, 9, "z"), (7, 1, "n")], "k int, n int, v string")
+    for _ in range(2):  # a repeated batch changes nothing
+        jobs.upserted(more, 5, f"{tmp_path}/out", "k", "n")
+    # What a crash left, a version without its list, is not read.
+    spark.createDataFrame([(1, 99, "lost", 0)], "k int, n int, v string, bucket int").write.partitionBy("bucket").parquet(f"{tmp_path}/out/{6:020d}")
+    assert {(r["k"], r["v"]) for r in jobs.current(spark, f"{tmp_path}/out").collect()} == {(1, "b"), (2, "z"), (7, "n")}
 
 
 def test_sources(spark, tmp_path):
