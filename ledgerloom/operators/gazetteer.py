@@ -178,3 +178,29 @@ def with_latin_forms(places: DataFrame) -> DataFrame:
     """Places with the matching forms of both their names, for queries in Latin script."""
     forms = F.array_distinct(F.filter(F.array(matching_form(F.col("name_uk")), matching_form(F.col("name_ru"))), lambda x: x != ""))
     return places.withColumn("translit", F.array_join(forms, " "))
+
+
+# Endings of districts' adjectives in the matching form, and the least similarity of roots.
+ADJECTIVE_ENDINGS = ("skogo", "skomu", "skoi", "skii", "skij", "skiy", "skoy", "ska", "sk")
+ROOT_LEAST, ROOT_LETTERS = 80, 3
+
+
+def place_root(c: Column) -> Column:
+    """The matching form of a place without an adjective's ending, if four letters are left of it."""
+    form = matching_form(c)
+    return F.coalesce(F.nullif(F.regexp_extract(form, rf"^(.{{4,}}?)(?:{'|'.join(ADJECTIVE_ENDINGS)})$", 1), F.lit("")), form)
+
+
+def of_place(rows: DataFrame, q: str, *columns: str) -> DataFrame:
+    """Rows that name a place in one of some columns, in whatever script, case or derived form.
+
+    Roots are compared: one begins the other, or they are much alike.  Whole
+    forms would not do, as districts share their endings.
+    """
+    root = rows.sparkSession.range(1).select(place_root(F.lit(q)).alias("r")).first()["r"]
+    if len(root) < ROOT_LETTERS:
+        return rows.limit(0)
+    marked = rows.withColumn("_roots", F.filter(F.array(*(place_root(F.col(c)) for c in columns)), lambda r: r != ""))
+    begins = F.exists("_roots", lambda r: r.startswith(root) | F.startswith(F.lit(root), r))
+    alike = F.exists("_roots", lambda r: (F.length(r) >= ROOT_LETTERS) & (ratio_to(root, r) >= ROOT_LEAST))
+    return marked.where(begins | alike).drop("_roots")

@@ -48,7 +48,7 @@ def search_records(records: DataFrame, q: str, least: int = 80, role: str = "",
     role, name and surname.
     """
     people = records.where(F.lit(not rtype) | (F.col("rtype") == rtype)).select("case_key", "rid", "rtype", "date", "scans", F.explode("persons").alias("p"))
-    last = F.element_at(F.filter(F.split(F.coalesce("p.name", F.lit("")), r"\s+"), lambda w: w != ""), -1)
+    last = F.try_element_at(F.filter(F.split(F.coalesce("p.name", F.lit("")), r"\s+"), lambda w: w != ""), F.lit(-1))
     named = people.where(F.lit(not role) | (F.col("p.role") == role)).select("case_key", "rid", "rtype", "date", "scans", F.col("p.role").alias("role"), F.col("p.name").alias("name"), F.coalesce(F.nullif("p.surname", F.lit("")), last).alias("matched"))
     return _ranked(named.where("matched <> ''"), q, least, limit, "case_key", "rid", "name")
 

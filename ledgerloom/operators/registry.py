@@ -112,7 +112,7 @@ def cited_scans(page: Column, *texts: Column) -> Column:
     Years are no scans.
     """
     ends = F.transform(F.regexp_extract_all(F.regexp_extract(page, r"^\s*(\d{1,5}(?:\s*[-–]\s*\d{1,5})?)\s*$", 1), F.lit(r"\d+"), 0), lambda x: x.cast("int"))
-    low, high = F.get(ends, F.lit(0)), F.element_at(ends, -1)
+    low, high = F.get(ends, F.lit(0)), F.try_element_at(ends, F.lit(-1))
     span = F.when(F.size(ends) == 0, F.array().cast("array<int>")).when((high > low) & (high - low <= MOST_RANGE), F.sequence(low, F.greatest(low, high))).otherwise(F.array(low))
     lists = F.regexp_extract_all(F.concat_ws(" ", page, *texts), F.lit(r"(?iu)скан[иі]?\s*([0-9,\s/і-]{3,40})"), 1)
     numbers = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"[0-9]{3,5}"), 0)))

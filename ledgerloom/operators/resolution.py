@@ -111,7 +111,7 @@ def with_case_of_path(rows: DataFrame, path: str, out: str = "mark") -> DataFram
     between = lambda i: (i > 0) & (i + 1 < F.size("_parts"))
     df = rows.withColumn("_parts", path_parts(F.col(path)))
     df = df.withColumns({
-        "_top": F.get("_parts", F.lit(0)), "_stem": F.regexp_replace(F.element_at("_parts", -1), r"(?i)\.(?:pdf|jpe?g|png)$", ""),
+        "_top": F.get("_parts", F.lit(0)), "_stem": F.regexp_replace(F.try_element_at("_parts", F.lit(-1)), r"(?i)\.(?:pdf|jpe?g|png)$", ""),
         "_slug": F.get(F.filter("_parts", lambda p, i: p.rlike(slug) & ((i == 0) | between(i))), F.lit(0)),
         "_inner": F.get(F.filter("_parts", lambda p, i: between(i) & p.rlike(inner)), F.lit(0)),
     })
@@ -138,7 +138,7 @@ def with_case_of_path(rows: DataFrame, path: str, out: str = "mark") -> DataFram
 def with_case_of_slug(rows: DataFrame, path: str, out: str = "mark") -> DataFrame:
     """Rows with their case where the first folder is ARCHIVE_FUND_something or frames lie in a folder of their own."""
     slug, other = r"(?i)^([a-z]+)_(\d+)(?:_[a-z]+)?$", r"(?i)^m(\d+)[-_](\d+)[-_](\d+)$"
-    df = rows.withColumn("_parts", path_parts(F.col(path))).withColumn("_last", F.element_at("_parts", -1))
+    df = rows.withColumn("_parts", path_parts(F.col(path))).withColumn("_last", F.try_element_at("_parts", F.lit(-1)))
     inside = F.lower("_last").isin(*SERVICE_FOLDERS) & (F.size("_parts") > 2)
     df = df.withColumns({"_top": F.get("_parts", F.lit(0)), "_leaf": F.when(inside, F.try_element_at("_parts", F.lit(-2))).otherwise(F.col("_last"))})
     part = lambda k: _found(F.col("_leaf"), other, k)

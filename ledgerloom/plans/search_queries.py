@@ -8,8 +8,9 @@ from pyspark.sql import window as W
 
 from ledgerloom.functions import facts, normal
 from ledgerloom.functions.similarity import ratio_sql
-from ledgerloom.operators import decode, graph, noted, notes, resolution
+from ledgerloom.operators import decode, gazetteer, graph, noted, notes, resolution
 from ledgerloom.plans.queries import _sql_matching, _window_best, query
+from ledgerloom.sources import catalogues
 
 _Q = "thanedble"
 _N = len(_Q)
@@ -211,3 +212,65 @@ def quarantine(t) -> DataFrame:
     none = failed.limit(0).withColumn("n", F.lit(0).cast("long"))
     before = notes.quarantined(none, failed.where("at % 3 = 0"), key)
     return notes.quarantined(before, failed.where("at % 3 <> 0"), key)
+
+
+@query(f"""WITH n AS (SELECT r_regionkey, r_name, {_sql_matching('r_name')} AS f FROM region), r AS (SELECT *, CASE WHEN regexp_matches(f, '^.{{4,}}ska$') THEN left(f, length(f) - 3) WHEN regexp_matches(f, '^.{{4,}}sk$') THEN left(f, length(f) - 2) ELSE f END AS r FROM n)
+SELECT r_regionkey, r_name FROM r WHERE starts_with(r, 'african') OR starts_with('african', r) AND r <> '' OR length(r) >= 3 AND {ratio_sql("'african'", 'r')} >= 80""")
+def of_place(t) -> DataFrame:
+    """Regions by a derived form of a name."""
+    return gazetteer.of_place(t("region").select("r_regionkey", "r_name"), "Africanskogo", "r_name")
+
+
+@query("SELECT p_partkey AS case_no, p_name AS description FROM part WHERE contains(p_name || ' ' || p_partkey::VARCHAR, 'red gear') ORDER BY 1")
+def catalogue_search(t) -> DataFrame:
+    rows = t("part").select(F.col("p_partkey").cast("string").alias("case_no"), F.col("p_name").alias("description"), F.col("p_partkey").alias("k"))
+    return catalogues.catalogue_search(rows, "RED, Gear", limit=None).select(F.col("k").alias("case_no"), "description")
+
+
+_SHEETS = "s AS (SELECT l_suppkey AS film, l_orderkey AS position, l_linenumber * 10 AS start_, CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN l_linenumber * 10 ELSE l_linenumber * 10 + 7 END AS end_, l_returnflag || l_linestatus || l_quantity::INT::VARCHAR AS name FROM lineitem)"
+
+
+def _sheets(t) -> DataFrame:
+    n = F.col("l_linenumber")
+    end = F.when(n % 3 == 0, None).when(n % 3 == 1, n * 10).otherwise(n * 10 + 7)
+    name = F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string"))
+    return t("lineitem").select(F.col("l_suppkey").alias("film"), F.col("l_orderkey").alias("position"), (n * 10).alias("start"), end.alias("end"), name.alias("name"), F.lit("").alias("contents"))
+
+
+@query(f"""WITH {_SHEETS} SELECT film, position, 'Л. ' || start_::VARCHAR || CASE WHEN end_ IS NULL THEN '-…' WHEN end_ = start_ THEN '' ELSE '-' || end_::VARCHAR END || ' - ' || name AS label FROM s WHERE contains(lower(name), 'rf1')""")
+def sheet_search(t) -> DataFrame:
+    """Lines of orders as entries of a sheet index."""
+    return catalogues.sheet_search(_sheets(t), " RF1 ", limit=None).select("film", "position", "label")
+
+
+@query(f"""WITH {_SHEETS} SELECT film, arg_min(start_, struct_pack(p := position, s := start_)) AS "start", arg_min(coalesce(end_, -1), struct_pack(p := position, s := start_)) AS "end" FROM s WHERE contains(lower(name), 'no4') GROUP BY 1""")
+def frames_for(t) -> DataFrame:
+    sheets = _sheets(t).withColumn("position", F.struct("position", "start"))
+    return catalogues.frames_for(sheets, "NO4").select("film", "start", F.coalesce("end", F.lit(-1)).alias("end"))
+
+
+@query("SELECT event_id, value FROM events WHERE event_type IN ('click', 'view') AND value >= 40 AND user_id % 5 = 2")
+def pending_candidates(t) -> DataFrame:
+    """Events as candidates of sources, in states of review."""
+    status = F.when(F.col("event_type") == "click", "new").when(F.col("event_type") == "view", "reviewing").otherwise("accepted")
+    rows = t("events").select(F.col("event_id").alias("candidate_id"), F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("source_id"), status.alias("status"), F.col("value").alias("score"))
+    return catalogues.pending(rows, "s2", 40.0).select(F.col("candidate_id").alias("event_id"), F.col("score").alias("value"))
+
+
+@query("SELECT o_orderkey AS case_key, coalesce(max(l_quantity)::BIGINT, 0) AS frames FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 3 GROUP BY 1")
+def best_frames(t) -> DataFrame:
+    """Orders as cases with four folders each, of which their lines hold frames."""
+    path = lambda n: F.concat_ws("/", F.col("o_orderkey").cast("string"), F.lit(n))
+    cases = t("orders").select(F.col("o_orderkey").alias("case_key"), F.array(*(path(n) for n in ("1", "2", "3", "none"))).alias("paths"))
+    counted = t("lineitem").groupBy(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path")).agg(F.max("l_quantity").cast("long").alias("frames"))
+    return catalogues.best_frames(cases, counted).select("case_key", "frames")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS folder, l_quantity::BIGINT AS pages, l_partkey % 3 = 0 AS part, l_suppkey % 17 = 0 AS unread FROM lineitem),
+g AS (SELECT folder, sum(pages) FILTER (part) AS parts, max(pages) FILTER (NOT part) AS largest, sum(DISTINCT pages) FILTER (NOT part) AS singles, bool_or(unread) AS unread FROM f GROUP BY 1)
+SELECT folder, CASE WHEN unread THEN 0 WHEN parts IS NULL THEN singles ELSE greatest(parts, coalesce(largest, 0)) END::BIGINT AS pages FROM g""")
+def volume_pages(t) -> DataFrame:
+    """Orders as folders, their lines as files, parts or whole volumes, some of which cannot be counted."""
+    name = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("vol Ч. "), F.col("l_linenumber").cast("string"))).otherwise("volume_combined")
+    files = t("lineitem").select(F.col("l_orderkey").alias("folder"), name.alias("name"), F.when(F.col("l_suppkey") % 17 == 0, 0).otherwise(F.col("l_quantity").cast("long")).alias("pages"))
+    return catalogues.volume_pages(files)

@@ -87,3 +87,41 @@ def test_keys_and_ranges(spark):
     assert tuple(one(spark, keys.years_span(F.lit("метрики 1802–1815, спр. 12345")))) == (1802, 1815)
     assert keys.year_bounds("1850-1860") == (1850, 1860) and keys.year_bounds("1850") == (1850, 1850) and keys.year_bounds("x") is None
     assert one(spark, keys.leading_int(F.lit("12а"))) == 12 and one(spark, keys.leading_int(F.lit("а"))) == 0
+
+
+def test_facts(spark):
+    from ledgerloom.functions import facts
+
+    assert one(spark, facts.region(F.array(F.lit("Вінницька область")))) == "podillia" and one(spark, facts.region(F.lit(None).cast("array<string>"))) == "other"
+    names = spark.createDataFrame([(n,) for n in (" a.jpg", "a/b.jpg", ".hidden", "", "b\\c", "ok")], "n string").where(facts.is_bare_filename(F.col("n")))
+    assert [r["n"] for r in names.collect()] == [" a.jpg", "ok"]
+    media = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(u).alias("url"), F.lit(p).alias("path")) for t, u, p in (("doc", "x", ""), ("photo", "", ""), ("photo", "", "p.jpg"), ("photo", "http://y", ""))))
+    assert tuple(one(spark, facts.photo(media))) == ("p.jpg", False)
+    assert facts.shard_of("2/3") == (1, 3) and facts.shard_of("") == (0, 1) and facts.shard_of("1") == (0, 1)
+    for bad in ("4/3", "0/2", "a/b"):
+        with pytest.raises(ValueError):
+            facts.shard_of(bad)
+    assert one(spark, facts.weakest(F.array(F.lit("direct"), F.lit("negative"), F.lit("rumour")))) == "negative" and one(spark, facts.weakest(F.array().cast("array<string>"))) is None
+    same = one(spark, facts.record_digest(F.lit("s"), F.lit(1).alias("a"))) == one(spark, facts.record_digest(F.lit("s"), F.lit(1).alias("a")))
+    assert same and one(spark, facts.record_digest(F.lit("s"), F.lit(2).alias("a"))).startswith("s__")
+
+
+def test_paths_say_cases(spark):
+    from ledgerloom.operators import resolution
+
+    def said(step, path):
+        m = step(spark.createDataFrame([(path,)], "p string"), "p").first()["mark"]
+        return m and tuple(m)
+
+    path, slug = resolution.with_case_of_path, resolution.with_case_of_slug
+    assert said(path, "data/raw/dahmo_315/spr-8433") == ("DAHMO", "315", None, "8433")
+    assert said(path, "data\\raw\\davo\\010904-24-00114") == ("DAVO", "904", "24", "114")
+    assert said(path, "D:/dahmo_230/230-1-2а") == ("DAHMO", "230", "1", "2a")
+    assert said(path, "davo/f904_op24/77.pdf") == ("DAVO", "904", "24", "77")
+    assert said(path, "data/raw/dahmo_226/op2-spr-148") == ("DAHMO", "226", "2", "148")
+    assert said(path, "davo_opysy/spr-1") is None and said(path, "dahmo_archium/spr_5") is None and said(path, "") is None
+    assert said(slug, "data/raw/cdiak_224/spr-864/pages") == ("CDIAK", "224", None, "864")
+    assert said(slug, "dahmo_315_small/m357-1-23") == ("DAHMO", "357", "1", "23") and said(slug, "x") is None
+    names = spark.createDataFrame([("spov1846-7864",), ("196-1-5953",), ("f904-24-010904-7029а",), ("t1",)], "n string")
+    got = {r["n"]: r["k"] for r in names.select("n", resolution.name_numbers(resolution.name_tokens(F.col("n"))).alias("k")).collect()}
+    assert got == {"spov1846-7864": ["7864"], "196-1-5953": ["196", "1", "5953"], "f904-24-010904-7029а": ["904", "24", "904", "7029а"], "t1": ["1"]}
