@@ -70,7 +70,7 @@ def rows_with_words(documents: DataFrame, id_col: str, text_col: str, lang_col:
 
 
 def common_words(rows: DataFrame, k: int = COMMON_WORDS) -> DataFrame:
-    """(lang, common, counts): the k most frequent words of every language over all rows, stored.
+    """(lang, common, counts, longest): the k most frequent words of every language over all rows, and their greatest length; stored.
 
     The count combines before the shuffle, and of each task's words only the k
     most frequent of a language go to where they are ranked.
@@ -80,7 +80,8 @@ def common_words(rows: DataFrame, k: int = COMMON_WORDS) -> DataFrame:
     n = n.where(F.col("word").rlike(r"\p{L}"))
     best = n.withColumn("_nth", F.row_number().over(W.Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("_nth") <= k)
     listed = F.array_sort(F.collect_list(F.struct("_nth", "word", "n")))
-    return stored(best.groupBy("lang").agg(listed.alias("l")).select("lang", F.col("l.word").alias("common"), F.col("l.n").alias("counts")), "common-words")
+    lists = best.groupBy("lang").agg(listed.alias("l"), F.max(F.length("word")).alias("longest"))
+    return stored(lists.select("lang", F.col("l.word").alias("common"), F.col("l.n").alias("counts"), "longest"), "common-words")
 
 
 def features(rows: DataFrame, common: DataFrame) -> DataFrame:
@@ -88,14 +89,13 @@ def features(rows: DataFrame, common: DataFrame) -> DataFrame:
     df = rows.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(SPACED_WORD)))
     # Most characters are lower-case letters, so the other classes are counted in what is left without them.
     df = with_repeats(df, "_words").withColumn("_rest", F.regexp_replace("_text", r"\p{Ll}+", ""))
-    df = df.join(broadcast_if_small(common.select("lang", "common")), "lang", "left")
-    longest = F.array_max(F.transform("common", F.length))
+    df = df.join(broadcast_if_small(common.select("lang", "common", "longest")), "lang", "left")
     df = df.select(
         "doc_id", "lang", "common", F.size("_words").cast("long").alias("n_words"), F.length("_text").cast("long").alias("_length"), F.length("_rest").cast("long").alias("_unlike"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         _matched("_rest", r"[#*$%&|<>]+").alias("n_symbols"), _matched("_rest", r"[\x20\x09-\x0D]+").alias("_spaces"),
         _matched("_rest", r"\p{Lu}+").alias("_upper"), _matched("_rest", r"\p{Nd}+").alias("_digits"),
-        F.filter("_words", lambda w: F.length(w) <= longest).alias("_short"),
+        F.filter("_words", lambda w: F.length(w) <= F.col("longest")).alias("_short"),
     )
     df = df.withColumn("word_chars", F.col("_length") - F.col("_spaces"))
     other = F.col("_unlike") - F.col("_upper") - F.col("_digits") - F.col("_spaces") - F.col("n_symbols")
