@@ -16,8 +16,8 @@ the halves as parts lose nothing.
 
 ``near_copies`` links texts whose sets of five-word shingles have a Jaccard
 similarity of at least 0.8.  Such texts differ in about a seventh of all bits,
-too many for a tree of one word, so fingerprints have twelve words, two parts
-of each are searched, and the pairs found are checked on the sets themselves:
+too many for a tree of one word, so fingerprints have 32 words, two parts of
+each of twelve are searched, and the pairs found are checked on the sets:
 nothing is linked wrongly, and a pair of exactly 0.8 is missed about once in a
 hundred times, more alike ones hardly ever.
 
@@ -55,6 +55,8 @@ SEED = 42
 SHINGLES_PER_BLOCK = 255
 #: Points in a shard, and the sample that places the cuts (more where there are more shards).
 SHARD_POINTS, SAMPLE, SAMPLE_PER_SHARD = 50_000, 65_536, 8
+#: Points in a shard where each has but a word, so that fewer visit others.
+WORD_SHARD_POINTS = 200_000
 #: Points below which a shard's tree compares directly.
 LEAF = 48
 RADIUS = 1
@@ -83,8 +85,9 @@ class Scheme:
 
 
 NARROW = Scheme(3, 1, ((0, 0, 32), (0, 32, 32)), 3, 3, True)
-#: At a similarity of 0.8 fingerprints differ in 116 bits of 768 with a deviation of 10, in a word in 10 of 64.
-WIDE = Scheme(5, 12, tuple((w, low, 21) for w in range(12) for low in (0, 32)), 136, 13, False)
+#: At a similarity of 0.8 fingerprints differ in 309 bits of 2048 with a deviation of 16, in a word in 10 of 64 with one of 3.
+#: Parts of twelve words find the pairs; all words tell the similarity well enough that few pairs are left to be checked.
+WIDE = Scheme(5, 32, tuple((w, low, 21) for w in range(12) for low in (0, 32)), 344, 13, False)
 #: Least similarity of near copies, as hundredths so that it is compared exactly.
 ALIKE_PERCENT = 80
 
@@ -270,9 +273,16 @@ class Shard:
     def found(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Linked pairs, each perhaps both ways round."""
         for q, p in close_pairs(self.scheme.part(self.fps, self.k), self.home):
+            ok = self.word_bits(q, p, self.k) <= self.scheme.max_word_bits
+            q, p = q[ok], p[ok]
             ok = np.bitwise_count(self.fps[q] ^ self.fps[p]).sum(axis=1, dtype=np.int64) <= self.scheme.max_bits
             yield q[ok], p[ok]
 
+    def word_bits(self, q: np.ndarray, p: np.ndarray, k: int) -> np.ndarray:
+        """Bits in which pairs differ in the word of a part."""
+        word = self.scheme.parts[k][0]
+        return np.bitwise_count(self.fps[q, word] ^ self.fps[p, word])
+
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that connect all that is linked."""
         forest, links = Forest(len(self.fps)), []
@@ -287,7 +297,8 @@ class Shard:
             new = self.group[q] != self.group[p]
             q, p = q[new], p[new]
             for k in range(self.k):
-                late = np.bitwise_count(self.scheme.part(self.fps[q], k) ^ self.scheme.part(self.fps[p], k)) > RADIUS
+                apart = np.bitwise_count(self.scheme.part(self.fps[q], k) ^ self.scheme.part(self.fps[p], k)) > RADIUS
+                late = apart | (self.word_bits(q, p, k) > self.scheme.max_word_bits)
                 q, p = q[late], p[late]
             out.append((q, p))
         return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
@@ -296,7 +307,7 @@ class Shard:
         """Points with another close to them in the part's word, all there is of their fingerprints here."""
         has = np.zeros(len(self.fps), bool)
         for q, p in close_pairs(self.scheme.part(self.fps, self.k), self.home):
-            ok = np.bitwise_count(self.fps[q, self.scheme.parts[self.k][0]] ^ self.fps[p, self.scheme.parts[self.k][0]]) <= self.scheme.max_word_bits
+            ok = self.word_bits(q, p, self.k) <= self.scheme.max_word_bits
             has[q[ok]] = has[p[ok]] = True
         return np.flatnonzero(has)
 
@@ -307,28 +318,34 @@ def numbers(column: pa.Array, words: int) -> np.ndarray:
 
 
 def searched(points: DataFrame, scheme: Scheme, task: str, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """What every shard of every part finds among ``points`` (point, bits, group), each point once.
+    """What every shard of every part finds among ``points`` (point, bits, group, parts), each point once.
 
-    ``task`` is a method of Shard: pairs of points come back as (a, b), single
-    points as (a, a).
+    ``parts`` lists the parts in which a point takes part, null standing for
+    all.  ``task`` is a method of Shard: pairs of points come back as (a, b),
+    single points with the part's number as b.
     """
     shards = max(1, -(-points.count() // shard_points))
     # A bounded sample by hash places the cuts; every point is searched whatever they are.
-    sample = points.select("point", "bits").orderBy(F.xxhash64("point")).limit(max(SAMPLE, SAMPLE_PER_SHARD * shards)).select("bits").toArrow()["bits"]
-    known = numbers(sample.combine_chunks(), scheme.words) if len(sample) else np.zeros((0, scheme.words), np.uint64)
+    words = 1 + max(word for word, _, _ in scheme.parts)
+    head = F.substring("bits", 1, 8 * words).alias("bits")
+    sample = points.select("point", head).orderBy(F.xxhash64("point")).limit(max(SAMPLE, SAMPLE_PER_SHARD * shards)).select("bits").toArrow()["bits"]
+    known = numbers(sample.combine_chunks(), words) if len(sample) else np.zeros((0, words), np.uint64)
     trees = [VantageTree(scheme.part(known, k), shards, seed=k) for k in range(len(scheme.parts))]
     first = np.cumsum([0, *(t.leaves for t in trees)])
     narrow = task == "partnered"
     dealt = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("point", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("group", T.LongType())])
     pair = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     dealt_schema, pair_schema = to_arrow_schema(dealt), to_arrow_schema(pair)
+    numbered = pa.array([k.to_bytes(2, "big") for k in range(len(trees))], pa.binary())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = numbers(batch["bits"], scheme.words)
+            parts = batch["parts"].to_pylist()
             for k, tree in enumerate(trees):
-                at, leaf, home = tree.homes_and_visits(scheme.part(fps, k))
-                rows = pa.array(at)
+                ours = np.flatnonzero([p is None or k in p for p in parts])
+                at, leaf, home = tree.homes_and_visits(scheme.part(fps[ours], k))
+                rows = pa.array(ours[at])
                 bits = pa.array([x.tobytes() for x in fps[:, scheme.parts[k][0]]], pa.binary()) if narrow else batch["bits"]
                 yield pa.RecordBatch.from_arrays([pa.array((leaf + first[k]).astype(np.int32)), pa.array(home.astype(bool)), batch["point"].take(rows), bits.take(rows), batch["group"].take(rows)], schema=dealt_schema)
 
@@ -343,12 +360,13 @@ def searched(points: DataFrame, scheme: Scheme, task: str, shard_points: int = S
             if narrow:  # one word stands for all
                 fps = np.broadcast_to(fps, (len(fps), scheme.words))
             found = getattr(Shard(fps, ours["home"].to_numpy(), ours["group"].to_numpy(), scheme, k), task)()
-            a, b = (found, found) if narrow else found
+            a, b = (found, np.full(len(found), k)) if narrow else found
             point = ours["point"].combine_chunks()
+            others = numbered if narrow else point
             for lo in range(0, len(a), 10_000):
-                yield pa.RecordBatch.from_arrays([point.take(pa.array(a[lo : lo + 10_000])), point.take(pa.array(b[lo : lo + 10_000]))], schema=pair_schema)
+                yield pa.RecordBatch.from_arrays([point.take(pa.array(a[lo : lo + 10_000])), others.take(pa.array(b[lo : lo + 10_000]))], schema=pair_schema)
 
-    routed = points.select("point", "bits", "group").mapInArrow(route, dealt)
+    routed = points.select("point", "bits", "group", "parts").mapInArrow(route, dealt)
     return routed.repartitionById(int(first[-1]), F.col("shard")).mapInArrow(search, pair)
 
 
@@ -403,7 +421,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """Groups of documents (doc_id, text) whose 64-bit fingerprints link, as ``grouped`` gives them."""
     prints = fingerprints(documents)
     points = points_of(prints)
-    return grouped(prints, points, searched(points.withColumn("group", F.lit(-1).cast("long")), NARROW, "forest"))
+    return grouped(prints, points, searched(whole(points), NARROW, "forest"))
+
+
+def whole(points: DataFrame) -> DataFrame:
+    """Points of no group, to be searched in all parts."""
+    return points.withColumns({"group": F.lit(-1).cast("long"), "parts": F.lit(None).cast("array<int>")})
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int = ALIKE_PERCENT) -> bool:
@@ -451,17 +474,18 @@ def near_copies(documents: DataFrame) -> DataFrame:
     """Groups of documents (doc_id, text) whose sets of five-word shingles are alike, as ``grouped`` gives them.
 
     First one word of each fingerprint tells which points may have a partner
-    at all; only those are searched with all words.  The forest of what is
-    found is checked.  Where checking leaves several groups, all further pairs
-    found between them are checked too, so no link depends on which pairs the
-    forest happened to take.
+    at all, and in which parts; only those are searched with all words.  The
+    forest of what is found is checked.  Where checking leaves several groups,
+    all further pairs found between them are checked too, so no link depends on
+    which pairs the forest happened to take.
     """
     prints = fingerprints(documents, WIDE)
     points = points_of(prints)
     # A text without words is like no other.
-    worded = points.where(F.col("bits") != F.lit(bytes(8 * WIDE.words))).withColumn("group", F.lit(-1).cast("long"))
-    partnered = stored(searched(worded, WIDE, "partnered").select(F.col("a").alias("point")).distinct(), "partnered")
-    some = stored(worded.join(broadcast_if_small(partnered), "point", "left_semi"), "some-points")
+    worded = whole(points.where(F.col("bits") != F.lit(bytes(8 * WIDE.words))))
+    part = F.conv(F.hex("b"), 16, 10).cast("int")
+    partnered = searched(worded, WIDE, "partnered", WORD_SHARD_POINTS).groupBy(F.col("a").alias("point")).agg(F.collect_set(part).alias("parts"))
+    some = stored(worded.drop("parts").join(broadcast_if_small(stored(partnered, "partnered")), "point"), "some-points")
     either = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     forest = stored(either(searched(some, WIDE, "forest")), "forest")
     edges = checked(documents, forest, points)
@@ -469,9 +493,11 @@ def near_copies(documents: DataFrame) -> DataFrame:
     linked = forest.select(F.col("a").alias("point")).union(forest.select("b")).distinct()
     group = F.xxhash64(F.coalesce("root", "point"))
     rest = some.drop("group").join(linked, "point", "left_semi").join(components(edges).withColumnRenamed("node", "point"), "point", "left")
-    rest = stored(rest.select("point", "bits", group.alias("group")), "linked-points")
+    rest = stored(rest.select("point", "bits", "parts", group.alias("group")), "linked-points")
     across = stored(either(searched(rest, WIDE, "across")).join(forest, ["a", "b"], "left_anti"), "across")
-    return grouped(prints, points, edges.unionByName(checked(documents, across, points)))
+    # The bits have served.
+    narrow = prints.withColumn("bits", F.lit(None).cast("binary"))
+    return grouped(narrow, points, edges.unionByName(checked(documents, across, points)))
 
 
 def op5_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
