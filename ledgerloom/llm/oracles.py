@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.llm.license_rules import BASE, GRANT, RULES, SCORES, spaced
 from ledgerloom.llm.quality_divergence import CLASS_JUDGED_WORDS, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, REFERENCE_WORDS, WORD_JUDGED_WORDS
+from ledgerloom.llm.source_mixing import QUALITY, SEED, UNLABELLED
 
 #: CRC-32 of a text's UTF-8 bytes: the byte table, then a fold over each text.
 CRC32 = r"""
@@ -144,4 +145,88 @@ SELECT doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0) AS n_base,
 FROM d LEFT JOIN places p USING (k) LEFT JOIN named USING (k) LEFT JOIN scored USING (k)
 """
 
-ORACLES = {"op4_license_rules": OP4, "op1_benchmark_postings": OP1, "op2_warc_archives": OP2, "op3_slot_sharding": OP3, "op7_quality_divergence": OP7}
+OP11 = """
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS k, *, coalesce('.' || lang, '') AS tree,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS size, coalesce(length((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1), '-') AS size_more,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM documents),
+leaves AS (SELECT k, doc_id, tree, sha256(head || size || tail) AS leaf, sha256(head || size_more || tail) AS other FROM doc),
+-- CRC-32 of the id's digits.
+crc_bits(b, c, j) AS (
+  SELECT b::UBIGINT, b::UBIGINT, 0 FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, j + 1 FROM crc_bits WHERE j < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS steps FROM crc_bits WHERE j = 8),
+touched AS (SELECT k, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::UBIGINT)),
+    lambda c, b: xor(c // 256, steps[(xor(c, b) % 256 + 1)::BIGINT]))) % 7 = 0 AS yes FROM doc, crc_table WHERE doc_id IS NOT NULL),
+placed AS (SELECT l.*, coalesce(yes, false) AS yes, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leaves l LEFT JOIN touched USING (k)),
+nodes(tree, level, place, n, h) AS (
+  SELECT tree, 0, place, n, leaf FROM placed
+  UNION ALL SELECT tree, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY tree, level, place // 2, n),
+subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, place, n, h) AS (
+  SELECT 0, place, n, subroot FROM subroots
+  UNION ALL SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY level, place // 2, n),
+-- Siblings of each node on the way up, marked L or R for the side on which they stand; A has none.
+up AS (
+  SELECT p.k, a.level, CASE WHEN s.h IS NULL THEN 'A' WHEN s.place < a.place THEN 'L' ELSE 'R' END || coalesce(s.h, '') AS step
+  FROM placed p JOIN nodes a ON a.tree = p.tree AND a.place = p.place >> a.level AND a.n > 1
+  LEFT JOIN nodes s ON s.tree = a.tree AND s.level = a.level AND s.place = xor(a.place, 1)),
+over AS (
+  SELECT r.tree, 1000 + a.level AS level, CASE WHEN s.h IS NULL THEN 'A' WHEN s.place < a.place THEN 'L' ELSE 'R' END || coalesce(s.h, '') AS step
+  FROM subroots r JOIN tops a ON a.place = r.place >> a.level AND a.n > 1
+  LEFT JOIN tops s ON s.level = a.level AND s.place = xor(a.place, 1)),
+ways AS (
+  SELECT k, list(step ORDER BY level) AS steps FROM (SELECT * FROM up UNION ALL SELECT k, level, step FROM placed JOIN over USING (tree)) GROUP BY k),
+proven AS (
+  SELECT doc_id, leaf, subroot, t.h AS root, sha256(array_to_string(list_transform(coalesce(steps, []), lambda s: s[2:]), '')) AS proof_sha256,
+    list_reduce(list_prepend(CASE WHEN yes THEN other ELSE leaf END, coalesce(steps, [])), lambda h, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || h ELSE h || s[2:] END)) AS folded_root
+  FROM placed JOIN subroots USING (tree) LEFT JOIN ways USING (k) JOIN tops t ON t.n = 1)
+SELECT *, folded_root = root AS verified FROM proven
+"""
+
+OP12 = r"""
+WITH words AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT k, doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+corpus AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+tf AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(w) AS term FROM docs) GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, corpus GROUP BY term, big_n),
+m AS (SELECT k, doc_id, 50 + (50 * n * big_n) // big_l AS m FROM docs, corpus),
+scored AS (
+  SELECT item_id, doc_id, k, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN m USING (k) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+OP13 = rf"""
+WITH RECURSIVE labelled AS (SELECT doc_id, CASE max(quality) {" ".join(f"WHEN {q} THEN {w}" for q, w in QUALITY.items())} ELSE {UNLABELLED} END AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+hashed AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(concat_ws(':', '{SEED}', coalesce(doc_id::VARCHAR, '-'), coalesce(source, '-'), md5(coalesce(text, '')))) AS h FROM documents),
+keyed AS (
+  SELECT doc_id, source, size, -ln((('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) / coalesce(weight, {UNLABELLED})::DOUBLE AS key
+  FROM hashed LEFT JOIN labelled USING (doc_id)),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight FROM keyed GROUP BY source),
+-- Share what is left among those below their caps, until no more are above.
+rounds(rest, sharing, n, before) AS (
+  SELECT sum(source_size)::DOUBLE, sum(weight)::DOUBLE, 0, -1 FROM sources
+  UNION ALL
+  SELECT (SELECT sum(source_size) FROM sources) - held, (SELECT sum(weight) FROM sources) - weight, k, n FROM (
+    SELECT n, count(*) FILTER (over_cap) AS k, coalesce(sum(3 * source_size) FILTER (over_cap), 0) AS held, coalesce(sum(weight) FILTER (over_cap), 0) AS weight
+    FROM (SELECT r.n, s.*, r.rest * s.weight / r.sharing > 3 * s.source_size AS over_cap FROM rounds r, sources s) GROUP BY n) x WHERE k > n),
+final AS (SELECT * FROM rounds ORDER BY n DESC LIMIT 1),
+shares AS (
+  SELECT source, source_size, CASE WHEN rest * weight / sharing > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE rest * weight / sharing END AS target FROM sources, final),
+budgets AS (SELECT *, floor(target + 0.5)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs FROM shares),
+drawn AS (
+  SELECT k.*, b.* EXCLUDE (source), sum(size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id, size ROWS UNBOUNDED PRECEDING) - size AS so_far
+  FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(budget - epochs * source_size - so_far, 0)))::BIGINT AS taken FROM drawn
+"""
+
+ORACLES = {"op11_merkle_manifest": OP11, "op12_hybrid_search": OP12, "op13_source_mix": OP13, "op4_license_rules": OP4, "op1_benchmark_postings": OP1, "op2_warc_archives": OP2, "op3_slot_sharding": OP3, "op7_quality_divergence": OP7}
