@@ -41,3 +41,7 @@ def pages_rows():
     return [(1, "http://a/", big), (2, "http://b/", big), (3, None, big), (3, None, big), (4, "http://bad\r\nX: y", "<p>small</p>"), (5, "u", "<p>small</p>"), (6, "u", None), (7, "u", ""), (None, "u", big), (None, "u", "no id"), (-9, "u", "é" * 600), (8, "u", "é" * 600)] + [
         (100 + k, f"http://x/{k}", prose(rng, rng.randrange(1, 500))) for k in range(60)
     ]
+
+
+def label_rows():
+    return [(k, k % 2, 0) for k in range(0, 60, 3)] + [(6, 1, 0), (9, 0, 1), (None, 1, 0), (12, None, None), (7777, 1, 0)]

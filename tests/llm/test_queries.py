@@ -8,7 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from edge_rows import benchmark_items, pages_rows
+from edge_rows import benchmark_items, label_rows, pages_rows
 
 from ledgerloom.llm import entries
 
@@ -304,3 +304,106 @@ def test_op10(spark, tables, docs):
         start += len(ids)
     got = rows_of(spark, tables, "op10_token_files")
     same([(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got], want)
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_of(*values):
+    return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def plain_tree(leaves, fanout=2):
+    """The root of some leaves, and for each leaf (left, right) siblings on the way up."""
+    level, ways, at = list(leaves), [[] for _ in leaves], list(range(len(leaves)))
+    while len(level) > 1:
+        for k, i in enumerate(at):
+            first = i - i % fanout
+            ways[k].append(("".join(level[first:i]), "".join(level[i + 1 : first + fanout])))
+            at[k] = i // fanout
+        level = [digest(*level[i : i + fanout]) for i in range(0, len(level), fanout)]
+    return level[0], ways
+
+
+def test_op11(spark, tables, docs):
+    of = defaultdict(list)
+    for doc_id, text, lang, source, n_chars in docs:
+        leaf = leaf_of(doc_id, source, lang, n_chars, text)
+        touched = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 0
+        other = leaf_of(doc_id, source, lang, None if n_chars is None else n_chars + 1, text) if touched else leaf
+        of[lang].append((doc_id is not None, doc_id or 0, leaf, other))
+    langs = sorted(of, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {lang: plain_tree([r[2] for r in sorted(of[lang])]) for lang in langs}
+    root, over = plain_tree([trees[lang][0] for lang in langs])
+    want = []
+    for lang, above in zip(langs, over, strict=True):
+        subroot, ways = trees[lang]
+        for (known, doc_id, leaf, other), way in zip(sorted(of[lang]), ways, strict=True):
+            node = other
+            for left, right in (*way, *above):
+                node = digest(left, node, right)
+            want.append((doc_id if known else None, leaf, subroot, root, digest(*(x for pair in (*way, *above) for x in pair)), node, node == root))
+    got = rows_of(spark, tables, "op11_merkle_manifest")
+    same([(r["doc_id"], r["leaf"], r["subroot"], r["root"], r["proof_sha256"], r["folded_root"], r["verified"]) for r in got], want)
+    assert {r["verified"] for r in got} == {True, False}
+
+
+def test_op12(spark, tables, docs):
+    words = [re.findall(ITEM, (d[1] or "").translate(LOWER)) for d in docs]
+    n_docs, n_all = sum(1 for w in words if w), sum(map(len, words))
+    tf = [Counter(w) for w in words]
+    df = Counter(t for c in tf for t in c)
+    asked = defaultdict(set)
+    for item, text in benchmark_items(docs):
+        if item is not None:
+            asked[item] |= set(re.findall(ITEM, (text or "").translate(LOWER)))
+    want = []
+    for item, terms in asked.items():
+        scored = []
+        for d, c, w in zip(docs, tf, words, strict=True):
+            m = 50 + 50 * len(w) * n_docs // n_all
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if t in c)
+            if s > 0:
+                scored.append((-s, d[0] is None, d[0] or 0))
+        want += [(item, k, None if nameless else i, -s) for k, (s, nameless, i) in enumerate(sorted(scored)[:50], 1)]
+    got = rows_of(spark, tables, "op12_hybrid_search")
+    same([(r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in got], want)
+    assert max(Counter(r["item_id"] for r in got).values()) == 50
+
+
+def plain_targets(sizes, weights=(5, 2, 1), most=3):
+    """Shares by weight, the excess over the caps shared again until there is none."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    capped, total = set(), sum(sizes.values())
+    while True:
+        rest, sharing = total - sum(most * sizes[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        share = {s: most * sizes[s] if s in capped else rest * weight[s] / sharing for s in order}
+        above = {s for s in order if share[s] > most * sizes[s]}
+        if not above:
+            return share
+        capped |= above
+
+
+def test_op13(spark, tables, docs):
+    best = {}
+    for i, quality, _ in label_rows():
+        if i is not None and quality is not None:
+            best[i] = max(quality, best.get(i, 0))
+    rows = defaultdict(list)
+    for doc_id, text, _, source, _ in docs:
+        name = f"mix-1:{'-' if doc_id is None else doc_id}:{'-' if source is None else source}:{hashlib.md5((text or '').encode()).hexdigest()}"
+        u = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        rows[source].append((-math.log(u) / {1: 2.0, 0: 0.5, None: 1.0}[best.get(doc_id)], doc_id is not None, doc_id or 0, len(re.findall(SPACED, text or ""))))
+    sizes = {s: sum(r[3] for r in found) for s, found in rows.items()}
+    target, want = plain_targets(sizes), []
+    for source, found in rows.items():
+        epochs, left = divmod(math.floor(target[source] + 0.5), sizes[source])
+        for _, known, doc_id, size in sorted(found):
+            taken = min(size, left)
+            want.append((doc_id if known else None, size, sizes[source], round(float(target[source]), 6), epochs * size + taken))
+            left -= taken
+    got = rows_of(spark, tables, "op13_source_mix")
+    same([(r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got], want)
+    assert sum(r["taken"] for r in got) == sum(sizes.values()) and any(0 < r["taken"] % r["size"] for r in got if r["size"])
