@@ -18,13 +18,14 @@ takes more passes over the stored index, never a larger block.
 
 Edge cases: a null text has no words; a test item without words or without an
 id has no windows; repeated items count once by id and repeated documents each
-get a row; an empty test set leaves everything clean; an empty corpus gives no
+get a row, also where whole files repeat; a text of any length is indexed whole,
+one that is longer than a segment is a segment of its own; an empty test set leaves everything clean; an empty corpus gives no
 rows; columns other than ids and texts are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -71,8 +72,8 @@ def _segment(ids: list, texts: list[list[bytes]]) -> dict:
     sizes = np.bincount(codes, minlength=len(code)).astype(np.int32)
     # Steps from one position to the next are small, and so compress well.
     steps = np.diff(positions[order], prepend=np.int32(0))
-    name = hashlib.md5(b"".join((steps.tobytes(), b"\n".join(code), repr(ids).encode()))).hexdigest()
-    return {"segment": name, "doc_ids": ids, "n_words": lengths, "terms": b"\n".join(code).decode(), "sizes": sizes.tobytes(), "postings": steps.tobytes()}
+    # A name of its own even beside a segment with the same contents; once stored it stays.
+    return {"segment": uuid.uuid4().hex, "doc_ids": ids, "n_words": lengths, "terms": b"\n".join(code).decode(), "sizes": sizes.tobytes(), "postings": steps.tobytes()}
 
 
 def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
