@@ -19,11 +19,10 @@ asked for are ignored.
 
 from __future__ import annotations
 
-import importlib
-import inspect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from importlib import resources
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -61,7 +60,9 @@ IDENTIFIERS = (
     "package module version license copyright document element attribute property value index length container initialize register dispatch subscribe "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx 0000000000000000 example.com https://www. http://localhost node_modules/"
 )
-#: Modules of the standard library whose own code gives identifiers as programs write them.
+#: Identifiers as programs write them, from rare to frequent: package data, so that every interpreter has the same.
+#: Gathered once by ``gathered`` from Python 3.13.
+WORDS_FILE = "identifiers.txt"
 CODE = ("argparse", "configparser", "email.message", "http.client", "http.server", "json.decoder", "logging.config", "smtplib", "socketserver", "sqlite3.dbapi2", "ssl", "subprocess", "tarfile", "threading", "unittest.case", "urllib.request", "xml.etree.ElementTree", "zipfile")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{4,}")
 FOUND = T.StructType([
@@ -80,14 +81,20 @@ class Span(NamedTuple):
     secret_end: int
 
 
-@cache
-def identifiers() -> str:
-    """The dictionary: identifiers of CODE from rare to frequent, then the fixed ones; what comes last is cheapest to refer to."""
+def gathered(sources: Iterable[str]) -> list[str]:
+    """The identifiers of some programs from rare to frequent: how WORDS_FILE was made from the modules of CODE."""
     n: dict[str, int] = {}
-    for name in CODE:
-        for word in IDENTIFIER.findall(inspect.getsource(importlib.import_module(name))):
+    for source in sources:
+        for word in IDENTIFIER.findall(source):
             n[word] = n.get(word, 0) + 1
-    return " ".join([*sorted(n, key=lambda w: (n[w], w)), IDENTIFIERS])
+    return sorted(n, key=lambda w: (n[w], w))
+
+
+@cache
+def identifiers() -> str:
+    """The dictionary: WORDS_FILE, then the fixed identifiers; what comes last is cheapest to refer to."""
+    words = resources.files(__package__).joinpath(WORDS_FILE).read_text("utf-8").split()
+    return " ".join([*words, IDENTIFIERS])
 
 
 @cache
