@@ -24,6 +24,20 @@ def test_phrases_in_several_passes(spark, tables, monkeypatch):
     assert flat(postings_index.find_phrases(index, windows)) == once
 
 
+def test_a_file_listed_twice_keeps_its_rows(spark, tables, tmp_path, monkeypatch):
+    """Equal segments, in one pass and in several."""
+    docs, items = spark.read.parquet(f"{tables['edge']}/documents.parquet"), spark.read.parquet(f"{tables['edge']}/benchmark.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/once")
+    twice = spark.read.parquet(f"{tmp_path}/once", f"{tmp_path}/once")
+    flat = lambda df: Counter(repr((r["doc_id"], r["n_words"], r["items"], r["near"])) for r in df.collect())
+    find = lambda source: flat(postings_index.decontaminated(source, items, span=postings_index.SPAN))
+    once = find(docs)
+    want = Counter({k: 2 * n for k, n in once.items()})
+    assert find(twice) == want
+    monkeypatch.setattr(postings_index, "PHRASES_PER_PASS", 7)
+    assert find(twice) == want
+
+
 def test_proximity(spark, docs):
     phrases = [("a", ["river", "stone"]), ("b", ["lantern", "copper", "field"])]
     rows = [(d[0], d[1]) for d in docs if d[0] is not None and d[0] >= 33][:30]
@@ -362,9 +376,24 @@ def test_many_languages_are_all_learned(spark):
     assert share < 0.35
 
 
-def test_very_long_texts(spark):
-    """Half a million words in one text, through everything that works on whole texts."""
-    from ledgerloom.llm import entries, language_mixture
+@pytest.fixture(scope="module")
+def long_tables(spark, tmp_path_factory):
+    """Two texts of half a million words, one of them beside a short one, and what occurs at their ends."""
+    rng = random.Random(10)
+    words = [f"w{k}{chr(97 + k % 26)}" for k in range(5000)]
+    long_text = " ".join(rng.choice(words) for _ in range(500_000))
+    other = "Released under the MIT License. " + " ".join(rng.choice(words) for _ in range(500_000)) + ' password = "hunter22x" cc by nc'
+    d = tmp_path_factory.mktemp("long")
+    docs = [(1, long_text, "en", "a", len(long_text)), (2, other, "en", "b", len(other)), (3, "a short text of words", "en", "a", 21), (4, long_text, "en", "b", len(long_text))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(long_text.split(" ")[-12:])), (2, "a short text of words")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, "u", long_text), (2, "u", "short")], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return str(d), {d[0]: d[1] for d in docs}
+
+
+def test_very_long_texts_alone():
+    from ledgerloom.llm import language_mixture
 
     rng = random.Random(10)
     words = [f"w{k}{chr(97 + k % 26)}" for k in range(5000)]
@@ -373,7 +402,53 @@ def test_very_long_texts(spark):
     model = language_mixture.Model(["a", "b"], np.log(rng_table(2)))
     assert model.predict([long_text, None, "x"])[0][3] == len(re.findall(r"[^\W\d_]+", long_text))
     assert secret_novelty.spans_of(long_text) == []
-    assert len(entries.QUERIES) == 10
+
+
+LONG = {
+    "op1_benchmark_postings": lambda r, t: {i: (x["n_words"], x["n_hit"], x["n_items"]) for i, x in r.items()} == {i: (len(re.findall(ITEM, s.translate(LOWER))), {1: 12, 4: 12, 3: 5}.get(i, 0), int(i != 2)) for i, s in t.items()},
+    "op2_warc_archives": lambda r, t: {i: x["payload_bytes"] for i, x in r.items()} == {1: len(t[1]), 2: 5},
+    "op3_slot_sharding": lambda r, t: {i: x["size"] for i, x in r.items()} == {i: len(s) + 1 for i, s in t.items()},
+    "op4_license_rules": lambda r, t: (r[2]["first_word"], r[2]["last_word"], r[2]["n_base"]) == (1, r[2]["n_words"] - 3, 2),
+    "op5_vantage_simhash": lambda r, t: r[4]["component_id"] == 1 and r[2]["component_id"] == 2,
+    "op6_language_mixture": lambda r, t: {x["lang_pred"] for x in r.values()} == {"en"},
+    "op7_quality_divergence": lambda r, t: {i: x["n_words"] for i, x in r.items()} == {i: len(s.split()) for i, s in t.items()},
+    "op9_secret_novelty": lambda r, t: {i: x["n_assign"] for i, x in r.items()} == {1: 0, 2: 1, 3: 0, 4: 0},
+    "op11_merkle_manifest": lambda r, t: len({x["leaf"] for x in r.values()}) == 4 and len({x["root"] for x in r.values()}) == 1,
+    "op13_source_mix": lambda r, t: sum(x["taken"] for x in r.values()) == sum(len(s.split()) for s in t.values()),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_very_long_texts(spark, long_tables, name):
+    from ledgerloom.llm import entries
+
+    folder, texts = long_tables
+    rows = entries.QUERIES[name](spark, folder).collect()
+    assert LONG[name]({r["page_id" if "page_id" in r else "doc_id"]: r for r in rows}, texts)
+
+
+def test_very_long_texts_in_tokens_and_ranks(spark, long_tables):
+    from ledgerloom.llm import entries
+
+    folder, texts = long_tables
+    for name, query in (("word_bpe_49k.json", "op10_token_files"), ("byte_bpe_50k.json", "op8_grouped_packing")):
+        sizes = Counter()
+        for r in entries.QUERIES[query](spark, folder).collect():
+            sizes[r["doc_id"]] += r["n_tokens" if "n_tokens" in r else "length"]
+        assert dict(sizes) == {i: len(ids) for i, ids in zip(texts, _ids(name, list(texts.values()), 0), strict=True)}
+    ranked = entries.QUERIES["op12_hybrid_search"](spark, folder).where("item_id = 2").orderBy("rank").collect()
+    assert ranked[0]["doc_id"] == 3
+
+
+def test_very_long_texts_through_the_pipeline(spark, long_tables):
+    import corpus_pipeline
+
+    folder, texts = long_tables
+    got = corpus_pipeline.run(spark, folder).collect()
+    # Copies and texts with passages of the test set go; the secret of the other is masked.
+    assert {r["doc_id"] for r in got} == {2}
+    clean = texts[2].replace("hunter22x", "[SECRET]")
+    assert sum(r["length"] for r in got) == len(_ids("byte_bpe_50k.json", [clean], 0)[0])
 
 
 def rng_table(n):
