@@ -4,7 +4,7 @@
 2. near_duplicates: one document of each group stays, linked by five-word shingles of similarity 0.8.
 3. decontamination: documents with a passage of a benchmark item go.
 4. secrets: secrets found in the texts are masked.
-5. packing: the texts become token sequences.
+5. packing: the texts become token sequences, given as pieces with their ids (``grouped_packing.sequences`` joins them).
 
 All but the last stage return the columns of documents.  Decisions are made
 per row, by id and text, so documents that share an id are judged one by one;
@@ -89,8 +89,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the tokens of every document into sequences."""
-    return grouped_packing.pack(spark, docs.select("doc_id", "text"))
+    """Pack the tokens of every document into sequences: a row per piece with its token ids, its sequence and its place there."""
+    return grouped_packing.pack(spark, docs.select("doc_id", "text"), with_ids=True)
 
 
 STAGES = [("languages", languages), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
