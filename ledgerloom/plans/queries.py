@@ -405,13 +405,6 @@ def events_timeline(t) -> DataFrame:
     return sequences.timeline(facts, marriages)
 
 
-@query("""WITH g AS (SELECT event_id, user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
-SELECT event_id, user_id, event_type FROM g WHERE before IS NULL OR epoch(ts) - epoch(before) > 600""")
-def idempotent_stream(t) -> DataFrame:
-    rows = t("events").select("event_id", "user_id", "event_type", "ts", F.concat_ws("/", "user_id", "event_type").alias("key"))
-    return jobs.idempotent_batch(rows.withColumn("ts", F.col("ts").cast("timestamp")), "key", "ts", "event_id").select("event_id", "user_id", "event_type")
-
-
 @query("SELECT event_id AS seq, user_id, event_type FROM events WHERE event_id > 500 ORDER BY seq LIMIT 2000")
 def cursor_since(t) -> DataFrame:
     return jobs.since(t("events").select(F.col("event_id").alias("seq"), "user_id", "event_type"), 500)

@@ -1,4 +1,4 @@
-"""Job events as streams: idempotent submission, last state, heartbeats, the progress protocol."""
+"""Job events: last states, heartbeats as sessions, the progress protocol, upserts; what needs state with a time to live is in ``keyed``."""
 
 from __future__ import annotations
 
@@ -14,23 +14,6 @@ EVENT = "v int, phase string, i int, n int, item string, done int, skipped int,
 FINAL = ("done", "error", "cancelled")
 
 
-def idempotent(submissions: DataFrame, key: str = "idempotency_key", at: str = "ts", ttl: str = "10 minutes") -> DataFrame:
-    """The first submission of each key; repeats within the time to live are dropped. For streams."""
-    return submissions.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
-
-
-def idempotent_batch(submissions: DataFrame, key: str, at: str, order: str, seconds: int = 600) -> DataFrame:
-    """The same over a finished log: a submission counts unless one of its key came within the time to live.
-
-    Each repeat within the time extends it no further than the gap to the one
-    before, as a stream's watermark does for rows that arrive in order.
-    """
-    from pyspark.sql import window as W
-
-    before = F.lag(at).over(W.Window.partitionBy(key).orderBy(at, order))
-    return submissions.withColumn("_gap", F.col(at).cast("double") - before.cast("double")).where(F.col("_gap").isNull() | (F.col("_gap") > seconds)).drop("_gap")
-
-
 def progress_events(lines: DataFrame, line: str = "value") -> DataFrame:
     """Protocol lines as events; other lines, broken JSON and foreign versions are none."""
     event = F.from_json(F.substring(line, len(PREFIX) + 1, 1 << 30), EVENT)

@@ -137,15 +137,6 @@ def test_progress_protocol_splits_every_line_once(spark):
     assert jobs.plain_lines(lines).count() == 3
 
 
-def test_idempotent_stream_drops_repeats(spark, tmp_path):
-    rows = [(k, f"key{k % 3}", f"2024-01-01 00:00:0{k}") for k in range(9)]
-    spark.createDataFrame(rows, "id int, idempotency_key string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("id int, idempotency_key string, ts timestamp").parquet(f"{tmp_path}/in")
-    q = jobs.idempotent(stream).writeStream.format("memory").queryName("submitted").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("submitted").count() == 3
-
-
 def test_upserting_stream_keeps_the_last_row(spark, tmp_path):
     spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, n int, v string").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("k int, n int, v string").parquet(f"{tmp_path}/in")
