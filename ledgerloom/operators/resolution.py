@@ -7,18 +7,22 @@ only if it leaves no choice.  What stays unresolved is a state, not a loss.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import case_key, case_number, repository, shelf_mark
-from ledgerloom.operators.assembly import longest_prefix, resolved
+from ledgerloom.operators.assembly import longest_prefix
 from ledgerloom.storage import stored
 
 # Archives named in runs, genres that years are glued to, and what derived runs are called.
 HINTS = {"dazho": "DAZHO", "dahmo": "DAHMO", "davo": "DAVO", "davio": "DAVO", "cdiak": "CDIAK", "anrm": "ANRM", "daoo": "DAOO", "kostel": "KOSTEL", "csamm": "CSAMM"}
 GENRES = ("spov", "met", "rev", "rec", "posim", "kazky", "sud", "klir")
 DERIVED = ("-review", "-rescue", "-queued", "-diak_v4", "-churro", "-parseq", "-test", "-skryba", "-probe", "-v5probe", "-v6probe")
-MODEL_TAIL = r"(?i)-(?:pysar[_a-z]*|skryba[_a-z0-9]*|diak[_a-z]*|v\d+[a-z]*)$"
+MODEL_TAILS = (r"pysar[_a-z]*", r"skryba[_a-z0-9]*", r"diak[_a-z]*", r"v\d+[a-z]*")
 SERVICE_FOLDERS = ("pages", "images", "scans", "jpg", "jpeg", "img", "frames")
 SKIPPED_FOLDERS = ("davo_opysy", "dahmo_319_f65_opisy", "bev_pdh", "kev_pdh", "khev_pdh", "eev_pdh", "_console_pages")
 CATALOGUE_FOLDER, CATALOGUE_REPO = "dahmo_archium", "DAHMO"
@@ -31,7 +35,43 @@ YEARS = (1500, 2100)
 #: How often the base of a derived name is derived itself.
 DEPTH = 3
 
-_LETTER = "[a-zа-яA-ZА-Я]?"
+_LETTER = "[a-zа-яA-ZА-Я]"
+
+
+class Convention(NamedTuple):
+    """How folders in some place of a path are named, and by its named groups what such a name says."""
+
+    place: str
+    pattern: str
+    #: The archive that names its folders so; it is said too, and where another one is said the convention is not heard.
+    archive: str | None = None
+
+    @property
+    def fields(self) -> tuple[str, ...]:
+        return tuple(re.compile(self.pattern).groupindex)
+
+
+# The conventions of folder names, the strongest first.
+PATH_CONVENTIONS = (
+    Convention("first", r"^(?P<repo>[a-z]+)_(?P<fund>\d+)(?:[_-][a-z0-9]+)*$"),
+    Convention("first", r"^(?P<repo>[^\W\d_]+)(?:_|$)"),
+    Convention("between", r"^(?P<repo>[a-z]+)_(?P<fund>\d+)(?:[_-][a-z0-9]+)*$"),
+    Convention("last", r"(?i)^0*1?0*(?P<fund>\d{3,4})[-_](?P<inventory>\d+)[-_]0*(?P<case>\d+[а-яa-z]?)", archive="DAVO"),
+    Convention("between", r"(?i)^f(?P<fund>\d+)(?:[_-]op(?P<inventory>\d+))?$"),
+    Convention("last", r"(?i)(?:^|[-_])op(?P<inventory>\d+)"),
+    Convention("last", r"(?i)spr[-_]?0*(?P<case>\w+?)$"),
+    Convention("last", r"^(?P<case>\d+)$"),
+    Convention("last", r"(?i)(?P<fund>\d+)\s*[-–]\s*(?P<inventory>\d+)\s*[-–]\s*(?P<case>\d+[а-яa-z]?)"),
+)
+SLUG_CONVENTIONS = (
+    Convention("first", r"(?i)^(?P<repo>[a-z]+)_(?:\d+)(?:_[a-z]+)?$"),
+    Convention("leaf", r"(?i)^m(?P<fund>\d+)[-_](?P<inventory>\d+)[-_](?P<case>\d+)$"),
+    Convention("first", r"(?i)^[a-z]+_(?P<fund>\d+)(?:_[a-z]+)?$"),
+    Convention("leaf", r"(?i)(?:^|[-_])(?:spr|m)[-_]?0*(?P<case>\d+[a-zа-я]?)"),
+)
+MARK = ("repo", "fund", "inventory", "case")
+#: Of the conventions that say one of these, only the first is heard, and nothing else of the others.
+SAID_ONCE = ("repo", "case")
 
 
 def _found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -53,21 +93,22 @@ def repository_hint(tokens: Column) -> Column:
     return F.get(F.array_compact(F.transform(tokens, lambda t: F.try_element_at(table, F.lower(t)))), F.lit(0))
 
 
-def name_numbers(tokens: Column) -> Column:
-    """Numbers of a name that may be funds, inventories or cases.
+# The years that are no number when glued to a genre, and how an archive writes its funds in front.
+GLUED_YEAR = rf"(?<!\d)0*(?:1[5-9]\d\d|20\d\d|2100)(?:{_LETTER}|(?!\d))"
+LONG_FUND = rf"(?<!\d)(?=\d{{5}})0+1?0*(\d{{3,4}})(?!\d|{_LETTER})"
 
-    A year glued to a genre is none, and 0109 04 stands for fund 904.
-    """
 
-    def of(token: Column) -> Column:
-        glued = token.rlike(rf"(?i)^(?:{'|'.join(GENRES)})") & ~token.rlike(r"^\d+$")
-        year = lambda raw: glued & F.regexp_replace(raw, r"\D", "").try_cast("long").between(*YEARS)
-        headed = lambda raw: F.when((F.length(raw) >= 5) & raw.rlike(r"^0+1?0*\d{3,4}$"), F.regexp_extract(raw, r"^0+1?0*(\d{3,4})$", 1)).otherwise(raw)
-        raw = F.regexp_extract_all(token, F.lit(rf"(\d+{_LETTER})"), 1)
-        fund = _found(token, r"(?i)^f(\d+)$")
-        return F.when(fund.isNotNull(), F.array(fund)).otherwise(F.transform(F.filter(raw, lambda r: ~year(r)), headed))
+def name_numbers(tokens: Column) -> Column:
+    """Numbers of a name that may be funds, inventories or cases, without leading zeros.
 
-    return F.transform(F.flatten(F.transform(tokens, of)), lambda n: F.when(n.rlike("^0+$"), "0").otherwise(F.regexp_replace(F.lower(n), "^0+", "")))
+    What is no number of that kind is written over first, a year glued to a
+    genre by nothing and 0109 04 by fund 904; then the numbers are read off.
+    """
+    genre, digits, fund = rf"(?i)^(?:{'|'.join(GENRES)})", r"^\d+$", r"(?i)^f(\d+)$"
+    yearless = lambda t: F.when(t.rlike(genre) & ~t.rlike(digits), F.regexp_replace(t, GLUED_YEAR, " ")).otherwise(t)
+    written = F.transform(tokens, lambda t: F.when(t.rlike(fund), t).otherwise(F.regexp_replace(yearless(t), LONG_FUND, "$1")))
+    read = F.regexp_extract_all(F.array_join(written, " "), F.lit(rf"\d+{_LETTER}?"), 0)
+    return F.transform(read, lambda n: F.regexp_replace(F.lower(n), "^0+(?=.)", ""))
 
 
 def name_candidates(numbers: Column) -> Column:
@@ -82,9 +123,8 @@ def name_candidates(numbers: Column) -> Column:
 
 def derived_base(name: Column) -> Column:
     """The run that a derived run's name builds on, null if it is not derived."""
-    suffix = F.get(F.filter(F.array(*map(F.lit, DERIVED)), lambda s: name.endswith(s) & (F.length(name) > F.length(s))), F.lit(0))
-    cut = F.when(suffix.isNotNull(), F.left(name, F.length(name) - F.length(suffix))).otherwise(F.regexp_replace(name, MODEL_TAIL, ""))
-    return F.when((cut != name) & (cut != ""), cut)
+    endings = "|".join([*map(re.escape, DERIVED), rf"(?i:-(?:{'|'.join(MODEL_TAILS)}))"])
+    return _found(name, rf"^(.+)(?:{endings})$")
 
 
 def path_parts(path: Column) -> Column:
@@ -94,61 +134,55 @@ def path_parts(path: Column) -> Column:
     return F.when(raw > 0, F.slice(parts, raw + 1, F.greatest(F.lit(0), F.size(parts) - raw))).otherwise(parts)
 
 
-def _mark(repo: Column, fund: Column, inventory: Column, case: Column) -> Column:
-    return F.when(repo.isNotNull() & fund.isNotNull() & case.isNotNull(), F.struct(repo.alias("repo"), fund.alias("fund"), inventory.alias("inventory"), case.alias("case")))
+def _folder(place: str, pattern: str) -> Column:
+    """The folder at a place of ``_parts`` that is named by a pattern, null if there is none."""
+    last = F.regexp_replace(F.try_element_at("_parts", F.lit(-1)), r"(?i)\.(?:pdf|jpe?g|png)$", "")
+    inside = F.lower(F.try_element_at("_parts", F.lit(-1))).isin(*SERVICE_FOLDERS) & (F.size("_parts") > 2)
+    if place == "between":
+        return F.get(F.filter("_parts", lambda p, i: (i > 0) & (i + 1 < F.size("_parts")) & p.rlike(pattern)), F.lit(0))
+    one = {"first": F.get("_parts", F.lit(0)), "last": last, "leaf": F.when(inside, F.try_element_at("_parts", F.lit(-2))).otherwise(F.try_element_at("_parts", F.lit(-1)))}[place]
+    return F.when(one.rlike(pattern), one)
 
 
-def with_case_of_path(rows: DataFrame, path: str, out: str = "mark") -> DataFrame:
-    """Rows with the case that the conventions of folder names say, as (repo, fund, inventory, case); null if they say none.
+def with_said(rows: DataFrame, path: str, conventions: tuple[Convention, ...], out: str) -> DataFrame:
+    """Rows with what a path's folders say by some conventions, as (repo, fund, inventory, case), null if that is no case.
 
-    The archive and fund are the first folder ARCHIVE_FUND, wherever it
-    stands; the last name is a whole mark, a case number, or an inventory and
-    a case; folders between may say fund and inventory.  Each step is a column
-    of its own, so that no expression holds another many times.
+    Each field has the value that the first convention says which is heard.
     """
-    slug, whole = r"^([a-z]+)_(\d+)(?:[_-][a-z0-9]+)*$", r"(?i)^0*1?0*(\d{3,4})[-_](\d+)[-_]0*(\d+[а-яa-z]?)"
-    inner, spelled = r"(?i)^f(\d+)(?:[_-]op(\d+))?$", r"(\d+)[-–](\d+)[-–](\d+[а-яa-z]?)"
-    between = lambda i: (i > 0) & (i + 1 < F.size("_parts"))
+    java = [c.pattern.replace("(?P<", "(?<").replace(r"[^\W\d_]", r"\p{L}") for c in conventions]
     df = rows.withColumn("_parts", path_parts(F.col(path)))
-    df = df.withColumns({
-        "_top": F.get("_parts", F.lit(0)), "_stem": F.regexp_replace(F.try_element_at("_parts", F.lit(-1)), r"(?i)\.(?:pdf|jpe?g|png)$", ""),
-        "_slug": F.get(F.filter("_parts", lambda p, i: p.rlike(slug) & ((i == 0) | between(i))), F.lit(0)),
-        "_inner": F.get(F.filter("_parts", lambda p, i: between(i) & p.rlike(inner)), F.lit(0)),
-    })
-    # A first folder that is an archive's name alone still says the archive.
-    df = df.withColumn("_own", F.when(~F.col("_top").rlike(slug), _found(F.col("_top"), r"^(\p{L}+)(?:_|$)")))
-    df = df.withColumns({"_code": F.coalesce("_own", _found(F.col("_slug"), slug, 1)), "_alone": F.coalesce(_found(F.col("_stem"), r"(?i)spr[-_]?0*(\w+?)$"), _found(F.col("_stem"), r"^(\d+)$"))})
-    df = df.withColumns({"_repo": F.when(F.col("_code").isNotNull(), repository(F.col("_code"))), "_fund": F.when(F.col("_own").isNull(), _found(F.col("_slug"), slug, 2))})
-    said = lambda k: F.when(F.col("_alone").isNull(), _found(F.col("_stem"), spelled, k))
-    is_whole = F.col("_stem").rlike(whole) & (F.col("_repo").isNull() | (F.col("_repo") == "DAVO"))
-    pick = lambda k, usual: F.when(F.col("_whole"), _found(F.col("_stem"), whole, k)).otherwise(usual)
-    df = df.withColumn("_whole", F.coalesce(is_whole, F.lit(False)))
-    df = df.withColumns({
-        "_repo": F.when(F.col("_whole"), F.coalesce("_repo", F.lit("DAVO"))).otherwise(F.col("_repo")),
-        "_fund": F.coalesce("_fund", pick(1, F.coalesce(_found(F.col("_inner"), inner, 1), said(1)))),
-        "_inventory": pick(2, F.coalesce(_found(F.col("_inner"), inner, 2), _found(F.col("_stem"), r"(?i)(?:^|[-_])op(\d+)"), said(2))),
-        "_case": pick(3, F.coalesce("_alone", said(3))),
-    })
-    df = df.withColumns({c: case_number(F.col(c)) for c in ("_fund", "_inventory", "_case")})
-    known = ~F.col("_top").isin(*SKIPPED_FOLDERS, CATALOGUE_FOLDER)
-    df = df.withColumn(out, F.when(known, _mark(*map(F.col, ("_repo", "_fund", "_inventory", "_case")))))
-    return df.drop("_parts", "_top", "_stem", "_slug", "_inner", "_own", "_code", "_alone", "_whole", "_repo", "_fund", "_inventory", "_case")
+    df = df.withColumns({f"_f{k}": _folder(c.place, java[k]) for k, c in enumerate(conventions)})
+    words = {k: {f: _found(F.col(f"_f{k}"), java[k], re.compile(c.pattern).groupindex[f]) for f in c.fields} for k, c in enumerate(conventions)}
+    archive = F.lit(None).cast("string")
+    heard: dict[int, Column] = {}
+    for k, c in enumerate(conventions):
+        rivals = [heard[j] for j in heard if any(f in SAID_ONCE and f in conventions[j].fields for f in c.fields)]
+        ok = F.col(f"_f{k}").isNotNull() & ~reduce(Column.__or__, rivals, F.lit(False))
+        if c.archive:
+            ok = ok & (archive.isNull() | (archive == c.archive))
+        df, heard[k] = df.withColumn(f"_h{k}", ok), F.col(f"_h{k}")
+        if "repo" in c.fields:
+            archive = F.coalesce(archive, F.when(heard[k], repository(words[k]["repo"])))
+    said = {f: F.coalesce(*(F.when(heard[k], w[f]) for k, w in words.items() if f in w)) for f in MARK}
+    own = F.coalesce(*(F.when(heard[k], F.lit(c.archive)) for k, c in enumerate(conventions) if c.archive), F.lit(None).cast("string"))
+    fields = {"repo": F.coalesce(F.when(said["repo"].isNotNull(), repository(said["repo"])), own)} | {f: case_number(said[f]) for f in MARK[1:]}
+    df = df.withColumns({f"_{f}": c for f, c in fields.items()})
+    whole = F.col("_repo").isNotNull() & F.col("_fund").isNotNull() & F.col("_case").isNotNull()
+    df = df.withColumn(out, F.when(whole, F.struct(*(F.col(f"_{f}").alias(f) for f in MARK))))
+    return df.drop("_parts", *(f"_{f}" for f in MARK), *(f"_{x}{k}" for x in "fh" for k in range(len(conventions))))
+
+
+def with_case_of_path(rows: DataFrame, path: str, out: str = "mark") -> DataFrame:
+    """Rows with the case that the conventions of folder names say; folders of catalogues and of what is no material say none."""
+    top = F.get(path_parts(F.col(path)), F.lit(0))
+    df = rows.withColumn("_said_of", F.when(~top.isin(*SKIPPED_FOLDERS, CATALOGUE_FOLDER), F.col(path)))
+    return with_said(df, "_said_of", PATH_CONVENTIONS, out).drop("_said_of")
 
 
 def with_case_of_slug(rows: DataFrame, path: str, out: str = "mark") -> DataFrame:
     """Rows with their case where the first folder is ARCHIVE_FUND_something or frames lie in a folder of their own."""
-    slug, other = r"(?i)^([a-z]+)_(\d+)(?:_[a-z]+)?$", r"(?i)^m(\d+)[-_](\d+)[-_](\d+)$"
-    df = rows.withColumn("_parts", path_parts(F.col(path))).withColumn("_last", F.try_element_at("_parts", F.lit(-1)))
-    inside = F.lower("_last").isin(*SERVICE_FOLDERS) & (F.size("_parts") > 2)
-    df = df.withColumns({"_top": F.get("_parts", F.lit(0)), "_leaf": F.when(inside, F.try_element_at("_parts", F.lit(-2))).otherwise(F.col("_last"))})
-    part = lambda k: _found(F.col("_leaf"), other, k)
-    df = df.withColumns({
-        "_repo": F.upper(_found(F.col("_top"), slug, 1)), "_fund": F.coalesce(part(1), _found(F.col("_top"), slug, 2)), "_inventory": part(2),
-        "_case": F.coalesce(part(3), _found(F.col("_leaf"), r"(?i)(?:^|[-_])(?:spr|m)[-_]?0*(\d+[a-zа-я]?)")),
-    })
-    df = df.withColumns({c: case_number(F.col(c)) for c in ("_fund", "_inventory", "_case")})
-    df = df.withColumn(out, F.when(F.size("_parts") >= 2, _mark(*map(F.col, ("_repo", "_fund", "_inventory", "_case")))))
-    return df.drop("_parts", "_last", "_top", "_leaf", "_repo", "_fund", "_inventory", "_case")
+    deep = F.when(F.size(path_parts(F.col(path))) >= 2, F.col(path))
+    return with_said(rows.withColumn("_said_of", deep), "_said_of", SLUG_CONVENTIONS, out).drop("_said_of")
 
 
 def catalogue_number(folder: Column) -> Column:
@@ -157,38 +191,22 @@ def catalogue_number(folder: Column) -> Column:
 
 
 def looked_up(candidates: DataFrame, library: DataFrame, key: str) -> DataFrame:
-    """(key, case_key) of candidates (key, nth, repo, fund, inventory, case) that leave no choice in the library.
+    """(key, turn, level, case_key) of candidates (key, turn, repo, fund, inventory, case) that leave no choice in the library.
 
-    A candidate with an inventory is looked up with it first.  Of several
-    cases those of the archive hinted at count, if there are any, and of those
-    the one that is described most strongly; a tie is no answer.  A candidate
-    without a fund is looked up by its case number alone.
+    A candidate with an inventory is looked up with it first (level 0).  Of
+    several cases those of the archive hinted at count, if there are any, and
+    of those the one that is described most strongly; a tie is no answer.  A
+    candidate without a fund is looked up by its case number alone.
     """
     lib = library.select("case_key", F.col("repo").alias("_repo"), case_number(F.col("fund")).alias("_fund"), case_number(F.col("inventory")).alias("_inventory"), case_number(F.col("case")).alias("_case"), strength(F.col("desc_source")).alias("_strength"))
     by_fund = candidates.where("fund is not null").join(lib, (F.col("fund") == F.col("_fund")) & (F.col("case") == F.col("_case")))
     alone = candidates.where("fund is null").join(lib, F.col("case") == F.col("_case"))
     found = by_fund.unionByName(alone)
     levels = F.when(F.coalesce(F.col("inventory") == F.col("_inventory"), F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    found = found.withColumn("_level", F.explode(levels)).withColumn("_ours", F.coalesce(F.col("repo") == F.col("_repo"), F.lit(False)))
-    alike = found.groupBy(key, "nth", "_level", "_ours", "_strength").agg(F.count_distinct("case_key").alias("_n"), F.min("case_key").alias("case_key"))
-    best = alike.groupBy(key, "nth", "_level").agg(F.max(F.struct("_ours", "_strength", "_n", "case_key")).alias("b")).where("b._n = 1")
-    first = best.groupBy(key).agg(F.min(F.struct("nth", "_level", F.col("b.case_key").alias("case_key"))).alias("b"))
-    return stored(first.select(key, "b.case_key"), "looked-up")
-
-
-def _by_mark(marked: DataFrame, library: DataFrame, key: str) -> DataFrame:
-    marked = stored(marked.select(key, "mark"), "marks")  # else each field of the mark would repeat all that leads to it
-    return looked_up(marked.where("mark is not null").select(key, F.lit(0).alias("nth"), "mark.repo", "mark.fund", "mark.inventory", "mark.case"), library, key)
-
-
-def _by_path(rows: DataFrame, path: str, library: DataFrame, paths: DataFrame, key: str) -> DataFrame:
-    """The case filed under a path, or under the conventions of its name."""
-    clean = F.regexp_replace(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "/+$", "")
-    named = stored(rows.where(F.coalesce(F.col(path), F.lit("")) != "").select(key, clean.alias("_path")), "paths")
-    filed = named.join(paths.select(F.regexp_replace("path", "/+$", "").alias("_path"), "case_key"), "_path").groupBy(key).agg(F.min("case_key").alias("case_key"))
-    steps = [filed, _by_mark(with_case_of_path(named, "_path"), library, key), _by_mark(with_case_of_slug(named, "_path"), library, key)]
-    first = resolved(named.select(key).distinct(), steps, key)
-    return stored(first.where("case_key is not null").select(key, "case_key"), "by-path")
+    found = found.withColumn("level", F.explode(levels)).withColumn("_ours", F.coalesce(F.col("repo") == F.col("_repo"), F.lit(False)))
+    alike = found.groupBy(key, "turn", "level", "_ours", "_strength").agg(F.count_distinct("case_key").alias("_n"), F.min("case_key").alias("case_key"))
+    best = alike.groupBy(key, "turn", "level").agg(F.max(F.struct("_ours", "_strength", "_n", "case_key")).alias("b")).where("b._n = 1")
+    return best.select(key, "turn", "level", "b.case_key")
 
 
 def without_junction(rows: DataFrame, junctions: DataFrame, path: str) -> DataFrame:
@@ -199,59 +217,82 @@ def without_junction(rows: DataFrame, junctions: DataFrame, path: str) -> DataFr
 
 
 CHANNELS = ("override", "meta_key", "case_dir", "run_name", "archium", "solo_number", "derived")
+#: Steps within a channel, and channels within one depth of derivation.
+_STEPS, _RANKS = 1 << 20, len(CHANNELS)
+
+
+def _turn(depth: Column, channel: str, step: Column) -> Column:
+    """When a candidate's turn comes: by depth of derivation, then channel, then step within it."""
+    return (depth.cast("long") * _RANKS + CHANNELS.index(channel)) * _STEPS + step.cast("long")
+
+
+def _aliases(runs: DataFrame) -> DataFrame:
+    """(run, depth, name): a run's own name and, as far as it is derived, those of its bases."""
+    name = F.col("run")
+    names = [name]
+    for _ in range(DEPTH):
+        name = derived_base(name)
+        names.append(name)
+    return runs.select("run", F.posexplode(F.array_compact(F.array(*names))).alias("depth", "name"))
 
 
 def resolve_runs(runs: DataFrame, library: DataFrame, paths: DataFrame, overrides: DataFrame, catalogue: DataFrame | None = None, junctions: DataFrame | None = None) -> DataFrame:
     """(run, case_key, resolved_by): the first of seven channels that names a case, null where none does.
 
     A person's decision comes first, then the key that the run itself wrote
-    down, the path it read, marks in its name, a catalogue number in its name,
-    a case number alone in its name, and last what its base run resolves to.
-    ``runs`` has run, meta_key and case_dir, ``library`` case_key, repo, fund,
-    inventory, case and desc_source, ``paths`` path and case_key, ``overrides``
-    run and case_key, ``catalogue`` file_id, fund, inventory and case,
-    ``junctions`` target and real.
+    down, the path it read (as it stands, then behind a junction), marks in its
+    name, a catalogue number in its name, a case number alone in its name, and
+    last what its base run resolves to.  ``runs`` has run, meta_key and
+    case_dir, ``library`` case_key, repo, fund, inventory, case and
+    desc_source, ``paths`` path and case_key, ``overrides`` run and case_key,
+    ``catalogue`` file_id, fund, inventory and case, ``junctions`` target and
+    real.
+
+    Every channel lists its candidates with their turn; all are looked up at
+    once, and the answer whose turn comes first counts.
     """
-    # Read many times below, so written once; so is what each channel finds.
     runs = stored(runs, "runs")
-    library = stored(library.select("case_key", "repo", "fund", "inventory", "case", "desc_source"), "library")
-    # The run's own name and, as far as it is derived, those of its bases.
-    names = runs.select("run", F.col("run").alias("name"), F.lit(0).alias("depth"))
-    aliases = names
-    for _ in range(DEPTH):
-        names = names.select("run", derived_base(F.col("name")).alias("name"), F.col("depth") + 1).toDF("run", "name", "depth").where("name is not null")
-        aliases = aliases.unionByName(names)
+    none, first = F.lit(None).cast("string"), F.lit(0)
     tokens = F.col("tokens")
-    aliases = stored(aliases.withColumn("tokens", name_tokens(F.col("name"))), "run-names")
-    aliases = stored(aliases.withColumns({"numbers": name_numbers(tokens), "repo": repository_hint(tokens), "solo": F.filter(tokens, lambda t: t.rlike(rf"^\d{{3,}}{_LETTER}$"))}), "run-numbers")
-    distinct = aliases.select("name", "numbers", "repo", "solo").distinct()
-
-    listed = distinct.select("name", "repo", F.posexplode(name_candidates(F.col("numbers"))).alias("nth", "c"))
-    by_marks = looked_up(listed.select("name", "nth", "repo", "c.fund", "c.inventory", "c.case"), library, "name")
-    solo = distinct.where("size(solo) = 1 and size(numbers) = 1")
-    by_number = looked_up(solo.select("name", F.lit(0).alias("nth"), "repo", F.lit(None).cast("string").alias("fund"), F.lit(None).cast("string").alias("inventory"), case_number(F.get("solo", F.lit(0))).alias("case")), library, "name")
-    decided = distinct.select("name").join(overrides.select(F.col("run").alias("name"), "case_key"), "name")
-    by_name = [("override", decided), ("run_name", by_marks), ("solo_number", by_number)]
+    aliases = _aliases(runs).withColumn("tokens", name_tokens(F.col("name")))
+    aliases = stored(aliases.withColumns({"numbers": name_numbers(tokens), "repo": repository_hint(tokens), "solo": F.filter(tokens, lambda t: t.rlike(rf"^\d{{3,}}{_LETTER}?$"))}).drop("tokens"), "run-names")
+    clean = lambda c: F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/+$", "")
+    folders = runs.where(F.coalesce("case_dir", F.lit("")) != "").select("run", clean(F.col("case_dir")).alias("path"), first.alias("behind"))
+    if junctions is not None:
+        real = without_junction(folders, junctions, "path").withColumn("behind", F.lit(1))
+        folders = folders.unionByName(real).groupBy("run", "path").agg(F.min("behind").alias("behind"))
+    said = stored(with_case_of_slug(with_case_of_path(folders, "path", "by_path"), "path", "by_slug"), "run-folders")
+
+    by_name = aliases.select("run", "depth", "repo", F.posexplode(name_candidates(F.col("numbers"))).alias("nth", "c"))
+    alone = aliases.where("size(solo) = 1 and size(numbers) = 1")
+    step = F.col("behind") * 4
+    listed = [
+        by_name.select("run", _turn(F.col("depth"), "run_name", F.col("nth")).alias("turn"), "repo", "c.fund", "c.inventory", "c.case"),
+        alone.select("run", _turn(F.col("depth"), "solo_number", first).alias("turn"), "repo", none.alias("fund"), none.alias("inventory"), case_number(F.get("solo", F.lit(0))).alias("case")),
+        *(said.where(f"{m} is not null").select("run", _turn(first, "case_dir", step + k).alias("turn"), f"{m}.repo", f"{m}.fund", f"{m}.inventory", f"{m}.case") for k, m in ((1, "by_path"), (2, "by_slug"))),
+    ]
     if catalogue is not None:
-        ids = distinct.select("name", catalogue_number(F.regexp_replace("name", r"^f\d+[_-]", "")).alias("file_id")).where("file_id is not null")
-        marks = ids.join(catalogue, "file_id").select("name", F.lit(0).alias("nth"), F.lit(CATALOGUE_REPO).alias("repo"), case_number(F.col("fund")).alias("fund"), case_number(F.col("inventory")).alias("inventory"), case_number(F.col("case")).alias("case"))
-        by_name.insert(2, ("archium", looked_up(marks, library, "name")))
+        of_name = aliases.select("run", _turn(F.col("depth"), "archium", first).alias("turn"), catalogue_number(F.regexp_replace("name", r"^f\d+[_-]", "")).alias("file_id"))
+        parts = path_parts(F.col("path"))
+        of_path = said.where(F.get(parts, F.lit(0)) == CATALOGUE_FOLDER).select("run", _turn(first, "case_dir", step + 3).alias("turn"), catalogue_number(F.try_element_at(parts, F.lit(-1))).alias("file_id"))
+        number = lambda c: case_number(_found(F.col(c).cast("string"), r"(\d+)"))
+        marks = catalogue.select(F.col("file_id").cast("string").alias("file_id"), F.lit(CATALOGUE_REPO).alias("repo"), case_number(F.col("fund").cast("string")).alias("fund"), number("inventory").alias("inventory"), number("case").alias("case"))
+        listed.append(of_name.unionByName(of_path).where("file_id is not null").join(marks, "file_id").select("run", "turn", *MARK))
+    candidates = stored(reduce(DataFrame.unionByName, listed), "run-candidates")
 
     noted = runs.where("meta_key <> ''").select("run", F.col("meta_key").alias("case_key"))
-    known = noted.join(library.select("case_key").distinct(), "case_key", "left_semi").unionByName(noted.where("startswith(case_key, '@')")).distinct()
-    walked = _by_path(runs, "case_dir", library, paths, "run")
-    if junctions is not None:
-        # Behind a junction only where the path as it stands leads nowhere.
-        rest = runs.join(walked, "run", "left_anti")
-        walked = walked.unionByName(_by_path(without_junction(rest, junctions, "case_dir"), "case_dir", library, paths, "run"))
-
-    rank = {c: k for k, c in enumerate(CHANNELS)}
-    found = known.withColumns({"rank": F.lit(rank["meta_key"]), "depth": F.lit(0)}).unionByName(walked.withColumns({"rank": F.lit(rank["case_dir"]), "depth": F.lit(0)}))
-    for channel, hits in by_name:
-        found = found.unionByName(aliases.select("run", "name", "depth").join(hits, "name").select("run", "case_key", F.lit(rank[channel]).alias("rank"), "depth"))
-    best = found.groupBy("run").agg(F.min(F.struct("depth", "rank", "case_key")).alias("b"))
-    labels = F.array(*map(F.lit, CHANNELS))
-    by = F.when(F.col("b.depth") > 0, "derived").when(F.col("b.rank") == rank["solo_number"], "run_name").otherwise(F.get(labels, F.col("b.rank")))
+    known = noted.join(library.select("case_key").distinct(), "case_key", "left_semi").unionByName(noted.where("startswith(case_key, '@')"))
+    filed = said.select("run", "path", step.alias("step")).join(paths.select(clean(F.col("path")).alias("path"), "case_key"), "path")
+    decided = aliases.join(overrides.select(F.col("run").alias("name"), "case_key"), "name")
+    sure = [
+        known.select("run", _turn(first, "meta_key", first).alias("turn"), "case_key"), filed.select("run", _turn(first, "case_dir", F.col("step")).alias("turn"), "case_key"),
+        decided.select("run", _turn(F.col("depth"), "override", first).alias("turn"), "case_key"),
+    ]
+    found = reduce(DataFrame.unionByName, sure).withColumn("level", first).unionByName(looked_up(candidates, library, "run"))
+    best = found.groupBy("run").agg(F.min(F.struct("turn", "level", "case_key")).alias("b"))
+    place = F.floor(F.col("b.turn") / _STEPS)
+    channel = F.get(F.array(*map(F.lit, CHANNELS)), (place % _RANKS).cast("int"))
+    by = F.when(place >= _RANKS, "derived").when(channel == "solo_number", "run_name").otherwise(channel)
     return runs.join(best, "run", "left").select(*runs.columns, F.col("b.case_key").alias("case_key"), F.coalesce(by, F.lit("none")).alias("resolved_by"))
 
 
@@ -264,7 +305,9 @@ def resolve_cases(asked: DataFrame, library: DataFrame, inventory_in_key: tuple[
     """
     bare = F.col("value").rlike(r"^\s*\d+\s*[-–]\s*\d+\s*[-–]\s*\d+")
     df = asked.select("value", bare.alias("_bare"), F.when(~bare, shelf_mark(F.trim("value"))).alias("_said"))
-    m = with_case_of_path(df, "value", "_walked").withColumn("_m", F.coalesce("_said", F.when(~F.col("_bare") & F.col("value").contains("/"), F.col("_walked"))))
+    # Stored, else each use of a field would repeat all that leads to it.
+    walked = stored(with_case_of_path(df, "value", "_walked"), "case-marks")
+    m = walked.withColumn("_m", F.coalesce("_said", F.when(~F.col("_bare") & F.col("value").contains("/"), F.col("_walked"))))
     fund = F.concat_ws("/", "_m.repo", "_m.fund")
     lacking = m.withColumn("_vague", fund.isin(*inventory_in_key) & F.col("_m.inventory").isNull())
     theirs = library.select(F.concat_ws("/", "repo", case_number(F.col("fund")), case_number(F.col("case"))).alias("_fc"), case_number(F.col("inventory")).alias("_inv")).where("_inv is not null")

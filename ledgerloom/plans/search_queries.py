@@ -70,23 +70,27 @@ def search_run_coverage(t) -> DataFrame:
 _KEY = "'DAHMO/' || (o_custkey % 50 + 100)::VARCHAR || '/' || o_orderkey::VARCHAR"
 
 
-@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS way, {_KEY} AS key FROM orders)
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 11 AS way, {_KEY} AS key FROM orders)
 SELECT 'r' || o_orderkey::VARCHAR AS id, CASE WHEN way = 4 AND o_orderkey < 100 OR way = 7 THEN NULL WHEN way = 0 THEN '@bundle' ELSE key END AS case_key,
-  CASE way WHEN 0 THEN 'override' WHEN 1 THEN 'meta_key' WHEN 2 THEN 'case_dir' WHEN 3 THEN 'run_name' WHEN 4 THEN CASE WHEN o_orderkey < 100 THEN 'none' ELSE 'run_name' END WHEN 5 THEN 'derived' WHEN 6 THEN 'case_dir' ELSE 'none' END AS resolved_by FROM o""")
+  CASE way WHEN 0 THEN 'override' WHEN 1 THEN 'meta_key' WHEN 3 THEN 'run_name' WHEN 4 THEN CASE WHEN o_orderkey < 100 THEN 'none' ELSE 'run_name' END
+    WHEN 5 THEN 'derived' WHEN 7 THEN 'none' WHEN 8 THEN 'archium' ELSE 'case_dir' END AS resolved_by FROM o""")
 def resolve_runs(t) -> DataFrame:
-    """Orders as cases and as runs that each name theirs in another way, one in eight in none."""
+    """Orders as cases and as runs that each name theirs in another way, one in eleven in none."""
     fund, inventory, number = (F.col("o_custkey") % 50 + 100).cast("string"), (F.col("o_orderkey") % 3 + 1).cast("string"), F.col("o_orderkey").cast("string")
-    o = t("orders").select(F.col("o_orderkey"), fund.alias("fund"), inventory.alias("inventory"), number.alias("case")).withColumn("way", F.col("o_orderkey") % 8)
-    key = F.concat_ws("/", F.lit("DAHMO"), "fund", "case")
+    o = t("orders").select(F.col("o_orderkey"), fund.alias("fund"), inventory.alias("inventory"), number.alias("case")).withColumn("way", F.col("o_orderkey") % 11)
+    key, file_id = F.concat_ws("/", F.lit("DAHMO"), "fund", "case"), (F.col("o_orderkey") + 10_000_000_000).cast("string")
     library = o.select(key.alias("case_key"), F.lit("DAHMO").alias("repo"), "fund", "inventory", "case", F.lit("canonical").alias("desc_source"))
     paths = o.select(F.concat(F.lit("archive/x/"), "case").alias("path"), key.alias("case_key"))
-    way = lambda k, c: F.when(F.col("way") == k, c)
+    way = lambda k, *parts: F.when(F.col("way") == k, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
     other = F.concat(F.lit("text"), F.translate("case", "0123456789", "abcdefghij"))
-    name = F.coalesce(way(3, F.concat_ws("-", F.lit("dahmo"), "fund", "inventory", "case")), way(4, F.concat(F.lit("spov1846-"), F.col("case"))), way(5, F.concat(other, F.lit("-skryba_f792_v6-review"))), other)
-    folder = F.coalesce(way(2, F.concat(F.lit("archive\\x\\"), F.col("case"), F.lit("\\"))), way(6, F.concat(F.lit("data/raw/dahmo_"), "fund", F.lit("/spr-"), "case")), F.lit(""))
+    case = F.col("case")
+    name = F.coalesce(way(3, "dahmo-", F.concat_ws("-", "fund", "inventory", "case")), way(4, "spov1846-", case), way(5, other, "-skryba_f792_v6-review"), way(8, "spr_", file_id), other)
+    folder = F.coalesce(way(2, "archive\\x\\", case, "\\"), way(6, "data/raw/dahmo_", F.col("fund"), "/spr-", case), way(9, "short/", case), way(10, "data/raw/dahmo_archium/f9_spr_", file_id), F.lit(""))
     runs = o.select(F.concat(F.lit("r"), "case").alias("id"), name.alias("run"), F.coalesce(way(1, key), F.lit("")).alias("meta_key"), folder.alias("case_dir"))
     overrides = o.where("way = 0").select(other.alias("run"), F.lit("@bundle").alias("case_key")).unionByName(o.where("way = 5").select(other.alias("run"), key.alias("case_key")))
-    return resolution.resolve_runs(runs, library, paths, overrides).select("id", "case_key", "resolved_by")
+    catalogue = o.select(file_id.alias("file_id"), "fund", F.concat(F.lit("Опис "), "inventory").alias("inventory"), F.concat(F.lit("Справа "), "case").alias("case"))
+    junctions = runs.sparkSession.createDataFrame([("short", "archive/x"), ("shorter", "nowhere")], "target string, real string")
+    return resolution.resolve_runs(runs, library, paths, overrides, catalogue, junctions).select("id", "case_key", "resolved_by")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_partkey % 7 AS way, p_size, p_partkey + 1 AS n FROM part)
