@@ -129,6 +129,68 @@ def partial_ratios_to(word: str, strings: list[str]) -> np.ndarray:
     return out
 
 
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Similarity of each pair; empty strings only equal each other."""
+    total = np.fromiter((len(x) + len(y) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    return np.where(total == 0, 100.0, 200.0 * common(a, b) / np.maximum(total, 1))
+
+
+# Fixed values of the weighted ratio: what token and partial scores count, and the lengths from which parts are compared, and count less.
+TOKEN_SHARE, PARTIAL_SHARE, FAR_SHARE = 0.95, 0.9, 0.6
+PARTS_FROM, FAR_FROM = 1.5, 8.0
+
+
+def _compared(a: str, b: str) -> Iterator[tuple[str, str, float]]:
+    """What the weighted ratio compares of two strings: pairs with the share that each counts; equal pairs count in full."""
+    yield a, b, 1.0
+    ta, tb = a.split(), b.split()
+    sa, sb = set(ta), set(tb)
+    both, only_a, only_b = (" ".join(sorted(x)) for x in (sa & sb, sa - sb, sb - sa))
+    sorted_a, sorted_b = " ".join(sorted(ta)), " ".join(sorted(tb))
+    long, short = max(len(a), len(b)), min(len(a), len(b))
+    if long < PARTS_FROM * short:
+        yield sorted_a, sorted_b, TOKEN_SHARE
+        whole_a, whole_b = (f"{both} {x}".strip() for x in (only_a, only_b))
+        yield whole_a, whole_b, TOKEN_SHARE
+        if both:
+            yield both, whole_a, TOKEN_SHARE
+            yield both, whole_b, TOKEN_SHARE
+        return
+    share = PARTIAL_SHARE if long < FAR_FROM * short else FAR_SHARE
+    pairs = [(a, b, share)] + ([("", "", share * TOKEN_SHARE)] if both else [(x, y, share * TOKEN_SHARE) for x, y in {(sorted_a, sorted_b), (only_a, only_b)}])
+    for x, y, part in pairs:
+        few, many = sorted((x, y), key=len)
+        yield from ((few, w, part) for w in (windows(many, len(few)) if few else [many]))
+        if len(few) == len(many):
+            yield from ((many, w, part) for w in windows(few, len(many)))
+
+
+def weighted_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """The best of whole, token and partial similarity of each pair, each by its share; 0 where either is empty."""
+    out = np.zeros(len(a))
+    at = [k for k in range(len(a)) if a[k] and b[k]]
+    lo = 0
+    while lo < len(at):
+        hi, items, starts = lo, [], []
+        while hi < len(at) and len(items) < CELLS // 64:
+            starts.append(len(items))
+            items += _compared(a[at[hi]], b[at[hi]])
+            hi += 1
+        x, y, share = zip(*items, strict=True)
+        out[at[lo:hi]] = np.maximum.reduceat(ratios(list(x), list(y)) * np.array(share), starts)
+        lo = hi
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """weighted_ratios of two columns, a null counting as empty; equal pairs are compared once."""
+    pairs = pd.DataFrame({"a": a.fillna("").to_numpy(), "b": b.fillna("").to_numpy()})
+    codes = pairs.groupby(["a", "b"], sort=False).ngroup().to_numpy()
+    first = pairs.drop_duplicates()
+    return pd.Series(weighted_ratios(first["a"].tolist(), first["b"].tolist())[codes] if len(pairs) else [], dtype="float64")
+
+
 def ratio_to(word: str, c: Column) -> Column:
     """Similarity of a column to a fixed word, 0 to 100."""
     if not word:
@@ -160,8 +222,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two columns, 0 to 100; empty strings only equal each other, null gives null."""
     both = (a.notna() & b.notna()).to_numpy()
     x, y = a.fillna("").tolist(), b.fillna("").tolist()
-    total = np.fromiter((len(p) + len(q) for p, q in zip(x, y, strict=True)), np.int64, len(x))
-    return pd.Series(np.where(total == 0, 100.0, 200.0 * common(x, y) / np.maximum(total, 1))).where(both)
+    return pd.Series(ratios(x, y)).where(both)
 
 
 def partial_ratio_to(word: str, c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.similarity import ratio
+from ledgerloom.functions.similarity import weighted_ratio
 
 # Weights of the parts of a score, and its thresholds.
 WEIGHTS = {"surname": 0.40, "given": 0.30, "patronymic": 0.10, "year": 0.15, "place": 0.05}
@@ -14,7 +14,8 @@ PROPOSED, REVIEWED = 0.60, 0.85
 
 
 def string_score(a: Column, b: Column) -> Column:
-    return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(ratio(a, b) / 100)
+    """0 to 1 by the weighted ratio; nothing where either is lacking."""
+    return weighted_ratio(a, b) / 100
 
 
 def year_score(a: Column, b: Column) -> Column:
@@ -40,10 +41,7 @@ def best_person(scored: DataFrame, record: str = "record_id", person: str = "per
 
 
 def candidate_pairs(records: DataFrame, persons: DataFrame, *blocks: Column) -> DataFrame:
-    """Pairs that agree on at least one blocking key: an equality join for each, united.
-
-    Neighbouring buckets of a number are listed on one side beforehand.
-    """
+    """Pairs that agree on at least one blocking key: an equality join for each, united."""
     found = None
     for k in blocks:
         a, b = records.withColumn("_k", k), persons.withColumn("_k", k)

@@ -347,22 +347,16 @@ def export_flat(t) -> DataFrame:
     return notes.flat_records(cases).select("case_key", "rid", "scans", "nth", "role", "surname")
 
 
-@query(f"""WITH p AS (SELECT s_suppkey AS person_id, s_name, s_nationkey AS nation, s_acctbal FROM supplier), s AS (
+@query(f"""WITH p AS (SELECT s_suppkey AS person_id, s_name, s_nationkey AS nation, CASE WHEN s_suppkey % 7 > 0 THEN s_acctbal END AS y FROM supplier), s AS (
   SELECT c_custkey AS record_id, person_id, (0.40::DOUBLE + 0.1::DOUBLE * 4 / 7) * ({ratio_sql('lower(c_name)', 'lower(s_name)')} / 100)
-    + 0.15::DOUBLE * exp(-pow((c_acctbal - s_acctbal) / 100, 2) / 18) AS score FROM customer JOIN p ON nation = c_nationkey
-  WHERE abs(floor(c_acctbal / 900) - floor(s_acctbal / 900)) <= 1)
+    + 0.15::DOUBLE * coalesce(exp(-pow((CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END - y) / 100, 2) / 18), 0) AS score FROM customer JOIN p ON nation = c_nationkey)
 SELECT record_id, round(max(score), 6) AS score FROM s GROUP BY 1""")
 def linkage_scores(t) -> DataFrame:
-    """Customers as records, suppliers of their nation as persons, balances of a hundred as years.
-
-    Beyond three deviations, nine years, a year adds next to nothing: persons
-    lie in one bucket of nine years and records look into three.
-    """
-    records = t("customer").select(F.col("c_custkey").alias("record_id"), F.lower("c_name").alias("name"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") / 100).alias("year"))
-    persons = t("supplier").select(F.col("s_suppkey").alias("person_id"), F.lower("s_name").alias("name"), F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") / 100).alias("year"))
-    bucket = F.floor(F.col("year") / 9).cast("long")
-    looked = records.withColumn("block", F.explode(F.array(*(F.struct("nation", (bucket + d).alias("bucket")) for d in (-1, 0, 1)))))
-    pairs = linkage.candidate_pairs(looked, persons.withColumn("block", F.struct("nation", bucket.alias("bucket"))), F.col("block"))
+    """Customers as records, suppliers of their nation as persons, balances of a hundred as years, some unknown."""
+    year = lambda key, n, c: F.when(F.col(key) % n > 0, F.col(c) / 100).alias("year")
+    records = t("customer").select(F.col("c_custkey").alias("record_id"), F.lower("c_name").alias("name"), F.col("c_nationkey").alias("nation"), year("c_custkey", 5, "c_acctbal"))
+    persons = t("supplier").select(F.col("s_suppkey").alias("person_id"), F.lower("s_name").alias("name"), F.col("s_nationkey").alias("nation"), year("s_suppkey", 7, "s_acctbal"))
+    pairs = linkage.candidate_pairs(records, persons, F.col("nation"))
     parts = {"surname": linkage.string_score(F.col("name"), F.col("p_name")), "given": F.lit(0.0), "patronymic": F.lit(0.0), "year": linkage.year_score(F.col("year"), F.col("p_year")), "place": F.lit(0.0)}
     scored = pairs.withColumnRenamed("p_person_id", "person_id").withColumn("score", linkage.total_score(parts, F.lit(False)))
     return linkage.best_person(scored).select("record_id", F.round("score", 6).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from ledgerloom.functions import facts, normal
 from ledgerloom.functions.similarity import ratio_sql
-from ledgerloom.operators import decode, gazetteer, graph, noted, notes, resolution
+from ledgerloom.operators import decode, gazetteer, graph, nearest, noted, notes, resolution
 from ledgerloom.plans.queries import _sql_matching, _window_best, query
 from ledgerloom.sources import catalogues
 
@@ -67,6 +67,18 @@ def search_run_coverage(t) -> DataFrame:
     return out
 
 
+@query(f"""WITH c AS (SELECT 's' || s_suppkey::VARCHAR AS card, lower(s_name) AS uk, s_name AS ru FROM supplier UNION ALL SELECT 'p' || p_partkey::VARCHAR, p_name, p_type FROM part),
+f AS (SELECT DISTINCT card, kind, name FROM (SELECT card, 0 AS kind, uk AS name FROM c UNION ALL SELECT card, 1, ru FROM c)), n AS (SELECT DISTINCT name FROM f),
+s AS (SELECT a.name AS a, b.name AS b, {ratio_sql('a.name', 'b.name')} AS s FROM n a, n b),
+m AS (SELECT x.card, y.card AS confuser, max(round_even(s, 0)::INT) AS score FROM (SELECT * FROM s WHERE s >= 78) JOIN f x ON x.name = a JOIN f y ON y.name = b WHERE x.card <> y.card AND x.kind + y.kind < 2 GROUP BY 1, 2)
+SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY card ORDER BY score DESC, confuser) <= 8""")
+def confusers_all(t) -> DataFrame:
+    """All suppliers and all parts as places, without a stated set of queries."""
+    suppliers = t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("card"), F.lower("s_name").alias("norm_uk"), F.col("s_name").alias("norm_ru"))
+    parts = t("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("card"), F.col("p_name").alias("norm_uk"), F.col("p_type").alias("norm_ru"))
+    return nearest.all_confusers(suppliers.unionByName(parts))
+
+
 _KEY = "'DAHMO/' || (o_custkey % 50 + 100)::VARCHAR || '/' || o_orderkey::VARCHAR"
 
 
