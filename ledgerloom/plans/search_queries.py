@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ledgerloom.functions import facts, normal
+from ledgerloom.functions import facts, inflection, normal
 from ledgerloom.functions.similarity import ratio_sql
-from ledgerloom.operators import decode, gazetteer, graph, nearest, noted, notes, resolution
+from ledgerloom.operators import decode, gazetteer, graph, nearest, noted, notes, resolution, spellings
 from ledgerloom.plans.queries import _sql_matching, _window_best, query
 from ledgerloom.sources import catalogues
 
@@ -79,6 +79,26 @@ def confusers_all(t) -> DataFrame:
     return nearest.all_confusers(suppliers.unionByName(parts))
 
 
+_STEM = "regexp_extract_all(text, '[a-z]{6,}')"
+_EVERY = ", ".join(f"('{o}', '{e}')" for o in inflection.PARADIGMS["noun_ov"] for e in inflection.coded("noun_ov", o).values())
+
+
+@query(f"""WITH s AS (SELECT DISTINCT unnest({_STEM}) AS name FROM benchmark), f AS (SELECT DISTINCT name, form FROM (
+  SELECT name, name || e AS form FROM s, (VALUES {_EVERY}) v(o, e) UNION ALL SELECT name, upper(name) FROM s
+  UNION ALL SELECT name, substr(name, 1, 3) || '-' FROM s UNION ALL SELECT name, substr(name, 4) FROM s UNION ALL SELECT name, substr(name, 1, 3) || '- ' || substr(name, 4) FROM s)),
+h AS (SELECT doc_id, form, (instr(text, form) - 1)::INT AS "first", (length(text) - instr(reverse(text), reverse(form)) - length(form) + 1)::INT AS "last" FROM (SELECT DISTINCT form FROM f) JOIN documents ON length(form) > 2 AND contains(text, form))
+SELECT doc_id, name, form, "first", "last" FROM h JOIN f USING (form)""")
+def surname_forms(t) -> DataFrame:
+    """Words of the test items as surnames: all their forms, in capitals and broken over lines, in whole documents."""
+    stem = F.explode(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), 0)).alias("name")
+    names = t("benchmark").select(stem).distinct()
+    stems = F.create_map(*(x for o in inflection.PARADIGMS["noun_ov"] for x in (F.lit(o), F.col("name"))))
+    slots = ["hyphen_head(nom_m@uk, 3)", "hyphen_tail(nom_m@uk, 3)", "hyphen(nom_m@ru_modern, 3)"]
+    forms = inflection.all_spellings(stems, "noun_ov", F.array(F.upper("name")), slots)
+    named = names.select("name", F.explode(forms).alias("form")).where("length(form) > 2")
+    return spellings.spelled_hits(t("documents"), named, "doc_id").drop("n")
+
+
 _KEY = "'DAHMO/' || (o_custkey % 50 + 100)::VARCHAR || '/' || o_orderkey::VARCHAR"
 
 
