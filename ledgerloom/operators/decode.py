@@ -23,16 +23,37 @@ def lines_of(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.select("run", "page", F.posexplode(F.split(text, "\n", -1)).alias("_at", "line")).select("run", "page", (F.col("_at") + 1).alias("line_no"), "line")
 
 
+#: Lines before a line whose last words a broken word may begin with.
+BEFORE = 3
+
+
+def _tokens(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit("(?U)" + TOKEN), 0)
+
+
+def page_candidates(pages: DataFrame, normal=F.lower, text: str = "text") -> DataFrame:
+    """Words a name may be hiding in, of pages with their whole text: each page is one row, so nothing is shuffled."""
+    numbered = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct((i + 1).alias("line_no"), _tokens(line).alias("_t")))
+    df = pages.select("run", "page", F.filter(numbered, lambda x: F.size(x["_t"]) > 0).alias("_ls"))
+    last = lambda i: F.element_at(F.get("_ls", i)["_t"], -1)
+    with_before = F.transform("_ls", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["_t"].alias("_t"), *(last(i - k).alias(f"_p{k}") for k in range(1, BEFORE + 1))))
+    return _candidates(df.select("run", "page", F.explode(with_before).alias("_l")).select("run", "page", "_l.*"), normal)
+
+
 def candidates(lines: DataFrame, normal=F.lower) -> DataFrame:
     """Words a name may be hiding in: single ones, neighbours joined, and words broken over line ends.
 
     (run, page, line_no, ord, surface, norm), ord being the order in which
-    equal scores are preferred.
+    equal scores are preferred.  For tables of lines; where a page is one row,
+    ``page_candidates`` gives the same without bringing its lines together.
     """
     w = W.Window.partitionBy("run", "page").orderBy("line_no")
-    df = lines.withColumn("_t", F.regexp_extract_all("line", F.lit("(?U)" + TOKEN), 0)).where("size(_t) > 0")
-    for back in (1, 2, 3):
-        df = df.withColumn(f"_p{back}", F.lag(F.element_at("_t", -1), back).over(w))
+    df = lines.withColumn("_t", _tokens(F.col("line"))).where("size(_t) > 0")
+    return _candidates(df.withColumns({f"_p{k}": F.lag(F.element_at("_t", -1), k).over(w) for k in range(1, BEFORE + 1)}), normal)
+
+
+def _candidates(df: DataFrame, normal) -> DataFrame:
+    """Candidates of lines as tokens (_t) with the last words of the lines before (_p1, _p2, _p3)."""
     first = F.get("_t", F.lit(0))
     none = F.array().cast("array<struct<surface:string,raw:string>>")
 
@@ -105,7 +126,7 @@ def search(found: DataFrame, stems: list[str], least: float = 80) -> DataFrame:
 
 def meaning(line: Column) -> Column:
     """Characters of a line that say something: its words of three letters and more, and what is no word."""
-    tokens = F.regexp_extract_all(line, F.lit("(?U)" + TOKEN), 0)
+    tokens = _tokens(line)
     rest = F.length(F.trim(F.regexp_replace(line, "(?U)" + TOKEN, "")))
     return rest + F.aggregate(tokens, F.lit(0), lambda a, t: a + F.when(F.length(t) >= 3, F.length(t)).otherwise(0))
 

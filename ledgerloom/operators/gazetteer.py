@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.functions.normal import matching_form
 from ledgerloom.functions.similarity import could_reach, ratio_to, ratios_to
-from ledgerloom.storage import stored
+from ledgerloom.storage import broadcast_if_small, stored
 
 FUZZY_LEAST, LATIN_LEAST, CONFUSER_LEAST = 82, 84, 78
 
@@ -44,15 +44,23 @@ def find_places(places: DataFrame, q: str, limit: int | None = None) -> DataFram
     The looser tier adds rows only where the stricter ones give fewer than
     ``limit``: it scores below them all, so otherwise nothing is compared.
     """
-    names = F.col("norm_uk"), F.col("norm_ru")
     if not q:
         scored = places.withColumn("score", F.lit(0))
     else:
-        exact = places.withColumn("score", exact_score(q, *names))
-        scored = exact.where("score is not null")
+        # Each name once, its forms worked out and stored: what follows compares short strings.
+        forms = ["norm_uk", "norm_ru", *(["translit"] if "translit" in places.columns else [])]
+        blank = {c: F.coalesce(c, F.lit("")) for c in forms}
+        names = stored(places.select(*(v.alias(c) for c, v in blank.items())).distinct(), "place-names")
+        either = F.col("norm_uk"), F.col("norm_ru")
+        exact = names.withColumn("score", exact_score(q, *either))
+        hits = exact.where("score is not null")
+        found = places.withColumns(blank)
+        scored = found.join(broadcast_if_small(stored(hits, "names-exact")), forms)
         if limit is None or scored.select("card").distinct().limit(limit).count() < limit:
-            translit = F.col("translit") if "translit" in places.columns else None
-            scored = exact.withColumn("score", F.coalesce("score", fuzzy_score(q, *names, translit))).where("score is not null")
+            translit = F.col("translit") if "translit" in forms else None
+            hits = exact.withColumn("score", F.coalesce("score", fuzzy_score(q, *either, translit))).where("score is not null")
+            scored = found.join(broadcast_if_small(stored(hits, "names-near")), forms)
+        scored = scored.select(*places.columns, "score")
     best = F.row_number().over(W.Window.partitionBy("card").orderBy(F.desc("score")))
     scored = scored.withColumn("_nth", best).where("_nth = 1").drop("_nth")
     ordered = scored.orderBy(F.desc("score"), F.desc("n_cases"), "card")

@@ -106,15 +106,18 @@ def generations(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     length come to their end.
     """
     edges = stored(parents.select("source", "target").distinct(), "parents")
-    front = stored(nodes.select("node").join(edges.select(F.col("target").alias("node")), "node", "left_anti"), "generation-0")
-    settled, k = front.withColumn("generation", F.lit(0)), 0
+    front = stored(nodes.select("node").join(edges.select(F.col("target").alias("node")), "node", "left_anti").withColumn("generation", F.lit(0)), "generation-0")
+    written, schema, k = [front.stored_at], front.schema, 0
     while not front.isEmpty():
         k += 1
         above = front.select(F.col("node").alias("source"))
         below = edges.join(above, "source", "left_semi").select(F.col("target").alias("node")).distinct()
         left = stored(edges.join(above, "source", "left_anti"), f"parents-{k}")
-        front = stored(below.join(left.select(F.col("target").alias("node")), "node", "left_anti"), f"generation-{k}")
-        settled, edges = settled.unionByName(front.withColumn("generation", F.lit(k))), left
+        front = stored(below.join(left.select(F.col("target").alias("node")), "node", "left_anti").withColumn("generation", F.lit(k)), f"generation-{k}")
+        written.append(front.stored_at)
+        edges = left
+    # One scan of all levels' files, however many there are.
+    settled = nodes.sparkSession.read.schema(schema).parquet(*written)
     return nodes.select("node").join(settled, "node", "left")
 
 

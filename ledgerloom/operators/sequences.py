@@ -48,9 +48,11 @@ def closed_ranges(rows: DataFrame, group: list[str], order: list[str], start: st
     into ranges of group and order, so a group of any size is spread over
     tasks.  Within a range a stack finds the next larger start.  Where there is
     none, the first later range of the group whose largest start is larger
-    holds it: its first start beyond all before it in that range.
+    holds it: its first start beyond all before it in that range.  Ranges, not
+    rows, are listed for that, and only for groups that a border cuts.
     """
-    df = rows.withColumn("_g", F.struct(*group)).withColumn("_s", F.coalesce(F.col(start), F.lit(-1)).cast("long"))
+    # Stored, as the cut of the ranges reads the rows once more.
+    df = stored(rows, "open-ranges").withColumn("_g", F.struct(*group)).withColumn("_s", F.coalesce(F.col(start), F.lit(-1)).cast("long"))
     df = df.repartitionByRange("_g", *order).sortWithinPartitions("_g", *order).withColumn("_block", F.spark_partition_id())
     schema = T.StructType([*df.schema.fields, T.StructField("_later", T.LongType()), T.StructField("_above", T.LongType())])
     arrow = to_arrow_schema(schema)
@@ -69,12 +71,22 @@ def closed_ranges(rows: DataFrame, group: list[str], order: list[str], start: st
         yield from table.append_column(arrow.field("_later"), pa.array(later)).append_column(arrow.field("_above"), pa.array(above)).to_batches()
 
     found = stored(df.mapInArrow(find, schema).withColumn("_row", F.monotonically_increasing_id()), "ranges")
-    waiting = found.where("_s >= 0 and _later = 0").select("_g", "_block", "_row", "_s")
-    highest = found.groupBy("_g", F.col("_block").alias("_next")).agg(F.max("_s").alias("_most"))
-    where = waiting.join(highest, "_g").where("_next > _block and _most > _s").groupBy("_g", "_row", "_s").agg(F.min("_next").alias("_next"))
-    rising = found.where("_s > _above").select("_g", F.col("_block").alias("_next"), F.col("_s").alias("_found"), "_above")
-    beyond = where.join(rising, ["_g", "_next"]).where("_above <= _s and _found > _s").select("_row", "_found")
-    df = found.join(beyond, "_row", "left")
+    # Only groups that lie in several ranges look further: at most one for each border between ranges.
+    highest = stored(found.groupBy("_g", F.col("_block").alias("_next")).agg(F.max("_s").alias("_most")), "range-tops")
+    split = stored(highest.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_g"), "split-groups")
+    if split.isEmpty():
+        df = found.withColumn("_found", F.lit(None).cast("long"))
+    else:
+        theirs = F.broadcast(split)
+        highest = highest.join(theirs, "_g")
+        # A row's first later range with a larger start: the tops of a group's ranges, in order, are searched for it.
+        tops = highest.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_next", "_most"))).alias("_tops"))
+        waiting = found.where("_s >= 0 and _later = 0").select("_g", "_block", "_row", "_s").join(F.broadcast(tops), "_g")
+        later = F.get(F.filter("_tops", lambda t: (t["_next"] > F.col("_block")) & (t["_most"] > F.col("_s"))), F.lit(0))
+        where = waiting.select("_g", "_row", "_s", later["_next"].alias("_next")).where("_next is not null")
+        rising = found.where("_s > _above").join(theirs, "_g").select("_g", F.col("_block").alias("_next"), F.col("_s").alias("_start"), "_above")
+        beyond = where.join(rising, ["_g", "_next"]).where("_above <= _s and _start > _s").select("_row", F.col("_start").alias("_found"))
+        df = found.join(beyond, "_row", "left")
     following = F.coalesce("_found", F.nullif("_later", F.lit(0)))
     is_open = F.col(end).isNull() & F.col(start).isNotNull()
     kind = rows.schema[end].dataType

@@ -13,7 +13,7 @@ from ledgerloom.functions.similarity import ratio, ratio_sql
 from ledgerloom.operators import decode, gazetteer, graph, linkage, notes, registry, sequences
 from ledgerloom.plans.answer import coverage_of
 from ledgerloom.sources import archive_tables
-from ledgerloom.storage import stored
+from ledgerloom.storage import scratch, stored
 from ledgerloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,14 @@ def query(sql: str | None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            with scratch(spark) as paths:
+                found = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+                if not paths:
+                    return found
+                # Tables that the query stored on its way go; its result stays.
+                out = stored(found, f.__name__)
+                paths.discard(out.stored_at)
+            return out
 
         QUERIES[f.__name__] = run
         if sql:
@@ -203,8 +210,12 @@ def canon_counts(t) -> DataFrame:
     return registry.canon_counts(rows)
 
 
+def _pages(t) -> DataFrame:
+    return t("documents").select(F.col("source").alias("run"), F.col("doc_id").alias("page"), "text")
+
+
 def _lines(t) -> DataFrame:
-    return decode.lines_of(t("documents").select(F.col("source").alias("run"), F.col("doc_id").alias("page"), "text"))
+    return decode.lines_of(_pages(t))
 
 
 _TOKEN_SQL = "[^\\s.,;:()\\[\\]{}/\\\\|«»\"''’—–-]+"
@@ -222,7 +233,7 @@ c AS (
 
 @query(f"WITH {_LINES} SELECT run, page, line_no, count(*) AS n, sum(length(raw))::BIGINT AS chars, min(surface) AS first_surface, max(lower(raw)) AS last_norm FROM c GROUP BY 1, 2, 3")
 def decode_candidates(t) -> DataFrame:
-    found = decode.candidates(_lines(t))
+    found = decode.page_candidates(_pages(t))
     return found.groupBy("run", "page", "line_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("norm")).alias("chars"), F.min("surface").alias("first_surface"), F.max("norm").alias("last_norm"))
 
 
@@ -243,7 +254,7 @@ b AS (SELECT run, page, line_no, s FROM s WHERE s >= 88 QUALIFY row_number() OVE
 SELECT run, page, line_no, round_even(s, 0)::INT AS score FROM b""")
 def decode_search(t) -> DataFrame:
     """Lines with a word like a given one, over whole pages and candidates of any length."""
-    return decode.search(decode.candidates(_lines(t)), [_STEM], 88).select("run", "page", "line_no", "score")
+    return decode.search(decode.page_candidates(_pages(t)), [_STEM], 88).select("run", "page", "line_no", "score")
 
 
 _MEANING = f"length(trim(regexp_replace(line, '{_TOKEN_SQL}', '', 'g'))) + coalesce(list_sum(list_transform(regexp_extract_all(line, '{_TOKEN_SQL}'), lambda x: CASE WHEN length(x) >= 3 THEN length(x) ELSE 0 END)), 0)"
