@@ -16,9 +16,9 @@ import re
 from array import array
 from functools import cache
 
-#: Words, and parts of words, remembered in a process; about 150 bytes each.  By measurement: fewer are learned
-#: again too often, of more the look-ups cost more than what they save.
-REMEMBERED = 250_000
+#: Words after which those go that were not met again since the last time, and parts of words remembered.  Most words
+#: are rare; by measurement a small table of those that come back costs less than a large one of all.
+REMEMBERED, PARTS = 60_000, 250_000
 #: Latin letters that lower-case one to one, then punctuation that starts no contraction.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
 PLAIN_WORD = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:|#$%&*]*)")
@@ -56,6 +56,7 @@ class Encoder:
         self.model = _library(path).model
         #: None for words that tell of white space over which ids may join.
         self.words: dict[str, bytes | None] = {}
+        self.met_again: set[str] = set()
         self.parts: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -94,12 +95,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
         needed = set().union(*split)
-        # Forgetting comes before learning, and leaves what this call needs.
+        # Forgetting comes before learning, so what this call needs is there after it.
         if len(self.words) > REMEMBERED:
-            self.words = {w: self.words[w] for w in needed & self.words.keys()}
-        if len(self.parts) > REMEMBERED:
+            self.words = {w: self.words[w] for w in self.met_again & self.words.keys()}
+            self.met_again = set()
+        if len(self.parts) > PARTS:
             self.parts = {}
-        self._learn(needed - self.words.keys())
+        new = needed - self.words.keys()
+        self.met_again |= needed - new
+        self._learn(new)
         out: list[bytes | None] = []
         for words in split:
             try:

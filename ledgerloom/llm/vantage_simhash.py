@@ -18,8 +18,8 @@ the halves as parts lose nothing.
 similarity of at least 0.8.  Such texts differ in about a seventh of all bits,
 too many for a tree of one word, so fingerprints have 32 words, two parts of
 each of twelve are searched, and the pairs found are checked on the sets:
-nothing is linked wrongly, and a pair of exactly 0.8 is missed about once in a
-hundred times, more alike ones hardly ever.
+nothing is linked wrongly, and a pair of exactly 0.8 is missed once in some
+forty times, one of 0.85 once in a thousand, more alike ones hardly ever.
 
 Every row takes part and no bucket is capped: the sample only places the cuts.
 A shard reports a spanning forest of the links it finds, so a group of n
