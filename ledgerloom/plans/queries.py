@@ -174,10 +174,10 @@ def fund_flags_subset(t) -> DataFrame:
     return registry.fund_filter(_fund(t), state="scan", flags=("interp", "letter")).select("case", "inventory")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def orphans_anti(t) -> DataFrame:
     """Customers that no large order names."""
-    return registry.orphans(t("customer").select("c_custkey", "c_name"), t("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return registry.orphans(t("customer").select("c_custkey", "c_name"), t("orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
@@ -263,21 +263,26 @@ _MEANING = f"length(trim(regexp_replace(line, '{_TOKEN_SQL}', '', 'g'))) + coale
 @query(f"""WITH l AS (SELECT run, page, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT source AS run, doc_id AS page, string_split(text, chr(10)) AS ls FROM documents)),
 m AS (SELECT *, {_MEANING} AS m FROM l), h AS (SELECT * FROM m WHERE contains(lower(line), 'license')),
 a AS (SELECT h.run, h.page, h.line_no, n.line, sum(n.m) OVER w - n.m AS said, count(*) OVER w - 1 AS taken, n.line_no AS pos FROM h JOIN m n ON n.run = h.run AND n.page = h.page AND n.line_no BETWEEN h.line_no + 1 AND h.line_no + 4
-  WINDOW w AS (PARTITION BY h.run, h.page, h.line_no ORDER BY n.line_no))
-SELECT h.run, h.page, h.line_no, coalesce(string_agg(trim(a.line), '|' ORDER BY pos) FILTER (NOT (said >= 24 AND taken >= 2)), '') AS after FROM h LEFT JOIN a ON a.run = h.run AND a.page = h.page AND a.line_no = h.line_no GROUP BY 1, 2, 3""")
+  WINDOW w AS (PARTITION BY h.run, h.page, h.line_no ORDER BY n.line_no)),
+b AS (SELECT h.run, h.page, h.line_no, n.line, sum(n.m) OVER w - n.m AS said, count(*) OVER w - 1 AS taken, n.line_no AS pos FROM h JOIN m n ON n.run = h.run AND n.page = h.page AND n.line_no BETWEEN h.line_no - 4 AND h.line_no - 1
+  WINDOW w AS (PARTITION BY h.run, h.page, h.line_no ORDER BY n.line_no DESC)),
+sides AS (SELECT *, true AS later FROM a UNION ALL SELECT *, false FROM b)
+SELECT h.run, h.page, h.line_no, coalesce(string_agg(trim(s.line), '|' ORDER BY pos) FILTER (NOT (said >= 24 AND taken >= 2) AND NOT later), '') AS before,
+  coalesce(string_agg(trim(s.line), '|' ORDER BY pos) FILTER (NOT (said >= 24 AND taken >= 2) AND later), '') AS after FROM h LEFT JOIN sides s ON s.run = h.run AND s.page = h.page AND s.line_no = h.line_no GROUP BY 1, 2, 3""")
 def decode_context(t) -> DataFrame:
     lines = stored(_lines(t), "lines")
     hits = lines.where(F.lower("line").contains("license")).select("run", "page", "line_no")
-    return decode.context(lines, hits).select("run", "page", "line_no", F.array_join("after", "|").alias("after"))
+    return decode.context(lines, hits).select("run", "page", "line_no", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
 
 
-@query("""WITH p AS (SELECT lang AS run, doc_id AS page, length(text) AS chars, len(string_split(text, chr(10))) AS lines, (doc_id % 4) * 15 AS contrast, doc_id % 5 < 4 AS enhanced FROM documents), f AS (SELECT *, chars / lines AS cpl FROM p WHERE lines > 0),
+@query("""WITH p AS (SELECT lang AS run, doc_id AS page, CASE WHEN doc_id % 6 = 1 THEN length(text) // 12 ELSE length(text) END AS chars, len(string_split(text, ' ')) // 8 AS lines, (doc_id % 4) * 15 AS contrast, doc_id % 5 < 4 AS enhanced FROM documents), f AS (SELECT *, chars / lines AS cpl FROM p WHERE lines > 0),
 m AS (SELECT run, median(cpl) AS med, count(*) AS n_pages FROM f GROUP BY 1)
 SELECT run, page, lines, n_pages, round(med, 1) AS median_cpl, CASE WHEN contrast < 40 THEN 'faint' ELSE 'enhanced' END AS reason FROM f JOIN m USING (run) WHERE lines >= 25 AND cpl < 0.3 * med AND (contrast < 40 OR enhanced)""")
 def phantom_pages(t) -> DataFrame:
-    """Documents as pages of their language, with invented contrasts."""
+    """Documents as pages of their language, eight words a line, some with most of it lost, with invented contrasts."""
+    chars = F.when(F.col("doc_id") % 6 == 1, F.floor(F.length("text") / 12)).otherwise(F.length("text"))
     pages = t("documents").select(
-        F.col("lang").alias("run"), F.col("doc_id").alias("page"), F.length("text").alias("chars"), F.size(F.split("text", "\n", -1)).alias("lines"),
+        F.col("lang").alias("run"), F.col("doc_id").alias("page"), chars.alias("chars"), F.floor(F.size(F.split("text", " ", -1)) / 8).cast("int").alias("lines"),
         ((F.col("doc_id") % 4) * 15).alias("contrast"), (F.col("doc_id") % 5 < 4).alias("enhanced"),
     )
     return decode.phantom_pages(pages).select("run", "page", "lines", "n_pages", F.round("median_cpl", 1).alias("median_cpl"), "reason")

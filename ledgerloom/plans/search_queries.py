@@ -250,11 +250,11 @@ def quarantine(t) -> DataFrame:
     return notes.quarantined(before, failed.where("at % 3 <> 0"), key)
 
 
-@query(f"""WITH n AS (SELECT r_regionkey, r_name, {_sql_matching('r_name')} AS f FROM region), r AS (SELECT *, CASE WHEN regexp_matches(f, '^.{{4,}}ska$') THEN left(f, length(f) - 3) WHEN regexp_matches(f, '^.{{4,}}sk$') THEN left(f, length(f) - 2) ELSE f END AS r FROM n)
-SELECT r_regionkey, r_name FROM r WHERE starts_with(r, 'african') OR starts_with('african', r) AND r <> '' OR length(r) >= 3 AND {ratio_sql("'african'", 'r')} >= 80""")
+@query(f"""WITH n AS (SELECT DISTINCT p_name, {_sql_matching('p_name')} AS f FROM part), r AS (SELECT *, CASE WHEN regexp_matches(f, '^.{{4,}}ska$') THEN left(f, length(f) - 3) WHEN regexp_matches(f, '^.{{4,}}sk$') THEN left(f, length(f) - 2) ELSE f END AS r FROM n)
+SELECT p_partkey, p_name FROM part JOIN r USING (p_name) WHERE starts_with(r, 'cold bol') OR starts_with('cold bol', r) AND r <> '' OR length(r) >= 3 AND {ratio_sql("'cold bol'", 'r')} >= 80""")
 def of_place(t) -> DataFrame:
-    """Regions by a derived form of a name."""
-    return gazetteer.of_place(t("region").select("r_regionkey", "r_name"), "Africanskogo", "r_name")
+    """Parts as places by a derived form of a name, in another case and script."""
+    return gazetteer.of_place(t("part").select("p_partkey", "p_name"), "Cold Bolскому", "p_name")
 
 
 @query("SELECT p_partkey AS case_no, p_name AS description FROM part WHERE contains(p_name || ' ' || p_partkey::VARCHAR, 'red gear') ORDER BY 1")
