@@ -127,3 +127,20 @@ def test_good_documents_are_drawn_first(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     taken = Counter(r["doc_id"] % 2 for r in got if r["source"] == "s" and r["taken"] == 3)
     assert 3 < taken[1] / taken[0] < 5 and sum(r["taken"] for r in got) == 24000
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_forgotten_words_give_the_same_ids(monkeypatch, name, spaced, docs):
+    """Tables so small that words and parts go all the time."""
+    import public_tokenizers
+    from test_queries import _ids
+
+    from ledgerloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    monkeypatch.setattr(tokens, "PARTS", 20)
+    encoder = tokens.Encoder(public_tokenizers.path(name), spaced)
+    texts = [d[1] or "" for d in docs] * 2
+    got = [ids for k in range(0, len(texts), 5) for ids in encoder.encode(texts[k : k + 5])]
+    want = [b"".join(i.to_bytes(4, "little") for i in ids[:-1]) for ids in _ids(name, texts, 0)]
+    assert got == want and len(encoder.words) < 20_000
