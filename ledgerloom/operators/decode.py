@@ -31,8 +31,15 @@ def _tokens(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?U)" + TOKEN), 0)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small input, of fewer parts than there are cores, dealt out; a large one as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def page_candidates(pages: DataFrame, normal=F.lower, text: str = "text") -> DataFrame:
-    """Words a name may be hiding in, of pages with their whole text: each page is one row, so nothing is shuffled."""
+    """Words a name may be hiding in, of pages with their whole text: each page is one row, so its lines are not brought together by a shuffle."""
+    pages = spread(pages.select("run", "page", text))
     numbered = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct((i + 1).alias("line_no"), _tokens(line).alias("_t")))
     df = pages.select("run", "page", F.filter(numbered, lambda x: F.size(x["_t"]) > 0).alias("_ls"))
     last = lambda i: F.element_at(F.get("_ls", i)["_t"], -1)
