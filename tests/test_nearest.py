@@ -92,3 +92,14 @@ def test_linkage_keeps_records_without_a_year(spark):
     got = {r["record_id"]: r for r in linkage.best_person(pairs.withColumn("score", linkage.total_score(parts, F.lit(False)))).collect()}
     assert set(got) == {1, 2, 3, 4}
     assert (got[1]["proposed"], round(got[1]["score"], 6)) == (10, 0.8) and got[2]["proposed"] == 10 and got[4]["proposed"] is None
+
+
+def test_names_that_share_their_beginning_stay_few(spark, monkeypatch):
+    """Names that differ in digits and in capitals: second names are two letters from first ones, and no name meets all that share a piece."""
+    places = [(k, f"supplier#{k:09d}", f"Supplier#{k:09d}") for k in range(400)] + [(9000 + k, f"supplier#{k:09d}", None) for k in range(0, 400, 40)]
+    asked = []
+    probing = nearest._probing
+    monkeypatch.setattr(nearest, "_probing", lambda lengths: asked.append(1) or probing(lengths))
+    table = spark.createDataFrame(places, "card long, norm_uk string, norm_ru string")
+    got = sorted((r["card"], r["confuser"], r["score"]) for r in nearest.all_confusers(table).collect())
+    assert got == plain(places, 78, 8) and not asked
