@@ -8,20 +8,23 @@ from pyspark.sql import window as W
 
 from ledgerloom.plans.queries import query
 from ledgerloom.sources import catalogue_pages
-from ledgerloom.sources.markup import selected
+from ledgerloom.sources.markup import selected_each
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad FROM pages),
 l AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)">', 1) AS href FROM p)
-SELECT page_id, trim(replace(replace(replace(replace(h1, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title, len(href) AS n_links, coalesce(href[1], '') AS first_link, coalesce(href[-1], '') AS last_link,
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h1, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS title, len(href) AS n_links, coalesce(href[1], '') AS first_link, coalesce(href[-1], '') AS last_link,
   len(regexp_extract_all(article, '<p>')) AS n_paragraphs, trim(ad) AS ad FROM p JOIN l USING (page_id)""")
 def page_outline(t) -> DataFrame:
-    """Headings, navigation, paragraphs and notices of the given pages, whose scripts and comments hold tags and whose <b> is never closed."""
+    """Headings, navigation, paragraphs and notices of the given pages, whose scripts and comments hold tags, whose <b> is never closed and whose headings may end within a character reference, which HTML reads without its semicolon."""
     pages = t("pages").select("page_id", "html")
-    links = selected(pages, "nav li a", {"href": "@href"}).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.min_by("href", "position").alias("first_link"), F.max_by("href", "position").alias("last_link"))
-    paragraphs = selected(pages, "article p", {"text": ""}).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_paragraphs"))
-    ads = selected(pages, "body", {"title": "article h1", "ad": "div.ad"}).select("page_id", "title", "ad")
-    found = ads.join(links, "page_id", "left").join(paragraphs, "page_id", "left").fillna(0, ["n_links", "n_paragraphs"]).fillna("", ["first_link", "last_link"])
+    rows = selected_each(pages, [("body", {"title": "article h1", "ad": "div.ad"}), ("nav li a", {"href": "@href"}), ("article p", {})])
+    nth = lambda k: F.col("which") == k
+    link = F.when(nth(1), F.col("position"))
+    found = rows.groupBy("page_id").agg(
+        F.max(F.when(nth(0), F.struct("title", "ad"))).alias("b"), F.count_if(nth(1)).alias("n_links"), F.coalesce(F.min_by("href", link), F.lit("")).alias("first_link"),
+        F.coalesce(F.max_by("href", link), F.lit("")).alias("last_link"), F.count_if(nth(2)).alias("n_paragraphs"),
+    ).where("b is not null").select("*", "b.title", "b.ad")
     return found.select("page_id", "title", "n_links", "first_link", "last_link", "n_paragraphs", "ad")
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.markup import selected
+from pyspark.sql import window as W
+
+from ledgerloom.sources.markup import selected, selected_each
 
 # How ids, sheets, counts and years are written in the pages.
 FILE_ID, INVENTORY_ID, FUND_ID = r"/files/(\d+)/", r"/inventories/(\d+)/", r"/fonds/(\d+)/"
@@ -25,28 +27,24 @@ def cases(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     return rows.select(id_col, "position", "file_id", text("number"), text("date"), text("description"), _found(F.col("description"), SHEETS).cast("int").alias("sheets"))
 
 
-def _first_of_each(rows: DataFrame, id_col: str) -> DataFrame:
-    """Of the rows of one inventory on a page the first, one after another without gaps."""
-    first = rows.groupBy(id_col, "inventory").agg(F.min_by(F.struct("position", "label", "n_cases"), "position").alias("b"))
-    return first.select(id_col, "inventory", "b.position", "b.label", "b.n_cases")
-
-
 def inventories(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(page, title, inventory, position, label, n_cases) of a fund's inventories.
 
     Where a page's rows give none, any links to inventories do: a worse label
     is better than a fund that looks empty.
     """
-    parts = {"href": "div.left a@href", "label": "div.left a", "about": "div.right"}
-    rows = selected(pages, "div.thin-row", parts, id_col).withColumn("inventory", _found(F.col("href"), INVENTORY_ID)).where("inventory is not null")
+    rows = {"href": "div.left a@href", "label": "div.left a", "about": "div.right"}
+    found = selected_each(pages, [("div.thin-row", rows), ("a[href]", {"href": "@href", "label": ""}), ("h1.head-title", {"title": ""})], id_col)
+    found = found.withColumn("inventory", _found(F.col("href"), INVENTORY_ID)).where("inventory is not null or which = 2 and position = 0")
+    of_page = W.Window.partitionBy(id_col)
+    listed = F.max((F.col("which") == 0).cast("int")).over(of_page)
+    found = found.withColumns({"_listed": F.when(F.col(id_col).isNull(), 0).otherwise(listed), "title": F.when(F.col(id_col).isNotNull(), F.max("title").over(of_page))})
+    found = found.where("which = 0 or which = 1 and _listed = 0")
     years = F.replace(_found(F.col("about"), YEARS), F.lit(" "), F.lit(""))
     n = F.replace(_found(F.col("about"), N_CASES), F.lit(" "), F.lit("")).cast("int")
-    listed = rows.select(id_col, "position", "inventory", F.concat("label", F.coalesce(F.concat(F.lit(" · "), years), F.lit(""))).alias("label"), n.alias("n_cases"))
-    links = selected(pages, "a[href]", {"href": "@href", "label": ""}, id_col).withColumn("inventory", _found(F.col("href"), INVENTORY_ID)).where("inventory is not null")
-    spare = links.join(listed.select(id_col).distinct(), id_col, "left_anti").select(id_col, "position", "inventory", "label", F.lit(None).cast("int").alias("n_cases"))
-    titles = selected(pages, "h1.head-title", {"title": ""}, id_col).where("position = 0").select(id_col, "title")
-    found = _first_of_each(listed.unionByName(spare), id_col)
-    return found.join(titles, id_col, "left").select(id_col, F.coalesce("title", F.lit("")).alias("title"), "inventory", "position", "label", "n_cases")
+    label = F.concat("label", F.coalesce(F.concat(F.lit(" · "), years), F.lit("")))
+    first = found.select(id_col, "inventory", "title", F.struct("position", label.alias("label"), n.alias("n_cases")).alias("b")).groupBy(id_col, "inventory").agg(F.min_by("b", "b.position").alias("b"), F.max("title").alias("title"))
+    return first.select(id_col, F.coalesce("title", F.lit("")).alias("title"), "inventory", "b.position", "b.label", "b.n_cases")
 
 
 def funds(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -61,8 +59,10 @@ def viewer_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html")
     """(page, image_id, page_no): images by what their ``alt`` says, for ids are no order; without any, the files named in links, in order."""
     images = selected(pages, "[data-observe-src]", {"src": "@data-observe-src", "alt": "@alt"}, id_col, html)
     numbered = images.select(id_col, _found(F.col("src"), IMAGE).cast("int").alias("image_id"), _found(F.col("alt"), r"^(\d+)$").cast("int").alias("page_no")).where("image_id is not null and page_no is not null")
-    named = pages.join(numbered.select(id_col).distinct(), id_col, "left_anti").select(id_col, F.posexplode(F.array_distinct(F.regexp_extract_all(html, F.lit(VIEWER_FILE), 1))).alias("at", "file"))
-    return numbered.unionByName(named.select(id_col, F.col("file").cast("int").alias("image_id"), (F.col("at") + 1).alias("page_no")))
+    named = pages.select(id_col, F.posexplode(F.array_distinct(F.regexp_extract_all(html, F.lit(VIEWER_FILE), 1))).alias("at", "file"))
+    both = numbered.withColumn("_image", F.lit(1)).unionByName(named.select(id_col, F.col("file").cast("int").alias("image_id"), (F.col("at") + 1).alias("page_no"), F.lit(0).alias("_image")))
+    images_there = F.when(F.col(id_col).isNull(), 0).otherwise(F.max("_image").over(W.Window.partitionBy(id_col)))
+    return both.withColumn("_there", images_there).where("_image = _there or _image = 1").drop("_image", "_there")
 
 
 def last_page(html: Column) -> Column:

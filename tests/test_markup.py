@@ -56,3 +56,38 @@ def test_addresses(spark):
     for raw, want in entries.items():
         assert one(catalogue_pages.meta_entries(F.lit(raw))) == want, raw
     assert one(catalogue_pages.meta_entries(F.lit(None).cast("string"))) == [] and one(catalogue_pages.last_page(F.lit("x"))) == 1
+
+
+def test_each_page_is_read_once_and_only_what_is_found_stays():
+    row = "<div class=row><a href='/x'>a &amp; b</a><p>c<div class=row><b>d</b></div></div>"
+    pages = [row * 3, "<script>'<div class=row>'</script>" + row + "<!-- " + row + " -->", "<div class=row>a<b", "a < b <div class=row>x</div> &lt", row + "<div class='row' k = 1>y"]
+    selectors = [markup.Selector(s) for s in ("div.row", "a[href]", "div.row div.row b")]
+    for html in [*pages, None, ""]:
+        got = []
+        markup.each_found(html, selectors, lambda n, k, e: got.append((n, k, e.text())))
+        assert sorted(got) == [(n, k, e.text()) for n, s in enumerate(selectors) for k, e in enumerate(s.all(markup.tree(html)))], html
+    waiting = []
+    markup.each_found("<ul>" + "<li><b>x</b>" * 1000, [markup.Selector("li")], lambda n, k, e: waiting.append((k, len(e.above.below))))
+    assert waiting[-1] == (999, 0)
+
+
+def test_inventories_read_each_page_once(spark, monkeypatch):
+    html = [(1, "<h1 class=head-title>F</h1><div class=thin-row><div class=left><a href='/inventories/7/'>o 7</a></div><div class=right>1 002 справ</div></div><a href='/inventories/8/'>o 8</a>"), (2, "<a href='/inventories/8/'>o 8</a>"), (3, None)]
+    calls = []
+    each = catalogue_pages.selected_each
+    monkeypatch.setattr(catalogue_pages, "selected_each", lambda *a, **k: calls.append(1) or each(*a, **k))
+    got = catalogue_pages.inventories(spark.createDataFrame(html, "page_id int, html string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "F", "7", 0, "o 7", 1002), (2, "", "8", 0, "o 8", None)] and len(calls) == 1
+
+
+def test_outline_agrees_with_its_sql_on_a_heading_cut_in_a_reference(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    page = '<body><nav><ul><li><a href="/a">a</a></li></ul></nav><div class="ad">n</div><article><h1>a&amp;&amp;{}</h1><p>x</p></article></body>'
+    spark.createDataFrame([(k, page.format(end)) for k, end in enumerate(("&amp", "&am", "&lt", "&amp;lt"))], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.sql(entry.oracle_sql()["page_outline"]).fetchall())
+    assert sorted(map(tuple, entry.queries()["page_outline"](spark, str(tmp_path)).collect())) == want and [r[1] for r in want] == ["a&&&", "a&&&am", "a&&<", "a&&&lt"]
