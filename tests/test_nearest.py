@@ -103,3 +103,22 @@ def test_names_that_share_their_beginning_stay_few(spark, monkeypatch):
     table = spark.createDataFrame(places, "card long, norm_uk string, norm_ru string")
     got = sorted((r["card"], r["confuser"], r["score"]) for r in nearest.all_confusers(table).collect())
     assert got == plain(places, 78, 8) and not asked
+
+
+def test_best_pairs_hold_the_best_of_all_pairs(spark, monkeypatch):
+    """Names of one word and several, empty, long and lacking; in parts of a few rows each."""
+    monkeypatch.setattr(linkage, "RECORDS_AT_ONCE", 7)
+    monkeypatch.setattr(linkage, "PERSONS_AT_ONCE", 5)
+    rng = random.Random(8)
+    some = lambda: rng.choice([name(rng), name(rng), edited(rng, "ковальчук"), "supplier#%09d" % rng.randrange(300), "ж" * 70, "", None])
+    rows = lambda n: [(k, some(), rng.choice([1, 2, None]), rng.choice([None, rng.uniform(0, 20)])) for k in range(n)]
+    records = spark.createDataFrame(rows(60), "record_id int, name string, nation int, year double")
+    persons = spark.createDataFrame(rows(40), "person_id int, name string, nation int, year double")
+    parts = {"surname": linkage.string_score(F.col("name"), F.col("p_name")), "given": F.lit(0.0), "patronymic": F.lit(0.0), "year": linkage.year_score(F.col("year"), F.col("p_year")), "place": F.lit(0.0)}
+
+    def best(pairs):
+        return sorted(map(str, linkage.best_person(pairs.withColumnRenamed("p_person_id", "person_id").withColumn("score", linkage.total_score(parts, F.lit(False)))).collect()))
+
+    few = linkage.best_pairs(records, persons, "nation", "person_id", linkage.BARE)
+    every = linkage.candidate_pairs(records, persons, F.col("nation"))
+    assert best(few) == best(every) and few.count() < every.count() / 2
