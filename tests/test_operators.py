@@ -183,3 +183,12 @@ def test_packs_and_coverage(spark, tmp_path):
     assert answer.rows.count() == 0 and answer.zero_means_nothing_found() and answer.warnings == ["b: not installed"]
     with pytest.raises(SourceUnavailable):
         federated({"b": refuses})
+
+
+def test_orphans_query_knows_small_orders(spark, tmp_path):
+    """An order of any price claims its customer."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 10.0), (2, 500000.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r["c_custkey"] for r in entry.queries()["orphans_anti"](spark, str(tmp_path)).collect()] == [3]
