@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,18 +27,21 @@ def _part(c: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: written out each time, nested patterns would multiply."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def repository(c: Column) -> Column:
     """An archive's code in Latin capitals."""
-    code = F.upper(F.trim(F.coalesce(c, F.lit(""))))
-    return F.coalesce(F.try_element_at(_map(REPOSITORY_ALIASES), code), code)
+    return once(F.upper(F.trim(F.coalesce(c, F.lit("")))), lambda code: F.coalesce(F.try_element_at(_map(REPOSITORY_ALIASES), code), code))
 
 
 def case_number(c: Column) -> Column:
     """A number without leading zeros, its letter in Latin; empty becomes null."""
-    bare = F.regexp_replace(F.lower(F.trim(c)), "^0+", "")
-    bare = F.when(bare == "", "0").otherwise(bare)
-    lettered = bare.rlike(f"^[0-9]+[{CASE_LETTERS[0]}]$")
-    return F.when(c != "", F.when(lettered, F.translate(bare, *CASE_LETTERS)).otherwise(bare))
+    lettered = f"^[0-9]+[{CASE_LETTERS[0]}]$"
+    number = lambda bare: F.when(bare == "", "0").when(bare.rlike(lettered), F.translate(bare, *CASE_LETTERS)).otherwise(bare)
+    return once(c, lambda x: F.when(x != "", once(F.regexp_replace(F.lower(F.trim(x)), "^0+", ""), number)))
 
 
 def case_key(repo: Column, fund: Column, case: Column, inventory: Column) -> Column:
@@ -57,13 +62,19 @@ def shelf_mark(c: Column) -> Column:
     dashed = rf"(?iu)^\s*(?:([A-ZА-ЯІЇЄҐ]+)\s+)?(\d+){DASH}(\d+){DASH}(\d+[а-яa-z]?)\s*$"
     spelled = r"(?iu)ф\.?\s*(\d+)\D+оп\.?\s*(\d+)\D+(?:д|спр)\.?\s*(\d+[а-яa-z]?)"
     source = r"^S_([A-Z]+)_F(\d+)(?:_OP(\d+))?_D([0-9A-Za-z]+)$"
-    code = F.coalesce(_part(c, key, 1), _part(c, source, 1), _part(c, dashed, 1))
-    repo = F.when(code.isNotNull(), repository(code))
-    fund = F.coalesce(_part(c, key, 2), _part(c, source, 2), _part(c, dashed, 2), _part(c, spelled, 1))
-    default = F.try_element_at(_map(DEFAULT_INVENTORY), F.concat_ws("/", repo, fund))
-    inventory = F.coalesce(_part(c, key, 3), _part(c, source, 3), _part(c, dashed, 3), _part(c, spelled, 2), default)
-    case = case_number(F.coalesce(_part(c, key, 4), _part(c, source, 4), _part(c, dashed, 4), _part(c, spelled, 3)))
-    return F.when(fund.isNotNull() & case.isNotNull(), F.struct(repo.alias("repo"), case_number(fund).alias("fund"), case_number(inventory).alias("inventory"), case.alias("case")))
+    def read(text: Column) -> Column:
+        code = F.coalesce(_part(text, key, 1), _part(text, source, 1), _part(text, dashed, 1))
+        fund = F.coalesce(_part(text, key, 2), _part(text, source, 2), _part(text, dashed, 2), _part(text, spelled, 1))
+        inventory = F.coalesce(_part(text, key, 3), _part(text, source, 3), _part(text, dashed, 3), _part(text, spelled, 2))
+        case = F.coalesce(_part(text, key, 4), _part(text, source, 4), _part(text, dashed, 4), _part(text, spelled, 3))
+        return F.struct(once(code, lambda x: F.when(x.isNotNull(), repository(x))).alias("repo"), fund.alias("fund"), inventory.alias("inventory"), case_number(case).alias("case"))
+
+    def mark(x: Column) -> Column:
+        default = F.try_element_at(_map(DEFAULT_INVENTORY), F.concat_ws("/", x["repo"], x["fund"]))
+        inventory = case_number(F.coalesce(x["inventory"], default))
+        return F.when(x["fund"].isNotNull() & x["case"].isNotNull(), F.struct(x["repo"].alias("repo"), case_number(x["fund"]).alias("fund"), inventory.alias("inventory"), x["case"].alias("case")))
+
+    return once(c, lambda text: once(read(text), mark))
 
 
 def split_fund(c: Column) -> Column:

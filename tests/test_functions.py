@@ -125,3 +125,11 @@ def test_paths_say_cases(spark):
     names = spark.createDataFrame([("spov1846-7864",), ("196-1-5953",), ("f904-24-010904-7029а",), ("t1",)], "n string")
     got = {r["n"]: r["k"] for r in names.select("n", resolution.name_numbers(resolution.name_tokens(F.col("n"))).alias("k")).collect()}
     assert got == {"spov1846-7864": ["7864"], "196-1-5953": ["196", "1", "5953"], "f904-24-010904-7029а": ["904", "24", "904", "7029а"], "t1": ["1"]}
+
+
+def test_a_mark_is_read_once_however_often_its_parts_are_named(spark):
+    """The plan of a key from a mark holds a bounded number of patterns, not one for each way through its conditions."""
+    key = keys.once(keys.shelf_mark(F.col("c")), lambda m: keys.case_key(m["repo"], m["fund"], m["case"], m["inventory"]))
+    rows = spark.createDataFrame([("ДАХмО 7-1-0012а",), ("ANRM/211-2/5",), ("Ф. 3 Оп. 2 Д. 4",), ("x",), (None,)], "c string").select(key.alias("k"))
+    assert [r["k"] for r in rows.collect()] == ["DAHMO/7/12a", "ANRM/211-2/5", None, None, None]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp") < 60
