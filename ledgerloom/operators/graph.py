@@ -46,7 +46,8 @@ def typed_links(families: DataFrame, persons: DataFrame) -> DataFrame:
         status = F.when(hypothetical, "hypothesis").when(F.col("_disputed"), "disputed").otherwise(otherwise)
         links = pairs.select(F.col("a.id").alias("source"), F.col("b.id").alias("target"), F.lit(kind).alias("kind"), "family_id", hypothetical.alias("hypothetical"), status.alias("status"), F.col("_weakest").alias("confidence"))
         for end in ("source", "target"):
-            links = links.join(persons.select(F.col("node").alias(end)), end, "left_semi")
+            # Listed persons are far more rows than the table they come from is large: never held whole by a task.
+            links = links.join(persons.select(F.col("node").alias(end)).hint("merge"), end, "left_semi")
         return links
 
     speculative = F.when(F.col("_weakest") == "speculative", "hypothesis").otherwise("confirmed")

@@ -18,3 +18,13 @@ def test_some_cards_meet_close_names_only(spark, monkeypatch):
     table = spark.createDataFrame(places, "card long, norm_uk string, norm_ru string")
     got = sorted(tuple(r) for r in gazetteer.confusers(table, table.where("card % 10 = 0")).select("card", "confuser", "score").collect())
     assert got == [r for r in plain(places, 78, 8) if r[0] % 10 == 0]
+
+
+def test_persons_are_not_held_whole(spark):
+    """Persons listed from a small table are many rows: no task gets all of them."""
+    families = spark.createDataFrame([("f", "h", "w", None, None, ["c", "x"], None, [])], "family_id string, husband string, wife string, hypothetical_husband string, hypothetical_wife string, children array<string>, hypothetical_children array<string>, facts array<struct<type:string,status:string,confidences:array<string>>>")
+    persons = spark.createDataFrame([("h",), ("w",), ("c",)], "node string")
+    links = graph.typed_links(families, persons)
+    assert {tuple(r)[:3] for r in links.collect()} == {("h", "c", "parent"), ("w", "c", "parent"), ("h", "w", "spouse")}
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
