@@ -28,3 +28,18 @@ def test_persons_are_not_held_whole(spark):
     assert {tuple(r)[:3] for r in links.collect()} == {("h", "c", "parent"), ("w", "c", "parent"), ("h", "w", "spouse")}
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_sibling_classes_count_all_pairs(spark):
+    """Every card with its classes and as many siblings as the pairs list, from which the pairs follow."""
+    rng = random.Random(8)
+    places = [(k, rng.choice("abc"), rng.choice(["х", "у", "z", "", None]), rng.choice(["x", "y", None])) for k in range(120)] + [(500, None, "х", "x")]
+    table = spark.createDataFrame(places, "card long, section string, norm_uk string, norm_ru string")
+    got = {r["card"]: r for r in gazetteer.sibling_classes(table).collect()}
+    pairs = {tuple(r) for r in gazetteer.siblings(table).collect()}
+    assert len(got) == len(places) and pairs
+    assert {c: r["n_siblings"] for c, r in got.items()} == {p[0]: sum(a == p[0] for a, _ in pairs) for p in places}
+    shared = lambda a, b: any(got[a][c] is not None and got[a][c] == got[b][c] for c in ("uk_class", "ru_class"))
+    section = {p[0]: p[1] for p in places}
+    known = [c for c in section if section[c] is not None]
+    assert {(a, b) for a in known for b in known if section[a] != section[b] and shared(a, b)} == pairs
