@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerloom.functions.similarity import could_reach, partial_ratios_to, ratios_to
+from ledgerloom.functions.similarity import could_reach, partial_ratios_to, pieces_needed, ratios_to
 
 # What separates words, and how much a line must say to count.
 TOKEN = "[^\\s.,;:()\\[\\]{}/\\\\|«»\"'’—–-]+"
@@ -39,12 +45,25 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def page_candidates(pages: DataFrame, normal=F.lower, text: str = "text") -> DataFrame:
     """Words a name may be hiding in, of pages with their whole text: each page is one row, so its lines are not brought together by a shuffle."""
+    return _exploded(_page_lines(pages, text), normal)
+
+
+def line_candidates(pages: DataFrame, normal=F.lower, text: str = "text") -> DataFrame:
+    """(run, page, line_no, candidates): the same with those of a line as an array of (surface, norm) in order, for what is asked of lines; nothing is shuffled."""
+    lines = _page_lines(pages, text)
+    listed = F.transform(_listed(), lambda c: F.struct(c["surface"].alias("surface"), normal(c["raw"]).alias("norm")))
+    # Generated, so that whatever reads the array several times does not make it several times.
+    return lines.select("run", "page", "line_no", F.explode(F.array(listed)).alias("candidates"))
+
+
+def _page_lines(pages: DataFrame, text: str) -> DataFrame:
+    """Lines with words, as tokens (_t) with the last words of the lines before (_p1, _p2, _p3)."""
     pages = spread(pages.select("run", "page", text))
     numbered = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct((i + 1).alias("line_no"), _tokens(line).alias("_t")))
     df = pages.select("run", "page", F.filter(numbered, lambda x: F.size(x["_t"]) > 0).alias("_ls"))
     last = lambda i: F.element_at(F.get("_ls", i)["_t"], -1)
     with_before = F.transform("_ls", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["_t"].alias("_t"), *(last(i - k).alias(f"_p{k}") for k in range(1, BEFORE + 1))))
-    return _candidates(df.select("run", "page", F.explode(with_before).alias("_l")).select("run", "page", "_l.*"), normal)
+    return df.select("run", "page", F.explode(with_before).alias("_l")).select("run", "page", "_l.*")
 
 
 def candidates(lines: DataFrame, normal=F.lower) -> DataFrame:
@@ -56,11 +75,11 @@ def candidates(lines: DataFrame, normal=F.lower) -> DataFrame:
     """
     w = W.Window.partitionBy("run", "page").orderBy("line_no")
     df = lines.withColumn("_t", _tokens(F.col("line"))).where("size(_t) > 0")
-    return _candidates(df.withColumns({f"_p{k}": F.lag(F.element_at("_t", -1), k).over(w) for k in range(1, BEFORE + 1)}), normal)
+    return _exploded(df.withColumns({f"_p{k}": F.lag(F.element_at("_t", -1), k).over(w) for k in range(1, BEFORE + 1)}), normal)
 
 
-def _candidates(df: DataFrame, normal) -> DataFrame:
-    """Candidates of lines as tokens (_t) with the last words of the lines before (_p1, _p2, _p3)."""
+def _listed() -> Column:
+    """Candidates (surface, raw) of a line as tokens (_t) with the last words of the lines before (_p1, _p2, _p3)."""
     first = F.get("_t", F.lit(0))
     none = F.array().cast("array<struct<surface:string,raw:string>>")
 
@@ -81,11 +100,102 @@ def _candidates(df: DataFrame, normal) -> DataFrame:
         return F.concat(one, two, three)
 
     inside = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_t") - 1), at))
-    all_ = F.concat(broken(1), broken(2), broken(3), inside)
-    exploded = df.select("run", "page", "line_no", F.posexplode(all_).alias("ord", "_c"))
+    return F.concat(broken(1), broken(2), broken(3), inside)
+
+
+def _exploded(df: DataFrame, normal) -> DataFrame:
+    """A row for each candidate of such lines."""
+    exploded = df.select("run", "page", "line_no", F.posexplode(_listed()).alias("ord", "_c"))
     return exploded.select("run", "page", "line_no", "ord", F.col("_c.surface").alias("surface"), normal(F.col("_c.raw")).alias("norm"))
 
 
+#: The same words for Python, whose \\s holds some control characters that are no white space.
+PYTHON_TOKEN = re.compile(TOKEN.replace("\\s", "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"))
+#: Rows that travel together.
+NEAR = 20_000
+
+
+def _fold(s: str) -> str:
+    """Small letters, of a sigma the same one at the end of a word and inside."""
+    return s.lower().replace("ς", "σ")
+
+
+def _shorter_joined(p: list[str], first: str) -> Iterator[tuple[int, str, str]]:
+    """(ord, surface, raw) of a line's first word joined to the last words of the lines before, the nearest first."""
+    for back, prev in enumerate(p, 1):
+        if len(prev) + len(first) >= 7 and (back == 1 or len(prev) >= 3 and len(first) >= 3):
+            yield back - 1, prev + ("-" if back == 1 else f"-{back}⏎") + first, prev + first
+
+
+def _with_piece(words: list[str], pieces: list[str]) -> set[tuple[int, int]]:
+    """(first word, number of words) of the stretches of up to three words that have a piece, once they are joined."""
+    n, joined = len(words), "".join(words)
+    low = _fold(joined)
+    if len(low) != len(joined):
+        return {(i, k) for i in range(n) for k in (1, 2, 3) if i + k <= n}
+    starts, found = [], set()
+    for piece in pieces:
+        at = low.find(piece)
+        while at >= 0:
+            starts = starts or [0, *accumulate(map(len, words))]
+            a, b = bisect_right(starts, at) - 1, bisect_right(starts, at + len(piece) - 1) - 1
+            found |= {(i, k) for i in range(max(0, b - 2), a + 1) for k in range(b - i + 1, 4) if i + k <= n}
+            at = low.find(piece, at + 1)
+    return found
+
+
+def near_in_page(text: str, pieces: list[str]) -> Iterator[tuple[int, int, str, str]]:
+    """(line_no, ord, surface, raw) of the candidates of a page that have one of the pieces; ord orders a line's candidates."""
+    before: list[str] = []
+    for line_no, line in enumerate(text.split("\n"), 1):
+        words = PYTHON_TOKEN.findall(line)
+        if not words:
+            continue
+        for ord_, surface, raw in _shorter_joined(before, words[0]):
+            low = _fold(raw)
+            if any(p in low for p in pieces):
+                yield line_no, ord_, surface, raw
+        for i, k in sorted(_with_piece(words, pieces)):
+            part = words[i : i + k]
+            size = sum(map(len, part))
+            if size >= (4, 6, 9)[k - 1] and (k < 3 or max(map(len, part)) <= 8):
+                yield line_no, BEFORE + 3 * i + k - 1, " ".join(part), "".join(part)
+        before = [words[-1], *before[: BEFORE - 1]]
+
+
+def near_candidates(pages: DataFrame, stems: list[str], least: float, text: str = "text") -> DataFrame:
+    """Those candidates of pages that may reach ``least`` for some stem, as ``page_candidates`` has them for F.lower.
+
+    What has no piece of a stem is not listed at all: a line is read word by
+    word only around the places where its words, joined, have one.  ``ord``
+    orders a line's candidates alike, with gaps.
+    """
+    needed = [pieces_needed(s, least) for s in _usable(stems)]
+    if any("" in p for p in needed):
+        return page_candidates(pages, F.lower, text)
+    pieces = sorted({_fold(p) for p in set().union(*needed)})
+    source = spread(pages.select("run", "page", text))
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("line_no", T.IntegerType()), T.StructField("ord", T.IntegerType()), T.StructField("surface", T.StringType()), T.StructField("raw", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for run, page, page_text in zip(*(batch[k].to_pylist() for k in range(3)), strict=True):
+                for found in near_in_page(page_text or "", pieces):
+                    rows.append((run, page, *found))
+                    if len(rows) >= NEAR:
+                        yield packed(rows)
+                        rows = []
+            if rows:
+                yield packed(rows)
+
+    return source.mapInArrow(find, schema).select("run", "page", "line_no", "ord", "surface", F.lower("raw").alias("norm"))
+
+
 def best_scores(stems: list[str], norms: list[str]) -> np.ndarray:
     """The best similarity of each candidate to any stem.
 
@@ -112,15 +222,20 @@ def score_to(stems: list[str], norm: Column) -> Column:
     return scored(norm)
 
 
+def _usable(stems: list[str]) -> list[str]:
+    usable = [s for s in stems if len(s) >= 3]
+    if not usable:
+        raise ValueError("the query is too short")
+    return usable
+
+
 def scored_hits(found: DataFrame, stems: list[str], least: float, norm: str = "norm") -> DataFrame:
     """Rows whose ``norm`` reaches ``least`` for some stem, with its similarity in ``_s``.
 
     Rows that share no piece with a stem, and so cannot reach it, are dropped
     before anything is compared.
     """
-    usable = [s for s in stems if len(s) >= 3]
-    if not usable:
-        raise ValueError("the query is too short")
+    usable = _usable(stems)
     near = found.where(reduce(lambda a, b: a | b, [could_reach(s, least, F.col(norm)) for s in usable]))
     return near.withColumn("_s", score_to(usable, F.col(norm))).where(F.col("_s") >= least)
 

@@ -43,3 +43,23 @@ def test_sibling_classes_count_all_pairs(spark):
     section = {p[0]: p[1] for p in places}
     known = [c for c in section if section[c] is not None]
     assert {(a, b) for a in known for b in known if section[a] != section[b] and shared(a, b)} == pairs
+
+
+def test_only_candidates_near_a_stem_are_listed(spark):
+    """Of all candidates those with a piece of a stem, in their order, also over line ends and where small letters are more letters."""
+    rng = random.Random(16)
+    parts = "li cen ses lic ense License ка ЛІЦ ς Σες İ x1 по-за (lic) ens e\x1cli licenseslicenses".split(" ")
+    text = lambda: "".join(rng.choice(parts) + rng.choice(["", " ", " ", ". ", "\n", "\n\n"]) for _ in range(rng.randrange(60)))
+    pages = spark.createDataFrame([("r", k, text()) for k in range(150)] + [("r", 999, None)], "run string, page long, text string")
+    every = decode.page_candidates(pages)
+    for stems, least in ((["licenses"], 88), (["license", "σεςка"], 90), (["lic"], 70)):
+        hit = F.lit(False)
+        for s in stems:
+            hit = hit | decode.could_reach(s, least, F.col("norm"))
+        key = ["run", "page", "line_no", "ord"]
+        listed = lambda df: [(*r[:3], *r[4:]) for r in df.where(hit).select(*key, "surface", "norm").orderBy(*key).collect()]
+        near = decode.near_candidates(pages, stems, least)
+        assert listed(near) == listed(every)
+        assert near.count() < every.count() or least == 70
+        best = lambda df: sorted(tuple(r) for r in decode.search(df, stems, least).collect())
+        assert best(near) == best(every)
