@@ -11,6 +11,7 @@ from ledgerloom.functions.similarity import ratio_sql
 from ledgerloom.operators import decode, gazetteer, graph, nearest, noted, notes, resolution, spellings
 from ledgerloom.plans.queries import _sql_matching, _window_best, query
 from ledgerloom.sources import catalogues
+from ledgerloom.storage import stored
 
 _Q = "thanedble"
 _N = len(_Q)
@@ -56,10 +57,12 @@ SELECT 'present' AS asked, (SELECT n > 0 FROM l) AS found, pages, runs, (SELECT
 def search_run_coverage(t) -> DataFrame:
     """Two searches in decoded pages, one for what is there and one for what is not, each with what was searched."""
     pages = t("documents").select(F.col("source").alias("run"), F.col("doc_id").alias("page"), "text")
-    found = decode.candidates(decode.lines_of(pages))
+    wanted = {"present": "license", "absent": "шшшшщщщщ"}
+    # The pages are read once for both.
+    found = stored(decode.near_candidates(pages, list(wanted.values()), 90), "near")
     out = None
-    for asked, stem in (("present", "license"), ("absent", "шшшшщщщщ")):
-        a = noted.searched(decode.search(found, [stem], 90), pages, "decode", "run")
+    for asked, stem in wanted.items():
+        a = noted.searched(stored(decode.search(found, [stem], 90), "hits"), pages, "decode", "run")
         n = {r["dim"]: r["denominator"] for r in a.coverage.collect()}
         hit = a.rows.agg((F.count(F.lit(1)) > 0).alias("found"))
         row = hit.select(F.lit(asked).alias("asked"), "found", F.lit(n["all"]).alias("pages"), F.lit(n["groups"]).alias("runs"), F.lit(bool(a.warnings)).alias("warned"))
