@@ -63,3 +63,16 @@ def test_only_candidates_near_a_stem_are_listed(spark):
         assert near.count() < every.count() or least == 70
         best = lambda df: sorted(tuple(r) for r in decode.search(df, stems, least).collect())
         assert best(near) == best(every)
+
+
+def test_candidates_of_a_line_are_not_shuffled(spark):
+    """Lines with their candidates are the candidates of pages, and come from each page's own row."""
+    text = "ім'я Коваль\nчук ту(т)\n\nі ще слово одне тут\nа"
+    pages = spark.createDataFrame([("r", 1, text), ("r", 2, None), ("r", 3, "")], "run string, page long, text string")
+    lines = decode.line_candidates(pages)
+    each = lines.select("run", "page", "line_no", F.posexplode("candidates").alias("ord", "c")).select("run", "page", "line_no", "ord", "c.surface", "c.norm")
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, decode.page_candidates(pages).collect()))
+    from ledgerloom.plans import queries
+
+    found = queries.QUERIES["decode_candidates"](spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
