@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerloom.storage import stored
+from ledgerloom.storage import broadcast_if_small, dealt, stored
 
 
 def carried_forward(rows: DataFrame, group: list[str], order: list[str], *columns: str) -> DataFrame:
@@ -86,7 +86,8 @@ def closed_ranges(rows: DataFrame, group: list[str], order: list[str], start: st
         where = waiting.select("_g", "_row", "_s", later["_next"].alias("_next")).where("_next is not null")
         rising = found.where("_s > _above").join(theirs, "_g").select("_g", F.col("_block").alias("_next"), F.col("_s").alias("_start"), "_above")
         beyond = where.join(rising, ["_g", "_next"]).where("_above <= _s and _start > _s").select("_row", F.col("_start").alias("_found"))
-        df = found.join(beyond, "_row", "left")
+        # Few rows wait beyond a border: the others stay where they are.
+        df = found.join(broadcast_if_small(stored(beyond, "beyond")), "_row", "left")
     following = F.coalesce("_found", F.nullif("_later", F.lit(0)))
     is_open = F.col(end).isNull() & F.col(start).isNotNull()
     kind = rows.schema[end].dataType
@@ -94,10 +95,16 @@ def closed_ranges(rows: DataFrame, group: list[str], order: list[str], start: st
 
 
 def islands(rows: DataFrame, group: list[str], number: str) -> DataFrame:
-    """Runs of consecutive numbers as ranges."""
-    df = rows.select(*group, number).distinct()
-    df = df.withColumn("_island", F.col(number) - F.row_number().over(W.Window.partitionBy(*group).orderBy(number)))
-    return df.groupBy(*group, "_island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("_island")
+    """Runs of consecutive numbers as ranges.
+
+    Groups are dealt out once, to more tasks the more rows there are, and what
+    follows stays there; equal numbers have one rank, so that repeats need no
+    distinct.
+    """
+    df = dealt(rows.select(*group, number), *group)
+    df = df.withColumn("_island", F.col(number) - F.dense_rank().over(W.Window.partitionBy(*group).orderBy(number)))
+    ends = df.groupBy(*group, "_island").agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    return ends.withColumn("n", F.coalesce((F.col("last") - F.col("first") + 1).cast("long"), F.lit(1).cast("long"))).drop("_island")
 
 
 def in_spans(points: DataFrame, spans: DataFrame, key: str, number: str, width: int = 64) -> DataFrame:

@@ -76,3 +76,16 @@ def test_candidates_of_a_line_are_not_shuffled(spark):
 
     found = queries.QUERIES["decode_candidates"](spark, "/root/testdata/sf0.001")
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_islands_in_more_tasks_for_more_rows(spark, monkeypatch):
+    """Runs with repeats, gaps and a number that is not known, in as many tasks as their rows take."""
+    from ledgerloom import storage
+    from ledgerloom.operators import sequences
+
+    rows = spark.createDataFrame([("a", n) for n in (1, 2, 2, 3, 7, 9, 10, None)] + [("b", 2), (None, 5), (None, 6)], "g string, n int")
+    want = [("", 5, 6, 2), ("a", 1, 3, 3), ("a", 7, 7, 1), ("a", 9, 10, 2), ("a", None, None, 1), ("b", 2, 2, 1)]
+    got = sequences.islands(rows, ["g"], "n")
+    assert sorted(((r["g"] or "", r["first"], r["last"], r["n"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    monkeypatch.setattr(storage, "TASK_ROWS", 1)
+    assert sequences.islands(rows, ["g"], "n").rdd.getNumPartitions() == 11
