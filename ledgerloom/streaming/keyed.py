@@ -13,6 +13,7 @@ repeats it as well.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Seconds for which a submission is remembered, and after which a job without a sign of life is stopped.
 TTL, STALE = 600, 45
+#: Groups of keys whose state is kept together: a call for each key costs far more than its rows.
+GROUPS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -84,89 +87,122 @@ def idempotent_batch(submissions: DataFrame, key: str, at: str, order: str, seco
     return created.unionByName(submissions.where((F.coalesce(F.col(key).cast("string"), F.lit("")) == "") & F.col(at).isNotNull()))
 
 
-class Submissions(StatefulProcessor):
-    """Remembers each key's last job for the time to live, counted from the submission that created it."""
+class _Grouped(StatefulProcessor):
+    """State of a group of keys as one value, {key: [time in microseconds, ...]}, with a timer for whichever is over first."""
 
-    def __init__(self, at: str, order: str, ttl_us: int) -> None:
-        self.at, self.order, self.ttl = at, order, ttl_us
+    def __init__(self, key: str, at: str, order: str, wait_us: int) -> None:
+        self.key, self.at, self.order, self.wait = key, at, order, wait_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.created = handle.getValueState("created", T.StructType([T.StructField("us", T.LongType())]))
+        self.held = handle.getValueState("held", T.StructType([T.StructField("json", T.StringType())]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch[batch[self.at].notna()].sort_values([self.at, self.order], kind="stable")
-        held = self.created.get()[0] if self.created.exists() else None
-        found, created = first_ones(micros(batch[self.at]), self.ttl, held)
-        if created is not None and created != held:
-            self.created.update((created,))
-            # State goes once no row can come that it would make a repeat.
-            self.handle.registerTimer((created + self.ttl) // 1000 + 1)
-        yield batch.iloc[found]
+    def load(self) -> dict:
+        return dict(json.loads(self.held.get()[0])) if self.held.exists() else {}
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.created.exists() and self.created.get()[0] + self.ttl < expiredTimerInfo.getExpiryTimeInMs() * 1000:
-            self.created.clear()
-        return iter(())
+    def save(self, held: dict) -> None:
+        if held:
+            self.held.update((json.dumps(list(held.items())),))
+            self.handle.registerTimer((min(v[0] for v in held.values()) + self.wait) // 1000 + 1)
+        else:
+            self.held.clear()
+
+    def keyed(self, rows) -> Iterator[tuple]:
+        """Each key with its rows in order."""
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch = batch[batch[self.at].notna()].sort_values([self.key, self.at, self.order], kind="stable")
+        keys = [None] * len(batch) if batch[self.key].isna().all() else batch[self.key].tolist()
+        starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+        for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
+            yield keys[lo], batch.iloc[lo:hi]
+
+    def over(self, held: dict, timers) -> dict:
+        """What is over by the watermark, taken out of what is held."""
+        due = {k: v for k, v in held.items() if v[0] + self.wait < timers.getCurrentWatermarkInMs() * 1000}
+        for k in due:
+            del held[k]
+        return due
 
     def close(self) -> None:
         pass
 
 
+class Submissions(_Grouped):
+    """Remembers each key's last job for the time to live, counted from the submission that created it."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, kept = self.load(), []
+        for name, batch in self.keyed(rows):
+            found, created = first_ones(micros(batch[self.at]), self.wait, held[name][0] if name in held else None)
+            held[name] = [created]
+            kept.append(batch.iloc[found])
+        self.save(held)
+        if kept:
+            yield pd.concat(kept, ignore_index=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # State goes once no row can come that it would make a repeat.
+        held = self.load()
+        if self.over(held, timerValues):
+            self.save(held)
+        return iter(())
+
+
 def micros(times: pd.Series) -> np.ndarray:
     return times.to_numpy("datetime64[us]").astype(np.int64)
 
 
+def _group(key: str) -> Column:
+    """The group of a key; rows without one are a group of their own, so that pandas keeps whole numbers whole."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int"))
+
+
 def idempotent(submissions: DataFrame, key: str, at: str, order: str, seconds: int = TTL, late: str = "10 minutes") -> DataFrame:
     """The same over a stream; ``late`` is how late a row may come."""
     submissions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     named = submissions.withWatermark(at, late).where(F.col(key) != "")
-    processor = Submissions(at, order, seconds * 1_000_000)
-    return named.groupBy(key).transformWithStateInPandas(processor, submissions.schema, "Append", "eventTime")
+    processor = Submissions(key, at, order, seconds * 1_000_000)
+    return named.withColumn("_group", _group(key)).groupBy("_group").transformWithStateInPandas(processor, submissions.schema, "Append", "eventTime")
 
 
-class Silence(StatefulProcessor):
+class Silence(_Grouped):
     """Stops a job that gives no sign of life for the stale time, and names the page that it was on."""
 
-    def __init__(self, at: str, order: str, page: str, stale_us: int) -> None:
-        self.at, self.order, self.page, self.stale = at, order, page, stale_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType()), T.StructField("page", T.StringType())]))
+    def __init__(self, job: str, at: str, order: str, page: str, stale_us: int) -> None:
+        super().__init__(job, at, order, stale_us)
+        self.page = page
 
-    def _stopped(self, key, us: int, page) -> pd.DataFrame:
-        return pd.DataFrame({"job": [key[0]], "page": [page], "stopped_us": [us + self.stale]})
+    def _stopped(self, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        if found:
+            jobs, last = zip(*found, strict=True)
+            yield pd.DataFrame({"job": jobs, "page": [page for _, page in last], "stopped_us": [us + self.wait for us, _ in last]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch[batch[self.at].notna()].sort_values([self.at, self.order], kind="stable")
-        last = self.last.get() if self.last.exists() else None
-        for us, page in zip(micros(batch[self.at]).tolist(), batch[self.page].tolist(), strict=True):
-            if last is not None and us - last[0] > self.stale:
-                yield self._stopped(key, *last)
-            if last is None or us >= last[0]:
-                last = (us, page)
-        if last is not None:
-            self.last.update(tuple(last))
-            self.handle.registerTimer((last[0] + self.stale) // 1000 + 1)
+        held, stopped = self.load(), []
+        for job, batch in self.keyed(rows):
+            last = held.get(job)
+            for us, page in zip(micros(batch[self.at]).tolist(), batch[self.page].tolist(), strict=True):
+                if last is not None and us - last[0] > self.wait:
+                    stopped.append((job, last))
+                if last is None or us >= last[0]:
+                    last = [us, page]
+            held[job] = last
+        self.save(held)
+        yield from self._stopped(stopped)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
-        if last is not None and last[0] + self.stale < expiredTimerInfo.getExpiryTimeInMs() * 1000:
-            self.last.clear()
-            yield self._stopped(key, *last)
-
-    def close(self) -> None:
-        pass
+        held = self.load()
+        due = self.over(held, timerValues)
+        if due:
+            self.save(held)
+        yield from self._stopped(list(due.items()))
 
 
 def silent_jobs(beats: DataFrame, job: str, at: str, order: str, page: str, seconds: int = STALE, late: str = "0 seconds") -> DataFrame:
     """(job, page, stopped_us) of a stream's jobs as they fall silent: when each is stopped, and its page, which goes to quarantine."""
     beats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = T.StructType([T.StructField("job", beats.schema[job].dataType), T.StructField("page", T.StringType()), T.StructField("stopped_us", T.LongType())])
-    return beats.withWatermark(at, late).groupBy(job).transformWithStateInPandas(Silence(at, order, page, seconds * 1_000_000), schema, "Append", "eventTime")
+    return beats.withWatermark(at, late).withColumn("_group", _group(job)).groupBy("_group").transformWithStateInPandas(Silence(job, at, order, page, seconds * 1_000_000), schema, "Append", "eventTime")
 
 
 def silent_jobs_batch(beats: DataFrame, job: str, at: str, order: str, page: str, seconds: int = STALE) -> DataFrame:
