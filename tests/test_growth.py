@@ -102,3 +102,15 @@ def test_counted_forms_are_their_places(spark):
     want = spellings.occurrences(texts, forms, "id").groupBy("id", "form").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("start").alias("last"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_a_stream_share_their_state(spark, tmp_path, monkeypatch):
+    """Many keys in few groups, over several batches, give what the finished log gives; the state is kept by group."""
+    from ledgerloom.streaming import keyed
+    from tests.test_keyed import ROWS, _streamed, at
+
+    monkeypatch.setattr(keyed, "GROUPS", 3)
+    assert issubclass(keyed.Submissions, keyed._Grouped) and issubclass(keyed.Silence, keyed._Grouped)
+    rows = [(i, f"k{i * 7 % 23}", at(i * 11), f"p{i}") for i in range(300)]
+    first = _streamed(spark, rows, tmp_path / "a", lambda s: keyed.idempotent(s, "key", "at", "id", 600))
+    assert sorted(r["id"] for r in first) == sorted(r["id"] for r in keyed.idempotent_batch(spark.createDataFrame(rows, ROWS), "key", "at", "id", 600).collect())
