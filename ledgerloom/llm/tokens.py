@@ -14,11 +14,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import cache
 
-#: Words after which those go that were not met again since the last time, and parts of words remembered.  Most words
-#: are rare; by measurement a small table of those that come back costs less than a large one of all.
-REMEMBERED, PARTS = 60_000, 250_000
+#: Words, and parts of words, after which those go that were not met again since the last time; some 200 bytes each,
+#: and at most twice as many are held.
+REMEMBERED, PARTS = 400_000, 400_000
 #: Latin letters that lower-case one to one, then punctuation that starts no contraction.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
 PLAIN_WORD = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:|#$%&*]*)")
@@ -44,6 +45,24 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+class Remembered(dict):
+    """What ``learn`` says of a key, asked when the key is first met and not while it is remembered."""
+
+    def __init__(self, learn: Callable[[str], bytes | None]) -> None:
+        self.learn = learn
+        self.before: dict[str, bytes | None] = {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        ids = self[key] = self.before[key] if key in self.before else self.learn(key)
+        return ids
+
+    def forget(self, most: int) -> None:
+        """If there are more than ``most``, drop what was not met since the last time."""
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts.
 
@@ -55,59 +74,41 @@ class Encoder:
         self.path, self.spaced = path, spaced
         self.model = _library(path).model
         #: None for words that tell of white space over which ids may join.
-        self.words: dict[str, bytes | None] = {}
-        self.met_again: set[str] = set()
-        self.parts: dict[str, bytes] = {}
+        self.words = Remembered(self._word)
+        self.parts = Remembered(self._part)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in _library(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
-        return ids
-
-    def _learn(self, words: set[str]) -> None:
-        odd = []
-        for word in words:
-            if plain := PLAIN_WORD.fullmatch(word):
-                letters = plain[1] if self.spaced else plain[1].lower()
-                self.words[word] = self._part(letters) + (self._part(plain[2]) if plain[2] else b"")
-            elif ODD_SPACE.search(word) or self.spaced and (not word.strip(" ") or word[1:2].isspace()):
-                self.words[word] = None
-            else:
-                odd.append(word)
-        if self.spaced:
-            self.words["\n"] = self.whole(["\n"])[0]
-        self.words.update(zip(odd, self.whole(odd), strict=True))
+        letters = part.replace(" ", BYTE_LETTERS[32]) if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        if plain := PLAIN_WORD.fullmatch(word):
+            letters, behind = plain.groups()
+            ids = self.parts[letters if self.spaced else letters.lower()]
+            return ids + self.parts[behind] if behind else ids
+        if ODD_SPACE.search(word):
+            return None
+        # A line's end stands by itself, as the lines beside it neither end nor begin with white space that is no word's.
+        if self.spaced and word != "\n" and (not word.strip(" ") or word[1:2].isspace() or word[-1].isspace()):
+            return None
+        return self.whole([word])[0]
 
     def _split(self, text: str) -> list[str]:
         if not self.spaced:
             return ["\x1c"] if ODD_SPACE.search(text) else text.split()
-        words: list[str] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            words += ["\n", first]
-            words += [" " + w for w in rest]
-        return words[1:]
+        # The mark between words is odd space itself.
+        return ["\x1c"] if "\x1d" in text else text.replace(" ", "\x1d ").replace("\n", "\x1d\n\x1d").split("\x1d")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        needed = set().union(*split)
-        # Forgetting comes before learning, so what this call needs is there after it.
-        if len(self.words) > REMEMBERED:
-            self.words = {w: self.words[w] for w in self.met_again & self.words.keys()}
-            self.met_again = set()
-        if len(self.parts) > PARTS:
-            self.parts = {}
-        new = needed - self.words.keys()
-        self.met_again |= needed - new
-        self._learn(new)
+        self.words.forget(REMEMBERED)
+        self.parts.forget(PARTS)
         out: list[bytes | None] = []
-        for words in split:
+        for text in texts:
             try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
+                out.append(b"".join(map(self.words.__getitem__, self._split(text))))
             except TypeError:
                 out.append(None)
         odd = iter(self.whole([t for t, ids in zip(texts, out, strict=True) if ids is None]))

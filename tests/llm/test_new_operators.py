@@ -144,3 +144,33 @@ def test_forgotten_words_give_the_same_ids(monkeypatch, name, spaced, docs):
     got = [ids for k in range(0, len(texts), 5) for ids in encoder.encode(texts[k : k + 5])]
     want = [b"".join(i.to_bytes(4, "little") for i in ids[:-1]) for ids in _ids(name, texts, 0)]
     assert got == want and len(encoder.words) < 20_000
+
+
+def test_white_space_at_the_end_of_a_word():
+    """Ids may join over a line's end and odd space beside it; such texts go to the library whole."""
+    import public_tokenizers
+    from test_queries import _ids
+
+    from ledgerloom.llm import tokens
+
+    texts = ["the'\n\xa0", "one\t\n two", "one\r\ntwo", "one \xa0\n\xa0", "one\x1dtwo three", "\n\xa0\n", "one\n\ttwo", "one\ttwo\nthree\xa0 four", "\n", ""]
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        want = [b"".join(i.to_bytes(4, "little") for i in ids[:-1]) for ids in _ids(name, texts, 0)]
+        assert tokens.Encoder(public_tokenizers.path(name), spaced).encode(texts) == want
+
+
+def test_known_words_are_looked_up_not_gone_through(monkeypatch):
+    """What a call costs does not grow with the table: a word is learned once, and kept through forgetting if it comes back."""
+    import public_tokenizers
+
+    from ledgerloom.llm import tokens
+
+    learned = []
+    monkeypatch.setattr(tokens, "REMEMBERED", 100)
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    learn = encoder.words.learn
+    encoder.words.learn = lambda word: (learned.append(word), learn(word))[1]
+    for k in range(50):
+        encoder.encode([f"common {' '.join(f'rare{k}x{j}' for j in range(30))} often"])
+    assert learned.count("common") == learned.count(" often") == 1 and len(learned) == 50 * 30 + 2
+    assert len(encoder.words) + len(encoder.words.before) <= 2 * (100 + 32)
