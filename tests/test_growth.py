@@ -1,6 +1,7 @@
 """Growth that the review of round 3 found: what is asked of some rows, lines, classes or streams costs in proportion."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,21 @@ def test_keys_of_a_stream_share_their_state(spark, tmp_path, monkeypatch):
     rows = [(i, f"k{i * 7 % 23}", at(i * 11), f"p{i}") for i in range(300)]
     first = _streamed(spark, rows, tmp_path / "a", lambda s: keyed.idempotent(s, "key", "at", "id", 600))
     assert sorted(r["id"] for r in first) == sorted(r["id"] for r in keyed.idempotent_batch(spark.createDataFrame(rows, ROWS), "key", "at", "id", 600).collect())
+
+
+def test_runs_are_resolved_by_tasks_of_bounded_rows(spark, monkeypatch):
+    """More runs take more tasks, not larger ones: with 50 rows to a task no stored file has more, and the settings are as before afterwards."""
+    from ledgerloom import storage
+    from ledgerloom.operators import resolution
+
+    monkeypatch.setattr(storage, "NAMED_ROWS", 50)
+    library = spark.createDataFrame([(f"DAHMO/7/{k}", "DAHMO", "7", "1", str(k), "canonical") for k in range(400)], "case_key string, repo string, fund string, inventory string, case string, desc_source string")
+    runs = spark.createDataFrame([(f"dahmo-7-1-{k}", "", "") for k in range(400)], "run string, meta_key string, case_dir string").coalesce(1)
+    none = spark.createDataFrame([], "path string, case_key string")
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxRecordsPerFile", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    found = resolution.resolve_runs(runs, library, none, none.withColumnRenamed("path", "run"))
+    got = found.withColumn("file", F.input_file_name()).collect()
+    assert {(r["run"], r["case_key"], r["resolved_by"]) for r in got} == {(f"dahmo-7-1-{k}", f"DAHMO/7/{k}", "run_name") for k in range(400)}
+    assert max(Counter(r["file"] for r in got).values()) <= 50
+    assert [spark.conf.get(k) for k in keys] == before
