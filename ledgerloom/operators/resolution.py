@@ -298,7 +298,8 @@ def _resolved(runs: DataFrame, library: DataFrame, paths: DataFrame, overrides:
         decided.select("run", _turn(F.col("depth"), "override", first).alias("turn"), "case_key"),
     ]
     found = reduce(DataFrame.unionByName, sure).withColumn("level", first).unionByName(looked_up(candidates, library, "run"))
-    best = found.groupBy("run").agg(F.min(F.struct("turn", "level", "case_key")).alias("b"))
+    # Dealt out first: a minimum of names sorts what it gets, which would be all that a task has read.
+    best = found.repartition("run").groupBy("run").agg(F.min(F.struct("turn", "level", "case_key")).alias("b"))
     place = F.floor(F.col("b.turn") / _STEPS)
     channel = F.get(F.array(*map(F.lit, CHANNELS)), (place % _RANKS).cast("int"))
     by = F.when(place >= _RANKS, "derived").when(channel == "solo_number", "run_name").otherwise(channel)
