@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import decode, gazetteer, graph
+from ledgerloom import storage
+from ledgerloom.operators import decode, gazetteer, graph, nearest
 from tests.test_nearest import edited, name, plain
 
 
@@ -133,3 +134,29 @@ def test_runs_are_resolved_by_tasks_of_bounded_rows(spark, monkeypatch):
     assert {(r["run"], r["case_key"], r["resolved_by"]) for r in got} == {(f"dahmo-7-1-{k}", f"DAHMO/7/{k}", "run_name") for k in range(400)}
     assert max(Counter(r["file"] for r in got).values()) <= 50
     assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_tables_counted_as_large_are_shuffled(spark):
+    """A stored table beyond the bound is not sent to the executors, however small its file is."""
+    table = storage.stored(spark.range(1000).withColumn("v", F.lit("x")), "large")
+    rows = spark.range(50)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(rows.join(storage.broadcast_if_small(table, 1000), "id"))
+    assert "Broadcast" not in plan(rows.join(storage.broadcast_if_small(table, 999), "id"))
+
+
+@pytest.mark.parametrize("asked", [None, 40])
+def test_no_join_of_names_is_left_to_the_size_of_files(spark, monkeypatch, asked):
+    """With every table of names counted as large, no step gathers one in the driver: names, their forms, pieces and lists."""
+    rng = random.Random(5)
+    places = [(k, "".join(rng.choice("каробен") for _ in range(rng.randrange(3, 9))), rng.choice([None, "Орел" + "ь" * rng.randrange(9)])) for k in range(120)]
+    table = spark.createDataFrame(places, "card long, norm_uk string, norm_ru string")
+    queries = None if asked is None else table.where(F.col("card") < asked)
+    want = sorted(map(tuple, nearest.all_confusers(table, queries=queries).collect()))
+    plans, stored = [], nearest.stored
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(nearest, "stored", lambda df, name: stored(seen(df), name))
+    monkeypatch.setattr(nearest, "broadcast_if_small", lambda df, *rows: storage.broadcast_if_small(df, 0))
+    got = seen(nearest.all_confusers(table, queries=queries))
+    assert sorted(map(tuple, got.collect())) == want and want
+    assert sum("Join" in p for p in plans) >= 6 and not [p for p in plans if "Broadcast" in p]
